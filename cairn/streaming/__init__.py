@@ -1,0 +1 @@
+"""Intentionally empty: the engine's operators are batch operators; nothing here is streaming."""
