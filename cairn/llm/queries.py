@@ -6,7 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import exact_dedup
+from cairn.llm import exact_dedup, mpeg, pieces, token_output
+
+
+def vocabulary(name: str) -> str:
+    """Where the public vocabularies lie on every machine; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,5 +24,22 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op10_exact_dedup": op10_exact_dedup}
+def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mpeg.read_back(mpeg.store_texts(_documents(spark, sf_dir)))
+
+
+def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.token_output(_documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(_documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_media_columns": op1_media_columns,
+    "op4_token_output": op4_token_output,
+    "op9_sentencepiece": op9_sentencepiece,
+    "op10_exact_dedup": op10_exact_dedup,
+}
 ORACLES: dict[str, str] = {"op10_exact_dedup": exact_dedup.SQL}
