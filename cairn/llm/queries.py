@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cairn.llm import exact_dedup, mpeg, pieces, token_output
+from cairn.llm import exact_dedup, mpeg, pieces, quality, token_output, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -32,6 +33,27 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_output(_documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
+def remainder(n: int, id_col: str = "doc_id"):
+    """crc32 of the id as text, modulo n."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.train(docs, labels.where(remainder(5) != 0))
+    return toxicity.score(docs, model).withColumn("held_out", F.coalesce(remainder(5) == 0, F.lit(False)))
+
+
+#: Ratings that the labels give: 0 low quality, 1 good but toxic, 2 good.
+GRADE, GRADES = "CASE WHEN quality = 0 THEN 0 WHEN quality = 1 AND toxic = 1 THEN 1 WHEN quality = 1 AND toxic = 0 THEN 2 END", 3
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.expr(GRADE), GRADES)
+    return quality.score(docs, model).select("doc_id", "expected_grade", F.col("tails")[0].alias("p_good"), F.col("tails")[1].alias("p_clean"), (F.col("tails")[0] >= 0.5).alias("kept"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(_documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
 
@@ -39,6 +61,8 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
     "op4_token_output": op4_token_output,
+    "op6_toxicity": op6_toxicity,
+    "op7_quality": op7_quality,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_exact_dedup": op10_exact_dedup,
 }
