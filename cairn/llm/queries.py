@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import exact_dedup, mpeg, pieces, quality, token_output, toxicity
+from cairn.llm import exact_dedup, mixing, mpeg, pieces, quality, token_output, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -29,6 +29,20 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg.read_back(mpeg.store_texts(_documents(spark, sf_dir)))
 
 
+#: Domains that the labels give, and their shares of the tokens of a mix.
+DOMAIN = "CASE WHEN quality = 1 AND toxic = 0 THEN 'good' WHEN quality = 1 AND toxic = 1 THEN 'good_toxic' WHEN quality = 0 AND toxic = 0 THEN 'poor' WHEN quality = 0 AND toxic = 1 THEN 'poor_toxic' END"
+TARGETS = {"good": 0.9, "good_toxic": 0.04, "poor": 0.055, "poor_toxic": 0.005}
+#: Tokens of the mix as a share of all tokens.
+BUDGET = 0.8
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = mixing.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.expr(DOMAIN), list(TARGETS))
+    rated, _ = mixing.mix(docs, model, list(TARGETS.values()), BUDGET)
+    return rated.select("doc_id", "n_tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(TARGETS)], "rate")
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_output(_documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
@@ -60,6 +74,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
+    "op2_mixing": op2_mixing,
     "op4_token_output": op4_token_output,
     "op6_toxicity": op6_toxicity,
     "op7_quality": op7_quality,
