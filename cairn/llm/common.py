@@ -70,3 +70,23 @@ def slices(batch: pa.RecordBatch, column: str = "text", budget: int = 4 << 20) -
 def rows(schema: pa.Schema, **columns) -> pa.RecordBatch:
     """A batch in the order of schema from arrays or lists by name."""
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name].cast(f.type) for f in schema], schema=schema)
+
+
+class WordCache(dict):
+    """make(word) for each word that is looked up, kept for the words of late: at most 2 * entries of them.
+
+    When entries are full they become the old generation, and what was old and not looked up since goes.
+    """
+
+    def __init__(self, make: Callable, entries: int) -> None:
+        super().__init__()
+        self.make, self.entries, self.old = make, entries, {}
+
+    def __missing__(self, word):
+        if (value := self.old.get(word, self)) is self:
+            value = self.make(word)
+        if len(self) >= self.entries:
+            self.old = dict(self)
+            self.clear()
+        self[word] = value
+        return value

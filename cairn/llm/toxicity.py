@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import map_arrow, texts_of
+from cairn.llm.common import WordCache, map_arrow, texts_of
 from cairn.llm.features import labelled_sample
 
 #: Labelled rows that a fit uses at most.
@@ -34,7 +34,7 @@ MAX_DISTANCE = 1
 LEAST_FUZZY, LEAST_STEM, MOST_STEM = 5, 4, 10
 #: Words before a match that are looked at for quotation.
 WINDOW = 6
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 500_000
 # Signs written for letters, and words that report speech.
 LOOKALIKE = str.maketrans("0134578@$!", "oieastbasi")
 REPORTING = frozenset("said says wrote writes called calls quote quoted quotes word term phrase insult slur dijo dit sagte palabra mot wort".split())
@@ -138,19 +138,15 @@ class Scorer:
     def __init__(self, model: Model) -> None:
         trie, ordinary = Trie(model.words, model.stems), model.ordinary
 
-        class Cache(dict):
-            def __missing__(self, token: str):
-                hit = None
-                for word in words_of(token):
-                    found = trie.match(word, ordinary)
-                    if found and (hit is None or found[1] < hit[1]):
-                        hit = (*found, word)
-                if len(self) >= CACHE_ENTRIES:
-                    self.clear()
-                self[token] = hit
-                return hit
-
-        self.cache = Cache()
+        def best(token: str):
+            hit = None
+            for word in words_of(token):
+                found = trie.match(word, ordinary)
+                if found and (hit is None or found[1] < hit[1]):
+                    hit = (*found, word)
+            return hit
+
+        self.cache = WordCache(best, CACHE_ENTRIES)
         self.weights = model.weights
 
     def hits(self, text: str) -> tuple[list[tuple[int, tuple[str, int, str]]], list[str]]:
