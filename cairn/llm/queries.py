@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import exact_dedup, mixing, mpeg, pieces, quality, token_output, toxicity
+from cairn.llm import ctw, exact_dedup, mixing, mpeg, pieces, quality, token_output, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -43,6 +43,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", "n_tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(TARGETS)], "rate")
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(_documents(spark, sf_dir), remainder(7) == 2)
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_output(_documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
@@ -75,6 +79,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
     "op2_mixing": op2_mixing,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_token_output": op4_token_output,
     "op6_toxicity": op6_toxicity,
     "op7_quality": op7_quality,
