@@ -39,6 +39,11 @@ def stash(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_sized(big: DataFrame, small: DataFrame, on: str, how: str, size: int, limit: int) -> DataFrame:
+    """big joined to small, which is broadcast if its size, as measured, is within the limit, and else meets big in a shuffle."""
+    return big.join(F.broadcast(small) if size <= limit else small.hint("shuffle_merge"), on, how)
+
+
 def texts_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, text) only; a null text is empty. Other columns, clashing names included, don't pass."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

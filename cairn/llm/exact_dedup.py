@@ -70,13 +70,14 @@ def flag_repeats(df: DataFrame, bits_set: DataFrame, bits: int, column: str = "s
     return df.withColumn("possible", hit).drop(*[f"_{x}{i}" for i in range(HASHES) for x in ("at", "hit")])
 
 
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise: bool = True, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """One row for each row of df: doc_id, keep_id (of the row that stays), group_size, kept, text_sha256 (hex)."""
-    rows = pin(df.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint(F.col(text_col), normalise).alias("sha"), F.monotonically_increasing_id().alias("row")))
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise: bool = True, broadcast_bytes: int = BROADCAST_BYTES, extras: dict[str, Column] | None = None) -> DataFrame:
+    """One row for each row of df: doc_id, keep_id (of the row that stays), group_size, kept, text_sha256 (hex), and extras (narrow columns over df by name)."""
+    extras = extras or {}
+    rows = pin(df.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint(F.col(text_col), normalise).alias("sha"), F.monotonically_increasing_id().alias("row"), *[c.alias(k) for k, c in extras.items()]))
     n = rows.count()
     bits = _size(n)
     marked = pin(flag_repeats(rows, repeated_bits(rows, bits), bits, broadcast_bytes=broadcast_bytes))
-    unique = marked.where("not possible").select("doc_id", "sha", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
+    unique = marked.where("not possible").select("doc_id", "sha", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), *extras)
     maybe = marked.where("possible").drop("possible")
     groups = pin(
         maybe.groupBy("sha")
@@ -87,10 +88,10 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     hot = groups.where(F.col("group_size") >= hot_size)
     # Rows of hot groups find theirs in a broadcast of at most HOT_SHARE groups, so the shuffled join has no hot key.
     found = maybe.join(F.broadcast(hot), "sha", "left")
-    cold = found.where("keep_row is null").select("doc_id", "sha", "row").join(groups.where(F.col("group_size") < hot_size), "sha")
+    cold = found.where("keep_row is null").select("doc_id", "sha", "row", *extras).join(groups.where(F.col("group_size") < hot_size), "sha")
     both = found.where("keep_row is not null").unionByName(cold)
-    return unique.unionByName(both.select("doc_id", "sha", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"))).select(
-        "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256")
+    return unique.unionByName(both.select("doc_id", "sha", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), *extras)).select(
+        "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"), *extras
     )
 
 

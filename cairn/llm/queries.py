@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import ctw, exact_dedup, mixing, mpeg, pieces, quality, token_output, toxicity
+from cairn.llm import ctw, exact_dedup, mixing, mpeg, pieces, quality, substring_dedup, token_output, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -51,6 +51,10 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_output(_documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(_documents(spark, sf_dir))
+
+
 def remainder(n: int, id_col: str = "doc_id"):
     """crc32 of the id as text, modulo n."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_token_output": op4_token_output,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_quality": op7_quality,
     "op9_sentencepiece": op9_sentencepiece,
