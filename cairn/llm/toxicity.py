@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from cairn.llm.common import WordCache, map_arrow, texts_of
 from cairn.llm.features import labelled_sample
+from cairn.llm.near_dup import minhash, shingles
 
 #: Labelled rows that a fit uses at most.
 MAX_ROWS = 20_000
@@ -56,16 +57,11 @@ class Trie:
             for c in term:
                 node = node.setdefault(c, {})
             node[""] = term
-        bit = {c: 1 << i for i, c in enumerate(sorted({c for w in words for c in w})[:62])}
-        self.bit = bit
-        self.by_size: dict[int, list[int]] = {}
-        for term in words:
-            if len(term) >= LEAST_FUZZY:
-                mask = 0
-                for c in term:
-                    mask |= bit.get(c, 0)
-                for size in range(len(term) - distance, len(term) + distance + 1):
-                    self.by_size.setdefault(size, []).append(mask)
+        # A word within one edit of a term has the term's first half in front or its second half at its end.
+        fuzzy = [t for t in words if len(t) >= LEAST_FUZZY]
+        self.heads, self.tails = {t[: len(t) // 2] for t in fuzzy}, {t[len(t) // 2 :] for t in fuzzy}
+        self.head_sizes, self.tail_sizes = ({len(x) for x in part} for part in (self.heads, self.tails))
+        self.term_sizes = {n for t in fuzzy for n in range(len(t) - distance, len(t) + distance + 1)}
 
     def near(self, word: str) -> tuple[str, int] | None:
         """The trie and the word's automaton walked together: bit i of level e is the state that has read i letters with e errors."""
@@ -104,15 +100,10 @@ class Trie:
         for size in self.stem_sizes:
             if len(word) >= size and word[:size] in self.stems:
                 return word[:size] + "*", 0
-        masks = self.by_size.get(len(word))
-        if masks and len(word) >= LEAST_FUZZY - 1 and word not in ordinary:
-            have = 0
-            for c in word:
-                have |= self.bit.get(c, 0)
-            for mask in masks:
-                if (mask & ~have).bit_count() <= self.distance:
-                    return self.near(word)
-        return None
+        if len(word) not in self.term_sizes or len(word) < LEAST_FUZZY - 1 or word in ordinary:
+            return None
+        may = self.distance != 1 or any(word[:n] in self.heads for n in self.head_sizes) or any(word[-n:] in self.tails for n in self.tail_sizes)
+        return self.near(word) if may else None
 
 
 def words_of(token: str) -> list[str]:
@@ -215,7 +206,7 @@ def choose_terms(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_c
         same = [f for f in longer.get(stem, []) if toxic[f] >= 0.95 * toxic[stem + "*"]]
         best = max(same, key=lambda f: (len(f.rstrip("*")), not f.endswith("*")))
         (chosen if best.endswith("*") else words).append(best.rstrip("*"))
-    words += [f for f in tells if not f.endswith("*") and len(f) < LEAST_STEM + 1 and not any(f.startswith(c) for c in covered)]
+    words += [f for f in tells if not f.endswith("*") and not any(f.startswith(c) for c in covered)]
     return sorted(words), sorted(chosen)
 
 
@@ -250,9 +241,32 @@ def _count(df: DataFrame, of, only: frozenset | None = None) -> DataFrame:
     return map_arrow(df.select("text"), make, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
 
+def without_near_copies(sample: DataFrame, keys: int = 8, width: int = 3) -> DataFrame:
+    """The sample (doc_id, text, ...) without rows that share one of the first MinHash values with a row before: a text in many near copies would vote for each of its words."""
+
+    def make():
+        def each(batch: pa.RecordBatch):
+            values = [minhash(shingles(t.as_py(), width))[:keys] for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.astype(np.int64).tolist() for v in values], pa.list_(pa.int64()))], names=["doc_id", "keys"])
+
+        return each
+
+    # At most MAX_ROWS rows.
+    rows = map_arrow(sample.select("doc_id", "text"), make, "doc_id long, keys array<long>").toArrow().sort_by("doc_id")
+    seen: set[tuple[int, int]] = set()
+    stay = []
+    for doc, values in zip(rows["doc_id"].to_pylist(), rows["keys"].to_pylist()):
+        marks = set(enumerate(values))
+        if not marks & seen:
+            stay.append((doc,))
+        seen |= marks
+    return sample.join(F.broadcast(sample.sparkSession.createDataFrame(stay, "doc_id long")), "doc_id")
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS) -> Model:
     """Learn lexicon, ordinary words and weights from labels (id, 0/1)."""
     sample = labelled_sample(texts_of(docs, id_col, text_col), labels.select(id_col, F.col(label_col).cast("int").alias("toxic")), ["toxic"], max_rows, id_col)
+    sample = without_near_copies(sample)
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
