@@ -44,13 +44,26 @@ def join_sized(big: DataFrame, small: DataFrame, on: str, how: str, size: int, l
     return big.join(F.broadcast(small) if size <= limit else small.hint("shuffle_merge"), on, how)
 
 
+#: Rows of whole texts that a batch between the JVM and Python has at most.
+BATCH_ROWS = 2000
+
+
+def short_batches(df: DataFrame) -> None:
+    """Texts are long: let the session's batches have few rows."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+
+
 def texts_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, text) only; a null text is empty. Other columns, clashing names included, don't pass."""
+    short_batches(df)
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]], schema: str) -> DataFrame:
     """mapInArrow where make() is called once in each task, and what it returns once for each batch."""
+    short_batches(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
