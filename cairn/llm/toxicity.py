@@ -10,7 +10,7 @@ regression on the counts gives the score. Nothing but the text is an input of a
 The fit uses at most MAX_ROWS labelled rows, chosen by hash.
 
 Defined cases: null and empty texts get the score of no match; without toxic labels the lexicon is empty and every text
-has the share of toxic labels; words of any length take time in proportion to it; equal texts, equal scores.
+has about the share of toxic labels (1/4 without any label); words of any length take time in proportion to it; equal texts, equal scores.
 """
 
 from __future__ import annotations
@@ -110,7 +110,7 @@ def words_of(token: str) -> list[str]:
     """Words of letters in a lower-case token; where signs stand between letters, also what they may stand for."""
     found = _LETTERS.findall(token)
     if len(found) > 1 or found and len(found[0]) < len(token.strip(QUOTES + ".,;:!?()[]{}|#%&*-")):
-        plain = token.strip(QUOTES + ".,;:?()[]{}|#%&*-").translate(LOOKALIKE)
+        plain = token.strip(QUOTES + ".,;:!?()[]{}|#%&*-").translate(LOOKALIKE)
         joined = "".join(_LETTERS.findall(plain))
         if joined and joined not in found:
             found.append(joined)
@@ -270,7 +270,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
-        share = (n1 + 0.5) / (n1 + n0 + 1)
+        share = (n1 + 0.5) / (n1 + n0 + 2)
         return Model(weights=np.array([np.log(share / (1 - share)), 0, 0, 0, 0, 0.0]))
     least = max(5, -(-n1 // 100))
     # A feature of at least 1 % of the sample's toxic documents: as many as they have words, times 100, at most.
