@@ -374,7 +374,9 @@ def score(df: DataFrame, held_out, depth: int = DEPTH, id_col: str = "doc_id", t
         least = 2
     if v <= head_words:
         least = 1
-    head = context.broadcast({bytes(r["word"]): float(np.log10(r["c"] + 1)) for r in words.where(F.col("c") >= least).collect()})
+    frequent = words.where(F.col("c") >= least).toArrow()
+    head = context.broadcast(dict(zip(frequent["word"].to_pylist(), np.log10(frequent["c"].to_numpy() + 1.0).tolist())))
+    del frequent
     end_value, known_end = float(np.log10(ends + 1)), int(ends > 0)
 
     def texts_scores(broadcast, name, lower):
