@@ -26,12 +26,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from cairn.llm.common import map_arrow, slices, texts_of
+from cairn.llm.common import WordCache, map_arrow, slices, texts_of
 
 MARK = "▁"
 UNKNOWN_COST = 10.0
-#: Entries of a Python worker's cache of encoded words; it is emptied when full.
-CACHE_ENTRIES = 300_000
+#: Entries of a generation of a Python worker's cached words.
+CACHE_ENTRIES = 150_000
 # Piece types of the file format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -155,21 +155,6 @@ class Vocabulary:
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
-class _Words(dict):
-    """Encoded words: ids as uint32 bytes by inner word."""
-
-    def __init__(self, vocabulary: Vocabulary) -> None:
-        super().__init__()
-        self.vocabulary = vocabulary
-
-    def __missing__(self, word: str) -> bytes:
-        ids = np.asarray(self.vocabulary.viterbi(word)[0], dtype="<u4").tobytes()
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        self[word] = ids
-        return ids
-
-
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
@@ -178,7 +163,7 @@ class Codec:
 
     def __init__(self, data: bytes) -> None:
         self.vocabulary = Vocabulary(data)
-        self.words = _Words(self.vocabulary)
+        self.words = WordCache(lambda word: np.asarray(self.vocabulary.viterbi(word)[0], dtype="<u4").tobytes(), CACHE_ENTRIES)
         self.texts = [b"" if k == CONTROL else bytes([int(p[3:5], 16)]) if k == BYTE else " ⁇ ".encode() if k == UNKNOWN else p.replace(MARK, " ").encode() for p, _, k in self.vocabulary.pieces]
         scores = [s if k in (NORMAL, USER) else 0.0 for _, s, k in self.vocabulary.pieces]
         self.scores = np.asarray(scores, dtype=np.float64)
@@ -214,7 +199,7 @@ def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
         odd = np.array([k in (BYTE, UNKNOWN) for _, _, k in c.vocabulary.pieces])
 
         def each(batch: pa.RecordBatch):
-            for part, texts in slices(batch):
+            for part, texts in slices(batch, budget=1 << 20):
                 ids = [c.encode(t) for t in texts]
                 back = [c.decode(x) for x in ids]
                 sizes = np.array([len(x) for x in ids], dtype=np.int64)
