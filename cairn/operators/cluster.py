@@ -1,35 +1,21 @@
-"""Clustering: distances as Column expressions, exact agglomeration of a bounded sample, scalable k-means, a plane projection."""
+"""Clustering: exact agglomeration of a bounded sample, scalable k-means, a plane projection."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.functions.arrays import METRICS, distance
 from cairn.operators.clean import quoted
 
-METRICS = ("euclidean", "manhattan", "cosine", "chebyshev")
+__all__ = ["METRICS", "agglomerative", "distance", "kmeans", "linkage_labels", "profile", "project"]
+
 #: Rows that exact agglomeration takes at most: its distances are a matrix.
 MOST_ROWS = 5000
 
 
-def distance(a: Column, b: Column, metric: str) -> Column:
-    """Distance of two arrays of numbers of equal length."""
-    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
-    pair = lambda f: F.zip_with(a, b, lambda x, y: f(x.cast("double"), y.cast("double")))
-    if metric == "euclidean":
-        return F.sqrt(total(pair(lambda x, y: (x - y) * (x - y))))
-    if metric == "manhattan":
-        return total(pair(lambda x, y: F.abs(x - y)))
-    if metric == "chebyshev":
-        return F.array_max(pair(lambda x, y: F.abs(x - y)))
-    if metric == "cosine":
-        norm = lambda v: F.sqrt(total(F.transform(v, lambda x: x.cast("double") * x.cast("double"))))
-        return 1 - F.try_divide(total(pair(lambda x, y: x * y)), norm(a) * norm(b))
-    raise ValueError(f"metric must be one of {', '.join(METRICS)}")
-
-
 def agglomerative(df: DataFrame, id_column: str, columns: Sequence[str], clusters: int = 3, metric: str = "euclidean", most: int = MOST_ROWS) -> DataFrame:
     """(id, cluster): Ward linkage for euclidean distances, else average linkage. More than most rows are an error: sample first."""
     n = df.limit(most + 1).count()
