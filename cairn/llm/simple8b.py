@@ -63,11 +63,14 @@ def encode(ids: np.ndarray) -> bytes:
     n, blocks = len(ids), -(-len(ids) // BLOCK)
     if not n:
         return _HEAD.pack(MAGIC, BLOCK, 0, 0) + np.zeros(1, dtype="<u4").tobytes()
-    values = np.zeros(blocks * BLOCK + 60, dtype=np.uint64)
-    values[:n] = ids
+    # Each block in a row of its own with zeros behind it, which fill up its last word.
+    values = np.zeros((blocks, BLOCK + 60), dtype=np.uint64)
+    values[:-1, :BLOCK] = ids[: (blocks - 1) * BLOCK].reshape(blocks - 1, BLOCK)
+    values[-1, : n - (blocks - 1) * BLOCK] = ids[(blocks - 1) * BLOCK :]
     lengths = np.full(blocks, BLOCK, dtype=np.int64)
     lengths[-1] = n - (blocks - 1) * BLOCK
-    widths = _widths(values[: blocks * BLOCK]).reshape(blocks, BLOCK)
+    widths = _widths(values[:, :BLOCK])
+    values = values.ravel()
     selectors = _selectors(widths)
     takes = np.ones(16, dtype=np.int64)
     takes[: len(COUNT)] = COUNT
@@ -80,12 +83,11 @@ def encode(ids: np.ndarray) -> bytes:
     block = np.concatenate([s[0] for s in steps])
     order = np.argsort(block, kind="stable")
     block = block[order]
-    start = (np.concatenate([s[1] for s in steps])[order] + block * BLOCK).astype(np.int64)
+    start = (np.concatenate([s[1] for s in steps])[order] + block * (BLOCK + 60)).astype(np.int64)
     chosen = np.concatenate([s[2] for s in steps])[order]
     words_each = 1 + (chosen == ESCAPE)
     place = np.cumsum(words_each) - words_each
     words = np.zeros(int(words_each.sum()), dtype=np.uint64)
-    ends = (np.minimum(start // BLOCK * BLOCK + BLOCK, n)).astype(np.int64)
     for s in np.unique(chosen):
         mine = np.flatnonzero(chosen == s)
         head = np.uint64(int(s) << 60)
@@ -94,11 +96,9 @@ def encode(ids: np.ndarray) -> bytes:
             words[place[mine] + 1] = values[start[mine]]
             continue
         word = np.full(len(mine), head, dtype=np.uint64)
+        from_ = start[mine]
         for j in range(int(COUNT[s])):
-            where = start[mine] + j
-            value = values[where]
-            value[where >= ends[mine]] = 0  # the next block's ids are not this word's
-            word |= value << np.uint64(j * int(BITS[s]))
+            word |= values[from_ + j] << np.uint64(j * int(BITS[s]))
         words[place[mine]] = word
     offsets = np.zeros(blocks + 1, dtype="<u4")
     offsets[1:] = np.cumsum(np.bincount(block, weights=words_each, minlength=blocks).astype(np.int64))
@@ -129,21 +129,21 @@ def decode(segment: bytes, first: int = 0, last: int | None = None) -> np.ndarra
     takes = np.zeros(16, dtype=np.int64)
     takes[: len(COUNT)] = COUNT
     counts = np.where(raw, 1, takes[selectors])
-    block_of = np.searchsorted(offsets[first + 1 : last + 1] - offsets[first], np.arange(len(words)), side="right")
+    block_of = np.repeat(np.arange(last - first), np.diff(offsets[first : last + 1]))
     totals = np.add.reduceat(counts, (offsets[first:last] - offsets[first]))
     begins = np.cumsum(counts) - counts
-    shift = np.cumsum(totals) - totals
-    begins = begins - shift[block_of] + block_of * size  # a block's last word may have room to spare
-    out = np.zeros((last - first) * size + 60, dtype=np.uint64)
+    # Each block in a row of its own with room for what its last word has to spare.
+    begins += (np.arange(last - first) * (size + 60) - (np.cumsum(totals) - totals))[block_of]
+    out = np.zeros((last - first) * (size + 60), dtype=np.uint64)
     for s in np.unique(selectors[~raw])[::-1]:
         if s == ESCAPE:
             continue
         mine = np.flatnonzero((selectors == s) & ~raw)
         mask = np.uint64((1 << int(BITS[s])) - 1)
-        limit = (block_of[mine] + 1) * size
+        word, at = words[mine], begins[mine]
         for j in range(int(COUNT[s])):
-            where = begins[mine] + j
-            ok = where < limit
-            out[where[ok]] = ((words[mine] >> np.uint64(j * int(BITS[s]))) & mask)[ok]
+            out[at + j] = word & mask
+            word = word >> np.uint64(int(BITS[s]))
     out[begins[raw]] = words[raw]
+    out = out.reshape(-1, size + 60)[:, :size].ravel()
     return out[: min(n, last * size) - first * size]

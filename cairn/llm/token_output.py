@@ -11,8 +11,10 @@ the order of their texts; an empty table gives an empty file. A text that repeat
 from __future__ import annotations
 
 import functools
+import gc
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,44 +24,59 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.llm import simple8b
-from cairn.llm.common import stash, texts_of
+from cairn.llm.common import WordCache, stash, texts_of
 
 #: Ids in a segment, about; a longer text makes a longer one.
 SEGMENT_IDS = 1 << 19
-#: Entries of a Python worker's cache of encoded words; it is emptied when full.
-CACHE_ENTRIES = 250_000
+#: Entries of a generation of a Python worker's cache of encoded words.
+CACHE_ENTRIES = 800_000
 
 
-class _Words(dict):
-    """Ids (uint32 bytes) of a piece of text from one space to the next, by byte-level BPE.
+# Fixed value: the pattern that splits a text in words before byte-level merges.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-    Such a tokenizer splits a text in words before it merges, and no word reaches over the border between a character
-    that is not white space and a space, so a text's ids are those of its pieces. A piece that starts with a space and
-    further white space may belong to a longer run of white space: it has None, and its text is encoded whole.
+
+#: Marks a piece that no space precedes; a text that has it is encoded whole.
+BARE = "\1"
+LINE = BARE + "\n"
+
+
+class _Words:
+    """Ids (uint32 bytes) of a piece of text, by byte-level BPE.
+
+    Such a tokenizer splits a text in words before it merges, and no word reaches over a border between white space and
+    other characters but for a single space in front of it. So a text's ids are those of its pieces: what follows a
+    space (which the argument lacks), a line's end, and what follows that (both marked by BARE in front). Other runs of
+    white space show as empty pieces or as white space at a piece's start: these have None, and their text is encoded
+    whole.
     """
 
     def __init__(self, tokenizer) -> None:
-        super().__init__()
-        self.whole = lambda text: np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        import regex
+
+        self.split = regex.compile(PATTERN).findall
         self.merge = tokenizer.model.tokenize
         # The byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.known = lambda piece: None
         self.letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
 
-    def __missing__(self, piece: str) -> bytes | None:
-        word = piece[1:] if piece[:1] == " " else piece
-        if word == "" and piece or word[:1].isspace() and piece[:1] == " ":
-            ids = None
-        elif word.isalpha() and max(word) < "Ԁ":
-            ids = np.asarray([t.id for t in self.merge(piece.encode().decode("latin-1").translate(self.letters))], dtype="<u4").tobytes()
-        elif word[-1:] in (".", ",") and word[:-1].isalpha():
-            ids = self[piece[:-1]] + self[piece[-1]]
-        else:
-            ids = self.whole(piece)
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        self[piece] = ids
-        return ids
+    def word(self, word: str) -> bytes:
+        """Ids of a word as the pattern splits them."""
+        return array("I", [t.id for t in self.merge(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
+
+    def __call__(self, piece: str) -> bytes | None:
+        if piece.isalpha() and piece.isascii():
+            return array("I", [t.id for t in self.merge("Ġ" + piece)]).tobytes()
+        if piece == LINE:
+            return self.word("\n")
+        bare = piece[:1] == BARE
+        text = piece[1:] if bare else piece
+        if not text or text[0].isspace():
+            return None
+        if text[-1] in ".," and text[:-1].isalpha():
+            return (self.known(piece[:-1]) or self.word(text[:-1] if bare else " " + text[:-1])) + self.word(text[-1])
+        return b"".join(map(self.word, self.split(text if bare else " " + text)))
 
 
 @functools.lru_cache(maxsize=2)
@@ -69,16 +86,26 @@ def encoder(path: str):
     from tokenizers import Tokenizer, pre_tokenizers
 
     tokenizer = Tokenizer.from_file(path)
-    words = _Words(tokenizer)
-    by_word = isinstance(tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel) and tokenizer.normalizer is None and not tokenizer.pre_tokenizer.add_prefix_space
+    if hasattr(tokenizer.model, "_resize_cache"):
+        tokenizer.model._resize_cache(0)  # words are kept here already
+    gc.set_threshold(200_000, 50, 50)  # nor does the cache hold cycles
+    make = _Words(tokenizer)
+    words = WordCache(make, CACHE_ENTRIES)
+    make.known = lambda piece: words.get(piece) or words.old.get(piece)
+    before = tokenizer.pre_tokenizer
+    special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
+    by_word = isinstance(before, pre_tokenizers.ByteLevel) and before.use_regex and not before.add_prefix_space and tokenizer.normalizer is None and array("I").itemsize == 4
+
+    def whole(text: str) -> bytes:
+        return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(text: str) -> bytes:
-        if by_word and "\0" not in text:
+        if by_word and text and BARE not in text and not any(s in text for s in special):
             try:
-                return b"".join(map(words.__getitem__, text.replace(" ", "\0 ").split("\0")))
+                return b"".join(map(words.__getitem__, (BARE + text).replace("\n", f" {LINE} {BARE}").split(" ")))
             except TypeError:  # a None
                 pass
-        return words.whole(text)
+        return whole(text)
 
     return encode
 
