@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -25,6 +26,12 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more; it does so when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def pin(df: DataFrame) -> DataFrame:
     """Compute once into the shared folder; later reads survive a lost executor. For narrow tables."""
     shared_dir(df.sparkSession)
@@ -35,8 +42,11 @@ def stash(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write as Parquet into the shared folder and read it back: cuts lineage and keeps columns prunable."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/cairn/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    schema = df.schema
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    release(spark)
+    return spark.read.schema(schema).parquet(path)
 
 
 def join_sized(big: DataFrame, small: DataFrame, on: str, how: str, size: int, limit: int) -> DataFrame:

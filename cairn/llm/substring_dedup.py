@@ -33,12 +33,14 @@ from cairn.llm.common import join_sized, map_arrow, slices, stash, texts_of
 from cairn.llm.exact_dedup import drop_copies, exact_dedup
 
 LENGTH, SEED, Q = 50, 16, 8
-#: Runs that a task gathers before it sends them.
-HOLD = 1_500_000
+#: Runs that a task gathers before it sends them; characters whose runs it finds at a time.
+HOLD, SLICE = 500_000, 1 << 20
+#: Bytes of runs whose suffixes are sorted at a time, about; the runs of one key stay together.
+COMPARE = 1 << 20
 #: A bucket with more different runs than this sends each LENGTH-byte string to a bucket of its own.
 SPREAD = 4096
-#: What is known of documents is broadcast up to this size.
-BROADCAST_BYTES = 64 << 20
+#: What is known of documents is broadcast only if it is tiny; else texts shuffle, once for each of two joins.
+BROADCAST_BYTES = 256 << 10
 
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xBF58476D1CE4E5B9)
 _BASE = 0x5851F42D4C957F2D
@@ -204,7 +206,7 @@ def _send_runs(docs: DataFrame, buckets: int, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([int(key[i]) >> 1], pa.int32()), pa.array([bool(key[i] & 1)]), pa.array([data], pa.binary())], names=_BLOB)
 
         for batch in batches:
-            for part, texts in slices(batch):
+            for part, texts in slices(batch, budget=SLICE):
                 of, at, count, anchor, whole = runs([t.encode() for t in texts], length)
                 doc, uid = (part.column(i).to_numpy()[of] for i in (0, 2))
                 held.append([doc, uid, at, count, anchor, whole])
@@ -301,8 +303,8 @@ def _send_texts(docs: DataFrame, buckets: int, length: int) -> DataFrame:
 
     def make():
         def each(batch: pa.RecordBatch):
-            for part, texts in slices(batch):
-                doc, uid, at, count, bucket, strings = [], [], [], [], [], []
+            for part, texts in slices(batch, budget=2 * SLICE):
+                doc, uid, at, count, keys, strings = [], [], [], [], [], []
                 ids, uids, opened = part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist()
                 for d, u, text, packed in zip(ids, uids, texts, opened):
                     data = text.encode()
@@ -311,19 +313,20 @@ def _send_texts(docs: DataFrame, buckets: int, length: int) -> DataFrame:
                         for s, m in [(a, n)] if kind == 1 else [(a + i, 1) for i in range(n)]:
                             string = data[s : s + m + length - 1]
                             strings.append(string)
-                            bucket.append((key if kind == 1 else int.from_bytes(hashlib.blake2b(string, digest_size=4).digest())) % buckets)
+                            keys.append(key if kind == 1 else int.from_bytes(hashlib.blake2b(string, digest_size=4).digest()))
                             doc.append(d)
                             uid.append(u)
                             at.append(s)
                             count.append(m)
                 if not doc:
                     continue
-                doc, uid, at, count, bucket = (np.array(x, dtype=np.int64) for x in (doc, uid, at, count, bucket))
+                doc, uid, at, count, keys = (np.array(x, dtype=np.int64) for x in (doc, uid, at, count, keys))
+                bucket = keys % buckets
                 order = np.argsort(bucket, kind="stable")
                 heads = np.flatnonzero(np.concatenate(([True], np.diff(bucket[order]) != 0)))
                 for i, j in zip(heads, np.append(heads[1:], len(order))):
                     some = order[i:j]
-                    data = _by_doc(doc[some], uid[some], at[some].astype("<u4"), count[some].astype("<u4"))
+                    data = _by_doc(doc[some], uid[some], at[some].astype("<u4"), count[some].astype("<u4"), keys[some].astype("<u4"))
                     data = len(data).to_bytes(4, "little") + data + b"".join(strings[k] for k in some)
                     yield pa.RecordBatch.from_arrays([pa.array([int(bucket[some[0]])], pa.int32()), pa.array([False]), pa.array([data], pa.binary())], names=_BLOB)
 
@@ -332,6 +335,26 @@ def _send_texts(docs: DataFrame, buckets: int, length: int) -> DataFrame:
     return map_arrow(docs.select("doc", "text", "uid", "open"), make, "bucket int, settled boolean, data binary")
 
 
+def _smaller(text: np.ndarray, doc: np.ndarray, count: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(string, offset, n): n successive strings from this offset that a smaller document has. text: the runs one behind the other."""
+    sizes = count + length - 1
+    begin = np.cumsum(sizes) - sizes
+    string = np.repeat(np.arange(len(count)), count)
+    offset = np.arange(len(string)) - np.repeat(np.cumsum(count) - count, count)
+    room = np.repeat(begin + sizes, sizes) - np.arange(len(text))
+    classes = bucket_classes(text, room, begin[string] + offset, length)
+    order = np.argsort(classes, kind="stable")
+    new = np.concatenate(([True], np.diff(classes[order]) != 0))
+    least = np.empty(len(order), dtype=np.int64)
+    least[order] = np.minimum.reduceat(doc[string][order], np.flatnonzero(new))[np.cumsum(new) - 1]
+    hit = least < doc[string]
+    same = string[1:] == string[:-1]
+    first = np.flatnonzero(hit & ~np.concatenate(([False], hit[:-1] & same)))
+    last = np.flatnonzero(hit & ~np.concatenate((hit[1:] & same, [False])))
+    if len(first):
+        yield string[first], offset[first], last - first + 1
+
+
 def _compare(sent: DataFrame, buckets: int, length: int) -> DataFrame:
     """_FOUND of kind 0: the strings in these texts that a smaller document has, by bucket-pointer refinement."""
 
@@ -340,36 +363,36 @@ def _compare(sent: DataFrame, buckets: int, length: int) -> DataFrame:
         for batch in batches:
             for data in batch.column(2).to_pylist():
                 size = int.from_bytes(data[:4], "little")
-                columns.append(_from_doc(data[4 : 4 + size], _RUN[:2]))
+                columns.append(_from_doc(data[4 : 4 + size], _RUN[:2] + ["<u4"]))
                 texts.append(data[4 + size :])
         if not columns:
             return
-        doc, uid, at, count = (np.concatenate(c) for c in zip(*columns))
-        text = np.frombuffer(b"".join(texts), dtype=np.uint8)
+        doc, uid, at, count, key = (np.concatenate(c) for c in zip(*columns))
+        columns.clear()
+        text = memoryview(b"".join(texts))
         texts.clear()
         count = count.astype(np.int64)
         sizes = count + length - 1
         begin = np.cumsum(sizes) - sizes
-        string = np.repeat(np.arange(len(count)), count)
-        offset = np.arange(len(string)) - np.repeat(np.cumsum(count) - count, count)
-        starts = begin[string] + offset
-        room = np.repeat(begin + sizes, sizes) - np.arange(len(text))
-        classes = bucket_classes(text, room, starts, length)
-        order = np.argsort(classes, kind="stable")
-        new = np.concatenate(([True], np.diff(classes[order]) != 0))
-        head = np.flatnonzero(new)
-        least = np.empty(len(order), dtype=np.int64)
-        least[order] = np.minimum.reduceat(doc[string][order], head)[np.cumsum(new) - 1]
-        hit = least < doc[string]
-        # Successive hits of a string become one row.
-        first = hit & ~np.concatenate(([False], hit[:-1] & (string[1:] == string[:-1])))
-        last = hit & ~np.concatenate((hit[1:] & (string[1:] == string[:-1]), [False]))
-        i, j = np.flatnonzero(first), np.flatnonzero(last)
-        n = len(i)
-        if n:
-            whole = pa.RecordBatch.from_arrays([pa.array(uid[string[i]]), pa.array((at[string[i]] + offset[i]).astype(np.int32)), pa.array((j - i + 1).astype(np.int32)), pa.array(np.zeros(n, dtype=np.int32)), pa.array(np.zeros(n, dtype=np.int64))], names=[x.split()[0] for x in _FOUND.split(", ")])
-            for k in range(0, n, 200_000):
-                yield whole.slice(k, 200_000)
+        # Runs of one key are compared together; some keys at a time, so that the suffixes' arrays stay small.
+        order = np.argsort(key, kind="stable")
+        new = np.flatnonzero(np.concatenate(([True], np.diff(key[order]) != 0)))
+        done = np.concatenate(([0], np.cumsum(sizes[order])))
+        first = 0
+        while first < len(order):
+            limit = int(np.searchsorted(done, done[first] + COMPARE, side="left"))
+            last = int(new[j]) if (j := int(np.searchsorted(new, max(limit, first + 1), side="left"))) < len(new) else len(order)
+            some = order[first:last]
+            first = last
+            if len(some) < 2:
+                continue
+            part = np.frombuffer(b"".join([text[b : b + n] for b, n in zip(begin[some].tolist(), sizes[some].tolist())]), dtype=np.uint8)
+            for hit in _smaller(part, doc[some], count[some], length):
+                string, offset, n = hit
+                i = some[string]
+                whole = pa.RecordBatch.from_arrays([pa.array(uid[i]), pa.array((at[i] + offset).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(np.zeros(len(i), dtype=np.int32)), pa.array(np.zeros(len(i), dtype=np.int64))], names=[x.split()[0] for x in _FOUND.split(", ")])
+                for k in range(0, len(i), 200_000):
+                    yield whole.slice(k, 200_000)
 
     return sent.repartition(buckets, "bucket").mapInArrow(run, _FOUND)
 
@@ -427,7 +450,7 @@ def _cut(docs: DataFrame, length: int) -> DataFrame:
 
 def settled_starts(reps: DataFrame, length: int = LENGTH, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(uid, done): for documents (doc, text, uid) of different texts, the starts of their strings that a smaller doc has."""
-    buckets = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 2 * int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     gathered = stash(_gather(_settle(_send_runs(reps.select("doc", "text", "uid"), buckets, length), buckets), buckets), "runs")
     unsure = gathered.where("open is not null").select("uid", "open")
     opened = join_sized(reps, unsure, "uid", "inner", _bytes_of(unsure, "open"), broadcast_bytes)
