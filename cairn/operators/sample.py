@@ -53,7 +53,7 @@ def stratified_cap(df: DataFrame, by: str, most: int, id_column: str, seed: int
 
 
 def largest_remainder(counts: Mapping, most: int) -> dict:
-    """Whole quotas that add up to most: floors, at least one a class, then the largest fractions first, within each class's size."""
+    """Whole quotas that add up to most: floors, at least one a class, then the largest fractions first (ties by name, null last), within each class's size."""
     total = sum(counts.values())
     if total <= most:
         return dict(counts)
@@ -64,7 +64,7 @@ def largest_remainder(counts: Mapping, most: int) -> dict:
         if quotas[k] <= 1:
             break
         quotas[k] -= min(over, quotas[k] - 1)
-    order = sorted(exact, key=lambda k: -(exact[k] - int(exact[k])))
+    order = sorted(exact, key=lambda k: (-round(exact[k] - int(exact[k]), 9), k is None, str(k)))
     while (short := most - sum(quotas.values())) > 0:
         room = [k for k in order if quotas[k] < counts[k]]
         if not room:

@@ -297,7 +297,7 @@ def stratified_quota(spark, d):
 
 
 @query(f"""WITH {DOCS}, r AS ({_RANKED.format(by='target', id='doc_id', of='docs')}), c AS (SELECT target, count(*) AS n, sum(count(*)) OVER () AS total FROM docs GROUP BY target),
-f AS (SELECT target, n, 100 * n / total AS exact, greatest(1, floor(100 * n / total))::BIGINT AS base FROM c), g AS (SELECT *, 100 - sum(base) OVER () AS short, row_number() OVER (ORDER BY exact - floor(exact) DESC) AS place FROM f)
+f AS (SELECT target, n, 100 * n / total AS exact, greatest(1, floor(100 * n / total))::BIGINT AS base FROM c), g AS (SELECT *, 100 - sum(base) OVER () AS short, row_number() OVER (ORDER BY round(exact - floor(exact), 9) DESC, target IS NULL, target) AS place FROM f)
 SELECT r.doc_id, r.target FROM r JOIN g ON r.target IS NOT DISTINCT FROM g.target WHERE r.rank <= g.base + (g.place <= g.short)::INT""")
 def largest_remainder_sample(spark, d):
     return sample.largest_remainder_sample(docs(spark, d), "target", 100, "doc_id").select("doc_id", "target")
