@@ -37,9 +37,9 @@ from cairn.llm.common import map_arrow, slices, stash, texts_of
 #: Bytes of context. Six is the most that a packed node key holds.
 DEPTH = 5
 SHARD_NODES = 16_000_000
-HEAD_WORDS = 250_000
+HEAD_WORDS = 150_000
 #: Characters that are counted or scored at a time; distinct grams and words that a task holds before it sends them on.
-SLICE, HOLD = 2 << 20, 1_500_000
+SLICE, HOLD = 1 << 19, 800_000
 #: No byte of UTF-8: the end symbol, and what stands before a text.
 END = 255
 LOG10_2 = float(np.log10(2))
