@@ -13,7 +13,7 @@ Runs that repeat within a task are settled there, so a passage that many documen
 
 Documents of equal text are represented by one: of the others, all strings repeat.
 
-Runs are compared by 96 bits of hash, documents by SHA-256; strings within runs byte by byte.
+Runs are compared by their count, 64 bits of hash of all their bytes and 32 of their anchor; documents by SHA-256; strings within runs byte by byte.
 
 Defined cases: a null text is empty; texts shorter than LENGTH keep all; a null doc_id is larger than any; rows of one
 doc_id don't remove from each other, and repeated rows have equal results; an empty table gives no rows.
@@ -178,7 +178,8 @@ def _from_doc(data: bytes, kinds: list[str]) -> list[np.ndarray]:
 
 
 _BLOB = ["bucket", "settled", "data"]
-_RUN = ["<u4", "<u4", "<u8", "<u4"]
+#: at, count, 32 bits of the anchor, the hash of all bytes. Where anchors share the bits, more text is compared, nothing is settled by them.
+_RUN = ["<u4", "<u4", "<u4", "<u8"]
 
 
 def _send_runs(docs: DataFrame, buckets: int, length: int) -> DataFrame:
@@ -190,9 +191,9 @@ def _send_runs(docs: DataFrame, buckets: int, length: int) -> DataFrame:
         def flush():
             doc, uid, at, count, anchor, whole = (np.concatenate(c) for c in zip(*held))
             held.clear()
-            order = np.lexsort((doc, whole, anchor))
-            a, w, d = anchor[order], whole[order], doc[order]
-            new = np.concatenate(([True], (a[1:] != a[:-1]) | (w[1:] != w[:-1])))
+            order = np.lexsort((doc, count, whole, anchor))
+            a, w, c, d = anchor[order], whole[order], count[order], doc[order]
+            new = np.concatenate(([True], (a[1:] != a[:-1]) | (w[1:] != w[:-1]) | (c[1:] != c[:-1])))
             least = d[np.flatnonzero(new)][np.cumsum(new) - 1]
             done = np.zeros(len(doc), dtype=bool)
             done[order] = d > least
@@ -202,7 +203,7 @@ def _send_runs(docs: DataFrame, buckets: int, length: int) -> DataFrame:
             heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             for i, j in zip(heads, np.append(heads[1:], len(key))):
                 some = rank[i:j]
-                data = _by_doc(doc[some], uid[some], at[some].astype("<u4"), count[some].astype("<u4"), *([] if key[i] & 1 else [anchor[some], (whole[some] >> np.uint64(32)).astype("<u4")]))
+                data = _by_doc(doc[some], uid[some], at[some].astype("<u4"), count[some].astype("<u4"), *([] if key[i] & 1 else [(anchor[some] >> np.uint64(16)).astype("<u4"), whole[some]]))
                 yield pa.RecordBatch.from_arrays([pa.array([int(key[i]) >> 1], pa.int32()), pa.array([bool(key[i] & 1)]), pa.array([data], pa.binary())], names=_BLOB)
 
         for batch in batches:
@@ -244,10 +245,10 @@ def _settle(sent: DataFrame, buckets: int) -> DataFrame:
             return
         doc, uid, at, count, anchor, whole = (np.concatenate(c) for c in zip(*held))
         held.clear()
-        order = np.lexsort((doc, whole, anchor))
+        order = np.lexsort((doc, count, whole, anchor))
         doc, uid, at, count, anchor, whole = (x[order] for x in (doc, uid, at, count, anchor, whole))
         new_anchor = np.concatenate(([True], anchor[1:] != anchor[:-1]))
-        new = new_anchor | np.concatenate(([True], whole[1:] != whole[:-1]))
+        new = new_anchor | np.concatenate(([True], (whole[1:] != whole[:-1]) | (count[1:] != count[:-1])))
         head = np.flatnonzero(new)
         least = doc[head]  # the smallest document with these bytes, for each kind of run
         group = np.cumsum(new_anchor)[head] - 1
@@ -258,7 +259,7 @@ def _settle(sent: DataFrame, buckets: int) -> DataFrame:
         unsure = ~settled & (low != high)[group[each]]
         kind = np.where(many[group[each]] > SPREAD, 2, 1)
         yield from out(uid[settled], at[settled], count[settled], np.zeros(settled.sum()), np.zeros(settled.sum()))
-        yield from out(uid[unsure], at[unsure], count[unsure], kind[unsure], anchor[unsure] & np.uint64(0xFFFFFFFF))
+        yield from out(uid[unsure], at[unsure], count[unsure], kind[unsure], anchor[unsure])
 
     return sent.repartition(buckets, "bucket").mapInArrow(run, _FOUND)
 

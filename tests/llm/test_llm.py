@@ -350,6 +350,23 @@ def test_substring_dedup_awkward(awkward, nothing):
     assert substring_dedup.substring_dedup(nothing).count() == 0
 
 
+def test_substring_runs_need_the_whole_hash(spark, monkeypatch):
+    """Runs of one anchor in two tasks, their hashes different in the low bits or their counts different: not settled unseen."""
+
+    def runs(texts, length):
+        byte = [int(t[0]) for t in texts]
+        one = np.ones(len(texts), dtype=np.int64)
+        of = np.arange(len(texts))
+        return of, one, np.array([5 if b == 99 else 4 for b in byte]), one.astype(np.uint64) * np.uint64(77), np.array([(1 << 40) + (1 if b == 98 else 0) for b in byte], dtype=np.uint64)
+
+    monkeypatch.setattr(substring_dedup, "runs", runs)
+    for texts, settled in ((["a", "b"], 0), (["a", "c"], 0), (["a", "a"], 1)):
+        docs = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc long, text string, uid long").repartition(2, "doc").sortWithinPartitions("doc")
+        parts = [docs.where(F.col("doc") == i).coalesce(1) for i in (0, 1)]
+        found = substring_dedup._settle(substring_dedup._send_runs(parts[0].union(parts[1]), 2, 50), 2)
+        assert found.where("kind = 0").count() == settled
+
+
 # --- toxicity, quality, mixing ---
 
 
