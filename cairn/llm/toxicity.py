@@ -2,8 +2,9 @@
 quotation from abuse.
 
 The lexicon is learned: words, and beginnings of words (stems), that labelled toxic documents have and others hardly
-have. Its trie is walked with the automaton of all strings within MAX_DISTANCE edits of a word of the text, so one walk
-finds each term the word may be a misspelling of. What is near a term but ordinary in clean texts is no misspelling:
+have. Its trie is walked with the automaton of all strings within MAX_DISTANCE edits of a word of the text (one more for
+long terms; a swap of neighbours is one), so one walk finds each term the word, or for stems its beginning, may be a
+misspelling of. What is near a term but ordinary in clean texts is no misspelling:
 the fit collects these words. A match between quotation marks, or after a reporting word, counts as quoted. A logistic
 regression on the counts gives the score. Nothing but the text is an input of a score.
 
@@ -18,6 +19,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import accumulate
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +34,8 @@ from cairn.llm.near_dup import minhash, shingles
 #: Labelled rows that a fit uses at most.
 MAX_ROWS = 20_000
 MAX_DISTANCE = 1
-#: Shorter words are not corrected, and shorter beginnings are no stems.
-LEAST_FUZZY, LEAST_STEM, MOST_STEM = 5, 4, 10
+#: Shorter words are not corrected, and shorter beginnings are no stems. Terms of LEAST_TWO letters or more may have two errors.
+LEAST_FUZZY, LEAST_TWO, LEAST_STEM, MOST_STEM = 4, 8, 4, 10
 #: Words before a match that are looked at for quotation.
 WINDOW = 6
 CACHE_ENTRIES = 500_000
@@ -45,53 +48,73 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 class Trie:
-    """Terms and stems; matching a word gives (term, distance) of the best one, or None."""
+    """Terms and stems; matching a word gives (term, distance) of the best one, or None.
 
-    def __init__(self, words: list[str], stems: list[str], distance: int = MAX_DISTANCE) -> None:
-        self.distance = distance
+    wide: stems may have errors too, a swap of neighbours is one error, and terms of LEAST_TWO letters may have one error more.
+    """
+
+    def __init__(self, words: list[str], stems: list[str], distance: int = MAX_DISTANCE, wide: bool = False) -> None:
+        self.wide = wide
         self.words, self.stems = set(words), set(stems)
         self.stem_sizes = sorted({len(s) for s in stems})
         self.root: dict = {}
-        for term in words:
+        self.allowed: dict[str, int] = {}
+        for term in [*words, *(s + "*" for s in stems if wide)]:
             node = self.root
-            for c in term:
+            for c in term.rstrip("*"):
                 node = node.setdefault(c, {})
-            node[""] = term
-        # A word within one edit of a term has the term's first half in front or its second half at its end.
-        fuzzy = [t for t in words if len(t) >= LEAST_FUZZY]
-        self.heads, self.tails = {t[: len(t) // 2] for t in fuzzy}, {t[len(t) // 2 :] for t in fuzzy}
-        self.head_sizes, self.tail_sizes = ({len(x) for x in part} for part in (self.heads, self.tails))
-        self.term_sizes = {n for t in fuzzy for n in range(len(t) - distance, len(t) + distance + 1)}
-
-    def near(self, word: str) -> tuple[str, int] | None:
+            # A term and a stem may end at one node.
+            node["*" if term.endswith("*") else ""] = term
+            n = len(term.rstrip("*"))
+            self.allowed[term] = 0 if n < LEAST_FUZZY else distance + 1 if wide and n >= LEAST_TWO else distance
+        # An error adds one letter at most and removes one: what differs by more is not near. Letters share 64 bits; a stem's word may go on.
+        near = [t for t, k in self.allowed.items() if k]
+        self.budget = np.array([self.allowed[t] for t in near], dtype=np.int64)
+        # The letters of a term's halves lie in the word's first and last letters, as many as the half has and one for each error.
+        half = np.array([len(t.rstrip("*")) // 2 for t in near], dtype=np.int64)
+        self.front, self.back = (np.array([_signature(x) for x in part], dtype=np.uint64) for part in zip(*((t[:h], t.rstrip("*")[h:]) for t, h in zip(near, half.tolist())))) if near else (np.zeros(0, dtype=np.uint64),) * 2
+        self.letters = self.front | self.back
+        self.upto, self.since = half + self.budget, np.maximum(half - self.budget, 0)
+        self.surplus = np.array([64 if t.endswith("*") else self.allowed[t] for t in near], dtype=np.int64)
+        self.least = np.array([len(t.rstrip("*")) for t in near], dtype=np.int64) - self.budget
+        self.most = np.array([1 << 40 if t.endswith("*") else len(t) + self.allowed[t] for t in near], dtype=np.int64)
+        self.shortest = int(self.least.min()) if near else 1 << 40
+
+    def near(self, word: str, k: int) -> tuple[str, int] | None:
         """The trie and the word's automaton walked together: bit i of level e is the state that has read i letters with e errors."""
-        k, n = self.distance, len(word)
+        n = len(word)
         masks: dict[str, int] = {}
         for i, c in enumerate(word):
             masks[c] = masks.get(c, 0) | 1 << i
         final = 1 << n
         start = [(1 << e + 1) - 1 for e in range(k + 1)]
         best: tuple[int, str] | None = None
-        stack = [(self.root, start)]
+        # swapped: states whose next letter but one was read; read: those that came by a letter of the word.
+        stack = [(self.root, start, [0] * (k + 1), [0] * (k + 1))]
         full = (1 << n + 1) - 1
         while stack:
-            node, states = stack.pop()
+            node, states, swapped, read = stack.pop()
             for c, child in node.items():
-                if c == "":
-                    for e in range(k + 1):
-                        if states[e] & final:
-                            if (best is None or (e, child) < best) and (e == 0 or len(child) >= LEAST_FUZZY):
+                if c == "" or c == "*":
+                    # A stem's last letter must be in the word, else each of its beginnings would match.
+                    for e in range(min(k, self.allowed[child]) + 1):
+                        if states[e] & final if c == "" else read[e]:
+                            if best is None or (e, child) < best:
                                 best = (e, child)
                             break
                     continue
-                mask, new = masks.get(c, 0), []
+                mask, new, by, half = masks.get(c, 0), [], [], [0] * (k + 1)
                 for e in range(k + 1):
                     s = (states[e] & mask) << 1
+                    if e and self.wide:  # the letters in the other order
+                        s |= (swapped[e] & mask) << 2
+                        half[e] = states[e - 1] & mask >> 1
+                    by.append(s & full)
                     if e:  # a letter too many in the term, another letter, or one left out
                         s |= states[e - 1] | states[e - 1] << 1 | new[e - 1] << 1
                     new.append(s & full)
-                if new[k]:
-                    stack.append((child, new))
+                if new[k] or any(half):
+                    stack.append((child, new, half, by))
         return (best[1], best[0]) if best else None
 
     def match(self, word: str, ordinary: frozenset | set = frozenset()) -> tuple[str, int] | None:
@@ -100,10 +123,22 @@ class Trie:
         for size in self.stem_sizes:
             if len(word) >= size and word[:size] in self.stems:
                 return word[:size] + "*", 0
-        if len(word) not in self.term_sizes or len(word) < LEAST_FUZZY - 1 or word in ordinary:
+        if len(word) < self.shortest or word in ordinary:
             return None
-        may = self.distance != 1 or any(word[:n] in self.heads for n in self.head_sizes) or any(word[-n:] in self.tails for n in self.tail_sizes)
-        return self.near(word) if may else None
+        n, bits = len(word), [1 << (ord(c) & 63) for c in word]
+        head = np.array([0, *accumulate(bits, or_)], dtype=np.uint64)
+        tail = np.array([0, *accumulate(reversed(bits), or_)], dtype=np.uint64)
+        count = np.bitwise_count
+        may = (n >= self.least) & (n <= self.most) & (count(head[-1] & ~self.letters) <= self.surplus)
+        may &= count(self.front & ~head[np.minimum(self.upto, n)]) + count(self.back & ~tail[np.maximum(n - self.since, 0)]) <= self.budget
+        return self.near(word, int(self.budget[may].max())) if may.any() else None
+
+
+def _signature(word: str) -> int:
+    bits = 0
+    for c in word:
+        bits |= 1 << (ord(c) & 63)
+    return bits
 
 
 def words_of(token: str) -> list[str]:
@@ -127,7 +162,7 @@ class Model:
 
 class Scorer:
     def __init__(self, model: Model) -> None:
-        trie, ordinary = Trie(model.words, model.stems), model.ordinary
+        trie, ordinary = Trie(model.words, model.stems, wide=True), model.ordinary
 
         def best(token: str):
             hit = None

@@ -404,6 +404,40 @@ def test_levenshtein_trie():
     assert "idiot" in toxicity.words_of("1d10t!")
 
 
+def test_misspellings_of_all_terms():
+    """By the scorer's trie: swaps, short terms, two errors in long ones, stems with an error; against all pairs."""
+    terms, stems = ["idiot", "worthless", "scum"], ["lowei", "grumblew"]
+    scorer = toxicity.Scorer(toxicity.Model(terms, stems, frozenset(["slum"])))
+
+    def distance(a, b):
+        d = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i, j in itertools.product(range(1, len(a) + 1), range(1, len(b) + 1)):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+        return d[-1][-1]
+
+    def hit(word):
+        found = scorer.hits(word)[0]
+        return found[0][1][:2] if found else None
+
+    assert hit("idoit") == ("idiot", 1) and hit("scun") == ("scum", 1) and hit("wrthles") == ("worthless", 2) and hit("slum") is None
+    assert hit("olweichen") == ("lowei*", 1) and hit("lwoeichen") == ("lowei*", 1) and hit("gurmbelworts") == ("grumblew*", 2)
+    assert hit("lowe") is None and hit("lowxyz") is None and hit("calm") is None
+    r = np.random.default_rng(8)
+    for _ in range(3000):
+        word = list(r.choice(terms))
+        for _ in range(int(r.integers(4))):
+            at = int(r.integers(len(word)))
+            kind = int(r.integers(4))
+            word[at : at + 2 - (kind < 3)] = [[], [word[at], "z"], ["o"], word[at : at + 2][::-1]][kind]
+            word = word or ["q"]
+        word = "".join(word)
+        near = [(distance(word, t), t) for t in terms if distance(word, t) <= 1 + (len(t) >= 8)]
+        if word != "slum" and not word.startswith(tuple(stems)):
+            assert hit(word) == ((min(near)[1], min(near)[0]) if near else None), word
+
+
 def test_toxicity(spark, awkward, nothing):
     docs, labels = labelled_docs(spark)
     model = toxicity.train(docs, labels.where("doc_id % 4 <> 0"))
