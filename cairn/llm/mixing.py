@@ -159,11 +159,66 @@ def solve(members: DataFrame, targets: list[float], budget: float, iterations: i
         history.append((step * np.linalg.solve(gram + 1e-10 * max(np.trace(gram), 1e-300) * np.eye(k), totals - t)).tolist())
 
 
-def mix(df: DataFrame, model: Softmax, targets: list[float], budget: float, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Mix]:
-    """(doc_id, n_tokens, p, rate) of each row, and the solution."""
+def solve_largest(members: DataFrame, targets: list[float], iterations: int = 60, tolerance: float = 1e-9) -> Mix:
+    """Rates in [0, 1] nearest to 1, by squares weighed by tokens, at which the domains have their targets' shares; the budget follows.
+
+    With no rate above 1 what is over-represented is thinned and the rest stays whole. The optimum is r = clip(1 - p g):
+    Newton's method for g, each iteration a distributed sum over members. A domain far below its target thins the others.
+    """
+    k = len(targets)
+    t = np.asarray(targets, dtype=np.float64) / sum(targets)
+    n, p = F.col("n_tokens"), [F.col("p")[i] for i in range(k)]
+
+    def at(g: np.ndarray):
+        raw = _rate(1.0, [g.tolist()])
+        rows = members.select("n_tokens", "p", F.least(F.lit(1.0), raw).alias("r"), ((raw > 0) & (F.aggregate(F.zip_with("p", F.array(*[F.lit(float(x)) for x in g]), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v) > 0)).alias("free"))
+        sums = [F.sum(n * F.col("r") * p[i]) for i in range(k)] + [F.sum(n * (1 - F.col("r") * F.col("r")))]
+        curvature = [F.sum(F.when(F.col("free"), n * p[i] * p[j])) for i in range(k) for j in range(i, k)]
+        row = [float(x or 0.0) for x in rows.agg(*[c.alias(f"_{i}") for i, c in enumerate(sums + curvature)]).first()]
+        gram = np.zeros((k, k))
+        gram[np.triu_indices(k)] = row[k + 1 :]
+        return np.array(row[:k]), gram + np.triu(gram, 1).T
+
+    # g = y - (t y): the shares' errors, p - t, weigh the rates.
+    y = np.zeros(k)
+    totals, gram = at(y)
+    tokens = float(totals.sum())
+    if not tokens:
+        return Mix(1.0, [], totals, totals)
+    # What has no expected tokens leaves its target unmet.
+    if (found := np.where(totals > 1e-9 * tokens, t, 0)).sum() > 0:
+        t = found / found.sum()
+    shift = np.eye(k) - np.outer(np.ones(k), t)
+    if np.abs(totals - t * tokens).sum() <= tolerance * tokens:
+        return Mix(1.0, [], totals, t * tokens)
+    # Before the first step all rows are at the bound; those over their share will leave it.
+    first = True
+    for _ in range(iterations):
+        error = shift.T @ totals
+        if np.abs(error).sum() <= tolerance * max(totals.sum(), 1e-300):
+            break
+        if first:
+            gram, first = np.diag(totals), False
+        h = shift.T @ gram @ shift
+        move = np.linalg.solve(h + 1e-9 * max(np.trace(h), 1e-300) * np.eye(k), error)
+        step = 1.0
+        while True:
+            new = at(shift @ (y + step * move))
+            if np.abs(shift.T @ new[0]).sum() < np.abs(error).sum() or step < 1e-4:
+                break
+            step /= 2
+        if step < 1e-4:
+            break
+        y, (totals, gram) = y + step * move, new
+    return Mix(1.0, [(shift @ y).tolist()], totals, t * totals.sum())
+
+
+def mix(df: DataFrame, model: Softmax, targets: list[float], budget: float | None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Mix]:
+    """(doc_id, n_tokens, p, rate) of each row, and the solution; without a budget, the largest for rates of 1 at most."""
     members = pin(memberships(df, model, id_col, text_col))
-    solution = solve(members, targets, budget)
-    return members.withColumn("rate", solution.rate()), solution
+    solution = solve_largest(members, targets) if budget is None else solve(members, targets, budget)
+    rate = solution.rate()
+    return members.withColumn("rate", F.least(F.lit(1.0), rate) if budget is None else rate), solution
 
 
 def realise(df: DataFrame, model: Softmax, solution: Mix, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
