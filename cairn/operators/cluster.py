@@ -16,9 +16,12 @@ __all__ = ["METRICS", "agglomerative", "distance", "kmeans", "linkage_labels", "
 MOST_ROWS = 5000
 
 
-def agglomerative(df: DataFrame, id_column: str, columns: Sequence[str], clusters: int = 3, metric: str = "euclidean", most: int = MOST_ROWS) -> DataFrame:
-    """(id, cluster): Ward linkage for euclidean distances, else average linkage. More than most rows are an error: sample first."""
+def agglomerative(df: DataFrame, id_column: str, columns: Sequence[str], clusters: int = 3, metric: str = "euclidean", most: int = MOST_ROWS, cells: int = 0) -> DataFrame:
+    """(id, cluster): Ward linkage for euclidean distances, else average linkage. More than most rows are an error, or, with
+    cells, go into so many k-means cells, whose centres are linked by their weights; each row gets its cell's cluster."""
     n = df.limit(most + 1).count()
+    if n > most and cells:
+        return _linked_cells(df, id_column, columns, max(2, clusters), metric, cells)
     if n > most:
         raise ValueError(f"Exact agglomeration takes at most {most} rows; take a sample, or use kmeans")
     k = max(1, min(max(2, clusters), n))
@@ -36,13 +39,30 @@ def agglomerative(df: DataFrame, id_column: str, columns: Sequence[str], cluster
     return rows.groupBy("_all").applyInPandas(link, f"id {kind}, cluster int").withColumnRenamed("id", id_column)
 
 
-def linkage_labels(x, clusters: int, metric: str):
+def _linked_cells(df: DataFrame, id_column: str, columns: Sequence[str], clusters: int, metric: str, cells: int) -> DataFrame:
+    import numpy as np
+    from pyspark.ml.clustering import KMeans
+
+    model = KMeans(k=cells, seed=42, featuresCol="_x", predictionCol="_cell", maxIter=10).fit(_assembled(df, columns))
+    rows = model.transform(_assembled(df, columns))
+    # At most cells rows.
+    weight = {r["_cell"]: r["count"] for r in rows.groupBy("_cell").count().collect()}
+    used = sorted(weight)
+    labels = linkage_labels(np.array(model.clusterCenters())[used], min(clusters, len(used)), metric, np.array([weight[c] for c in used], dtype=float))
+    of = F.create_map(*[F.lit(v) for pair in zip(used, labels.tolist()) for v in pair])
+    return rows.select(quoted(id_column), of[F.col("_cell")].cast("int").alias("cluster"))
+
+
+def linkage_labels(x, clusters: int, metric: str, weights=None):
     """Cluster numbers of the rows of a matrix, numbered by first appearance, by nearest-pair agglomeration with Lance-Williams updates."""
     import numpy as np
 
     n = len(x)
     if metric == "euclidean":
-        d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(-1)
+        # About the mean, by products: differences of all pairs would take a matrix for each column.
+        x = x - x.mean(0) if n else x
+        square = (x * x).sum(-1)
+        d = np.maximum(square[:, None] + square[None, :] - 2 * (x @ x.T), 0)
     elif metric == "manhattan":
         d = np.abs(x[:, None, :] - x[None, :, :]).sum(-1)
     elif metric == "chebyshev":
@@ -51,7 +71,9 @@ def linkage_labels(x, clusters: int, metric: str):
         norm = np.linalg.norm(x, axis=1)
         d = 1 - (x @ x.T) / np.maximum(np.outer(norm, norm), 1e-300)
     np.fill_diagonal(d, np.inf)
-    size, own = np.ones(n), np.arange(n)
+    size, own = np.ones(n) if weights is None else weights.copy(), np.arange(n)
+    if metric == "euclidean":
+        d *= 2 * np.outer(size, size) / (size[:, None] + size[None, :])
     for _ in range(n - clusters):
         i, j = divmod(int(d.argmin()), n)
         i, j = min(i, j), max(i, j)

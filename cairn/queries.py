@@ -643,8 +643,7 @@ _DIMENSIONS = [f"e{i}" for i in range(8)]
 
 @query()
 def agglomerative_clusters(spark, d):
-    df = sample.cap(_points(spark, d), "vec_id", 1000)
-    return cluster.agglomerative(features.standardize(df, _DIMENSIONS), "vec_id", _DIMENSIONS, 3, "euclidean")
+    return cluster.agglomerative(features.standardize(_points(spark, d), _DIMENSIONS), "vec_id", _DIMENSIONS, 3, "euclidean", cells=500)
 
 
 @query()
