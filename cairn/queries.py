@@ -635,24 +635,29 @@ def pairwise_distance(spark, d):
 
 
 def _points(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)])
+    """One column for each of an embedding's numbers, as many as the longest has."""
+    e = table(spark, d, "embeddings")
+    n = e.agg(F.max(F.size("embedding"))).first()[0] or 0
+    return e.select("vec_id", "label", *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(n)])
 
 
-_DIMENSIONS = [f"e{i}" for i in range(8)]
+def _dimensions(points):
+    return points.columns[2:]
 
 
 @query()
 def agglomerative_clusters(spark, d):
-    return cluster.agglomerative(features.standardize(_points(spark, d), _DIMENSIONS), "vec_id", _DIMENSIONS, 3, "euclidean", cells=500)
+    df = _points(spark, d)
+    return cluster.agglomerative(features.standardize(df, _dimensions(df)), "vec_id", _dimensions(df), 3, "euclidean", cells=500)
 
 
 @query()
 def kmeans_clusters(spark, d):
-    return cluster.kmeans(_points(spark, d), "vec_id", _DIMENSIONS, 3)
+    df = _points(spark, d)
+    return cluster.kmeans(df, "vec_id", _dimensions(df), 3)
 
 
 @query()
 def pca_projection(spark, d):
-    return cluster.project(_points(spark, d), "vec_id", _DIMENSIONS)
-
-
+    df = _points(spark, d)
+    return cluster.project(df, "vec_id", _dimensions(df))

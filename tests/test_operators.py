@@ -237,6 +237,17 @@ def test_agglomeration_labels_every_row(spark, tmp_path):
         assert len(found) == 3 and all(r["count"] == 400 for r in found) and len({r["cluster"] for r in found}) == 3
 
 
+def test_clusters_use_the_whole_embedding(spark, tmp_path):
+    from cairn import queries
+
+    # Three groups that only the numbers behind the eighth tell apart.
+    spark.createDataFrame([(i, 0, [0.01 * ((i * (j + 3)) % 11) + (20.0 * (i % 3) if j >= 8 else 0.0) for j in range(12)]) for i in range(90)], "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    own = queries.QUERIES["kmeans_clusters"](spark, str(tmp_path))
+    assert own.select((own["vec_id"] % 3).alias("g"), "cluster").distinct().count() == 3
+    plane = queries.QUERIES["pca_projection"](spark, str(tmp_path)).toPandas()
+    assert plane["dimension_1"].max() - plane["dimension_1"].min() > 60
+
+
 def test_checkpoint_store(spark, tmp_path):
     made = []
 
