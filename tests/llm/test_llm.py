@@ -476,25 +476,6 @@ def test_quality(spark, awkward, nothing):
     assert quality.score(awkward, quality.train(nothing, labels, F.expr(queries.GRADE), 3)).where("expected_grade is null").count() == 0
 
 
-def test_pipeline_mix_keeps_clean_documents(spark, monkeypatch):
-    """88 clean and 12 toxic documents, to be 97:3: only toxic ones go, and the rates meet the targets."""
-    import corpus_pipeline
-
-    rows = [(i, f"{'toxic' if i % 25 < 3 else 'clean'} {i} word word") for i in range(2500)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    x = mixing.trigram_features([t for _, t in rows])
-    model = mixing.fit(x, np.array([int(i % 25 < 3) for i, _ in rows]), ["good", "good_toxic"], penalty=1e-7, steps=2000)
-    monkeypatch.setattr(mixing, "train", lambda *_: model)
-    monkeypatch.setattr(corpus_pipeline, "_labels", lambda *_: None)
-    kept = {r["doc_id"] for r in corpus_pipeline.mix(spark, docs, "").collect()}
-    clean = [i for i, _ in rows if i % 25 >= 3]
-    assert len(kept & set(clean)) == len(clean) and 0 < len(kept) - len(clean) < 150
-    rated, solution = mixing.mix(docs, model, [0.97, 0.03], None)
-    got = rated.collect()
-    totals = np.sum([r["n_tokens"] * r["rate"] * np.array(r["p"]) for r in got], axis=0)
-    assert np.allclose(totals / totals.sum(), [0.97, 0.03], atol=1e-6) and np.allclose(totals, solution.totals) and all(0 <= r["rate"] <= 1 for r in got)
-
-
 def test_mixing_matches_targets(spark, awkward, nothing):
     docs, labels = labelled_docs(spark)
     model = mixing.train(docs, labels, F.expr("CASE WHEN quality = 1 THEN 'good' ELSE 'poor' END"), ["good", "poor"])
