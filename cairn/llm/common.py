@@ -15,11 +15,17 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: Bytes of a stored row group, about.
+ROW_GROUP = 32 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where none is configured (tests, local mode)."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="cairn-shared-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
@@ -43,7 +49,9 @@ def stash(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/cairn/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.option("compression", codec).parquet(path)
+    # Rows may hold whole blocks: pages and row groups are checked often.
+    sizes = {"parquet.page.size.row.check.min": 4, "parquet.block.size.row.check.min": 4, "parquet.block.size.row.check.max": 1000, "parquet.block.size": ROW_GROUP}
+    df.write.options(compression=codec, **{k: str(v) for k, v in sizes.items()}).parquet(path)
     del df
     release(spark)
     return spark.read.schema(schema).parquet(path)
@@ -54,26 +62,31 @@ def join_sized(big: DataFrame, small: DataFrame, on: str, how: str, size: int, l
     return big.join(F.broadcast(small) if size <= limit else small.hint("shuffle_merge"), on, how)
 
 
-#: Rows of whole texts that a batch between the JVM and Python has at most.
-BATCH_ROWS = 2000
+#: Bytes that a batch between the JVM and Python has, about.
+BATCH_BYTES = 8 << 20
+
 
+def short_batches(spark: SparkSession) -> None:
+    """Texts and blocks are long: batches between the JVM and Python end at some bytes, not only at a number of rows."""
+    conf, key = spark.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(key).rstrip("bB")) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
 
-def short_batches(df: DataFrame) -> None:
-    """Texts are long: let the session's batches have few rows."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
+
+def shards(spark: SparkSession) -> int:
+    """Partitions of a shuffle, as the session sets them for its input."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def texts_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, text) only; a null text is empty. Other columns, clashing names included, don't pass."""
-    short_batches(df)
+    short_batches(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]], schema: str) -> DataFrame:
     """mapInArrow where make() is called once in each task, and what it returns once for each batch."""
-    short_batches(df)
+    short_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
@@ -95,11 +108,6 @@ def slices(batch: pa.RecordBatch, column: str = "text", budget: int = 4 << 20) -
             start, total = i + 1, 0
 
 
-def rows(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    """A batch in the order of schema from arrays or lists by name."""
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name].cast(f.type) for f in schema], schema=schema)
-
-
 class WordCache(dict):
     """make(word) for each word that is looked up, kept for the words of late: at most 2 * entries of them.
 

@@ -7,12 +7,15 @@ its children's, so the prediction of the next bit mixes all depths by how well e
 block probabilities depend on counts alone, so training is one distributed count of (DEPTH + 1)-grams, and then sums
 from the leaves to the root; no pass over the text in order is needed.
 
-Nodes are collapsed to one number each: the probability of a one where this node is the deepest known. A text's score
-is the log10 probability of its bytes (A-Z in lower case) and an end symbol, from a start context.
-
-Training partitions are keyed by the two most recent bytes, under which whole subtrees lie; the two levels above have
-at most 65,536 * 255 nodes and are finished on the driver. The collapsed nodes are broadcast in shards of at most
-SHARD_NODES; if there are more, the texts are read once for each shard, and each reading scores its contexts' bytes.
+1. Texts are packed in blocks (stored once, so that nothing depends on how an input is partitioned when it is read
+   again). GROUP blocks of a task merge their distinct grams, with their counts in training texts, and send each bucket
+   its part. A bucket has whole subtrees: all contexts that share their TOP most recent bytes.
+2. Grams are merged by (bucket, salt), then by bucket, where levels DEPTH to TOP are summed. A bucket has as many salts as
+   its grams ask for, so a hot one is split. What its parents need, the sums at depth TOP - 1, goes to the driver: at most
+   65,536 * 255 rows, whatever the input.
+3. The driver finishes the levels above and broadcasts them, with how they enter the mixture of deeper nodes.
+4. Buckets, again by salts, answer each group's grams with their log10 probabilities, in one pass.
+5. Blocks meet the answers of their group, and sum them by text.
 
 The base is an add-one unigram of words. Counts of the most frequent words, at most HEAD_WORDS, are broadcast; the rest
 of the words meet their counts in a shuffle.
@@ -23,52 +26,45 @@ out; without training texts every bit has probability 1/2; an empty table gives
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import map_arrow, slices, stash, texts_of
+from cairn.llm.blocks import blocks, by_bucket, firsts, freeze, merge_counts, pack_sorted, record, spread, thaw, unpack_sorted
+from cairn.llm.common import map_arrow, shards, stash, texts_of
 
-#: Bytes of context. Six is the most that a packed node key holds.
+#: Bytes of context. Five is the most that fits beside a row number in 64 bits.
 DEPTH = 5
-SHARD_NODES = 16_000_000
 HEAD_WORDS = 150_000
-#: Characters that are counted or scored at a time; distinct grams and words that a task holds before it sends them on.
-SLICE, HOLD = 1 << 19, 800_000
+#: Bytes of text in a block, and blocks that merge their grams; words that a task counts before it sends them on.
+BLOCK, GROUP, HOLD_WORDS = 4 << 20, 4, 200_000
+#: Grams that one task takes of a bucket, about; a bucket with more has salts. Grams in one stored row.
+SALT_GRAMS, ROW_GRAMS = 1 << 24, 1 << 20
+#: Buckets at most: a row of a group's grams should stay worth sending.
+MOST_BUCKETS = 1024
 #: No byte of UTF-8: the end symbol, and what stands before a text.
 END = 255
 LOG10_2 = float(np.log10(2))
+#: Depth of the nodes that root a bucket's subtrees.
+TOP = 3
 
 
-def stream(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
-    """Grams of all bytes and end symbols of these lower-cased texts, recent byte first, then the byte itself; ends in it of each text."""
+def stream(texts: list[bytes], depth: int = DEPTH) -> np.ndarray:
+    """Sorted (gram << 16 | text) of all bytes and end symbols of these lower-cased texts. A gram is its context, recent byte first, then the byte itself."""
     pad = bytes([END]) * depth
-    data = np.frombuffer(pad + (bytes([END]) + pad).join(texts) + bytes([END]), dtype=np.uint8)
-    sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
-    grams = np.zeros(len(data) - depth, dtype=np.uint64)
-    for d in range(1, depth + 1):
-        grams = grams << np.uint64(8) | data[depth - d : len(data) - d]
-    grams = grams << np.uint64(8) | data[depth:]
-    if len(texts) > 1:  # the paddings between texts are no symbols
-        ends = np.cumsum(sizes + depth)[:-1]
-        keep = np.ones(len(grams), dtype=bool)
-        keep[(ends[:, None] - np.arange(1, depth + 1)).ravel()] = False
-        grams = grams[keep]
-    return grams, np.cumsum(sizes)
-
-
-def merge_counts(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys and their summed counts."""
-    key, count = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(key, kind="stable")
-    key, count = key[order], count[order]
-    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, dtype=np.int64)
-    return key[first], (np.add.reduceat(count, first) if len(key) else count)
+    data = np.frombuffer(pad + (bytes([END]) + pad).join(texts) + bytes([END]) + bytes(8), dtype=np.uint8)
+    text = np.repeat(np.arange(len(texts), dtype=np.uint64), np.array([len(t) + 1 for t in texts], dtype=np.int64))
+    at = np.arange(len(text), dtype=np.int64) + text.astype(np.int64) * depth
+    eight = np.lib.stride_tricks.as_strided(data, (len(data) - 8, 8), (1, 1))[at].view("<u8").ravel()
+    context = eight & np.uint64((1 << 8 * depth) - 1)
+    keys = (context << np.uint64(8) | eight >> np.uint64(8 * depth) & np.uint64(255)) << np.uint64(16) | text
+    keys.sort()
+    return keys
 
 
 _TABLE = 1 << 14
@@ -91,6 +87,10 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return _log_rising(zeros, 0.5, _HALF) + _log_rising(ones, 0.5, _HALF) - _log_rising(zeros + ones, 1.0, _WHOLE)
 
 
+def _parents(key: np.ndarray) -> np.ndarray:
+    return key >> np.uint64(16) << np.uint64(8) | key & np.uint64(255)
+
+
 class Level:
     """Nodes of one depth: key (context << 8 | path), counts, log weighted probability, weight of the node's own KT."""
 
@@ -109,9 +109,13 @@ class Level:
             self.log_weighted = np.log(0.5) + np.logaddexp(own, children)
             self.stay = 1 / (1 + np.exp(np.clip(children - own, -700, 700)))
 
+    def parents(self) -> np.ndarray:
+        """Key of each node's parent: one byte of context less."""
+        return _parents(self.key)
+
     def above(self) -> "Level":
         """The level with one byte of context less."""
-        return Level(self.key >> np.uint64(16) << np.uint64(8) | self.key & np.uint64(255), self.zeros, self.ones, self.log_weighted)
+        return Level(self.parents(), self.zeros, self.ones, self.log_weighted)
 
 
 def leaves(grams: np.ndarray, counts: np.ndarray) -> Level:
@@ -126,44 +130,69 @@ def leaves(grams: np.ndarray, counts: np.ndarray) -> Level:
     return Level(np.concatenate(key), np.concatenate(zeros), np.concatenate(ones), None)
 
 
-def collapse(levels: list[Level], deepest: bool = True) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each level from the top: (where the level is the deepest known, the probability of a one as the top sees it; base; factor).
+def collapse(levels: list[Level], base: np.ndarray | None = None, factor: np.ndarray | None = None, deepest: bool = True) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each level from the top: (where the level is the deepest known, the probability of a one; base; factor).
 
-    As the top sees it, a node's prediction p counts as base + factor * p.
+    A node's prediction p counts as base + factor * p; base and factor of the first level are given (0 and 1 for the root).
+    deepest: the last level has no children; else those of its nodes that are not known predict 1/2.
     """
     out = []
-    base, factor = np.zeros(len(levels[0].key)), np.ones(len(levels[0].key))
+    if base is None or factor is None:
+        base, factor = np.zeros(len(levels[0].key)), np.ones(len(levels[0].key))
     for i, level in enumerate(levels):
         if i:
-            up = np.searchsorted(levels[i - 1].key, level.key >> np.uint64(16) << np.uint64(8) | level.key & np.uint64(255))
-            base, factor = (above[0] + above[1] * levels[i - 1].stay * levels[i - 1].kt)[up], (above[1] * (1 - levels[i - 1].stay))[up]
-        last = deepest and i == len(levels) - 1
-        own = level.kt if last else level.stay * level.kt + (1 - level.stay) * 0.5
+            up = np.searchsorted(levels[i - 1].key, level.parents())
+            base, factor = (x[up] for x in entering(levels[i - 1], base, factor))
+        own = level.kt if deepest and i == len(levels) - 1 else level.stay * level.kt + (1 - level.stay) * 0.5
         out.append((base + factor * own, base, factor))
-        above = (base, factor)
     return out
 
 
-def pack(key: np.ndarray, depth: int) -> np.ndarray:
-    """A node's key with its depth in the low bits."""
-    return key << np.uint64(3) | np.uint64(depth)
+def entering(level: Level, base: np.ndarray, factor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Base and factor of the children of this level's nodes."""
+    return base + factor * level.stay * level.kt, factor * (1 - level.stay)
 
 
-TOP = 2
+Table = tuple[np.ndarray, np.ndarray]
 
 
-class Model:
-    """Collapsed nodes by packed key, sorted, those above TOP apart; with a cache of grams' scores."""
+def subtree(grams: np.ndarray, counts: np.ndarray, depth: int) -> list[Level]:
+    """Levels TOP to depth of these grams."""
+    levels = [leaves(grams, counts)]
+    for _ in range(depth - TOP):
+        levels.append(levels[-1].above())
+    return levels[::-1]
+
+
+class Shallow:
+    """The levels above TOP: their nodes' probabilities, and how the last of them enters depth TOP."""
+
+    def __init__(self, key: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> None:
+        levels = [Level(key, zeros, ones, below)]
+        for _ in range(TOP - 1):
+            levels.append(levels[-1].above())
+        levels.reverse()
+        collapsed = collapse(levels, deepest=False)
+        self.tables: list[Table] = [(level.key, p) for level, (p, _, _) in zip(levels, collapsed)]
+        self.parents = levels[-1].key
+        self.base, self.factor = entering(levels[-1], *collapsed[-1][1:])
 
-    CACHE = 1 << 21
 
-    def __init__(self, nodes: tuple[np.ndarray, np.ndarray], above: tuple[np.ndarray, np.ndarray], depth: int, low: int = 0, high: int = 1 << 16) -> None:
-        self.nodes, self.above, self.depth, self.low, self.high = nodes, above, depth, low, high
-        self.cached = np.full(self.CACHE, np.uint64(0xFFFF_FFFF_FFFF_FFFF))
-        self.values = np.zeros(self.CACHE, dtype=np.float64)
+class Model:
+    """Nodes of a bucket's subtrees with those above them, and the scores of its training grams."""
+
+    def __init__(self, shallow: Shallow, grams: np.ndarray, counts: np.ndarray, depth: int = DEPTH) -> None:
+        self.depth, self.tables = depth, list(shallow.tables)
+        if len(grams):
+            levels = subtree(grams, counts, depth)
+            up = np.searchsorted(shallow.parents, levels[0].parents())
+            self.tables += [(level.key, p) for level, (p, _, _) in zip(levels, collapse(levels, shallow.base[up], shallow.factor[up]))]
+        nothing = (np.zeros(0, dtype=np.uint64), np.zeros(0))
+        self.tables += [nothing] * (depth + 1 - len(self.tables))
+        self.grams, self.scores = grams, self.log10(grams)
 
     def log10(self, grams: np.ndarray) -> np.ndarray:
-        """log10 probability of each (distinct) gram's last byte after its context."""
+        """log10 probability of each gram's last byte after its context."""
         total = np.zeros(len(grams))
         byte, context = grams & np.uint64(255), grams >> np.uint64(8)
         for t in range(8):
@@ -171,196 +200,280 @@ class Model:
             p = np.full(len(grams), 0.5)
             open_ = np.arange(len(grams))
             for d in range(self.depth, -1, -1):
-                key = pack(context[open_] >> np.uint64(8 * (self.depth - d)) << np.uint64(8) | path[open_], d)
-                keys, values = self.nodes if d >= TOP else self.above
-                at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
-                hit = keys[at] == key if len(keys) else np.zeros(len(open_), dtype=bool)
-                p[open_[hit]] = values[at[hit]]
-                open_ = open_[~hit]
-                if not len(open_):
-                    break
-            bit = (byte >> np.uint64(7 - t) & np.uint64(1)).astype(bool)
-            total += np.log10(np.where(bit, p, 1 - p))
+                keys, values = self.tables[d]
+                if len(keys) and len(open_):
+                    key = context[open_] >> np.uint64(8 * (self.depth - d)) << np.uint64(8) | path[open_]
+                    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                    hit = keys[at] == key
+                    p[open_[hit]] = values[at[hit]]
+                    open_ = open_[~hit]
+            p = np.clip(p, 1e-7, 1 - 1e-7)
+            total += np.log10(np.where(byte >> np.uint64(7 - t) & np.uint64(1), p, 1 - p))
         return total
 
     def score(self, grams: np.ndarray) -> np.ndarray:
-        """log10 probability of each gram; 0 for contexts of other shards."""
-        out = np.zeros(len(grams))
-        slot = ((grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.CACHE.bit_length() + 1)).astype(np.int64)
-        hit = self.cached[slot] == grams
-        out[hit] = self.values[slot[hit]]
-        miss = np.flatnonzero(~hit)
-        if len(miss):
-            new, inverse = np.unique(grams[miss], return_inverse=True)
-            recent = (new >> np.uint64(8 * (self.depth - 1))).astype(np.int64)
-            mine = (recent >= self.low) & (recent < self.high)
-            value = np.zeros(len(new))
-            value[mine] = self.log10(new[mine])
-            out[miss] = value[inverse]
-            slot = ((new * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.CACHE.bit_length() + 1)).astype(np.int64)
-            # One writer for a slot, so key and value agree.
-            slot, one = np.unique(slot, return_index=True)
-            self.cached[slot], self.values[slot] = new[one], value[one]
+        """log10 probability of each gram: those of training are known."""
+        if not len(self.grams):
+            return self.log10(grams)
+        at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
+        out = self.scores[at]
+        new = np.flatnonzero(self.grams[at] != grams)
+        out[new] = self.log10(grams[new])
         return out
 
 
-def _lower(texts: list[str]) -> list[bytes]:
+def _lower(texts: list[str | None]) -> list[bytes]:
     return [t.encode().lower() for t in texts]  # bytes.lower() is for A-Z alone
 
 
-def count(train: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(kind, part, gram, word, n): grams (kind 0) and words (kind 1) of the training texts (doc_id, text), summed in each task."""
+#: Rows of the first pass. kind 0: a block (data) of group grp; 1: a group's grams for a bucket (at), n of them; 2: a word and its count; 3: a count of texts.
+GATHERED = "kind int, grp long, at int, n long, data binary, word binary"
+
+
+def gather(docs: DataFrame, buckets: int, depth: int = DEPTH, block: int = BLOCK, group: int = GROUP) -> DataFrame:
+    """GATHERED of (doc_id, text, held_out)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, done = TaskContext.get().partitionId(), 0
         keys: list[np.ndarray] = []
         counts: list[np.ndarray] = []
         words: Counter = Counter()
-        names = ["kind", "part", "gram", "word", "n"]
+        texts = many = 0
+
+        def rows(kind, at, n, data, word):
+            return record(GATHERED, [kind] * len(n), [task << 24 | done] * len(n), at, n, data, word)
 
         def grams_out():
-            if keys:
-                key, n = merge_counts(keys, counts)
-                part = (key >> np.uint64(8 * (depth - 1))).astype(np.int32)
-                for i in range(0, len(key), 100_000):
-                    k = key[i : i + 100_000].astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(k), dtype=np.int32)), pa.array(part[i : i + 100_000]), pa.array(k), pa.nulls(len(k), pa.binary()), pa.array(n[i : i + 100_000])], names=names)
-                keys.clear()
-                counts.clear()
+            key, n = merge_counts(keys, counts)
+            keys.clear()
+            counts.clear()
+            at, size, data = [], [], []
+            for bucket, some in by_bucket(_bucket(key, buckets, depth)):
+                at.append(bucket)
+                size.append(len(some))
+                data.append(pack_sorted(key[some], n[some].astype(np.uint32)))
+            return rows(1, at, size, data, [None] * len(at))
 
         def words_out():
             every = list(words.items())
-            for i in range(0, len(every), 100_000):
-                some = every[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(some), dtype=np.int32)), pa.nulls(len(some), pa.int32()), pa.nulls(len(some), pa.int64()), pa.array([w for w, _ in some], pa.binary()), pa.array([n for _, n in some], pa.int64())], names=names)
             words.clear()
-
-        ends = 0
-        for batch in batches:
-            for _, texts in slices(batch, budget=SLICE):
-                lower = _lower(texts)
-                for t in lower:
+            for i in range(0, len(every), 50_000):
+                some = every[i : i + 50_000]
+                yield rows(2, [None] * len(some), [n for _, n in some], [None] * len(some), [w for w, _ in some])
+
+        for batch in blocks(batches, block):
+            yield rows(0, [many], [batch.num_rows], [freeze(batch)], [None])
+            lower = _lower(batch.column(1).to_pylist())
+            train = ~batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            for t, learn in zip(lower, train.tolist()):
+                if learn:
                     words.update(t.split())
-                ends += len(lower)
-                grams = np.sort(stream(lower, depth)[0])
-                first = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
-                keys.append(grams[first])
-                counts.append(np.diff(np.append(first, len(grams))))
-                if sum(map(len, keys)) > HOLD:
-                    key, n = merge_counts(keys, counts)
-                    keys[:], counts[:] = [key], [n]
-                    if len(key) > HOLD // 2:
-                        yield from grams_out()
-                if len(words) > HOLD // 2:
-                    yield from words_out()
-        if ends:
-            yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([ends], pa.int64())], names=names)
-        yield from grams_out()
+            texts += int(train.sum())
+            every = stream(lower, depth)
+            grams = every >> np.uint64(16)
+            first = firsts(grams)
+            keys.append(grams[first])
+            counts.append(np.add.reduceat(train[(every & np.uint64(0xFFFF)).astype(np.int64)].astype(np.int64), first))
+            many += 1
+            if many == group:
+                yield grams_out()
+                done, many = done + 1, 0
+            if len(words) > HOLD_WORDS:
+                yield from words_out()
+        if many:
+            yield grams_out()
+        if texts:
+            yield rows(3, [None], [texts], [None], [None])
         yield from words_out()
 
-    return train.mapInArrow(run, "kind int, part int, gram long, word binary, n long")
+    return docs.mapInArrow(run, GATHERED)
+
+
+def _bucket(grams: np.ndarray, buckets: int, depth: int) -> np.ndarray:
+    """The bucket of sorted grams, by the TOP most recent bytes of their contexts."""
+    recent = grams >> np.uint64(8 * (depth + 1 - TOP))
+    first = firsts(recent)
+    return np.repeat(spread(recent[first], buckets), np.diff(np.append(first, len(grams))))
+
 
+def _keyed(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[tuple, Iterator[list]]]:
+    """(key, other columns row by row) of runs of rows with equal values in the first n columns. A run must be used up before the next."""
+    each = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+    row = next(each, None)
 
-NODES = "key long, p double, zeros double, ones double, log_weighted double"
+    def run():
+        nonlocal row
+        key = row[:n]
+        while row is not None and row[:n] == key:
+            yield row[n:]
+            row = next(each, None)
 
+    while row is not None:
+        yield row[:n], run()
 
-def nodes(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """NODES of depth TOP and more from gram counts; p as depth TOP sees it, the last three of depth TOP alone."""
-    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    summed = counts.where("kind = 0").repartition(parts, "part").groupBy("part", "gram").agg(F.sum("n").alias("n")).select("gram", "n")
+
+def _merge(packed: Iterator[bytes], learnt: bool = False, hold: int = 1 << 21) -> Table:
+    """Sums of packed grams, merged as they come. learnt: those without a count go."""
+    keys, counts = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
+    for data in packed:
+        key, n = unpack_sorted(data)
+        if learnt:
+            key, n = key[n > 0], n[n > 0]
+        keys.append(key)
+        counts.append(n.astype(np.int64))
+        if sum(map(len, keys)) > max(hold, 2 * len(keys[0])):
+            key, n = merge_counts(keys, counts)
+            keys, counts = [key], [n]
+    return merge_counts(keys, counts)
+
+
+MERGED = "bucket int, data binary"
+#: kind 0: a bucket's training grams (data); 1: a node of depth TOP - 1 (key) with its counts and the log of its children's product, as far as the bucket has it.
+SUMMED = "kind int, bucket int, data binary, key long, zeros double, ones double, below double"
+
+
+def _packed_rows(key: np.ndarray, n: np.ndarray) -> Iterator[bytes]:
+    for i in range(0, len(key), ROW_GRAMS):
+        yield pack_sorted(key[i : i + ROW_GRAMS], n[i : i + ROW_GRAMS])
+
+
+def _merge_salts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """MERGED of (bucket, salt, data) in this order."""
+    for (bucket, _), rows in _keyed(batches, 2):
+        for data in _packed_rows(*_merge((r[0] for r in rows), learnt=True)):
+            yield record(MERGED, [bucket], [data])
+
+
+def _sum_buckets(depth: int):
+    """SUMMED of (bucket, data) in this order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column(0).to_numpy().astype(np.uint64), b.column(1).to_numpy()) for b in batches if b.num_rows]
-        if not got:
-            return
-        levels = [leaves(np.concatenate([g for g, _ in got]), np.concatenate([n for _, n in got]))]
-        for _ in range(depth - TOP):
-            levels.append(levels[-1].above())
-        levels.reverse()
-        for i, (level, (p, _, _)) in enumerate(zip(levels, collapse(levels))):
-            key = pack(level.key, TOP + i).astype(np.int64)
-            extra = [pa.array(x) if not i else pa.nulls(len(key), pa.float64()) for x in (level.zeros, level.ones, level.log_weighted)]
-            whole = pa.RecordBatch.from_arrays([pa.array(key), pa.array(p), *extra], names=[x.split()[0] for x in NODES.split(", ")])
-            for j in range(0, len(key), 100_000):
-                yield whole.slice(j, 100_000)
-
-    return summed.mapInArrow(run, NODES)
-
-
-def load(stored: DataFrame, depth: int = DEPTH, shard_nodes: int = SHARD_NODES) -> Iterator[Model]:
-    """Models of at most about shard_nodes nodes each, from stored NODES. The top levels are finished here, the others where they lie."""
-    spark = stored.sparkSession
-    nothing = (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.float32))
-    top = stored.where(F.col("key").bitwiseAND(7) == TOP).select("key", "zeros", "ones", "log_weighted").toArrow()
-    if not top.num_rows:
-        yield Model(nothing, nothing, depth)
-        return
-    key = top["key"].to_numpy()
-    level = Level(key.astype(np.uint64) >> np.uint64(3), top["zeros"].to_numpy(), top["ones"].to_numpy(), None)
-    level.log_weighted = top["log_weighted"].to_numpy()[np.argsort(key)]
-    levels = [level.above()]
-    while len(levels) < TOP:
-        levels.append(levels[-1].above())
-    levels.reverse()
-    shallow = collapse([*levels, level], deepest=False)
-    above = np.concatenate([pack(x.key, i) for i, x in enumerate(levels)])
-    order = np.argsort(above)
-    small = (above[order], np.concatenate([x[0] for x in shallow[:TOP]]).astype(np.float32)[order])
-    seen = spark.sparkContext.broadcast((level.key, shallow[TOP][1], shallow[TOP][2]))
-
-    def make():
-        pairs, base, factor = seen.value
-
-        def each(batch: pa.RecordBatch):
-            key = batch.column(0).to_numpy().astype(np.uint64)
-            up = np.searchsorted(pairs, key >> (11 + 8 * ((key & np.uint64(7)) - np.uint64(TOP))) << np.uint64(8) | key >> np.uint64(3) & np.uint64(255))
-            p = np.clip(base[up] + factor[up] * batch.column(1).to_numpy(), 1e-7, 1 - 1e-7)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p.astype(np.float32))], names=["key", "p"])
-
-        return each
-
-    # How many nodes lie under each pair of recent bytes: at most 65,536 rows.
-    recent = F.expr(f"shiftright(key, cast(11 + 8 * ((key & 7) - {TOP}) as int))")
-    sizes = stored.groupBy(recent.alias("recent")).count().toArrow().sort_by("recent")
-    pair, many = sizes["recent"].to_numpy(), np.cumsum(sizes["count"].to_numpy())
-    low = done = 0
-    while low < 1 << 16:
-        at = max(int(np.searchsorted(many, done + shard_nodes, side="right")), int(np.searchsorted(pair, low)) + 1)
-        high = int(pair[at]) if at < len(pair) else 1 << 16
-        some = map_arrow(stored.where((recent >= low) & (recent < high)).select("key", "p"), make, "key long, p float")
-        rows = some.repartitionByRange("key").sortWithinPartitions("key").toArrow()
-        nodes_ = (rows["key"].to_numpy().view(np.uint64), rows["p"].to_numpy())
-        del rows
-        yield Model(nodes_, small, depth, low, high)
-        low, done = high, int(many[at - 1])
-
-
-_here: dict[str, Model] = {}
-
-
-def _model(broadcast, name: str) -> Model:
-    """The Python worker's model, with its cache."""
-    if name not in _here:
-        _here.clear()
-        _here[name] = Model(*broadcast.value)
-    return _here[name]
-
-
-def score(df: DataFrame, held_out, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text", shard_nodes: int = SHARD_NODES, head_words: int = HEAD_WORDS) -> DataFrame:
+        nothing = [None] * 5
+        for (bucket,), rows in _keyed(batches, 1):
+            key, n = _merge(r[0] for r in rows)
+            for data in _packed_rows(key, n):
+                yield record(SUMMED, [0], [bucket], [data], *([x] for x in nothing[:4]))
+            if not len(key):
+                continue
+            level = subtree(key, n, depth)[0]
+            up = level.parents()
+            order = np.argsort(up, kind="stable")
+            first = firsts(up[order])
+            sums = [np.add.reduceat(x[order], first) for x in (level.zeros, level.ones, level.log_weighted)]
+            for i in range(0, len(first), 100_000):
+                part = slice(i, i + 100_000)
+                m = len(first[part])
+                yield record(SUMMED, [1] * m, [bucket] * m, [None] * m, up[order][first][part].astype(np.int64), *(x[part] for x in sums))
+
+    return run
+
+
+ANSWERS = "grp long, at int, data binary"
+
+
+def _answer(broadcast, depth: int):
+    """ANSWERS of (bucket, salt, kind, grp, data) in this order: kind 0 are the bucket's training grams, 1 groups' grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shallow = broadcast.value
+        out: list[tuple] = []
+        for (bucket, _), rows in _keyed(batches, 2):
+            learnt: list[bytes] = []
+            model = None
+            for kind, grp, data in rows:
+                if kind == 0:
+                    learnt.append(data)
+                    continue
+                if model is None:
+                    model = Model(shallow, *_merge(iter(learnt)), depth)
+                grams = unpack_sorted(data)[0]
+                out.append((grp, bucket, pack_sorted(grams, model.score(grams).astype(np.float32))))
+                if len(out) >= 64:
+                    yield record(ANSWERS, *zip(*out))
+                    out.clear()
+        if out:
+            yield record(ANSWERS, *zip(*out))
+
+    return run
+
+
+SCORED = "doc_id long, held_out boolean, n_tokens long, known long, logs double, value double, n_bytes long"
+
+
+def _sum_texts(head, end_value: float, known_end: int, depth: int):
+    """SCORED with the tail words of each text, of (grp, at, data) in this order: a group's answers at -1, then its blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        logs = head.value
+        for _, rows in _keyed(batches, 1):
+            grams, scores = [], []
+            table = None
+            for at, data in rows:
+                if at < 0:
+                    key, value = unpack_sorted(data)
+                    grams.append(key)
+                    scores.append(value)
+                    continue
+                if table is None:
+                    key = np.concatenate(grams)
+                    order = np.argsort(key, kind="stable")
+                    table = key[order], np.concatenate(scores)[order].astype(np.float64)
+                    grams.clear()
+                    scores.clear()
+                batch = thaw(data)
+                lower = _lower(batch.column(1).to_pylist())
+                every = stream(lower, depth)
+                key = every >> np.uint64(16)
+                first = firsts(key)
+                value = table[1][np.searchsorted(table[0], key[first])]
+                value = np.bincount((every & np.uint64(0xFFFF)).astype(np.int64), np.repeat(value, np.diff(np.append(first, len(key)))), len(lower))
+                sums, known, tails, sizes = [], [], [], []
+                for t in lower:
+                    tokens = t.split()
+                    found = list(map(logs.get, tokens))
+                    sizes.append(len(tokens) + 1)
+                    if None in found:
+                        tail = Counter([w for w, x in zip(tokens, found) if x is None])
+                        found = [x for x in found if x is not None]
+                        tails.append([{"word": w, "n": c} for w, c in tail.items()])
+                    else:
+                        tails.append([])
+                    sums.append(sum(found) + end_value)
+                    known.append(len(found) + known_end)
+                out = record(SCORED, batch.column(0), batch.column(2), sizes, known, sums, value, [len(t) for t in lower])
+                yield out.append_column("tail", pa.array(tails, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))))
+
+    return run
+
+
+def score(
+    df: DataFrame, held_out, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text", head_words: int = HEAD_WORDS, block: int = BLOCK, group: int = GROUP, salt_grams: int = SALT_GRAMS
+) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte of each row.
 
     held_out: a boolean Column over doc_id; those rows are not learnt from.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
+    parts = shards(spark)
+    buckets = min(MOST_BUCKETS, parts)
     docs = texts_of(df, id_col, text_col).withColumn("held_out", F.coalesce(held_out, F.lit(False)))
-    counts = stash(count(docs.where("not held_out").select("doc_id", "text"), depth), "counts")
-    parts = []
-    for model in load(stash(nodes(counts, depth), "nodes"), depth, shard_nodes):
-        parts.append((f"{context.applicationId}-{uuid.uuid4().hex}", context.broadcast((model.nodes, model.above, model.depth, model.low, model.high))))
-        del model
-    first, *others = parts
-    words = stash(counts.where("kind = 1").groupBy("word").agg(F.sum("n").alias("c")), "words")
-    ends = counts.where("kind = 2").agg(F.sum("n")).first()[0] or 0
+    gathered = stash(gather(docs, buckets, depth, block, group), "gathered", "none")
+    sent = gathered.where("kind = 1").select(F.col("at").alias("bucket"), "grp", "n", "data")
+    # At most MOST_BUCKETS rows.
+    salts = [(r["bucket"], -(-r["n"] // salt_grams)) for r in sent.groupBy("bucket").agg(F.sum("n").alias("n")).collect()]
+    salted = F.broadcast(spark.createDataFrame(salts or [(0, 1)], "bucket int, salts long"))
+    asked = sent.join(salted, "bucket").withColumn("salt", F.pmod(F.xxhash64("grp"), "salts").cast("int"))
+    merged = asked.select("bucket", "salt", "data").repartition(parts, "bucket", "salt").sortWithinPartitions("bucket", "salt").mapInArrow(_merge_salts, MERGED)
+    summed = stash(merged.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_sum_buckets(depth), SUMMED), "summed", "none")
+    top = summed.where("kind = 1").groupBy("key").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")]).toArrow()
+    shallow = spark.sparkContext.broadcast(Shallow(top["key"].to_numpy().astype(np.uint64), *(top[c].to_numpy() for c in ("zeros", "ones", "below"))))
+    del top
+    learnt = summed.where("kind = 0").join(salted, "bucket").select("bucket", F.explode(F.sequence(F.lit(0), F.col("salts").cast("int") - 1)).alias("salt"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("grp"), "data")
+    asks = learnt.unionByName(asked.select("bucket", "salt", F.lit(1).alias("kind"), "grp", "data"))
+    answers = asks.repartition(parts, "bucket", "salt").sortWithinPartitions("bucket", "salt", "kind").mapInArrow(_answer(shallow, depth), ANSWERS)
+
+    words = stash(gathered.where("kind = 2").groupBy("word").agg(F.sum("n").alias("c")), "words")
+    ends = gathered.where("kind = 3").agg(F.sum("n")).first()[0] or 0
     size = words.agg(F.count(F.lit(1)).alias("v"), F.sum("c").alias("n")).first()
     n, v = (size["n"] or 0) + ends, size["v"] + (ends > 0)
     # The frequency from which words are broadcast: from a table of how many words have each frequency.
@@ -375,43 +488,13 @@ def score(df: DataFrame, held_out, depth: int = DEPTH, id_col: str = "doc_id", t
     if v <= head_words:
         least = 1
     frequent = words.where(F.col("c") >= least).toArrow()
-    head = context.broadcast(dict(zip(frequent["word"].to_pylist(), np.log10(frequent["c"].to_numpy() + 1.0).tolist())))
+    head = spark.sparkContext.broadcast(dict(zip(frequent["word"].to_pylist(), np.log10(frequent["c"].to_numpy() + 1.0).tolist())))
     del frequent
-    end_value, known_end = float(np.log10(ends + 1)), int(ends > 0)
 
-    def texts_scores(broadcast, name, lower):
-        grams, at = stream(lower, depth)
-        return np.add.reduceat(_model(broadcast, name).score(grams), np.concatenate(([0], at[:-1])))
-
-    def make():
-        logs = head.value
-
-        def each(batch: pa.RecordBatch):
-            for part, texts in slices(batch, "text", SLICE):
-                lower = _lower(texts)
-                values = texts_scores(first[1], first[0], lower)
-                sums, known, tails, sizes = [], [], [], []
-                for t in lower:
-                    tokens = t.split()
-                    found = list(map(logs.get, tokens))
-                    sizes.append(len(tokens) + 1)
-                    if None in found:
-                        tail = Counter([w for w, x in zip(tokens, found) if x is None])
-                        found = [x for x in found if x is not None]
-                        tails.append([{"word": w, "n": c} for w, c in tail.items()])
-                    else:
-                        tails.append([])
-                    sums.append(sum(found) + end_value)
-                    known.append(len(found) + known_end)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), part.column(3), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64()), pa.array(values), pa.array([len(t) for t in lower], pa.int64()), pa.array(tails, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))],
-                    names=["doc_id", "held_out", "row", "n_tokens", "known", "logs", "value", "n_bytes", "tail"],
-                )
-
-        return each
-
-    rows = map_arrow(docs.withColumn("row", F.monotonically_increasing_id()), make, "doc_id long, held_out boolean, row long, n_tokens long, known long, logs double, value double, n_bytes long, tail array<struct<word: binary, n: long>>")
-    rows = stash(rows, "scored")
+    groups = answers.select("grp", F.lit(-1).alias("at"), "data").unionByName(gathered.where("kind = 0").select("grp", "at", "data"))
+    rows = groups.repartition(parts, "grp").sortWithinPartitions("grp", "at").mapInArrow(_sum_texts(head, float(np.log10(ends + 1)), int(ends > 0), depth), SCORED + ", tail array<struct<word: binary, n: long>>")
+    # Rows are numbered where they are stored: a number must not depend on when it is read.
+    rows = stash(rows.withColumn("row", F.monotonically_increasing_id()), "scored")
     tail = (
         rows.select("row", F.explode("tail").alias("t"))
         .select("row", "t.word", "t.n")
@@ -419,20 +502,8 @@ def score(df: DataFrame, held_out, depth: int = DEPTH, id_col: str = "doc_id", t
         .groupBy("row")
         .agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more_logs"))
     )
-    out = rows.drop("tail").join(tail, "row", "left")
-    for name, broadcast in others:
-
-        def more(name=name, broadcast=broadcast):
-            def each(batch: pa.RecordBatch):
-                for part, texts in slices(batch, "text", SLICE):
-                    yield pa.RecordBatch.from_arrays([part.column(3), pa.array(texts_scores(broadcast, name, _lower(texts)))], names=["row", "extra"])
-
-            return each
-
-        extra = map_arrow(docs.withColumn("row", F.monotonically_increasing_id()), more, "row long, extra double")
-        out = out.join(extra, "row").withColumn("value", F.col("value") + F.col("extra")).drop("extra")
     base = F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(n + v + 1))
-    return out.select(
+    return rows.drop("tail").join(tail, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), F.round(base, 7).alias("base_score"),
         F.round("value", 7).alias("score"), "n_bytes", (-F.round("value", 7) / LOG10_2 / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
     )

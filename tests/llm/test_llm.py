@@ -267,17 +267,19 @@ def brute_ctw(train, text, depth):
     return total
 
 
-@pytest.mark.parametrize("shard", [10**9, 400])
-def test_lm_scores(spark, shard):
+@pytest.mark.parametrize("sizes", [{}, {"block": 1, "group": 1, "salt_grams": 10}, {"block": 60, "group": 2, "salt_grams": 200}])
+def test_lm_scores(spark, sizes):
     texts = ["the cat sat on the mat", "The dog sat.", "a cat, a dog; ñ", "", None, "zebra quux"] + [sentence(i, 8) for i in range(6)]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, words string")
+    if sizes:  # partitions that change from one reading to the next
+        df = df.repartition(5, F.rand())
     held = lambda i: i % 3 == 1
     low = [(t or "").encode().lower() for t in texts]
     train = [t for i, t in enumerate(low) if not held(i)]
     words = Counter(w for t in train for w in t.split())
     n, v = sum(words.values()) + len(train), len(words) + 1
     for head in (250_000, 3):
-        got = {r["doc_id"]: r for r in ctw.score(df, F.col("doc_id") % 3 == 1, shard_nodes=shard, head_words=head).collect()}
+        got = {r["doc_id"]: r for r in ctw.score(df, F.col("doc_id") % 3 == 1, head_words=head, **sizes).collect()}
         for i, t in enumerate(low):
             r, tokens = got[i], t.split()
             assert r["held_out"] == held(i) and r["n_tokens"] == len(tokens) + 1 and r["train_tokens"] == n
