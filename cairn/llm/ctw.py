@@ -17,8 +17,8 @@ from the leaves to the root; no pass over the text in order is needed.
 4. Buckets, again by salts, answer each group's grams with their log10 probabilities, in one pass.
 5. Blocks meet the answers of their group, and sum them by text.
 
-The base is an add-one unigram of words. Counts of the most frequent words, at most HEAD_WORDS, are broadcast; the rest
-of the words meet their counts in a shuffle.
+The base is an add-one unigram of words. A group's distinct words go to the buckets beside its grams, and come back with
+their counts in the same order.
 
 Defined cases: a null text is empty; an empty text has the end token and the end symbol; a null doc_id is not held
 out; without training texts every bit has probability 1/2; an empty table gives no rows; equal texts, equal scores.
@@ -26,6 +26,8 @@ out; without training texts every bit has probability 1/2; an empty table gives
 
 from __future__ import annotations
 
+import itertools
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -35,14 +37,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.blocks import blocks, by_bucket, firsts, freeze, merge_counts, pack_sorted, record, spread, thaw, unpack_sorted
-from cairn.llm.common import map_arrow, shards, stash, texts_of
+from cairn.llm.blocks import blocks, by_bucket, firsts, freeze, merge_counts, pack, pack_sorted, record, spread, thaw, unpack, unpack_sorted
+from cairn.llm.common import shards, stash, texts_of
 
 #: Bytes of context. Five is the most that fits beside a row number in 64 bits.
 DEPTH = 5
-HEAD_WORDS = 150_000
-#: Bytes of text in a block, and blocks that merge their grams; words that a task counts before it sends them on.
-BLOCK, GROUP, HOLD_WORDS = 4 << 20, 4, 200_000
+#: Bytes of text in a block, and blocks that merge their grams and words.
+BLOCK, GROUP = 2 << 20, 8
 #: Grams that one task takes of a bucket, about; a bucket with more has salts. Grams in one stored row.
 SALT_GRAMS, ROW_GRAMS = 1 << 24, 1 << 20
 #: Buckets at most: a row of a group's grams should stay worth sending.
@@ -226,65 +227,66 @@ def _lower(texts: list[str | None]) -> list[bytes]:
     return [t.encode().lower() for t in texts]  # bytes.lower() is for A-Z alone
 
 
-#: Rows of the first pass. kind 0: a block (data) of group grp; 1: a group's grams for a bucket (at), n of them; 2: a word and its count; 3: a count of texts.
-GATHERED = "kind int, grp long, at int, n long, data binary, word binary"
+def _pack_words(words: list[bytes], counts) -> bytes:
+    """Words (none has a line's end) and their counts."""
+    return pack(np.frombuffer(b"\n".join(words), dtype=np.uint8), np.asarray(counts, dtype=np.int64))
+
+
+def _unpack_words(data: bytes) -> tuple[list[bytes], list[int]]:
+    text, counts = unpack(data)
+    return (text.tobytes().split(b"\n") if len(counts) else []), counts.tolist()
+
+
+#: Rows of the first pass. kind 0: a block (data) of group grp; 1: a group's grams (data) and words for a bucket (at), n grams and words of them.
+GATHERED = "kind int, grp long, at int, n long, data binary, words binary"
 
 
 def gather(docs: DataFrame, buckets: int, depth: int = DEPTH, block: int = BLOCK, group: int = GROUP) -> DataFrame:
     """GATHERED of (doc_id, text, held_out)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, done = TaskContext.get().partitionId(), 0
+        task, done, many = TaskContext.get().partitionId(), 0, 0
         keys: list[np.ndarray] = []
         counts: list[np.ndarray] = []
-        words: Counter = Counter()
-        texts = many = 0
+        words: Counter = Counter()  # in training texts
+        others: set[bytes] = set()  # in other texts
 
-        def rows(kind, at, n, data, word):
-            return record(GATHERED, [kind] * len(n), [task << 24 | done] * len(n), at, n, data, word)
-
-        def grams_out():
+        def flush():
             key, n = merge_counts(keys, counts)
-            keys.clear()
-            counts.clear()
-            at, size, data = [], [], []
-            for bucket, some in by_bucket(_bucket(key, buckets, depth)):
-                at.append(bucket)
-                size.append(len(some))
-                data.append(pack_sorted(key[some], n[some].astype(np.uint32)))
-            return rows(1, at, size, data, [None] * len(at))
-
-        def words_out():
-            every = list(words.items())
-            words.clear()
-            for i in range(0, len(every), 50_000):
-                some = every[i : i + 50_000]
-                yield rows(2, [None] * len(some), [n for _, n in some], [None] * len(some), [w for w, _ in some])
+            grams = dict(by_bucket(_bucket(key, buckets, depth)))
+            lists: dict[int, list[bytes]] = {}
+            for w in itertools.chain(words, others.difference(words)):
+                lists.setdefault(zlib.crc32(w) % buckets, []).append(w)
+            none = np.zeros(0, dtype=np.int64)
+            out = []
+            for bucket in sorted(grams.keys() | lists.keys()):
+                some, mine = grams.get(bucket, none), lists.pop(bucket, [])
+                out.append((bucket, len(some) + len(mine), pack_sorted(key[some], n[some].astype(np.uint32)), _pack_words(mine, [words[w] for w in mine])))
+            for x in (keys, counts, words, others):
+                x.clear()
+            for i in range(0, len(out), 64):
+                at, n, data, packed = zip(*out[i : i + 64])
+                yield record(GATHERED, [1] * len(at), [task << 24 | done] * len(at), at, n, data, packed)
 
         for batch in blocks(batches, block):
-            yield rows(0, [many], [batch.num_rows], [freeze(batch)], [None])
+            yield record(GATHERED, [0], [task << 24 | done], [many], [batch.num_rows], [freeze(batch)], [None])
             lower = _lower(batch.column(1).to_pylist())
             train = ~batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             for t, learn in zip(lower, train.tolist()):
-                if learn:
-                    words.update(t.split())
-            texts += int(train.sum())
+                words.update(t.split()) if learn else others.update(t.split())
             every = stream(lower, depth)
             grams = every >> np.uint64(16)
             first = firsts(grams)
             keys.append(grams[first])
             counts.append(np.add.reduceat(train[(every & np.uint64(0xFFFF)).astype(np.int64)].astype(np.int64), first))
+            # The end is a token too, which no word can be.
+            words[b""] += int(train.sum())
             many += 1
             if many == group:
-                yield grams_out()
+                yield from flush()
                 done, many = done + 1, 0
-            if len(words) > HOLD_WORDS:
-                yield from words_out()
         if many:
-            yield grams_out()
-        if texts:
-            yield rows(3, [None], [texts], [None], [None])
-        yield from words_out()
+            yield from flush()
 
     return docs.mapInArrow(run, GATHERED)
 
@@ -327,32 +329,62 @@ def _merge(packed: Iterator[bytes], learnt: bool = False, hold: int = 1 << 21) -
     return merge_counts(keys, counts)
 
 
-MERGED = "bucket int, data binary"
-#: kind 0: a bucket's training grams (data); 1: a node of depth TOP - 1 (key) with its counts and the log of its children's product, as far as the bucket has it.
-SUMMED = "kind int, bucket int, data binary, key long, zeros double, ones double, below double"
+def _merge_words(packed: Iterator[bytes]) -> Counter:
+    """Sums of packed words; those without a count go."""
+    out: Counter = Counter()
+    for data in packed:
+        for w, n in zip(*_unpack_words(data)):
+            if n:
+                out[w] += n
+    return out
 
 
-def _packed_rows(key: np.ndarray, n: np.ndarray) -> Iterator[bytes]:
+MERGED = "bucket int, data binary, words binary"
+#: kind 0: a bucket's training grams (data) and words; 1: a node of depth TOP - 1 (key) with its counts and the log of its children's product, as far as the bucket has it; 2: ones words, zeros of them distinct.
+SUMMED = "kind int, bucket int, data binary, words binary, key long, zeros double, ones double, below double"
+
+
+def _packed_rows(key: np.ndarray, n: np.ndarray, words: Counter) -> Iterator[tuple[bytes | None, bytes | None]]:
+    """Grams and words, some in a row."""
     for i in range(0, len(key), ROW_GRAMS):
-        yield pack_sorted(key[i : i + ROW_GRAMS], n[i : i + ROW_GRAMS])
+        yield pack_sorted(key[i : i + ROW_GRAMS], n[i : i + ROW_GRAMS]), None
+    every = iter(words.items())
+    while some := list(itertools.islice(every, ROW_GRAMS)):
+        yield None, _pack_words(*zip(*some))
+
+
+def _merge_both(rows: Iterator[list], learnt: bool = False) -> tuple[np.ndarray, np.ndarray, Counter]:
+    """Merged grams and words of rows (data, words)."""
+    packed: list[bytes] = []
+
+    def grams():
+        for data, words in rows:
+            if words is not None:
+                packed.append(words)
+            if data is not None:
+                yield data
+
+    key, n = _merge(grams(), learnt)
+    return key, n, _merge_words(iter(packed))
 
 
 def _merge_salts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """MERGED of (bucket, salt, data) in this order."""
+    """MERGED of (bucket, salt, data, words) in this order."""
     for (bucket, _), rows in _keyed(batches, 2):
-        for data in _packed_rows(*_merge((r[0] for r in rows), learnt=True)):
-            yield record(MERGED, [bucket], [data])
+        for data, words in _packed_rows(*_merge_both(rows, learnt=True)):
+            yield record(MERGED, [bucket], [data], [words])
 
 
 def _sum_buckets(depth: int):
-    """SUMMED of (bucket, data) in this order."""
+    """SUMMED of (bucket, data, words) in this order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nothing = [None] * 5
         for (bucket,), rows in _keyed(batches, 1):
-            key, n = _merge(r[0] for r in rows)
-            for data in _packed_rows(key, n):
-                yield record(SUMMED, [0], [bucket], [data], *([x] for x in nothing[:4]))
+            key, n, counts = _merge_both(rows)
+            for data, words in _packed_rows(key, n, counts):
+                yield record(SUMMED, [0], [bucket], [data], [words], [None], [None], [None], [None])
+            yield record(SUMMED, [2], [bucket], [None], [None], [None], [len(counts)], [sum(counts.values())], [None])
+            del counts
             if not len(key):
                 continue
             level = subtree(key, n, depth)[0]
@@ -363,31 +395,34 @@ def _sum_buckets(depth: int):
             for i in range(0, len(first), 100_000):
                 part = slice(i, i + 100_000)
                 m = len(first[part])
-                yield record(SUMMED, [1] * m, [bucket] * m, [None] * m, up[order][first][part].astype(np.int64), *(x[part] for x in sums))
+                yield record(SUMMED, [1] * m, [bucket] * m, [None] * m, [None] * m, up[order][first][part].astype(np.int64), *(x[part] for x in sums))
 
     return run
 
 
-ANSWERS = "grp long, at int, data binary"
+ANSWERS = "grp long, at int, data binary, words binary"
 
 
 def _answer(broadcast, depth: int):
-    """ANSWERS of (bucket, salt, kind, grp, data) in this order: kind 0 are the bucket's training grams, 1 groups' grams."""
+    """ANSWERS of (bucket, salt, kind, grp, data, words) in this order: kind 0 are the bucket's training grams and words, 1 a group's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shallow = broadcast.value
         out: list[tuple] = []
-        for (bucket, _), rows in _keyed(batches, 2):
-            learnt: list[bytes] = []
+        for _, rows in _keyed(batches, 2):
+            learnt: list[tuple] = []
             model = None
-            for kind, grp, data in rows:
+            for kind, grp, data, words in rows:
                 if kind == 0:
-                    learnt.append(data)
+                    learnt.append((data, words))
                     continue
                 if model is None:
-                    model = Model(shallow, *_merge(iter(learnt)), depth)
+                    grams, n, counts = _merge_both(iter(learnt))
+                    model = Model(shallow, grams, n, depth)
+                    learnt.clear()
                 grams = unpack_sorted(data)[0]
-                out.append((grp, bucket, pack_sorted(grams, model.score(grams).astype(np.float32))))
+                asked = _unpack_words(words)[0]
+                out.append((grp, -1, pack_sorted(grams, model.score(grams).astype(np.float32)), _pack_words(asked, list(map(counts.__getitem__, asked)))))
                 if len(out) >= 64:
                     yield record(ANSWERS, *zip(*out))
                     out.clear()
@@ -397,22 +432,24 @@ def _answer(broadcast, depth: int):
     return run
 
 
-SCORED = "doc_id long, held_out boolean, n_tokens long, known long, logs double, value double, n_bytes long"
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, value double, n_bytes long"
 
 
-def _sum_texts(head, end_value: float, known_end: int, depth: int):
-    """SCORED with the tail words of each text, of (grp, at, data) in this order: a group's answers at -1, then its blocks."""
+def _sum_texts(depth: int):
+    """SCORED of (grp, at, data, words) in this order: a group's answers at -1, then its blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs = head.value
         for _, rows in _keyed(batches, 1):
             grams, scores = [], []
+            logs: dict[bytes, float] = {}
             table = None
-            for at, data in rows:
+            for at, data, words in rows:
                 if at < 0:
                     key, value = unpack_sorted(data)
                     grams.append(key)
                     scores.append(value)
+                    found, counts = _unpack_words(words)
+                    logs.update(zip(found, np.log10(np.array(counts) + 1.0).tolist()))
                     continue
                 if table is None:
                     key = np.concatenate(grams)
@@ -427,83 +464,56 @@ def _sum_texts(head, end_value: float, known_end: int, depth: int):
                 first = firsts(key)
                 value = table[1][np.searchsorted(table[0], key[first])]
                 value = np.bincount((every & np.uint64(0xFFFF)).astype(np.int64), np.repeat(value, np.diff(np.append(first, len(key)))), len(lower))
-                sums, known, tails, sizes = [], [], [], []
+                sums, known, sizes = [], [], []
                 for t in lower:
-                    tokens = t.split()
-                    found = list(map(logs.get, tokens))
-                    sizes.append(len(tokens) + 1)
-                    if None in found:
-                        tail = Counter([w for w, x in zip(tokens, found) if x is None])
-                        found = [x for x in found if x is not None]
-                        tails.append([{"word": w, "n": c} for w, c in tail.items()])
-                    else:
-                        tails.append([])
-                    sums.append(sum(found) + end_value)
-                    known.append(len(found) + known_end)
-                out = record(SCORED, batch.column(0), batch.column(2), sizes, known, sums, value, [len(t) for t in lower])
-                yield out.append_column("tail", pa.array(tails, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))))
+                    found = [*map(logs.__getitem__, t.split()), logs[b""]]
+                    sizes.append(len(found))
+                    sums.append(sum(found))
+                    known.append(len(found) - found.count(0.0))
+                yield record(SCORED, batch.column(0), batch.column(2), sizes, known, sums, value, [len(t) for t in lower])
 
     return run
 
 
-def score(
-    df: DataFrame, held_out, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text", head_words: int = HEAD_WORDS, block: int = BLOCK, group: int = GROUP, salt_grams: int = SALT_GRAMS
-) -> DataFrame:
+def score(df: DataFrame, held_out, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, group: int = GROUP, salt_grams: int = SALT_GRAMS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte of each row.
 
     held_out: a boolean Column over doc_id; those rows are not learnt from.
     """
     spark = df.sparkSession
     parts = shards(spark)
-    buckets = min(MOST_BUCKETS, parts)
+    buckets = min(MOST_BUCKETS, 2 * parts)
     docs = texts_of(df, id_col, text_col).withColumn("held_out", F.coalesce(held_out, F.lit(False)))
     gathered = stash(gather(docs, buckets, depth, block, group), "gathered", "none")
-    sent = gathered.where("kind = 1").select(F.col("at").alias("bucket"), "grp", "n", "data")
-    # At most MOST_BUCKETS rows.
-    salts = [(r["bucket"], -(-r["n"] // salt_grams)) for r in sent.groupBy("bucket").agg(F.sum("n").alias("n")).collect()]
-    salted = F.broadcast(spark.createDataFrame(salts or [(0, 1)], "bucket int, salts long"))
+    sent = gathered.where("kind = 1").select(F.col("at").alias("bucket"), "grp", "n", "data", "words")
+    # At most MOST_BUCKETS rows: the salts of each bucket, and the salts before it, so that tasks get equal numbers of them.
+    salts, before = [], 0
+    for r in sent.groupBy("bucket").agg(F.sum("n").alias("n")).orderBy("bucket").collect():
+        many = -(-r["n"] // salt_grams)
+        salts.append((r["bucket"], many, before))
+        before += many
+    salted = F.broadcast(spark.createDataFrame(salts or [(0, 1, 0)], "bucket int, salts int, before int"))
+    task = (F.col("before") + F.col("salt")) % parts
     asked = sent.join(salted, "bucket").withColumn("salt", F.pmod(F.xxhash64("grp"), "salts").cast("int"))
-    merged = asked.select("bucket", "salt", "data").repartition(parts, "bucket", "salt").sortWithinPartitions("bucket", "salt").mapInArrow(_merge_salts, MERGED)
-    summed = stash(merged.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_sum_buckets(depth), SUMMED), "summed", "none")
+    merged = asked.repartitionById(parts, task).select("bucket", "salt", "data", "words").sortWithinPartitions("bucket", "salt").mapInArrow(_merge_salts, MERGED)
+    summed = stash(merged.repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket").mapInArrow(_sum_buckets(depth), SUMMED), "summed", "none")
     top = summed.where("kind = 1").groupBy("key").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")]).toArrow()
     shallow = spark.sparkContext.broadcast(Shallow(top["key"].to_numpy().astype(np.uint64), *(top[c].to_numpy() for c in ("zeros", "ones", "below"))))
     del top
-    learnt = summed.where("kind = 0").join(salted, "bucket").select("bucket", F.explode(F.sequence(F.lit(0), F.col("salts").cast("int") - 1)).alias("salt"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("grp"), "data")
-    asks = learnt.unionByName(asked.select("bucket", "salt", F.lit(1).alias("kind"), "grp", "data"))
-    answers = asks.repartition(parts, "bucket", "salt").sortWithinPartitions("bucket", "salt", "kind").mapInArrow(_answer(shallow, depth), ANSWERS)
-
-    words = stash(gathered.where("kind = 2").groupBy("word").agg(F.sum("n").alias("c")), "words")
-    ends = gathered.where("kind = 3").agg(F.sum("n")).first()[0] or 0
-    size = words.agg(F.count(F.lit(1)).alias("v"), F.sum("c").alias("n")).first()
-    n, v = (size["n"] or 0) + ends, size["v"] + (ends > 0)
-    # The frequency from which words are broadcast: from a table of how many words have each frequency.
-    least, total = 1, 0
-    for row in words.where("c > 1").groupBy("c").count().orderBy(F.desc("c")).limit(head_words).collect():
-        total += row["count"]
-        if total > head_words:
-            least = row["c"] + 1
-            break
-    else:
-        least = 2
-    if v <= head_words:
-        least = 1
-    frequent = words.where(F.col("c") >= least).toArrow()
-    head = spark.sparkContext.broadcast(dict(zip(frequent["word"].to_pylist(), np.log10(frequent["c"].to_numpy() + 1.0).tolist())))
-    del frequent
-
-    groups = answers.select("grp", F.lit(-1).alias("at"), "data").unionByName(gathered.where("kind = 0").select("grp", "at", "data"))
-    rows = groups.repartition(parts, "grp").sortWithinPartitions("grp", "at").mapInArrow(_sum_texts(head, float(np.log10(ends + 1)), int(ends > 0), depth), SCORED + ", tail array<struct<word: binary, n: long>>")
-    # Rows are numbered where they are stored: a number must not depend on when it is read.
-    rows = stash(rows.withColumn("row", F.monotonically_increasing_id()), "scored")
-    tail = (
-        rows.select("row", F.explode("tail").alias("t"))
-        .select("row", "t.word", "t.n")
-        .join(words.where(F.col("c") < least), "word")
-        .groupBy("row")
-        .agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more_logs"))
-    )
-    base = F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(n + v + 1))
-    return rows.drop("tail").join(tail, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), F.round(base, 7).alias("base_score"),
+    totals = summed.where("kind = 2").agg(F.sum("zeros").alias("v"), F.sum("ones").alias("n")).first()
+    n, v = int(totals["n"] or 0), int(totals["v"] or 0)
+    learnt = summed.where("kind = 0").join(salted, "bucket").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    columns = ["bucket", "salt", "kind", "grp", "data", "words"]
+    asks = learnt.withColumn("grp", F.lit(None).cast("long")).select("before", *columns).unionByName(asked.withColumn("kind", F.lit(1)).select("before", *columns))
+    answers = asks.repartitionById(parts, task).select(*columns).sortWithinPartitions("bucket", "salt", "kind").mapInArrow(_answer(shallow, depth), ANSWERS)
+    # A task of the first pass made groups 0, 1, ... of its own: numbered through, they fill the partitions evenly.
+    most = gathered.where("kind = 0").agg(F.max(F.col("grp").bitwiseAND((1 << 24) - 1))).first()[0] or 0
+    number = F.shiftright("grp", 24) * (most + 1) + F.col("grp").bitwiseAND((1 << 24) - 1)
+    groups = answers.unionByName(gathered.where("kind = 0").select("grp", "at", "data", "words"))
+    rows = groups.repartitionById(parts, (number % parts).cast("int")).sortWithinPartitions("grp", "at").mapInArrow(_sum_texts(depth), SCORED)
+    rows = stash(rows, "scored")
+    base = F.col("logs") - F.col("n_tokens") * float(np.log10(n + v + 1))
+    return rows.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), F.round(base, 7).alias("base_score"),
         F.round("value", 7).alias("score"), "n_bytes", (-F.round("value", 7) / LOG10_2 / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
     )
