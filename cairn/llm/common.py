@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,29 +32,40 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more; it does so when the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def pin(df: DataFrame) -> DataFrame:
-    """Compute once into the shared folder; later reads survive a lost executor. For narrow tables."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+@contextmanager
+def _clean_up(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs here go when it ends: its result is stored, nothing reads them again."""
+    conf, key = spark.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key)
+    conf.set(key, "true")
+    try:
+        yield
+    finally:
+        conf.set(key, before)
 
 
 def stash(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write as Parquet into the shared folder and read it back: cuts lineage and keeps columns prunable."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/cairn/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
     # Rows may hold whole blocks: pages and row groups are checked often.
     sizes = {"parquet.page.size.row.check.min": 4, "parquet.block.size.row.check.min": 4, "parquet.block.size.row.check.max": 1000, "parquet.block.size": ROW_GROUP}
-    df.write.options(compression=codec, **{k: str(v) for k, v in sizes.items()}).parquet(path)
-    del df
-    release(spark)
-    return spark.read.schema(schema).parquet(path)
+    with _clean_up(spark):
+        df.write.options(compression=codec, **{k: str(v) for k, v in sizes.items()}).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def pin(df: DataFrame) -> DataFrame:
+    """Compute a narrow table once; later reads survive a lost executor."""
+    return stash(df, "pinned")
+
+
+def unstash(df: DataFrame) -> None:
+    """Delete what stash wrote for df, when everything that reads it is done."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def join_sized(big: DataFrame, small: DataFrame, on: str, how: str, size: int, limit: int) -> DataFrame:

@@ -5,6 +5,12 @@ two probes these bits: a row with a bit that no other row set is unique and pass
 the possibly repeated rows, shuffle: they are grouped by the SHA-256 of their text, which decides. False positives
 merely form groups of one.
 
+In pass one a row sends its bits' numbers, not its text: bitmaps of each task would be larger, as a task sets few of all
+bits. In pass two the bits come to the rows by a broadcast of FILTER_BYTES at most, at any size of the table. With 16 bits
+a row this serves 33 million rows; with more, the share of unique rows that are grouped in vain grows slowly (15 % at four
+times as many) and results stay the same. drop_copies moves whole rows, so it first finds, by narrow rows, which hashes
+really repeat, and its second filter holds only those.
+
 Defined cases: a null text is empty; empty texts are equal to each other; a null doc_id sorts after all others, so it
 stays only in a group of nulls; of rows with equal text and equal doc_id one stays; an empty table gives no rows;
 further columns, also ones named like the results, don't pass into the report.
@@ -22,8 +28,8 @@ HASHES = 2
 BITS_PER_ROW = 16
 #: Bits of one stored piece of the filter: what bitmap_construct_agg makes.
 PIECE_BITS = 32_768
-#: The filter is broadcast up to this size; beyond it, rows and set bits meet in a shuffle of hashes.
-BROADCAST_BYTES = 64 << 20
+#: Bytes of a broadcast filter at most.
+FILTER_BYTES = 64 << 20
 #: A group with at least 1/HOT_SHARE of all rows is hot; there are at most HOT_SHARE such groups, so they are broadcast.
 HOT_SHARE = 1024
 
@@ -34,49 +40,62 @@ def fingerprint(text: Column, normalise: bool = True) -> Column:
     return F.unhex(F.sha2(F.regexp_replace(text, SPACE, " ") if normalise else text, 256))
 
 
-def _size(n: int) -> int:
-    return max(PIECE_BITS, 1 << (max(1, n) * BITS_PER_ROW - 1).bit_length())
+def filter_bits(n: int, most_bytes: int = FILTER_BYTES) -> int:
+    """Bits of a filter for n hashes: BITS_PER_ROW each, as far as most_bytes allow."""
+    return max(PIECE_BITS, min(1 << (max(1, n) * BITS_PER_ROW - 1).bit_length(), 1 << max(0, (8 * most_bytes).bit_length() - 1)))
 
 
 def _bit(sha: Column, i: int, bits: int) -> Column:
     return F.pmod(F.xxhash64(sha, F.lit(i)), F.lit(bits))
 
 
+def _bits(hashes: DataFrame, bits: int, column: str) -> DataFrame:
+    return hashes.select(F.explode(F.array(*[_bit(F.col(column), i, bits) for i in range(HASHES)])).alias("bit"))
+
+
 def repeated_bits(hashes: DataFrame, bits: int, column: str = "sha") -> DataFrame:
     """(bit): the bits of the filter that more than one row set. Counts are summed before they shuffle."""
-    each = hashes.select(F.explode(F.array(*[_bit(F.col(column), i, bits) for i in range(HASHES)])).alias("bit"))
-    return each.groupBy("bit").count().where("count > 1").select("bit")
-
-
-def flag_repeats(df: DataFrame, bits_set: DataFrame, bits: int, column: str = "sha", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """df with possible boolean: false if no other row can have this hash. bits_set: the output of repeated_bits."""
-    if bits // 8 <= broadcast_bytes:
-        pieces = bits_set.groupBy((F.col("bit") / PIECE_BITS).cast("long").alias("_piece")).agg(F.bitmap_construct_agg((F.col("bit") % PIECE_BITS)).alias("_bitmap"))
-        possible = F.lit(True)
-        for i in range(HASHES):
-            bit = _bit(F.col(column), i, bits)
-            piece = pieces.select(F.col("_piece").alias(f"_piece{i}"), F.col("_bitmap").alias(f"_bitmap{i}"))
-            df = df.withColumn(f"_at{i}", bit).join(F.broadcast(piece), F.floor(F.col(f"_at{i}") / PIECE_BITS) == F.col(f"_piece{i}"), "left")
-            octet = F.conv(F.hex(F.substring(F.col(f"_bitmap{i}"), (F.floor((F.col(f"_at{i}") % PIECE_BITS) / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-            mask = F.element_at(F.array(*[F.lit(1 << j) for j in range(8)]), (F.col(f"_at{i}") % 8 + 1).cast("int"))
-            possible = possible & F.coalesce(octet.bitwiseAND(mask) != 0, F.lit(False))
-        return df.withColumn("possible", possible).drop(*[f"_{x}{i}" for i in range(HASHES) for x in ("at", "piece", "bitmap")])
-    for i in range(HASHES):
-        some = bits_set.select(F.col("bit").alias(f"_at{i}"), F.lit(True).alias(f"_hit{i}"))
-        df = df.withColumn(f"_at{i}", _bit(F.col(column), i, bits)).join(some, f"_at{i}", "left")
-    hit = F.lit(True)
+    return _bits(hashes, bits, column).groupBy("bit").count().where("count > 1").select("bit")
+
+
+def flag_set(df: DataFrame, bits_set: DataFrame, bits: int, column: str = "sha") -> DataFrame:
+    """df with possible boolean: whether all bits of the row's hash are in bits_set (bit), which is broadcast as bitmaps: bits / 8 bytes at most."""
+    pieces = pin(bits_set.groupBy((F.col("bit") / PIECE_BITS).cast("long").alias("_piece")).agg(F.bitmap_construct_agg((F.col("bit") % PIECE_BITS)).alias("_bitmap")))
+    possible = F.lit(True)
     for i in range(HASHES):
-        hit = hit & F.coalesce(F.col(f"_hit{i}"), F.lit(False))
-    return df.withColumn("possible", hit).drop(*[f"_{x}{i}" for i in range(HASHES) for x in ("at", "hit")])
+        bit = _bit(F.col(column), i, bits)
+        piece = pieces.select(F.col("_piece").alias(f"_piece{i}"), F.col("_bitmap").alias(f"_bitmap{i}"))
+        df = df.withColumn(f"_at{i}", bit).join(F.broadcast(piece), F.floor(F.col(f"_at{i}") / PIECE_BITS) == F.col(f"_piece{i}"), "left")
+        octet = F.conv(F.hex(F.substring(F.col(f"_bitmap{i}"), (F.floor((F.col(f"_at{i}") % PIECE_BITS) / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        mask = F.element_at(F.array(*[F.lit(1 << j) for j in range(8)]), (F.col(f"_at{i}") % 8 + 1).cast("int"))
+        possible = possible & F.coalesce(octet.bitwiseAND(mask) != 0, F.lit(False))
+    return df.withColumn("possible", possible).drop(*[f"_{x}{i}" for i in range(HASHES) for x in ("at", "piece", "bitmap")])
+
+
+def flag_repeats(df: DataFrame, n: int, column: str = "sha", most_bytes: int = FILTER_BYTES) -> DataFrame:
+    """df, of n narrow rows, with possible boolean: false if no other row can have this hash."""
+    bits = filter_bits(n, most_bytes)
+    return flag_set(df, repeated_bits(df, bits, column), bits, column)
+
+
+def repeats(hashes: DataFrame, column: str = "sha", most_bytes: int = FILTER_BYTES) -> DataFrame:
+    """(column): the values that more than one row has. hashes is stored and narrow."""
+    possible = flag_repeats(hashes.select(column), hashes.count(), column, most_bytes).where("possible")
+    return pin(possible.groupBy(column).count().where("count > 1").select(column))
+
+
+def flag_members(df: DataFrame, values: DataFrame, column: str, most_bytes: int = FILTER_BYTES) -> DataFrame:
+    """df with possible boolean: false where the column's value isn't in values, which is stored. Nothing of df shuffles."""
+    bits = filter_bits(values.count(), most_bytes)
+    return flag_set(df, _bits(values, bits, column).distinct(), bits, column)
 
 
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise: bool = True, broadcast_bytes: int = BROADCAST_BYTES, extras: dict[str, Column] | None = None) -> DataFrame:
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise: bool = True, most_bytes: int = FILTER_BYTES, extras: dict[str, Column] | None = None) -> DataFrame:
     """One row for each row of df: doc_id, keep_id (of the row that stays), group_size, kept, text_sha256 (hex), and extras (narrow columns over df by name)."""
     extras = extras or {}
     rows = pin(df.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint(F.col(text_col), normalise).alias("sha"), F.monotonically_increasing_id().alias("row"), *[c.alias(k) for k, c in extras.items()]))
     n = rows.count()
-    bits = _size(n)
-    marked = pin(flag_repeats(rows, repeated_bits(rows, bits), bits, broadcast_bytes=broadcast_bytes))
+    marked = pin(flag_repeats(rows, n, most_bytes=most_bytes))
     unique = marked.where("not possible").select("doc_id", "sha", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), *extras)
     maybe = marked.where("possible").drop("possible")
     groups = pin(
@@ -95,13 +114,12 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     )
 
 
-def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise: bool = True) -> DataFrame:
+def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise: bool = True, most_bytes: int = FILTER_BYTES) -> DataFrame:
     """The rows of df, all columns, without those whose text a row with a smaller id has. Unique rows don't shuffle."""
     columns = df.columns
     tagged = df.withColumn("_cairn_sha", fingerprint(F.col(text_col), normalise))
-    hashes = pin(tagged.select(F.col("_cairn_sha").alias("sha")))
-    bits = _size(hashes.count())
-    marked = flag_repeats(tagged, pin(repeated_bits(hashes, bits)), bits, "_cairn_sha")
+    repeated = repeats(pin(tagged.select("_cairn_sha")), "_cairn_sha", most_bytes)
+    marked = flag_members(tagged, repeated, "_cairn_sha", most_bytes)
     whole = F.struct(*[F.col(f"`{c}`") for c in columns])
     first = (
         marked.where("possible")

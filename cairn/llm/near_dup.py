@@ -4,15 +4,19 @@ Documents are sets of hashes of WIDTH words in a row; links are pairs of differe
 THRESHOLD or more. Documents of equal sets form a class, which its smallest id represents; links join classes.
 
 1. Candidates: MinHash values in BANDS bands of ROWS (a pair at the threshold shares none with probability 5e-8).
-   Bands that no other class shares are dropped without a shuffle by a Bloom filter.
+   Which bands really repeat is found on narrow rows; signatures move for these alone, and for the few that a Bloom
+   filter of bounded size takes for them.
 2. Within a band's bucket, pairs compare their MinHash values STEP at a time. After n values with m agreements and a
    uniform prior, the similarity is Beta(m + 1, n - m + 1); a pair is dropped when the posterior probability that it
    reaches the threshold is below TOLERANCE. The pairs that survive connect classes to clumps.
 3. Within a clump every pair goes through the same pruning once, and what survives is verified on the whole sets. So no
    link is counted twice, and pairs are never rows: a task returns link counts, and edges to one member a component.
 
-Buckets and clumps larger than BLOCK are split in blocks, and pairs of blocks are tasks of their own: no group is
-gathered in one place, and none is capped. A pair is lost only with the probabilities above.
+Buckets and clumps of more than BLOCK members or SET_BYTES of sets are split in blocks, and pairs of blocks are tasks of
+their own: no group is gathered in one place, and none is capped. A pair is lost only with the probabilities above.
+
+A class is known by the row that represents it, and its text by 128 bits of hash of id and text: ids may be null or
+repeat.
 
 Defined cases: fewer than WIDTH words make one shingle of all of them; null and empty texts have no shingle, are equal
 to each other and link to nothing; a null doc_id is larger than any; equal ids with different texts count as they are;
@@ -32,16 +36,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import join_sized, map_arrow, pin, slices, stash, texts_of
+from cairn.llm.blocks import by_bucket
+from cairn.llm.common import map_arrow, pin, shards, slices, stash, texts_of
 from cairn.llm.components import components
-from cairn.llm.exact_dedup import _size, exact_dedup, flag_repeats, repeated_bits
+from cairn.llm.exact_dedup import FILTER_BYTES, exact_dedup, flag_members, repeats
 
 WIDTH, THRESHOLD = 5, 0.8
 VALUES, ROWS = 128, 4
 BANDS = VALUES // ROWS
 STEP, TOLERANCE = 8, 1e-6
-BLOCK = 1024
-BROADCAST_BYTES = 64 << 20
+BLOCK, SET_BYTES = 1024, 16 << 20
 
 _ODD = np.random.default_rng(2718).integers(0, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.random.default_rng(3141).integers(0, 1 << 63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -137,7 +141,7 @@ class Forest:
 
 
 def signatures(df: DataFrame) -> DataFrame:
-    """(doc_id, n, digest, sig, bands) of (doc_id, text): size and digest of the set, 16 bits of each MinHash value, keys of its bands."""
+    """(doc_id, h, g, n, digest, sig, bands) of (doc_id, text, h, g): size and digest of the set, 16 bits of each MinHash value, keys of its bands."""
 
     def make():
         def each(batch: pa.RecordBatch):
@@ -155,22 +159,24 @@ def signatures(df: DataFrame) -> DataFrame:
                         keys ^= keys >> np.uint64(31)
                     bands.append(keys.astype(np.int64) if len(s) else np.zeros(0, dtype=np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int32()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                    names=["doc_id", "n", "digest", "sig", "bands"],
+                    [part.column(0), part.column(2), part.column(3), pa.array(n, pa.int32()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                    names=["doc_id", "h", "g", "n", "digest", "sig", "bands"],
                 )
 
         return each
 
-    return map_arrow(df, make, "doc_id long, n int, digest binary, sig binary, bands array<long>")
+    return map_arrow(df.select("doc_id", "text", "h", "g"), make, "doc_id long, h long, g long, n int, digest binary, sig binary, bands array<long>")
 
 
-def _blocked(rows: DataFrame, key: str, block: int) -> DataFrame:
-    """rows with (bi, bj, side): once for each pair of blocks of its group that its block is in. Groups up to block have one."""
-    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > block)
-    blocks = F.coalesce(F.ceil(F.col("members") / block), F.lit(1)).cast("int")
-    numbered = rows.join(sizes, key, "left").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks")).cast("int"))
+def _blocked(rows: DataFrame, key: str, block: int, set_bytes: int | None = None) -> DataFrame:
+    """rows with (bi, bj, side): once for each pair of blocks of its group that its block is in. Groups up to block members (and set_bytes of sets) have one."""
+    blocks = F.ceil(F.count(F.lit(1)) / block)
+    if set_bytes is not None:
+        blocks = F.greatest(blocks, F.ceil(F.sum(F.col("n").cast("long")) * 8 / set_bytes))
+    sizes = rows.groupBy(key).agg(blocks.cast("int").alias("blocks")).where("blocks > 1")
+    numbered = rows.join(sizes, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("mine", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks")).cast("int"))
     each = numbered.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return each.withColumn("bi", F.least("mine", "other")).withColumn("bj", F.greatest("mine", "other")).withColumn("side", (F.col("mine") == F.col("bj")).cast("int")).drop("members", "blocks", "mine", "other")
+    return each.withColumn("bi", F.least("mine", "other")).withColumn("bj", F.greatest("mine", "other")).withColumn("side", (F.col("mine") == F.col("bj")).cast("int")).drop("blocks", "mine", "other")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list]:
@@ -240,22 +246,38 @@ def _pruned_edges(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
+def common(sets: list[np.ndarray], i: int, j: np.ndarray) -> np.ndarray:
+    """How many values the sorted set i shares with each of the sets j (none is empty)."""
+    mine = sets[i]
+    theirs = np.concatenate([sets[k] for k in j])
+    ends = np.cumsum([len(sets[k]) for k in j])
+    hit = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+    return np.add.reduceat(hit.astype(np.int64), np.concatenate(([0], ends[:-1])))
+
+
 def _links(rows: DataFrame) -> DataFrame:
     """(a, b, n): b null: a has n links in this pair of blocks; else an edge of a component of links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _groups(batches, []):
             table, rep, n, side, sig, within = _sides(held)
-            sets = [frozenset(np.frombuffer(x, dtype=np.uint64).tolist()) for x in table["sets"].to_pylist()] if len(rep) > 1 else []
+            if len(rep) < 2:
+                continue
+            sets = [np.frombuffer(x, dtype=np.uint64) for x in table["sets"].to_pylist()]
             count = np.zeros(len(rep), dtype=np.int64)
             forest = Forest()
-            for i, j in _found_pairs(rep, n, side, sig, within) if len(rep) > 1 else ():
-                for x, y in zip(i.tolist(), j.tolist()):
-                    both = len(sets[x] & sets[y])
-                    if both >= THRESHOLD * (n[x] + n[y] - both) - 1e-9:
-                        count[x] += 1
-                        count[y] += 1
-                        forest.join(int(rep[x]), int(rep[y]))
+            for i, j in _found_pairs(rep, n, side, sig, within):
+                for x, some in by_bucket(i):
+                    # Some megabytes of sets at a time.
+                    for others in np.array_split(j[some], max(1, int(n[j[some]].sum()) >> 20)):
+                        if not len(others):
+                            continue
+                        both = common(sets, x, others)
+                        linked = others[both >= THRESHOLD * (n[x] + n[others] - both) - 1e-9]
+                        count[x] += len(linked)
+                        np.add.at(count, linked, 1)
+                        for y in linked.tolist():
+                            forest.join(int(rep[x]), int(rep[y]))
             some = np.flatnonzero(count)
             edges = forest.edges()
             yield pa.RecordBatch.from_arrays(
@@ -279,36 +301,48 @@ def _with_sets(df: DataFrame) -> DataFrame:
     return map_arrow(df.select("rep", "key", "n", "sig", "text"), make, "rep long, key long, n int, sig binary, sets binary")
 
 
-def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def _matched(wide: DataFrame, narrow: DataFrame, on: str, how: str, most_bytes: int) -> DataFrame:
+    """wide joined to narrow, which is stored: rows of wide that have no partner don't shuffle, but for what a filter of bounded size lets through."""
+    marked = flag_members(wide, narrow.select(on), on, most_bytes)
+    some = marked.where("possible").drop("possible").join(narrow.hint("shuffle_merge"), on, how)
+    if how == "inner":
+        return some
+    rest = marked.where("not possible").drop("possible")
+    if how == "left":
+        for field in narrow.schema.fields:
+            if field.name != on:
+                rest = rest.withColumn(field.name, F.lit(None).cast(field.dataType))
+    return rest.select(*[F.col(f"`{c}`") for c in some.columns]).unionByName(some)
+
+
+def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, most_bytes: int = FILTER_BYTES, set_bytes: int = SET_BYTES) -> DataFrame:
     """doc_id, class_id (of the component of links), copy_id (of the class of equal sets), n_copies, n_links (to other classes), kept (one of each component) of each row."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    docs = texts_of(df, id_col, text_col)
+    parts = shards(df.sparkSession)
+    docs = texts_of(df, id_col, text_col).withColumns({"h": F.xxhash64("doc_id", "text", F.lit(1)), "g": F.xxhash64("doc_id", "text", F.lit(2))})
     made = signatures(docs)
-    # Classes: exact dedup of the sets' digests. Their rows carry what the join needs.
-    members = stash(exact_dedup(made.withColumn("digest", F.hex("digest")), "doc_id", "digest", False, extras={"n": F.col("n"), "sig": F.col("sig"), "bands": F.col("bands"), "uid": F.xxhash64("digest")}), "members")
-    reps = members.where("kept and n > 0").select(F.col("uid").alias("rep"), "doc_id", "n", "sig", "bands")
-    keys = reps.select("rep", F.explode("bands").alias("key"))
-    bits = _size(keys.count())
-    rows = flag_repeats(reps.select("rep", "n", "sig", F.explode("bands").alias("key")), pin(repeated_bits(keys, bits, "key")), bits, "key", broadcast_bytes).where("possible").drop("possible")
-    shared = _blocked(rows, "key", block).repartition(parts, "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-    clumps = pin(components(_pruned_edges(shared)))
+    # Classes: exact dedup of the sets' digests. Their rows carry what the join needs, and a number that is stored with them.
+    extras = {c: F.col(c) for c in ("h", "g", "n", "sig", "bands")}
+    members = exact_dedup(made.withColumn("digest", F.hex("digest")), "doc_id", "digest", False, extras=extras, most_bytes=most_bytes)
+    members = stash(members.withColumns({"rep": F.monotonically_increasing_id(), "sha": F.unhex("text_sha256")}).drop("text_sha256"), "members")
+    reps = members.where("kept and n > 0")
+    keys = reps.select(F.explode("bands").alias("key"))
+    rows = reps.select("rep", "n", "sig", F.explode("bands").alias("key"))
+    shared = flag_members(rows, repeats(keys, "key", most_bytes), "key", most_bytes).where("possible").drop("possible")
+    shared = _blocked(shared, "key", block).repartition(parts, "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
+    clumps = stash(components(_pruned_edges(shared)).select(F.col("node").alias("rep"), F.col("root").alias("key")), "components")
     # Sets are needed of classes in clumps alone.
-    chosen = stash(clumps.join(reps.select(F.col("rep").alias("node"), "doc_id", "n", "sig"), "node").select(F.col("node").alias("rep"), F.col("root").alias("key"), "doc_id", "n", "sig"), "clumps")
-    size = 340 * chosen.count()
-    # A class's text is that of its smallest id; of repeated ids the right text has the class's digest.
-    texts = join_sized(docs.where("doc_id is not null"), chosen.where("doc_id is not null"), "doc_id", "inner", size, broadcast_bytes)
-    found = _with_sets(texts)
-    found = found.where(F.octet_length("sets") == F.col("n") * 8)
-    whole = _blocked(stash(found, "sets"), "key", block).repartition(parts, "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
+    chosen = stash(_matched(reps.select("rep", "h", "g", "n", "sig"), clumps, "rep", "inner", most_bytes), "clumps")
+    texts = flag_members(docs, chosen.select("h"), "h", most_bytes).where("possible").groupBy("h", "g").agg(F.first("text").alias("text"))
+    sets = stash(_with_sets(texts.join(chosen.hint("shuffle_merge"), ["h", "g"])), "sets")
+    whole = _blocked(sets, "key", block, set_bytes).repartition(parts, "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
     links = stash(_links(whole), "links")
-    counts = links.where("b is null").groupBy(F.col("a").alias("uid")).agg(F.sum("n").alias("n_links"))
-    roots = components(links.where("b is not null").select("a", "b")).select(F.col("node").alias("uid"), "root")
-    # Components are known by hashes of classes; the class id is the least id in each.
-    ids = reps.select(F.col("rep").alias("uid"), F.col("doc_id").alias("least"))
-    placed = pin(roots.join(ids, "uid").join(counts, "uid", "left"))
+    counts = links.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n_links"))
+    roots = pin(components(links.where("b is not null").select("a", "b")).select(F.col("node").alias("rep"), "root"))
+    # The class id is the least id in each component.
+    placed = pin(_matched(reps.select("rep", "sha", F.col("doc_id").alias("least")), roots, "rep", "inner", most_bytes).join(counts, "rep", "left"))
     named = placed.groupBy("root").agg(F.min("least").alias("class_id"))
-    info = pin(placed.join(named, "root").select("uid", "class_id", "n_links"))
-    out = join_sized(members, info, "uid", "left", 40 * info.count(), broadcast_bytes)
+    info = pin(placed.join(named, "root").select("sha", "class_id", "n_links"))
+    out = _matched(members.select("doc_id", "keep_id", "group_size", "kept", "sha"), info, "sha", "left", most_bytes)
     class_id = F.coalesce("class_id", "keep_id")
     return out.select(
         "doc_id", class_id.alias("class_id"), F.col("keep_id").alias("copy_id"), F.col("group_size").alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
@@ -316,9 +350,8 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_bytes: int = FILTER_BYTES) -> DataFrame:
     """The rows of df, all columns, one of each component of links. Rows of one id stay if one of them stays; rows without an id stay."""
-    found = jaccard_join(df, id_col, text_col, broadcast_bytes=broadcast_bytes)
+    found = jaccard_join(df, id_col, text_col, most_bytes=most_bytes)
     gone = pin(found.groupBy("doc_id").agg(F.bool_or("kept").alias("stays")).where("doc_id is not null and not stays").select(F.col("doc_id").alias("_cairn_id")))
-    small = F.broadcast(gone) if 24 * gone.count() <= broadcast_bytes else gone
-    return df.join(small, F.col(id_col).cast("long") == F.col("_cairn_id"), "left_anti")
+    return _matched(df.withColumn("_cairn_id", F.col(id_col).cast("long")), gone, "_cairn_id", "left_anti", most_bytes).select(*[F.col(f"`{c}`") for c in df.columns])

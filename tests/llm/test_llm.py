@@ -57,19 +57,32 @@ def expected_copies(rows):
 
 @pytest.mark.parametrize("limit", [64 << 20, 0])
 def test_exact_dedup(awkward, limit):
-    got = exact_dedup.exact_dedup(awkward, broadcast_bytes=limit).collect()
+    got = exact_dedup.exact_dedup(awkward, most_bytes=limit).collect()
     assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got) == expected_copies(AWKWARD)
     kept = Counter(r["text_sha256"] for r in got if r["kept"])
     assert set(kept.values()) == {1} and set(kept) == {r["text_sha256"] for r in got}
 
 
-def test_drop_copies_keeps_columns(awkward, nothing):
-    out = exact_dedup.drop_copies(awkward)
+@pytest.mark.parametrize("limit", [64 << 20, 0])
+def test_drop_copies_keeps_columns(awkward, nothing, limit):
+    out = exact_dedup.drop_copies(awkward, most_bytes=limit)
     assert out.columns == awkward.columns
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in out.collect()) == [(False, i) for i in (1, 3, 4, 6, 7, 8, 9, 10, 11, 12)] + [(True, 0)]
     assert exact_dedup.drop_copies(nothing).count() == 0 and exact_dedup.exact_dedup(nothing).count() == 0
 
 
+def test_unique_texts_do_not_shuffle(spark):
+    # A filter far too small for its rows: hashes that no other row has may be grouped in vain, texts move for repeated ones alone.
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(3000)] + [(3000 + i, f"text {i}") for i in range(20)], "doc_id long, text string")
+    hashes = common.pin(docs.select(exact_dedup.fingerprint(F.col("text")).alias("sha")))
+    small = 4096  # one piece of 32,768 bits; pass one would need 48,320
+    assert exact_dedup.repeats(hashes, "sha", small).count() == 20
+    tagged = docs.withColumn("sha", exact_dedup.fingerprint(F.col("text")))
+    assert exact_dedup.flag_members(tagged, exact_dedup.repeats(hashes, "sha", small), "sha", small).where("possible").count() == 40
+    out = exact_dedup.drop_copies(docs, most_bytes=small)
+    assert sorted(r["doc_id"] for r in out.collect()) == list(range(3000))
+
+
 # --- MPEG ---
 
 
@@ -543,10 +556,30 @@ def test_jaccard_join(spark, block):
             rows.append((len(rows), " ".join(w)))
     rows += [(len(rows) + i, t) for i, t in enumerate(["", " ", "one two", "one  two", "one two three"])]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {x[0]: tuple(x[1:]) for x in near_dup.jaccard_join(df, block=block).select("doc_id", "class_id", "copy_id", "n_copies", "n_links", "kept").collect()}
+    got = {x[0]: tuple(x[1:]) for x in near_dup.jaccard_join(df, block=block, **({"most_bytes": 0, "set_bytes": 2000} if block == 8 else {})).select("doc_id", "class_id", "copy_id", "n_copies", "n_links", "kept").collect()}
     assert got == brute_join(rows)
 
 
+def test_jaccard_null_and_repeated_ids(spark):
+    base = sentence(900, 200).split()
+    near = [" ".join([*base[:k], "other", *base[k + 1 :]]) for k in (20, 90, 150)]
+    schema = "doc_id long, text string"
+    out = near_dup.jaccard_join(spark.createDataFrame([(None, near[0]), (None, near[1]), (1, near[2])], schema)).collect()
+    assert [(r["class_id"], r["n_links"], r["n_copies"]) for r in out] == [(1, 2, 1)] * 3
+    out = near_dup.jaccard_join(spark.createDataFrame([(10, near[0]), (10, near[1]), (11, near[2])], schema)).collect()
+    assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in out) == [(10, 10, 2), (10, 10, 2), (11, 10, 2)]
+    # The same row many times is one class, with links counted once; so are copies without an id.
+    rows = [(10, near[0])] * 5 + [(None, near[1])] * 3 + [(11, near[2]), (12, near[2])]
+    out = near_dup.jaccard_join(spark.createDataFrame(rows, schema)).collect()
+    assert len(out) == 10 and {(r["class_id"], r["n_links"]) for r in out} == {(10, 2)} and sum(r["n_copies"] for r in out) == 5 * 5 + 3 * 3 + 2 * 2
+
+
+def test_common_values():
+    r = np.random.default_rng(8)
+    sets = [np.unique(r.integers(0, 60, n).astype(np.uint64)) for n in (5, 30, 1, 50)]
+    assert near_dup.common(sets, 1, np.array([0, 2, 3])).tolist() == [len(np.intersect1d(sets[1], sets[k])) for k in (0, 2, 3)]
+
+
 def test_pruning_bound():
     # What is dropped can hardly reach the threshold; what agrees everywhere stays.
     assert near_dup.fewest(128) < 0.8 * 128 and near_dup.fewest(8) <= 1
