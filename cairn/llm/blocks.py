@@ -113,6 +113,22 @@ def by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(bucket[order[i]]), order[i:j]
 
 
+def keyed(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[tuple, Iterator[list]]]:
+    """(key, other columns row by row) of runs of rows with equal values in the first n columns. A run must be used up before the next."""
+    each = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+    row = next(each, None)
+
+    def run():
+        nonlocal row
+        key = row[:n]
+        while row is not None and row[:n] == key:
+            yield row[n:]
+            row = next(each, None)
+
+    while row is not None:
+        yield row[:n], run()
+
+
 def spread(keys: np.ndarray, buckets: int) -> np.ndarray:
     """A bucket for each number."""
     h = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)

@@ -37,13 +37,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.blocks import blocks, by_bucket, firsts, freeze, merge_counts, pack, pack_sorted, record, spread, thaw, unpack, unpack_sorted
+from cairn.llm.blocks import blocks, by_bucket, firsts, freeze, keyed, merge_counts, pack, pack_sorted, record, spread, thaw, unpack, unpack_sorted
 from cairn.llm.common import shards, stash, texts_of
 
 #: Bytes of context. Five is the most that fits beside a row number in 64 bits.
 DEPTH = 5
 #: Bytes of text in a block, and blocks that merge their grams and words.
-BLOCK, GROUP = 2 << 20, 8
+BLOCK, GROUP = 1 << 20, 16
 #: Grams that one task takes of a bucket, about; a bucket with more has salts. Grams in one stored row.
 SALT_GRAMS, ROW_GRAMS = 1 << 24, 1 << 20
 #: Buckets at most: a row of a group's grams should stay worth sending.
@@ -298,22 +298,6 @@ def _bucket(grams: np.ndarray, buckets: int, depth: int) -> np.ndarray:
     return np.repeat(spread(recent[first], buckets), np.diff(np.append(first, len(grams))))
 
 
-def _keyed(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[tuple, Iterator[list]]]:
-    """(key, other columns row by row) of runs of rows with equal values in the first n columns. A run must be used up before the next."""
-    each = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
-    row = next(each, None)
-
-    def run():
-        nonlocal row
-        key = row[:n]
-        while row is not None and row[:n] == key:
-            yield row[n:]
-            row = next(each, None)
-
-    while row is not None:
-        yield row[:n], run()
-
-
 def _merge(packed: Iterator[bytes], learnt: bool = False, hold: int = 1 << 21) -> Table:
     """Sums of packed grams, merged as they come. learnt: those without a count go."""
     keys, counts = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
@@ -370,7 +354,7 @@ def _merge_both(rows: Iterator[list], learnt: bool = False) -> tuple[np.ndarray,
 
 def _merge_salts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """MERGED of (bucket, salt, data, words) in this order."""
-    for (bucket, _), rows in _keyed(batches, 2):
+    for (bucket, _), rows in keyed(batches, 2):
         for data, words in _packed_rows(*_merge_both(rows, learnt=True)):
             yield record(MERGED, [bucket], [data], [words])
 
@@ -379,7 +363,7 @@ def _sum_buckets(depth: int):
     """SUMMED of (bucket, data, words) in this order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (bucket,), rows in _keyed(batches, 1):
+        for (bucket,), rows in keyed(batches, 1):
             key, n, counts = _merge_both(rows)
             for data, words in _packed_rows(key, n, counts):
                 yield record(SUMMED, [0], [bucket], [data], [words], [None], [None], [None], [None])
@@ -409,7 +393,7 @@ def _answer(broadcast, depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shallow = broadcast.value
         out: list[tuple] = []
-        for _, rows in _keyed(batches, 2):
+        for _, rows in keyed(batches, 2):
             learnt: list[tuple] = []
             model = None
             for kind, grp, data, words in rows:
@@ -439,7 +423,7 @@ def _sum_texts(depth: int):
     """SCORED of (grp, at, data, words) in this order: a group's answers at -1, then its blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _keyed(batches, 1):
+        for _, rows in keyed(batches, 1):
             grams, scores = [], []
             logs: dict[bytes, float] = {}
             table = None

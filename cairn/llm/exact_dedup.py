@@ -114,11 +114,15 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     )
 
 
-def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise: bool = True, most_bytes: int = FILTER_BYTES) -> DataFrame:
-    """The rows of df, all columns, without those whose text a row with a smaller id has. Unique rows don't shuffle."""
+def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise: bool = True, most_bytes: int = FILTER_BYTES, repeated: DataFrame | None = None) -> DataFrame:
+    """The rows of df, all columns, without those whose text a row with a smaller id has. Unique rows don't shuffle.
+
+    repeated: (_cairn_sha), stored, of the texts that repeat, where they are known already.
+    """
     columns = df.columns
     tagged = df.withColumn("_cairn_sha", fingerprint(F.col(text_col), normalise))
-    repeated = repeats(pin(tagged.select("_cairn_sha")), "_cairn_sha", most_bytes)
+    if repeated is None:
+        repeated = repeats(pin(tagged.select("_cairn_sha")), "_cairn_sha", most_bytes)
     marked = flag_members(tagged, repeated, "_cairn_sha", most_bytes)
     whole = F.struct(*[F.col(f"`{c}`") for c in columns])
     first = (

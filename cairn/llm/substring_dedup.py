@@ -4,16 +4,21 @@ Suffixes are sorted by bucket-pointer refinement (bucket_classes): buckets of eq
 their suffixes on the bucket pointers at later offsets, and every round uses the pointers that the rounds before have
 refined, so the known depth doubles. Refinement stops at LENGTH bytes, where a bucket is a class of equal strings.
 
-Sorting all suffixes of the corpus would move many times its size. So the first buckets are made where the text lies:
-each LENGTH-byte string has an anchor, the least hash of its SEED-byte parts, and equal strings have equal anchors.
-Successive strings of one anchor form a run; a run moves as two hashes, of the anchor and of all its bytes. Where a
-run's bytes are found in a smaller document too, all of it is settled. Only runs whose anchor another document has
-with other bytes around it send their text, and bucket-pointer refinement finds which of their strings repeat.
-Runs that repeat within a task are settled there, so a passage that many documents share sends a row a task.
-
-Documents of equal text are represented by one: of the others, all strings repeat.
-
-Runs are compared by their count, 64 bits of hash of all their bytes and 32 of their anchor; documents by SHA-256; strings within runs byte by byte.
+Sorting all suffixes of the corpus would move many times its size. What sorting can't change is settled before:
+
+1. Initial buckets are anchors: each LENGTH-byte string has one, the least hash of its SEED-byte parts, and equal strings
+   have equal anchors. Successive strings of one anchor form a run. Texts are packed in blocks; GROUP blocks of a task
+   send the distinct anchors they have (48 bits each) and get back those that another run has: a bucket of one run is
+   sorted already.
+2. Runs of the other anchors move as hashes. Copies of one run collapse to the one in the smallest document, and the
+   others are settled: all their strings repeat. Copies within a group collapse there, so a passage that many documents
+   share sends a row a group.
+3. Where a bucket still has different runs of different documents, their text moves, and bucket-pointer refinement finds
+   which strings repeat. An anchor with more than SPREAD runs is hot: its runs are dealt by the hash of all their bytes
+   (equal ones still meet), and what is left of them sends each string to a bucket of its own.
+
+Documents of equal text (by SHA-256) are represented by one: of the others, all strings repeat. Copies of runs are told
+by their count of strings, a 64-bit hash of all their bytes and 32 bits of their anchor's; strings by their bytes.
 
 Defined cases: a null text is empty; texts shorter than LENGTH keep all; a null doc_id is larger than any; rows of one
 doc_id don't remove from each other, and repeated rows have equal results; an empty table gives no rows.
@@ -26,21 +31,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import join_sized, map_arrow, slices, stash, texts_of
-from cairn.llm.exact_dedup import drop_copies, exact_dedup
+from cairn.llm.blocks import blocks, by_bucket, firsts, freeze, keyed, merge_counts, pack, pack_sorted, record, thaw, unpack, unpack_sorted
+from cairn.llm.common import shards, stash, texts_of
+from cairn.llm.exact_dedup import FILTER_BYTES, drop_copies, exact_dedup
 
 LENGTH, SEED, Q = 50, 16, 8
-#: Runs that a task gathers before it sends them; characters whose runs it finds at a time.
-HOLD, SLICE = 500_000, 1 << 20
+#: Bytes of text in a block, and blocks of a group (16 at most: a document's number has 4 bits for its block and 16 for its row).
+BLOCK, GROUP = 1 << 20, 16
 #: Bytes of runs whose suffixes are sorted at a time, about; the runs of one key stay together.
 COMPARE = 1 << 20
-#: A bucket with more different runs than this sends each LENGTH-byte string to a bucket of its own.
+#: Bytes of text that a bucket of the last step has, about.
+BUCKET_BYTES = 8 << 20
+#: An anchor with more runs than this is hot.
 SPREAD = 4096
-#: What is known of documents is broadcast only if it is tiny; else texts shuffle, once for each of two joins.
-BROADCAST_BYTES = 256 << 10
 
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xBF58476D1CE4E5B9)
 _BASE = 0x5851F42D4C957F2D
@@ -141,199 +148,252 @@ def bucket_classes(data: np.ndarray, room: np.ndarray, starts: np.ndarray, depth
         key = pointer[live].astype(np.uint64) << np.uint64(32) | pointer[live + step].astype(np.uint64)
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """The bytes of numbers by significance: small numbers compress."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
-
+def _texts(batch: pa.RecordBatch) -> list[bytes]:
+    return [t.encode() for t in batch.column("text").to_pylist()]
 
-def _unplanes(data: memoryview, dtype: str, n: int, at: int) -> tuple[np.ndarray, int]:
-    width = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8, count=n * width, offset=at).reshape(width, n).T).view(dtype).ravel(), at + n * width
 
+def _kinds(order: np.ndarray, *columns: np.ndarray) -> np.ndarray:
+    """Where, in this order, one of the columns changes."""
+    new = np.zeros(len(order), dtype=bool)
+    new[:1] = True
+    for x in columns:
+        y = x[order]
+        new[1:] |= y[1:] != y[:-1]
+    return new
 
-def _pack(*columns: np.ndarray) -> bytes:
-    return len(columns[0]).to_bytes(4, "little") + b"".join(map(_planes, columns))
 
+#: kind 0: a block (data) of group grp at place at; 1: a group's anchors for a bucket (at), with how many runs each has.
+GATHERED = "kind int, grp long, at int, data binary"
+_HIGH = np.uint64(16)
 
-def _unpack(data: bytes, kinds: list[str]) -> list[np.ndarray]:
-    n, at, out = int.from_bytes(data[:4], "little"), 4, []
-    for kind in kinds:
-        column, at = _unplanes(memoryview(data), kind, n, at)
-        out.append(column)
-    return out
 
+def _gather(reps: DataFrame, buckets: int, length: int, block: int, group: int, spread: int) -> DataFrame:
+    """GATHERED of documents (doc, text, ...). doc: the id, for the order."""
 
-def _by_doc(doc: np.ndarray, uid: np.ndarray, *columns: np.ndarray) -> bytes:
-    """Rows in document order with a table of their documents."""
-    new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (uid[1:] != uid[:-1])))
-    head = np.flatnonzero(new)
-    table = _pack(doc[head], uid[head], np.diff(np.append(head, len(doc))).astype("<u4"))
-    return len(table).to_bytes(4, "little") + table + _pack(*columns)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, done, many = TaskContext.get().partitionId(), 0, 0
+        held: list[tuple] = []
 
+        def flush():
+            doc, anchor, whole = (np.concatenate(c) for c in zip(*held))
+            held.clear()
+            order = np.lexsort((whole, anchor))
+            anchor >>= _HIGH
+            first = np.flatnonzero(_kinds(order, anchor))
+            if not len(first):
+                return
+            runs_ = np.add.reduceat(_kinds(order, anchor, whole).astype(np.int64), first)
+            many_docs = np.minimum.reduceat(doc[order], first) != np.maximum.reduceat(doc[order], first)
+            # Runs of one document alone ask for nothing: they count as one.
+            n = np.where(many_docs, np.maximum(runs_, 2), 1)
+            key = anchor[order][first]
+            bucket = (key * np.uint64(buckets) >> np.uint64(48)).astype(np.int64) if buckets < 1 << 16 else (key % np.uint64(buckets)).astype(np.int64)
+            for b, some in by_bucket(bucket):
+                yield record(GATHERED, [1], [task << 24 | done], [b], [pack_sorted(key[some], np.minimum(n[some], max(1, spread) + 1).astype(np.uint16))])
+
+        for batch in blocks(batches, block):
+            yield record(GATHERED, [0], [task << 24 | done], [many], [freeze(batch)])
+            of, _, _, anchor, whole = runs(_texts(batch), length)
+            held.append((batch.column("doc").to_numpy()[of], anchor, whole))
+            many += 1
+            if many == group:
+                yield from flush()
+                done, many = done + 1, 0
+        if many:
+            yield from flush()
 
-def _from_doc(data: bytes, kinds: list[str]) -> list[np.ndarray]:
-    size = int.from_bytes(data[:4], "little")
-    doc, uid, count = _unpack(data[4 : 4 + size], ["<i8", "<i8", "<u4"])
-    return [np.repeat(doc, count), np.repeat(uid, count), *_unpack(data[4 + size :], kinds)]
+    return reps.mapInArrow(run, GATHERED)
 
 
-_BLOB = ["bucket", "settled", "data"]
-#: at, count, 32 bits of the anchor, the hash of all bytes. Where anchors share the bits, more text is compared, nothing is settled by them.
-_RUN = ["<u4", "<u4", "<u4", "<u8"]
+#: What a group is told, at -1 in front of its blocks: kind 0: anchors that other runs have, and which are hot; 1: strings that repeat; 2: runs whose text must be compared.
+TOLD = "kind int, grp long, at int, size long, data binary"
 
 
-def _send_runs(docs: DataFrame, buckets: int, length: int) -> DataFrame:
-    """(bucket, settled, data): runs by anchor; those that a smaller document in the task has too, settled, by document."""
+def _shared_anchors(spread: int):
+    """TOLD of (bucket, grp, data) in this order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
+        for _, rows in keyed(batches, 1):
+            held = list(rows)
+            keys, counts = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
+            for _, data in held:
+                key, n = unpack_sorted(data)
+                keys.append(key)
+                counts.append(n.astype(np.int64))
+                if sum(map(len, keys)) > max(1 << 21, 2 * len(keys[0])):
+                    key, n = merge_counts(keys, counts)
+                    keys, counts = [key], [n]
+            key, n = merge_counts(keys, counts)
+            shared, hot = key[n > 1], n[n > 1] > spread
+            if not len(shared):
+                continue
+            for grp, data in held:
+                key = unpack_sorted(data)[0]
+                at = np.minimum(np.searchsorted(shared, key), len(shared) - 1)
+                mine = shared[at] == key
+                if mine.any():
+                    yield record(TOLD, [0], [grp], [-1], [0], [pack_sorted(key[mine], hot[at[mine]].astype(np.uint8))])
 
-        def flush():
-            doc, uid, at, count, anchor, whole = (np.concatenate(c) for c in zip(*held))
-            held.clear()
-            order = np.lexsort((doc, count, whole, anchor))
-            a, w, c, d = anchor[order], whole[order], count[order], doc[order]
-            new = np.concatenate(([True], (a[1:] != a[:-1]) | (w[1:] != w[:-1]) | (c[1:] != c[:-1])))
-            least = d[np.flatnonzero(new)][np.cumsum(new) - 1]
-            done = np.zeros(len(doc), dtype=bool)
-            done[order] = d > least
-            bucket = np.where(done, uid.astype(np.uint64) % np.uint64(buckets), anchor % np.uint64(buckets)).astype(np.int64)
-            rank = np.argsort(bucket * 2 + done, kind="stable")  # keeps the documents' order
-            key = (bucket * 2 + done)[rank]
-            heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            for i, j in zip(heads, np.append(heads[1:], len(key))):
-                some = rank[i:j]
-                data = _by_doc(doc[some], uid[some], at[some].astype("<u4"), count[some].astype("<u4"), *([] if key[i] & 1 else [(anchor[some] >> np.uint64(16)).astype("<u4"), whole[some]]))
-                yield pa.RecordBatch.from_arrays([pa.array([int(key[i]) >> 1], pa.int32()), pa.array([bool(key[i] & 1)]), pa.array([data], pa.binary())], names=_BLOB)
-
-        for batch in batches:
-            for part, texts in slices(batch, budget=SLICE):
-                of, at, count, anchor, whole = runs([t.encode() for t in texts], length)
-                doc, uid = (part.column(i).to_numpy()[of] for i in (0, 2))
-                held.append([doc, uid, at, count, anchor, whole])
-                if sum(len(x[0]) for x in held) > HOLD:
-                    yield from flush()
-        if held:
-            yield from flush()
+    return run
 
-    return docs.mapInArrow(run, "bucket int, settled boolean, data binary")
 
+#: Runs of a group for a bucket.
+SENT = "bucket int, grp long, data binary"
+_FOUND = ("<i8", "<u4", "<u4")
 
-_FOUND = "uid long, at int, count int, kind int, key long"
 
+def _told(grp: int, kind: int, uid: np.ndarray, at: np.ndarray, count: np.ndarray, key: np.ndarray, length: int) -> pa.RecordBatch:
+    order = np.argsort(uid, kind="stable")
+    data = pack(*(x[order].astype(t) for x, t in zip((uid, at, count, key), ("<i8", "<u4", "<u4", "<u4"))))
+    return record(TOLD, [kind], [grp], [-1], [int(count.sum()) + (length - 1) * len(count)], [data])
 
-def _settle(sent: DataFrame, buckets: int) -> DataFrame:
-    """_FOUND: kind 0 are settled strings; kind 1 and 2 are runs whose text must be compared, by bucket key or string by string."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in _FOUND.split(", ")]
-
-        def out(uid, at, count, kind, key):
-            for i in range(0, len(uid), 200_000):
-                s = slice(i, i + 200_000)
-                yield pa.RecordBatch.from_arrays([pa.array(uid[s]), pa.array(at[s].astype(np.int32)), pa.array(count[s].astype(np.int32)), pa.array(kind[s].astype(np.int32)), pa.array(key[s].astype(np.int64))], names=names)
-
-        held = []
-        for batch in batches:
-            for settled, data in zip(batch.column(1).to_pylist(), batch.column(2)):
-                if settled:
-                    _, uid, at, count = _from_doc(data.as_py(), _RUN[:2])
-                    yield from out(uid, at, count, np.zeros(len(uid)), np.zeros(len(uid)))
-                else:
-                    held.append(_from_doc(data.as_py(), _RUN))
-        if not held:
-            return
-        doc, uid, at, count, anchor, whole = (np.concatenate(c) for c in zip(*held))
-        held.clear()
-        order = np.lexsort((doc, count, whole, anchor))
-        doc, uid, at, count, anchor, whole = (x[order] for x in (doc, uid, at, count, anchor, whole))
-        new_anchor = np.concatenate(([True], anchor[1:] != anchor[:-1]))
-        new = new_anchor | np.concatenate(([True], (whole[1:] != whole[:-1]) | (count[1:] != count[:-1])))
-        head = np.flatnonzero(new)
-        least = doc[head]  # the smallest document with these bytes, for each kind of run
-        group = np.cumsum(new_anchor)[head] - 1
-        firsts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-        low, high, many = np.minimum.reduceat(least, firsts), np.maximum.reduceat(least, firsts), np.diff(np.append(firsts, len(group)))
-        each = np.cumsum(new) - 1
-        settled = doc > least[each]
-        unsure = ~settled & (low != high)[group[each]]
-        kind = np.where(many[group[each]] > SPREAD, 2, 1)
-        yield from out(uid[settled], at[settled], count[settled], np.zeros(settled.sum()), np.zeros(settled.sum()))
-        yield from out(uid[unsure], at[unsure], count[unsure], kind[unsure], anchor[unsure])
+def _uids(grp: int, at: int, rows: np.ndarray) -> np.ndarray:
+    """A document's number, by its row."""
+    return (grp << 20 | at << 16) + rows
 
-    return sent.repartition(buckets, "bucket").mapInArrow(run, _FOUND)
 
+def _send_runs(buckets: int, length: int):
+    """SENT of (grp, at, kind, data) in this order: a group's shared anchors, then its blocks. What repeats within the group goes back to it, with a bucket below 0."""
 
-def _merge(at: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Successive starts [at, at + count) as few disjoint ones."""
-    order = np.argsort(at, kind="stable")
-    at, end = at[order], (at + count)[order]
-    reach = np.maximum.accumulate(end)
-    new = np.concatenate(([True], at[1:] > reach[:-1]))
-    head = np.flatnonzero(new)
-    return at[head], reach[np.append(head[1:], len(at)) - 1] - at[head]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (grp,), rows in keyed(batches, 1):
+            told: list[list[np.ndarray]] = []
+            held: list[tuple] = []
+            shared = hot = None
+            for at, _, data in rows:
+                if at < 0:
+                    told.append(unpack_sorted(data))
+                    continue
+                if not told:
+                    continue
+                if shared is None:
+                    key = np.concatenate([k for k, _ in told])
+                    order = np.argsort(key, kind="stable")
+                    shared, hot = key[order], np.concatenate([h for _, h in told])[order].astype(bool)
+                batch = thaw(data)
+                of, start, count, anchor, whole = runs(_texts(batch), length)
+                place = np.minimum(np.searchsorted(shared, anchor >> _HIGH), len(shared) - 1)
+                mine = np.flatnonzero(shared[place] == anchor >> _HIGH)
+                of = of[mine]
+                held.append((batch.column("doc").to_numpy()[of], _uids(grp, at, of), start[mine], count[mine], anchor[mine], whole[mine], hot[place[mine]]))
+            if not held:
+                continue
+            doc, uid, start, count, anchor, whole, much = (np.concatenate(c) for c in zip(*held))
+            held.clear()
+            if not len(doc):
+                continue
+            order = np.lexsort((doc, count, whole, anchor))
+            new = _kinds(order, anchor, whole, count)
+            least = doc[order][new][np.cumsum(new) - 1]
+            done = np.zeros(len(doc), dtype=bool)
+            done[order] = doc[order] > least
+            if done.any():
+                told_ = _told(grp, 1, uid[done], start[done], count[done], np.zeros(int(done.sum())), length)
+                yield record(SENT, [-1], [grp], [told_.column("data")[0].as_py()])
+            left = np.flatnonzero(~done)
+            bucket = (np.where(much[left], anchor[left] ^ whole[left], anchor[left]) % np.uint64(buckets)).astype(np.int64)
+            for b, some in by_bucket(bucket):
+                i = left[some]
+                i = i[np.argsort(uid[i], kind="stable")]
+                data = pack(doc[i].astype("<i8"), uid[i].astype("<i8"), start[i].astype("<u4"), count[i].astype("<u4"), (anchor[i] >> np.uint64(32)).astype("<u4"), whole[i], much[i].astype(np.uint8))
+                yield record(SENT, [b], [grp], [data])
 
+    return run
 
-def _gather(found: DataFrame, buckets: int) -> DataFrame:
-    """(uid, done, open): for each document its settled starts, merged, and its unsure runs."""
+
+def _settle(length: int):
+    """TOLD of SENT in order of buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (bucket,), rows in keyed(batches, 1):
+            held = []
+            for grp, data in rows:
+                if bucket < 0:
+                    yield record(TOLD, [1], [grp], [-1], [0], [data])
+                else:
+                    held.append(unpack(data))
+            if not held:
+                continue
+            doc, uid, at, count, anchor, whole, hot = (np.concatenate(c) for c in zip(*held))
+            held.clear()
+            order = np.lexsort((doc, count, whole, anchor))
+            doc, uid, at, count, anchor, whole, hot = (x[order] for x in (doc, uid, at, count, anchor, whole, hot))
+            same = np.arange(len(doc))
+            new_anchor, new = _kinds(same, anchor), _kinds(same, anchor, whole, count)
+            head = np.flatnonzero(new)
+            least = doc[head]  # the smallest document with these bytes, for each kind of run
+            group = np.cumsum(new_anchor)[head] - 1
+            low, high = (f.reduceat(least, firsts(group)) for f in (np.minimum, np.maximum))
+            each = np.cumsum(new) - 1
+            settled = doc > least[each]
+            # Without a smaller document under this anchor there is nothing to compare; a hot anchor's runs lie in other buckets too.
+            unsure = ~settled & ((low != high)[group[each]] | hot.astype(bool))
+            kind = np.where(settled, 1, np.where(unsure, 2, 0))
+            key = np.where(hot.astype(bool), 0, anchor | np.uint32(1))
+            for mine in np.unique(kind[kind > 0]).tolist():
+                some = np.flatnonzero(kind == mine)
+                for grp, part in by_bucket(uid[some] >> 20):
+                    i = some[part]
+                    yield _told(grp, mine, uid[i], at[i], count[i], key[i], length)
+
+    return run
+
+
+def _send_texts(buckets: int, length: int):
+    """SENT of (grp, at, kind, data) in this order: a group's runs to compare, then its blocks. Strings of hot anchors that repeat within a block go back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [[b.column(i).to_numpy() for i in range(5)] for b in batches if b.num_rows]
-        if not held:
-            return
-        uid, at, count, kind, key = (np.concatenate(c) for c in zip(*held))
-        held.clear()
-        order = np.argsort(uid, kind="stable")
-        uid, at, count, kind, key = (x[order] for x in (uid, at, count, kind, key))
-        heads = np.flatnonzero(np.concatenate(([True], uid[1:] != uid[:-1])))
-        done, rest = [], []
-        for i, j in zip(heads.tolist(), np.append(heads[1:], len(uid)).tolist()):
-            sure = kind[i:j] == 0
-            done.append(_pack(*(x.astype("<u4") for x in _merge(at[i:j][sure], count[i:j][sure]))) if sure.any() else None)
-            no = ~sure
-            rest.append(_pack(at[i:j][no].astype("<u4"), count[i:j][no].astype("<u4"), key[i:j][no].astype("<u4"), kind[i:j][no].astype("u1")) if no.any() else None)
-        whole = pa.RecordBatch.from_arrays([pa.array(uid[heads]), pa.array(done, pa.binary()), pa.array(rest, pa.binary())], names=["uid", "done", "open"])
-        for i in range(0, whole.num_rows, 10_000):
-            yield whole.slice(i, 10_000)
-
-    return found.repartition(buckets, "uid").mapInArrow(run, "uid long, done binary, open binary")
-
-
-def _send_texts(docs: DataFrame, buckets: int, length: int) -> DataFrame:
-    """(bucket, settled, data): the text of unsure runs. docs: (doc, text, uid, open)."""
-
-    def make():
-        def each(batch: pa.RecordBatch):
-            for part, texts in slices(batch, budget=2 * SLICE):
-                doc, uid, at, count, keys, strings = [], [], [], [], [], []
-                ids, uids, opened = part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist()
-                for d, u, text, packed in zip(ids, uids, texts, opened):
-                    data = text.encode()
-                    for a, n, key, kind in zip(*(x.tolist() for x in _unpack(packed, ["<u4", "<u4", "<u4", "u1"]))):
-                        # A spread run goes as single strings, each to the bucket of its own bytes.
-                        for s, m in [(a, n)] if kind == 1 else [(a + i, 1) for i in range(n)]:
-                            string = data[s : s + m + length - 1]
+        for (grp,), rows in keyed(batches, 1):
+            told: list[list[np.ndarray]] = []
+            for at, _, data in rows:
+                if at < 0:
+                    told.append(unpack(data))
+                    continue
+                if not told:
+                    continue
+                if len(told) > 1:
+                    told = [[np.concatenate(c) for c in zip(*told)]]
+                uid, start, count, key = told[0]
+                mine = np.flatnonzero(uid >> 16 == grp << 4 | at)
+                if not len(mine):
+                    continue
+                batch = thaw(data)
+                texts, docs = batch.column("text"), batch.column("doc").to_numpy()
+                strings: list[bytes] = []
+                out: list[tuple] = []
+                last, text = -1, b""
+                seen: dict[bytes, tuple] = {}
+                again: list[tuple] = []
+                mine = mine[np.argsort(docs[uid[mine] & 0xFFFF], kind="stable")]
+                for u, s, n, k in zip(*(x[mine].tolist() for x in (uid, start, count, key))):
+                    row = u & 0xFFFF
+                    if row != last:
+                        last, text = row, texts[row].as_py().encode()
+                    d = int(docs[row])
+                    if k:
+                        strings.append(text[s : s + n + length - 1])
+                        out.append((d, u, s, n, k))
+                        continue
+                    for i in range(s, s + n):
+                        string = text[i : i + length]
+                        # Documents come in their order: one before this has the string, or this itself.
+                        if seen.setdefault(string, (d,))[0] < d:
+                            again.append((u, i))
+                        else:
                             strings.append(string)
-                            keys.append(key if kind == 1 else int.from_bytes(hashlib.blake2b(string, digest_size=4).digest()))
-                            doc.append(d)
-                            uid.append(u)
-                            at.append(s)
-                            count.append(m)
-                if not doc:
+                            out.append((d, u, i, 1, int.from_bytes(hashlib.blake2b(string, digest_size=4).digest())))
+                if again:
+                    u, i = np.array(again, dtype=np.int64).T
+                    yield record(SENT, [-1], [grp], [_told(grp, 1, u, i, np.ones(len(u), dtype=np.int64), np.zeros(len(u)), length).column("data")[0].as_py()])
+                if not out:
                     continue
-                doc, uid, at, count, keys = (np.array(x, dtype=np.int64) for x in (doc, uid, at, count, keys))
-                bucket = keys % buckets
-                order = np.argsort(bucket, kind="stable")
-                heads = np.flatnonzero(np.concatenate(([True], np.diff(bucket[order]) != 0)))
-                for i, j in zip(heads, np.append(heads[1:], len(order))):
-                    some = order[i:j]
-                    data = _by_doc(doc[some], uid[some], at[some].astype("<u4"), count[some].astype("<u4"), keys[some].astype("<u4"))
-                    data = len(data).to_bytes(4, "little") + data + b"".join(strings[k] for k in some)
-                    yield pa.RecordBatch.from_arrays([pa.array([int(bucket[some[0]])], pa.int32()), pa.array([False]), pa.array([data], pa.binary())], names=_BLOB)
-
-        return each
+                doc, u, s, n, k = np.array(out, dtype=np.int64).T
+                for b, some in by_bucket(k % buckets):
+                    raw = np.frombuffer(b"".join([strings[i] for i in some]), dtype=np.uint8)
+                    yield record(SENT, [b], [grp], [pack(doc[some], u[some], s[some].astype("<u4"), n[some].astype("<u4"), k[some].astype("<u4"), raw)])
 
-    return map_arrow(docs.select("doc", "text", "uid", "open"), make, "bucket int, settled boolean, data binary")
+    return run
 
 
 def _smaller(text: np.ndarray, doc: np.ndarray, count: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -356,130 +416,147 @@ def _smaller(text: np.ndarray, doc: np.ndarray, count: np.ndarray, length: int)
         yield string[first], offset[first], last - first + 1
 
 
-def _compare(sent: DataFrame, buckets: int, length: int) -> DataFrame:
-    """_FOUND of kind 0: the strings in these texts that a smaller document has, by bucket-pointer refinement."""
+def _compare(length: int):
+    """TOLD of SENT in order of buckets: the strings that a smaller document has, by bucket-pointer refinement."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns, texts = [], []
-        for batch in batches:
-            for data in batch.column(2).to_pylist():
-                size = int.from_bytes(data[:4], "little")
-                columns.append(_from_doc(data[4 : 4 + size], _RUN[:2] + ["<u4"]))
-                texts.append(data[4 + size :])
-        if not columns:
-            return
-        doc, uid, at, count, key = (np.concatenate(c) for c in zip(*columns))
-        columns.clear()
-        text = memoryview(b"".join(texts))
-        texts.clear()
-        count = count.astype(np.int64)
-        sizes = count + length - 1
-        begin = np.cumsum(sizes) - sizes
-        # Runs of one key are compared together; some keys at a time, so that the suffixes' arrays stay small.
-        order = np.argsort(key, kind="stable")
-        new = np.flatnonzero(np.concatenate(([True], np.diff(key[order]) != 0)))
-        done = np.concatenate(([0], np.cumsum(sizes[order])))
-        first = 0
-        while first < len(order):
-            limit = int(np.searchsorted(done, done[first] + COMPARE, side="left"))
-            last = int(new[j]) if (j := int(np.searchsorted(new, max(limit, first + 1), side="left"))) < len(new) else len(order)
-            some = order[first:last]
-            first = last
-            if len(some) < 2:
+        for (bucket,), rows in keyed(batches, 1):
+            held = []
+            for grp, data in rows:
+                if bucket < 0:
+                    yield record(TOLD, [1], [grp], [-1], [0], [data])
+                else:
+                    held.append(unpack(data))
+            if not held:
                 continue
-            part = np.frombuffer(b"".join([text[b : b + n] for b, n in zip(begin[some].tolist(), sizes[some].tolist())]), dtype=np.uint8)
-            for hit in _smaller(part, doc[some], count[some], length):
-                string, offset, n = hit
-                i = some[string]
-                whole = pa.RecordBatch.from_arrays([pa.array(uid[i]), pa.array((at[i] + offset).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(np.zeros(len(i), dtype=np.int32)), pa.array(np.zeros(len(i), dtype=np.int64))], names=[x.split()[0] for x in _FOUND.split(", ")])
-                for k in range(0, len(i), 200_000):
-                    yield whole.slice(k, 200_000)
-
-    return sent.repartition(buckets, "bucket").mapInArrow(run, _FOUND)
-
-
-def _unfold(gathered: DataFrame) -> DataFrame:
-    """_FOUND of the settled starts in (uid, done)."""
-
-    def make():
-        def each(batch: pa.RecordBatch):
-            uids, at, count = [], [], []
-            for u, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                a, n = _unpack(packed, ["<u4", "<u4"])
-                uids.append(np.full(len(a), u, dtype=np.int64))
-                at.append(a)
-                count.append(n)
-            if uids:
-                n = sum(map(len, at))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(uids)), pa.array(np.concatenate(at).astype(np.int32)), pa.array(np.concatenate(count).astype(np.int32)), pa.array(np.zeros(n, dtype=np.int32)), pa.array(np.zeros(n, dtype=np.int64))], names=[x.split()[0] for x in _FOUND.split(", ")])
-
-        return each
-
-    return map_arrow(gathered.where("done is not null").select("uid", "done"), make, _FOUND)
-
-
-def _bytes_of(df: DataFrame, column: str) -> int:
-    return int(df.agg(F.sum(F.octet_length(column) + 32)).first()[0] or 0)
-
-
-def _cut(docs: DataFrame, length: int) -> DataFrame:
-    """Results of (doc_id, text, uid, done), with the kept bytes."""
-    schema = "doc_id long, uid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text binary"
-
-    def make():
-        def each(batch: pa.RecordBatch):
-            for part, values in slices(batch):
-                out: list[list] = [[] for _ in range(5)]
-                for text, packed in zip(values, part.column(3).to_pylist()):
-                    data, removed, spans = text.encode(), 0, 0
-                    n = len(data)
-                    if packed is not None:
-                        at, count = (x.astype(np.int64) for x in _unpack(packed, ["<u4", "<u4"]))
-                        at, size = _merge(at, count + length - 1)
-                        removed, spans = int(size.sum()), len(at)
-                        keep = [0, *np.column_stack((at, at + size)).ravel().tolist(), n]
-                        data = b"".join([data[keep[i] : keep[i + 1]] for i in range(0, len(keep), 2)])
-                    for column, value in zip(out, (n, removed, spans, hashlib.sha256(data).hexdigest(), data)):
-                        column.append(value)
-                arrays = [part.column(0), part.column(2), *[pa.array(c, pa.int64()) for c in out[:3]], pa.array(out[3]), pa.array(out[4], pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in schema.split(", ")])
-
-        return each
-
-    return map_arrow(docs.select("doc_id", "text", "uid", "done"), make, schema)
-
-
-def settled_starts(reps: DataFrame, length: int = LENGTH, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """(uid, done): for documents (doc, text, uid) of different texts, the starts of their strings that a smaller doc has."""
-    buckets = 2 * int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    gathered = stash(_gather(_settle(_send_runs(reps.select("doc", "text", "uid"), buckets, length), buckets), buckets), "runs")
-    unsure = gathered.where("open is not null").select("uid", "open")
-    opened = join_sized(reps, unsure, "uid", "inner", _bytes_of(unsure, "open"), broadcast_bytes)
-    more = _compare(_send_texts(opened, buckets, length), buckets, length)
-    return stash(_gather(_unfold(gathered).unionByName(more), buckets).select("uid", "done"), "starts")
-
-
-def substring_dedup(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row."""
+            doc, uid, at, count, key, text = (np.concatenate(c) for c in zip(*held))
+            held.clear()
+            count = count.astype(np.int64)
+            sizes = count + length - 1
+            begin = np.cumsum(sizes) - sizes
+            # Runs of one key are compared together; some keys at a time, so that the suffixes' arrays stay small.
+            order = np.argsort(key, kind="stable")
+            new = firsts(key[order])
+            done = np.concatenate(([0], np.cumsum(sizes[order])))
+            first = 0
+            while first < len(order):
+                limit = int(np.searchsorted(done, done[first] + COMPARE, side="left"))
+                last = int(new[j]) if (j := int(np.searchsorted(new, max(limit, first + 1), side="left"))) < len(new) else len(order)
+                some = order[first:last]
+                first = last
+                if len(some) < 2:
+                    continue
+                part = np.concatenate([text[b : b + n] for b, n in zip(begin[some].tolist(), sizes[some].tolist())])
+                for string, offset, n in _smaller(part, doc[some], count[some], length):
+                    i = some[string]
+                    for grp, mine in by_bucket(uid[i] >> 20):
+                        k = i[mine]
+                        yield _told(grp, 1, uid[k], at[k] + offset[mine], n[mine], np.zeros(len(k)), length)
+
+    return run
+
+
+CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text_sha256 string, kept_text binary"
+
+
+def _cut(length: int):
+    """CUT of (grp, at, kind, data) in this order: a group's strings that repeat, then its blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (grp,), rows in keyed(batches, 1):
+            told: list[list[np.ndarray]] = [[np.zeros(0, dtype=t) for t in (*_FOUND, "<u4")]]
+            for place, _, data in rows:
+                if place < 0:
+                    told.append(unpack(data))
+                    continue
+                if len(told) > 1:
+                    told = [[np.concatenate(c) for c in zip(*told)]]
+                uid, at, count, _ = told[0]
+                batch = thaw(data)
+                texts = _texts(batch)
+                mine = np.flatnonzero(uid >> 16 == grp << 4 | place)
+                row = uid[mine] & 0xFFFF
+                # A byte between texts, so that no span reaches over.
+                sizes = np.array([len(t) for t in texts], dtype=np.int64)
+                starts = np.cumsum(sizes + 1) - sizes - 1
+                begin = starts[row] + at[mine]
+                change = np.zeros(int(sizes.sum()) + len(texts) + 1, dtype=np.int32)
+                np.add.at(change, begin, 1)
+                np.add.at(change, begin + count[mine] + (length - 1), -1)
+                gone = np.cumsum(change)[:-1] > 0
+                left = ~gone
+                left[starts + sizes] = False
+                flat = np.frombuffer(b"\0".join(texts) + b"\0", dtype=np.uint8)
+                kept, ends = flat[left].tobytes(), np.concatenate(([0], np.cumsum(left)))
+                ends = ends[starts + sizes]
+                parts = [kept[i:j] for i, j in zip([0, *ends[:-1].tolist()], ends.tolist())]
+                removed = sizes - np.diff(ends, prepend=0)
+                edge = np.concatenate((gone[:1], gone[1:] & ~gone[:-1])).astype(np.int64)
+                spans = np.add.reduceat(edge, starts)
+                yield record(
+                    CUT, batch.column("doc_id"), sizes, removed, spans, [hashlib.sha256(p).hexdigest() for p in parts], [hashlib.sha256(t).hexdigest() for t in texts], parts
+                )
+
+    return run
+
+
+def cut_representatives(reps: DataFrame, length: int = LENGTH, block: int = BLOCK, group: int = GROUP, bucket_bytes: int = BUCKET_BYTES, spread: int = SPREAD) -> DataFrame:
+    """CUT of documents (doc_id, doc, text) of different texts."""
+    spark = reps.sparkSession
+    parts = shards(spark)
+    gathered = stash(_gather(reps.select("doc_id", "doc", "text"), parts, length, block, group, spread), "gathered", "none")
+    held = gathered.where("kind = 0").select("grp", "at", "kind", "data")
+    # A task of the first pass made groups 0, 1, ... of its own: numbered through, they fill the partitions evenly.
+    most = held.agg(F.max(F.col("grp").bitwiseAND((1 << 24) - 1))).first()[0] or 0
+    number = F.shiftright("grp", 24) * (most + 1) + F.col("grp").bitwiseAND((1 << 24) - 1)
+
+    def by_group(told: DataFrame) -> DataFrame:
+        """What groups are told, in front of their blocks."""
+        both = told.select("grp", "at", "kind", "data").unionByName(held)
+        return both.repartitionById(parts, (number % parts).cast("int")).sortWithinPartitions("grp", "at")
+
+    def by_buckets(sent: DataFrame, n: int) -> DataFrame:
+        """Rows by bucket; those with a bucket below 0 stay about where they are."""
+        task = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("grp"), F.lit(n)).cast("int")).otherwise(F.col("bucket"))
+        return sent.repartitionById(n, task).sortWithinPartitions("bucket")
+
+    anchors = gathered.where("kind = 1").select(F.col("at").alias("bucket"), "grp", "data")
+    shared = by_buckets(anchors, parts).mapInArrow(_shared_anchors(spread), TOLD)
+    found = stash(by_buckets(by_group(shared).mapInArrow(_send_runs(parts, length), SENT), parts).mapInArrow(_settle(length), TOLD), "runs", "none")
+    unsure = found.where("kind = 2")
+    size = unsure.agg(F.sum("size")).first()[0] or 0
+    buckets = max(parts, -(-size // bucket_bytes))
+    sent = by_group(unsure).mapInArrow(_send_texts(buckets, length), SENT)
+    more = stash(by_buckets(sent, buckets).mapInArrow(_compare(length), TOLD), "strings", "none")
+    cut = by_group(found.where("kind = 1").unionByName(more)).mapInArrow(_cut(length), CUT)
+    return cut
+
+
+def substring_dedup(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, most_bytes: int = FILTER_BYTES, **sizes: int) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text, if with_text) of each row. sizes: block, group, bucket_bytes and spread."""
     docs = texts_of(df, id_col, text_col)
-    uid = F.xxhash64("text", F.lit(5))
-    rows = exact_dedup(docs, normalise=False, extras={"n_bytes": F.octet_length("text").cast("long"), "uid": uid})
-    rows = stash(rows, "copies")
-    reps = drop_copies(docs, normalise=False).select("doc_id", "text", uid.alias("uid"), F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"))
-    starts = settled_starts(reps, length, broadcast_bytes)
-    cut = _cut(join_sized(reps, starts, "uid", "left", _bytes_of(starts, "done"), broadcast_bytes), length)
+    rows = stash(exact_dedup(docs, normalise=False, extras={"n_bytes": F.octet_length("text").cast("long")}, most_bytes=most_bytes), "copies")
+    repeated = stash(rows.where("kept and group_size > 1").select(F.unhex("text_sha256").alias("_cairn_sha")), "repeated")
+    reps = drop_copies(docs, normalise=False, most_bytes=most_bytes, repeated=repeated).withColumn("doc", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
+    cut = cut_representatives(reps, length, **sizes)
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * with_text
     # Rows of one text and one id share their result; there is one for each text, so only such repeated rows are joined.
-    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
     copy = F.col("keep_id").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") > F.col("keep_id")))
+    # Of a text too short to repeat all is kept, and it is short: its bytes come from the table again.
+    long = F.col("n_bytes") >= length
     copies = rows.where(copy).select(
         "doc_id",
         "n_bytes",
-        F.when(F.col("n_bytes") >= length, F.col("n_bytes")).otherwise(0).alias("n_removed"),
-        (F.col("n_bytes") >= length).cast("long").alias("n_spans"),
-        F.when(F.col("n_bytes") >= length, F.lit(hashlib.sha256().hexdigest())).otherwise(F.col("text_sha256")).alias("kept_sha256"),
+        F.when(long, F.col("n_bytes")).otherwise(0).alias("n_removed"),
+        long.cast("long").alias("n_spans"),
+        F.when(long, F.lit(hashlib.sha256().hexdigest())).otherwise(F.col("text_sha256")).alias("kept_sha256"),
+        "text_sha256",
     )
-    again = rows.where(~F.col("kept") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id", "uid")
-    if again.limit(1).count():
+    again = rows.where(~F.col("kept") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id", "text_sha256")
+    if with_text or again.limit(1).count():
         cut = stash(cut, "cut")
-        copies = copies.unionByName(again.join(cut.drop("doc_id"), "uid").select("doc_id", *names))
-    return cut.select("doc_id", *names).unionByName(copies)
+        if with_text:
+            short = cut.where(F.col("n_bytes") < length).select("text_sha256", "kept_text")
+            copies = copies.join(short, "text_sha256", "left").withColumn("kept_text", F.coalesce("kept_text", F.lit(b"")))
+        copies = copies.select(*names).unionByName(again.join(cut.drop("doc_id"), "text_sha256").select(*names))
+    return cut.select(*names).unionByName(copies.select(*names))

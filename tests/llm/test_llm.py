@@ -338,9 +338,8 @@ def test_bucket_classes():
         assert all(len(v) == 1 for v in by.values()) and len(set.union(*by.values())) == len(by)
 
 
-@pytest.mark.parametrize(("spread", "limit"), [(4096, 64 << 20), (1, 0)])
-def test_substring_dedup(spark, monkeypatch, spread, limit):
-    monkeypatch.setattr(substring_dedup, "SPREAD", spread)
+@pytest.mark.parametrize("sizes", [{}, {"spread": 0, "block": 300, "group": 2, "bucket_bytes": 500, "most_bytes": 0}, {"spread": 3, "block": 2000, "group": 16}])
+def test_substring_dedup(spark, sizes):
     r = np.random.default_rng(5)
     shared = [sentence(100 + i, 14) for i in range(4)]
     rows = []
@@ -352,7 +351,7 @@ def test_substring_dedup(spark, monkeypatch, spread, limit):
         rows.append((int(i * 7 % 60), "é".join(parts)))
     rows += [(70, rows[0][1]), (71, "ab" * 100), (72, "ab" * 70), (73, ""), (74, "x" * 49), (75, "x" * 50), (76, "x" * 51), (77, "x" * 49)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = Counter(tuple(x) for x in substring_dedup.substring_dedup(df, broadcast_bytes=limit).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())
+    got = Counter(tuple(x) for x in substring_dedup.substring_dedup(df, **sizes).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())
     assert got == brute_removed([(i, t.encode()) for i, t in rows], 50)
 
 
@@ -363,21 +362,29 @@ def test_substring_dedup_awkward(awkward, nothing):
     assert substring_dedup.substring_dedup(nothing).count() == 0
 
 
-def test_substring_runs_need_the_whole_hash(spark, monkeypatch):
-    """Runs of one anchor in two tasks, their hashes different in the low bits or their counts different: not settled unseen."""
+def test_substring_kept_text(spark):
+    rows = [(1, "x" * 60 + "tail"), (2, "head" + "x" * 60), (3, "x" * 60 + "tail"), (4, "short"), (5, "short"), (4, "short")]
+    out = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True).collect()
+    assert sorted((r["doc_id"], bytes(r["kept_text"])) for r in out) == [(1, b"x" * 60 + b"tail"), (2, b"head"), (3, b""), (4, b"short"), (4, b"short"), (5, b"short")]
+    assert all(hashlib.sha256(r["kept_text"]).hexdigest() == r["kept_sha256"] for r in out)
 
-    def runs(texts, length):
-        byte = [int(t[0]) for t in texts]
-        one = np.ones(len(texts), dtype=np.int64)
-        of = np.arange(len(texts))
-        return of, one, np.array([5 if b == 99 else 4 for b in byte]), one.astype(np.uint64) * np.uint64(77), np.array([(1 << 40) + (1 if b == 98 else 0) for b in byte], dtype=np.uint64)
+
+@pytest.mark.parametrize("spread", [4096, 0])
+def test_substring_runs_with_equal_hashes(spark, monkeypatch, spread):
+    """Anchors that collide, and hashes of different runs that agree but in the count or the low bits: the bytes decide."""
+    real = substring_dedup.runs
+
+    def runs(texts, length=50, seed=16):
+        of, at, count, _, whole = real(texts, length, seed)
+        return of, at, count, np.full(len(of), 77 << 40, dtype=np.uint64), whole & np.uint64(0xFF) | np.uint64(1 << 50) | (whole >> np.uint64(40)) << np.uint64(8)
 
     monkeypatch.setattr(substring_dedup, "runs", runs)
-    for texts, settled in ((["a", "b"], 0), (["a", "c"], 0), (["a", "a"], 1)):
-        docs = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc long, text string, uid long").repartition(2, "doc").sortWithinPartitions("doc")
-        parts = [docs.where(F.col("doc") == i).coalesce(1) for i in (0, 1)]
-        found = substring_dedup._settle(substring_dedup._send_runs(parts[0].union(parts[1]), 2, 50), 2)
-        assert found.where("kind = 0").count() == settled
+    rows = [(i, sentence(700 + i % 7, 30) + sentence(800 + i, 3)) for i in range(12)]
+    # 32 bits of their hashes agree, the texts don't.
+    rows += [(20, "naqqir aerfqbkdmbcpavyjlnxnsczurlcpszcuxneviho qdn"), (21, "m rcuoanwjweqyyotcpavyjlnxnsczurlkcawccdjszosoqjdo")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id")
+    got = Counter(tuple(x) for x in substring_dedup.substring_dedup(df, block=200, group=2, spread=spread).collect())
+    assert got == brute_removed([(i, t.encode()) for i, t in rows], 50)
 
 
 # --- toxicity, quality, mixing ---
