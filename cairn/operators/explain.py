@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.functions.ranks import hash_rank
 from cairn.operators import sample
 from cairn.operators.clean import quoted
 from cairn.operators.score import boosted_trees
@@ -14,9 +15,9 @@ from cairn.operators.score import boosted_trees
 
 def permuted(df: DataFrame, feature: str, id_column: str, repeat: int = 0) -> DataFrame:
     """df with a feature's values moved to other rows: the i-th row in one random order gets the value of the i-th in another."""
-    # Ranks are global; the ranked table is a bounded test fold.
-    left = df.withColumn("_i", F.row_number().over(Window.orderBy(quoted(id_column))))
-    right = df.select(quoted(feature).alias("_value"), F.row_number().over(Window.orderBy(F.md5(F.concat_ws("|", quoted(id_column).cast("string"), F.lit(f"{feature}|{repeat}"))), quoted(id_column))).alias("_i"))
+    order = lambda salt: F.md5(F.concat_ws("|", quoted(id_column).cast("string"), F.lit(salt)))
+    left = hash_rank(df, order("rows"), quoted(id_column), name="_i")
+    right = hash_rank(df, order(f"{feature}|{repeat}"), quoted(id_column), name="_i").select(quoted(feature).alias("_value"), "_i")
     return left.join(right, "_i").select(*[F.col("_value").alias(c) if c == feature else quoted(c) for c in df.columns])
 
 
@@ -36,4 +37,8 @@ def permutation_importance(frame: DataFrame, columns: Sequence[str], outcome: st
         base = hits.where("feature is null").select(F.col("accuracy").alias("base"))
         drop = hits.where("feature is not null").crossJoin(F.broadcast(base)).select("feature", (F.col("base") - F.col("accuracy")).alias("drop"))
         every = drop if every is None else every.unionByName(drop)
-    return every.groupBy("feature").agg(F.avg("drop").alias("importance")).orderBy(F.desc("importance"), "feature").limit(top)
+    # At most a row a feature: taken before the split's rows are let go.
+    found = every.groupBy("feature").agg(F.avg("drop").alias("importance")).orderBy(F.desc("importance"), "feature").limit(top)
+    result = frame.sparkSession.createDataFrame(found.collect(), found.schema)
+    split.unpersist()
+    return result

@@ -1,14 +1,15 @@
 """Ranking metrics by window sums over distinct scores: ROC, AUC, thresholds, confusion profiles, score summaries.
 
-Rows are summed by score first, so the global windows run over distinct scores. A score with the rule "at most" (a low
+Rows are summed by score first, and distinct scores are dealt to pieces, so no task gets all of them. A score with the rule "at most" (a low
 score is positive) is negated for the curve and shown with its own sign.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.functions.ranks import running_sums
 from cairn.operators.clean import quoted
 
 
@@ -19,19 +20,18 @@ def _by_score(df: DataFrame, score: str, positive: Column, at_most: bool) -> Dat
 
 
 def _running(df: DataFrame, score: str, positive: Column, at_most: bool) -> DataFrame:
-    """(s, tp, fp, pos, neg) with scores descending."""
-    down = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
+    """(s, tp, fp, pos, neg) with scores descending, and tp and fp of the score before (last) and after (next)."""
     grouped = _by_score(df, score, positive, at_most)
     total = F.broadcast(grouped.agg(F.sum("p").alias("pos"), F.sum("n").alias("neg")))
-    return grouped.crossJoin(total).select("s", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp"), "pos", "neg")
+    sums = running_sums(grouped, "s", ["p", "n"])
+    return sums.crossJoin(total).select("s", F.col("p_sum").alias("tp"), F.col("n_sum").alias("fp"), "pos", "neg", *[F.col(f"{a}_{x}").alias(f"{b}_{x}") for a, b in (("p", "tp"), ("n", "fp")) for x in ("last", "next")])
 
 
 def roc_curve(df: DataFrame, score: str, positive: Column, at_most: bool = False, drop_collinear: bool = True) -> DataFrame:
     """(threshold, fpr, tpr): from (infinity, 0, 0) down to the least score. Points on a line between their neighbours are dropped."""
     points = _running(df, score, positive, at_most)
     if drop_collinear:
-        w = Window.orderBy(F.desc("s"))
-        bend = lambda c: F.lag(c).over(w) - 2 * F.col(c) + F.lead(c).over(w)
+        bend = lambda c: F.col(f"{c}_last") - 2 * F.col(c) + F.col(f"{c}_next")
         points = points.withColumn("_b", bend("tp")).withColumn("_c", bend("fp")).where("_b is null or _b <> 0 or _c <> 0")
     sign = -1.0 if at_most else 1.0
     curve = points.select((F.col("s") * sign).alias("threshold"), F.try_divide("fp", "neg").alias("fpr"), F.try_divide("tp", "pos").alias("tpr"))
@@ -41,9 +41,9 @@ def roc_curve(df: DataFrame, score: str, positive: Column, at_most: bool = False
 
 def auc(df: DataFrame, score: str, positive: Column, at_most: bool = False) -> DataFrame:
     """(auc): trapezoids; ties count half."""
-    w = Window.orderBy(F.desc("s"))
     points = _running(df, score, positive, at_most)
-    area = points.select(((F.col("fp") - F.coalesce(F.lag("fp").over(w), F.lit(0))) * (F.col("tp") + F.coalesce(F.lag("tp").over(w), F.lit(0))) / 2).alias("a"), "pos", "neg")
+    before = lambda c: F.coalesce(f"{c}_last", F.lit(0))
+    area = points.select(((F.col("fp") - before("fp")) * (F.col("tp") + before("tp")) / 2).alias("a"), "pos", "neg")
     return area.agg(F.try_divide(F.sum("a"), F.max("pos") * F.max("neg")).alias("auc"))
 
 

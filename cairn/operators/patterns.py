@@ -1,14 +1,14 @@
 """Frequent itemsets and association rules over rows with one item "column:value" for each column.
 
-Itemsets are counted by exploding each row's subsets of up to max_size items, so partial sums shrink them before the
-shuffle. Infrequent single items go first (they can be in no frequent set); and each further size only forms sets whose
-items are all frequent. Supports are fractions of the rows.
+Equal baskets are summed first, and then stand for their rows. Itemsets are mined depth first from conditional baskets:
+for each frequent item, what its baskets have of later items; equal ones are summed again before they shuffle. A set is
+only extended by items that are frequent with it, so max_size bounds the depth and not the number of subsets that are
+tried. Supports are fractions of the rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from itertools import combinations
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,64 +20,98 @@ from cairn.operators.clean import quoted
 def items(df: DataFrame, columns: Sequence[str], missing: str = presets.MISSING, name: str = "items") -> DataFrame:
     """df with the array of a row's items, sorted; null is an item of its own."""
     each = [F.concat(F.lit(f"{c}:"), F.coalesce(quoted(c).cast("string"), F.lit(missing))) for c in columns]
-    return df.withColumn(name, F.array_sort(F.array(*each)))
+    return df.withColumn(name, F.sort_array(F.array(*each)))
 
 
 def sparse_items(df: DataFrame, columns: Sequence[str], absent: str = "No", name: str = "items") -> DataFrame:
     """Items without those of value absent and without nulls: short baskets."""
     each = [F.when(quoted(c).cast("string") != absent, F.concat(F.lit(f"{c}:"), quoted(c).cast("string"))) for c in columns]
-    return df.withColumn(name, F.array_sort(F.array_compact(F.array(*each))))
+    return df.withColumn(name, F.sort_array(F.array_compact(F.array(*each))))
 
 
-def _subsets(frequent: Column, size: int) -> Column:
-    """All size-subsets of a sorted array, as sorted arrays."""
-    out = F.transform(frequent, lambda x: F.array(x))
-    for _ in range(size - 1):
-        out = F.flatten(F.transform(out, lambda s: F.transform(F.filter(frequent, lambda x: x > F.element_at(s, -1)), lambda x: F.concat(s, F.array(x)))))
-    return out
+def _mine(prefix: list[int], has, weight, least: float, size: int) -> Iterator[tuple[list[int], int]]:
+    """Frequent sets that extend prefix by up to size items, and their counts. has: the items that may follow, and which row has which of them."""
+    ids, matrix = has
+    counts = weight @ matrix
+    for j in (counts >= least).nonzero()[0].tolist():
+        found = [*prefix, int(ids[j])]
+        yield found, int(counts[j])
+        if size > 1:
+            rows = matrix[:, j].nonzero()[0]
+            later = j + 1 + (counts[j + 1 :] >= least).nonzero()[0]
+            if len(later):
+                yield from _mine(found, (ids[later], matrix[rows][:, later]), weight[rows], least, size - 1)
 
 
 def frequent_itemsets(df: DataFrame, min_support: float, max_size: int, column: str = "items") -> DataFrame:
-    """(itemset, size, n, support) of itemsets of up to max_size items in at least min_support of the rows."""
-    rows = df.select(quoted(column).alias("items"))
-    total = F.broadcast(rows.agg(F.count(F.lit(1)).alias("total")))
-
-    def frequent(sets: DataFrame) -> DataFrame:
-        counts = sets.groupBy("itemset").agg(F.count(F.lit(1)).alias("n"))
-        return counts.crossJoin(total).where(F.col("n") >= F.ceil(F.col("total") * F.lit(min_support) - 1e-9)).select("itemset", F.size("itemset").alias("size"), "n", (F.col("n") / F.col("total")).alias("support"))
-
-    singles = frequent(rows.select(F.explode(F.transform("items", lambda x: F.array(x))).alias("itemset")))
-    if max_size == 1:
-        return singles
-    # At most 1 / min_support frequent items a column: one row, broadcast.
-    known = singles.agg(F.collect_list(F.element_at("itemset", 1)).alias("known"))
-    kept = rows.crossJoin(F.broadcast(known)).select(F.array_intersect("items", "known").alias("items"))
-    more = F.concat(*[_subsets(F.col("items"), k) for k in range(2, max_size + 1)])
-    return singles.unionByName(frequent(kept.select(F.explode(more).alias("itemset"))))
-
-
-def frequent_itemsets_levelwise(df: DataFrame, min_support: float, max_size: int, column: str = "items") -> DataFrame:
-    """The same, a size at a time: a set is counted only if all its subsets one smaller are frequent. For many columns."""
-    rows = df.select(F.monotonically_increasing_id().alias("_row"), quoted(column).alias("items")).select("items")
-    total = rows.count()
-    least = max(1, -int(-(total * min_support - 1e-9) // 1))
-    out, previous = None, None
-    for size in range(1, max_size + 1):
-        sets = rows.select(F.explode(_subsets(F.col("items"), size)).alias("itemset")) if size == 1 else None
-        if size > 1:
-            # Frequent sets of one size are bounded by the support; their candidates are joined to rows by a broadcast of the sets.
-            frequent = [tuple(r[0]) for r in previous.select("itemset").collect()]
-            known = set(frequent)
-            ordered = sorted(known)
-            candidates = [a + (b[-1],) for i, a in enumerate(ordered) for b in ordered[i + 1 :] if a[:-1] == b[:-1] and all(tuple(x) in known for x in combinations(a + (b[-1],), size - 1))]
-            if not candidates:
-                break
-            table = df.sparkSession.createDataFrame([(list(c),) for c in candidates], "itemset array<string>")
-            sets = rows.join(F.broadcast(table), F.size(F.array_except("itemset", "items")) == 0).select("itemset")
-        level = sets.groupBy("itemset").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("itemset", F.size("itemset").alias("size"), "n", (F.col("n") / total).alias("support"))
-        previous = level
-        out = level if out is None else out.unionByName(level)
-    return out
+    """(itemset, size, n, support) of itemsets of up to max_size items in at least min_support of the rows.
+
+    Looks at the data for the number of rows and the frequent items: at most 1 / min_support of them a column. A task
+    holds the different conditional baskets of one item, at a byte for each frequent item.
+    """
+    baskets = df.groupBy(quoted(column).alias("items")).agg(F.count(F.lit(1)).alias("w"))
+    spark, nothing = df.sparkSession, "itemset array<string>, size int, n long, support double"
+    singles = baskets.select(F.explode("items").alias("item"), "w").groupBy("item").agg(F.sum("w").alias("n"))
+    rows = df.count()
+    least = max(1, -int(-(rows * min_support - 1e-9) // 1))
+    frequent = singles.where(F.col("n") >= least).orderBy("item").collect()
+    if not frequent:
+        return spark.createDataFrame([], nothing)
+    known = F.array(*[F.lit(r["item"]) for r in frequent])
+    out = spark.createDataFrame([([r["item"]], r["n"]) for r in frequent], "itemset array<string>, n long")
+    if max_size > 1:
+        number = {r["item"]: i for i, r in enumerate(frequent)}
+        numbers = F.create_map(*[F.lit(x) for pair in number.items() for x in pair])
+        ids = F.transform(F.array_intersect("items", known), lambda x: F.element_at(numbers, x))
+        short = baskets.select(F.sort_array(ids).alias("ids"), "w").groupBy("ids").agg(F.sum("w").alias("w"))
+        tails = short.select(F.posexplode("ids").alias("at", "first"), "ids", "w").select("first", F.slice("ids", F.col("at") + 2, F.size("ids")).alias("rest"), "w")
+        tails = tails.where(F.size("rest") > 0).groupBy("first", "rest").agg(F.sum("w").alias("w"))
+        parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), len(frequent))
+        many = len(frequent)
+
+        def run(batches):
+            import numpy as np
+            import pyarrow as pa
+
+            def of(first: int, held: list):
+                """Sets that begin with this item."""
+                rest = pa.chunked_array([h.column(1) for h in held]).combine_chunks()
+                weight = np.concatenate([h.column(2).to_numpy() for h in held]).astype(np.float64)
+                matrix = np.zeros((len(weight), many - first - 1), dtype=np.float32)
+                row = np.repeat(np.arange(len(weight)), np.diff(rest.offsets.to_numpy()))
+                matrix[row, rest.flatten().to_numpy() - first - 1] = 1
+                found = _mine([first], (np.arange(first + 1, many), matrix), weight, least, max_size - 1)
+                block: list = []
+                for pair in found:
+                    block.append(pair)
+                    if len(block) == 20_000:
+                        yield batch(block)
+                        block = []
+                if block:
+                    yield batch(block)
+
+            def batch(block):
+                return pa.RecordBatch.from_arrays([pa.array([x for x, _ in block], pa.list_(pa.int32())), pa.array([n for _, n in block], pa.int64())], names=["ids", "n"])
+
+            held: list = []
+            now = None
+            for got in batches:
+                firsts = got.column(0).to_numpy()
+                cuts = [0, *(np.flatnonzero(firsts[1:] != firsts[:-1]) + 1).tolist(), len(firsts)]
+                for i, j in zip(cuts, cuts[1:]):
+                    if i == j:
+                        continue
+                    if held and firsts[i] != now:
+                        yield from of(int(now), held)
+                        held = []
+                    now = firsts[i]
+                    held.append(got.slice(i, j - i))
+            if held:
+                yield from of(int(now), held)
+
+        mined = tails.repartition(parts, "first").sortWithinPartitions("first").mapInArrow(run, "ids array<int>, n long")
+        out = out.unionByName(mined.select(F.transform("ids", lambda x: F.element_at(known, x + 1)).alias("itemset"), "n"))
+    return out.select("itemset", F.size("itemset").alias("size"), "n", (F.col("n") / rows).alias("support"))
 
 
 def unbounded_itemsets(df: DataFrame, min_support: float, column: str = "items") -> DataFrame:

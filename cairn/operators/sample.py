@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cairn.functions.ranks import hash_rank
 from cairn.operators.clean import quoted
 
 SEED = 42
@@ -28,7 +29,7 @@ def take_quotas(df: DataFrame, by: str, quotas: Mapping, id_column: str, seed: i
     kind = df.schema[by].dataType
     # As many rows as there are classes.
     table = df.sparkSession.createDataFrame([(k, int(v)) for k, v in quotas.items()], T.StructType([T.StructField("_class", kind), T.StructField("_quota", T.LongType())]))
-    numbered = df.withColumn("_rank", F.row_number().over(Window.partitionBy(quoted(by)).orderBy(draw(id_column, seed), quoted(id_column))))
+    numbered = hash_rank(df, draw(id_column, seed), quoted(id_column), quoted(by), "_rank")
     joined = numbered.join(F.broadcast(table), quoted(by).eqNullSafe(F.col("_class")))
     return joined.where(F.col("_rank") <= F.col("_quota")).select(*[quoted(c) for c in df.columns])
 
@@ -88,7 +89,8 @@ def fold_count(counts: Mapping, requested: int) -> int:
 
 def folds(df: DataFrame, by: str, k: int, id_column: str, seed: int = SEED) -> DataFrame:
     """df with fold, 0 to k - 1, equally in each class."""
-    return df.withColumn("fold", ((F.row_number().over(Window.partitionBy(quoted(by)).orderBy(draw(id_column, seed), quoted(id_column))) - 1) % k).cast("int"))
+    ranked = hash_rank(df, draw(id_column, seed), quoted(id_column), quoted(by), "_rank")
+    return ranked.withColumn("fold", ((F.col("_rank") - 1) % k).cast("int")).drop("_rank")
 
 
 def split(df: DataFrame, id_column: str, train: float = 0.8, seed: int = SEED) -> DataFrame:

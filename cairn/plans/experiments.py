@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn import presets
+from cairn.functions.ranks import hash_rank
 from cairn.operators import assoc, clean, cluster, explain, features, metrics, patterns, profile, rules, sample, score, screening
 from cairn.plans.checkpoint import Store
 
@@ -28,10 +29,9 @@ def with_id(df: DataFrame) -> tuple[DataFrame, str]:
     """df and its identifier; without one, sample_index 0 .. n - 1 by a deterministic order of the rows' hashes."""
     if presets.ID_COLUMN in df.columns:
         return df, presets.ID_COLUMN
-    from pyspark.sql import Window
-
-    order = Window.orderBy(F.xxhash64(*[clean.quoted(c) for c in df.columns]))
-    return df.withColumn("sample_index", F.row_number().over(order).cast("long") - 1), "sample_index"
+    order = F.md5(F.concat_ws("|", *[F.coalesce(clean.quoted(c).cast("string"), F.lit("\0")) for c in df.columns]))
+    ranked = hash_rank(df, order, F.lit(0), name="sample_index")
+    return ranked.withColumn("sample_index", F.col("sample_index") - 1), "sample_index"
 
 
 def edas(df: DataFrame, o: SimpleNamespace) -> Result:
@@ -77,8 +77,7 @@ def categorical_association(df: DataFrame, o: SimpleNamespace) -> Result:
 def _itemset_stages(df: DataFrame, id_column: str, chosen: list[str], most_samples: DataFrame, support: float, size: int, store: Store) -> tuple[DataFrame, DataFrame]:
     prepared = store.get("01_prepared_sample", lambda: most_samples.select(*[clean.quoted(c) for c in dict.fromkeys([id_column, *chosen])]))
     encoded = store.get("02_encoded_transactions", lambda: patterns.items(prepared, chosen).select(id_column, "items"))
-    wide = len(chosen) > 25
-    frequent = store.get("03_frequent_itemsets", lambda: (patterns.frequent_itemsets_levelwise if wide else patterns.frequent_itemsets)(encoded, support, size))
+    frequent = store.get("03_frequent_itemsets", lambda: patterns.frequent_itemsets(encoded, support, size))
     return encoded, frequent
 
 

@@ -360,11 +360,6 @@ def frequent_itemsets(spark, d):
     return _frequent(spark, d).withColumn("itemset", patterns.joined(F.col("itemset")))
 
 
-@query(_SETS_SQL)
-def frequent_itemsets_levelwise(spark, d):
-    return patterns.frequent_itemsets_levelwise(patterns.items(lines(spark, d), _FOUR), 0.05, 3).withColumn("itemset", patterns.joined(F.col("itemset")))
-
-
 @query(f"WITH {LINES}, {_SETS} SELECT itemset, n FROM sets")
 def fp_growth(spark, d):
     found = patterns.unbounded_itemsets(patterns.items(lines(spark, d), _FOUR), 0.05).where(F.size("itemset") <= 3)

@@ -1,12 +1,15 @@
 """Value-level tests of the operators on small tables."""
 
 import io
+import itertools
 import json
 import zipfile
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from cairn.functions import ranks
 from cairn.operators import assoc, clean, cluster, curate, features, metrics, patterns, profile, rules, sample, score, screening
 from cairn.operators.curate import SpecRow
 from cairn.plans.checkpoint import Store, fingerprint
@@ -142,7 +145,10 @@ def test_itemsets_agree_and_rules_hold(spark):
     data = [(i, "a" if i % 2 else "b", "x" if i % 3 else "y", None if i % 5 == 0 else "k") for i in range(60)]
     df = patterns.items(spark.createDataFrame(data, "id int, p string, q string, r string"), ["p", "q", "r"])
     bounded = {tuple(r["itemset"]): r["n"] for r in patterns.frequent_itemsets(df, 0.1, 3).collect()}
-    assert bounded == {tuple(r["itemset"]): r["n"] for r in patterns.frequent_itemsets_levelwise(df, 0.1, 3).collect()}
+    baskets = [tuple(r["items"]) for r in df.collect()]
+    counts = Counter(s for b in baskets for k in (1, 2, 3) for s in itertools.combinations(b, k))
+    assert bounded == {s: n for s, n in counts.items() if n >= 6}
+    assert patterns.frequent_itemsets(df.limit(0), 0.1, 3).count() == 0
     assert bounded == {tuple(r["itemset"]): r["n"] for r in patterns.unbounded_itemsets(df, 0.1).collect()}
     assert all(bounded[s] <= bounded[s[:-1]] for s in bounded if len(s) > 1)
     found = patterns.association_rules(patterns.frequent_itemsets(df, 0.1, 3), 0.2)
@@ -292,3 +298,20 @@ def test_report_sinks(spark, tmp_path):
     assert "&lt;t&gt;" in page and "<rect" in page
     sinks.write_json({"b": 1, "a": 2}, str(tmp_path / "r.json"), sort_keys=True)
     assert list(json.loads((tmp_path / "r.json").read_text())) == ["a", "b"]
+
+
+def test_ranks_over_pieces(spark):
+    df = spark.range(700).select("id", (F.col("id") % 3).alias("c"), F.md5(F.col("id").cast("string")).alias("h"))
+    got = ranks.hash_rank(df, F.col("h"), F.col("id"), F.col("c")).collect()
+    for c in range(3):
+        order = sorted((r["h"], r["id"]) for r in got if r["c"] == c)
+        assert {r["id"]: r["rank"] for r in got if r["c"] == c} == {i: n + 1 for n, (_, i) in enumerate(order)}
+    assert sorted(r["rank"] for r in ranks.hash_rank(df, F.col("h"), F.col("id")).collect()) == list(range(1, 701))
+    for n in (0, 1, 2, 500):
+        sums = ranks.running_sums(spark.range(n).select((F.col("id") * 1.5).alias("s"), (F.col("id") % 7).alias("p")), "s", ["p"], pieces=9).orderBy(F.desc("s")).collect()
+        total, values = 0, [(n - 1 - i) % 7 for i in range(n)]
+        for i, r in enumerate(sums):
+            assert r["p_last"] == (total if i else None)
+            total += values[i]
+            assert r["p_sum"] == total and r["p_next"] == (total + values[i + 1] if i + 1 < n else None)
+        assert len(sums) == n
