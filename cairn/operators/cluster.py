@@ -1,4 +1,4 @@
-"""Clustering: exact agglomeration of a bounded sample, scalable k-means, a plane projection."""
+"""Clustering: exact agglomeration and a neighbour layout of a bounded sample, scalable k-means, principal components."""
 
 from __future__ import annotations
 
@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from cairn.functions.arrays import METRICS, distance
 from cairn.operators.clean import quoted
 
-__all__ = ["METRICS", "agglomerative", "distance", "kmeans", "linkage_labels", "profile", "project"]
+__all__ = ["METRICS", "agglomerative", "distance", "kmeans", "layout", "linkage_labels", "neighbour_layout", "profile", "project"]
 
-#: Rows that exact agglomeration takes at most: its distances are a matrix.
-MOST_ROWS = 5000
+#: Rows that exact agglomeration takes at most: for manhattan and chebyshev its distances are a matrix of 4 bytes a pair
+#: (1.6 GB for so many rows); euclidean and cosine need no matrix.
+MOST_ROWS = 20_000
 
 
 def agglomerative(df: DataFrame, id_column: str, columns: Sequence[str], clusters: int = 3, metric: str = "euclidean", most: int = MOST_ROWS, cells: int = 0) -> DataFrame:
@@ -25,18 +26,25 @@ def agglomerative(df: DataFrame, id_column: str, columns: Sequence[str], cluster
     if n > most:
         raise ValueError(f"Exact agglomeration takes at most {most} rows; take a sample, or use kmeans")
     k = max(1, min(max(2, clusters), n))
-    rows = df.select(quoted(id_column).alias("id"), F.array(*[quoted(c).cast("double") for c in columns]).alias("x"), F.lit(0).alias("_all"))
+    kind = df.schema[id_column].dataType.simpleString()
 
     def link(pdf):
-        import numpy as np
+        ids, x = _matrix(pdf, len(columns))
+        return ids.assign(cluster=linkage_labels(x, k, metric))
 
-        pdf = pdf.sort_values("id", kind="stable").reset_index(drop=True)
-        x = np.vstack(pdf["x"].to_numpy()) if len(pdf) else np.zeros((0, len(columns)))
-        labels = linkage_labels(x, k, metric)
-        return pdf[["id"]].assign(cluster=labels)
+    return _bounded(df, id_column, columns).applyInPandas(link, f"id {kind}, cluster int").withColumnRenamed("id", id_column)
+
+
+def _bounded(df: DataFrame, id_column: str, columns: Sequence[str]):
+    """The rows of a bounded sample as one group of (id, x)."""
+    return df.select(quoted(id_column).alias("id"), F.array(*[quoted(c).cast("double") for c in columns]).alias("x"), F.lit(0).alias("_all")).groupBy("_all")
 
-    kind = df.schema[id_column].dataType.simpleString()
-    return rows.groupBy("_all").applyInPandas(link, f"id {kind}, cluster int").withColumnRenamed("id", id_column)
+
+def _matrix(pdf, width: int):
+    import numpy as np
+
+    pdf = pdf.sort_values("id", kind="stable").reset_index(drop=True)
+    return pdf[["id"]], np.vstack(pdf["x"].to_numpy()) if len(pdf) else np.zeros((0, width))
 
 
 def _linked_cells(df: DataFrame, id_column: str, columns: Sequence[str], clusters: int, metric: str, cells: int) -> DataFrame:
@@ -53,42 +61,184 @@ def _linked_cells(df: DataFrame, id_column: str, columns: Sequence[str], cluster
     return rows.select(quoted(id_column), of[F.col("_cell")].cast("int").alias("cluster"))
 
 
+class _Centres:
+    """Clusters by their mean: Ward distances of euclidean rows, average cosine distances of rows of unit length."""
+
+    def __init__(self, x, weights, ward: bool) -> None:
+        import numpy as np
+
+        if not ward:
+            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        self.x, self.size, self.ward = (x - x.mean(0) if ward and len(x) else x.copy()), weights, ward
+        self.square = (self.x * self.x).sum(1)
+
+    def row(self, i: int):
+        import numpy as np
+
+        dots = self.x @ self.x[i]
+        if not self.ward:
+            return 1 - dots
+        return np.maximum(self.square + self.square[i] - 2 * dots, 0) * (2 * self.size * self.size[i] / (self.size + self.size[i]))
+
+    def merge(self, i: int, j: int) -> None:
+        both = self.size[i] + self.size[j]
+        self.x[i] = (self.x[i] * self.size[i] + self.x[j] * self.size[j]) / both
+        self.size[i], self.square[i] = both, self.x[i] @ self.x[i]
+
+
+class _Pairs:
+    """Clusters by a matrix of average distances, filled column by column of the rows."""
+
+    def __init__(self, x, weights, largest: bool) -> None:
+        import numpy as np
+
+        n = len(x)
+        self.d, self.size = np.zeros((n, n), dtype=np.float32), weights
+        for c in range(x.shape[1]):
+            v = x[:, c].astype(np.float32)
+            for at in range(0, n, 1024):
+                gap = np.abs(v[at : at + 1024, None] - v[None, :])
+                part = self.d[at : at + 1024]
+                np.maximum(part, gap, out=part) if largest else np.add(part, gap, out=part)
+
+    def row(self, i: int):
+        return self.d[i].copy()
+
+    def merge(self, i: int, j: int) -> None:
+        both = self.size[i] + self.size[j]
+        new = (self.size[i] * self.d[i] + self.size[j] * self.d[j]) / both
+        self.d[i], self.d[:, i] = new, new
+        self.size[i] = both
+
+
 def linkage_labels(x, clusters: int, metric: str, weights=None):
-    """Cluster numbers of the rows of a matrix, numbered by first appearance, by nearest-pair agglomeration with Lance-Williams updates."""
+    """Cluster numbers of the rows of a matrix, numbered by first appearance: Ward linkage for euclidean, else average.
+
+    By chains of nearest neighbours: a chain ends in two clusters that are nearest to each other, which merge; for these
+    linkages the merges in order of their distances are those of nearest-pair agglomeration. n rows take about n * n * columns.
+    """
     import numpy as np
 
     n = len(x)
-    if metric == "euclidean":
-        # About the mean, by products: differences of all pairs would take a matrix for each column.
-        x = x - x.mean(0) if n else x
-        square = (x * x).sum(-1)
-        d = np.maximum(square[:, None] + square[None, :] - 2 * (x @ x.T), 0)
-    elif metric == "manhattan":
-        d = np.abs(x[:, None, :] - x[None, :, :]).sum(-1)
-    elif metric == "chebyshev":
-        d = np.abs(x[:, None, :] - x[None, :, :]).max(-1)
-    else:
-        norm = np.linalg.norm(x, axis=1)
-        d = 1 - (x @ x.T) / np.maximum(np.outer(norm, norm), 1e-300)
-    np.fill_diagonal(d, np.inf)
-    size, own = np.ones(n) if weights is None else weights.copy(), np.arange(n)
-    if metric == "euclidean":
-        d *= 2 * np.outer(size, size) / (size[:, None] + size[None, :])
-    for _ in range(n - clusters):
-        i, j = divmod(int(d.argmin()), n)
-        i, j = min(i, j), max(i, j)
-        if metric == "euclidean":
-            s = size + size[i] + size[j]
-            new = ((size + size[i]) * d[i] + (size + size[j]) * d[j] - size * d[i, j]) / s
+    size = np.ones(n) if weights is None else np.asarray(weights, dtype=float).copy()
+    space = _Pairs(x, size, metric == "chebyshev") if metric in ("manhattan", "chebyshev") else _Centres(np.asarray(x, dtype=float), size, metric == "euclidean")
+    gone = np.zeros(n, dtype=bool)
+    merges: list[tuple[float, int, int]] = []
+    chain: list[int] = []
+    while len(merges) < n - 1:
+        if not chain:
+            chain.append(int(np.argmin(gone)))
+        i = chain[-1]
+        d = space.row(i)
+        d[gone] = np.inf
+        d[i] = np.inf
+        j = int(d.argmin())
+        # Of equally near ones the one before in the chain, so that it ends.
+        if len(chain) > 1 and d[chain[-2]] <= d[j]:
+            j = chain[-2]
+            del chain[-2:]
+            keep, drop = min(i, j), max(i, j)
+            space.merge(keep, drop)
+            gone[drop] = True
+            merges.append((float(d[j]), keep, drop))
         else:
-            new = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-        d[i], d[:, i] = new, new
-        d[i, i] = np.inf
-        d[j], d[:, j] = np.inf, np.inf
-        size[i] += size[j]
-        own[own == j] = i
+            chain.append(j)
+    up = np.arange(n)
+
+    def root(c: int) -> int:
+        while up[c] != c:
+            up[c] = up[up[c]]
+            c = int(up[c])
+        return c
+
+    for _, i, j in sorted(merges, key=lambda m: m[0])[: max(0, n - clusters)]:
+        a, b = root(i), root(j)
+        up[max(a, b)] = min(a, b)
     numbers: dict[int, int] = {}
-    return np.array([numbers.setdefault(int(c), len(numbers)) for c in own], dtype=np.int32)
+    return np.array([numbers.setdefault(root(c), len(numbers)) for c in range(n)], dtype=np.int32)
+
+
+def neighbour_layout(x, neighbours: int = 15, min_dist: float = 0.1, metric: str = "euclidean", epochs: int = 200, seed: int = 42):
+    """Places of the rows of a matrix in a plane that keep neighbourhoods: fuzzy nearest-neighbour weights, drawn together along
+    neighbours and pushed apart from random others, from the first two principal components on."""
+    import numpy as np
+
+    n = len(x)
+    r = np.random.default_rng(seed)
+    x = np.asarray(x, dtype=float)
+    centred = x - x.mean(0) if n else x
+    if n < 3:
+        return np.column_stack([np.arange(n, dtype=float), np.zeros(n)])
+    _, _, axes = np.linalg.svd(centred, full_matrices=False)
+    place = np.zeros((n, 2))
+    place[:, : min(2, len(axes))] = centred @ axes[:2].T
+    place = place / max(np.abs(place).max(), 1e-12) * 10 + r.normal(0, 1e-4, (n, 2))
+    k = min(neighbours, n - 1)
+    near, far = np.zeros((n, k), dtype=np.int64), np.zeros((n, k))
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    for at in range(0, n, 256):
+        part = slice(at, at + 256)
+        if metric == "euclidean":
+            d = np.sqrt(np.maximum((centred[part] ** 2).sum(1)[:, None] + (centred**2).sum(1)[None, :] - 2 * centred[part] @ centred.T, 0))
+        elif metric == "cosine":
+            d = 1 - unit[part] @ unit.T
+        else:
+            d = np.zeros((len(x[part]), n))
+            for c in range(x.shape[1]):
+                gap = np.abs(x[part, c][:, None] - x[None, :, c])
+                d = np.maximum(d, gap) if metric == "chebyshev" else d + gap
+        d[np.arange(d.shape[0]), np.arange(at, at + d.shape[0])] = np.inf
+        near[part] = np.argpartition(d, k - 1, axis=1)[:, :k]
+        far[part] = np.take_along_axis(d, near[part], axis=1)
+    # Each row's widths: its weights add up to log2(k), the nearest has weight 1.
+    least = far.min(1, keepdims=True)
+    low, high = np.zeros((n, 1)), np.full((n, 1), max(far.max(), 1e-12) * 10)
+    for _ in range(50):
+        width = (low + high) / 2
+        above = np.exp(-(far - least) / np.maximum(width, 1e-12)).sum(1, keepdims=True) > np.log2(max(k, 2))
+        high, low = np.where(above, width, high), np.where(above, low, width)
+    weight = np.exp(-(far - least) / np.maximum(width, 1e-12)).ravel()
+    a, b = np.repeat(np.arange(n), k), near.ravel()
+    # Either direction makes an edge: p + q - p q.
+    key = np.minimum(a, b) * n + np.maximum(a, b)
+    pair, at = np.unique(key, return_inverse=True)
+    apart = np.ones(len(pair))
+    np.multiply.at(apart, at, 1 - np.minimum(weight, 1 - 1e-9))
+    weight, a, b = 1 - apart, pair // n, pair % n
+    # The curve 1 / (1 + s d^(2t)) that is nearest to 1 up to min_dist and then falls off exponentially.
+    grid = np.linspace(0.01, 3, 200)
+    wanted = np.where(grid < min_dist, 1.0, np.exp(-(grid - min_dist)))
+    s, t = min(((p, q) for p in np.linspace(0.2, 6, 59) for q in np.linspace(0.4, 2, 33)), key=lambda u: float(((1 / (1 + u[0] * grid ** (2 * u[1])) - wanted) ** 2).sum()))
+    for epoch in range(epochs):
+        step = 1 - epoch / epochs
+        some = np.flatnonzero(r.random(len(weight)) < weight / weight.max())
+        i, j = a[some], b[some]
+        gap = place[i] - place[j]
+        d2 = np.maximum((gap**2).sum(1, keepdims=True), 1e-9)
+        pull = np.clip(-2 * s * t * d2 ** (t - 1) / (1 + s * d2**t) * gap, -4, 4) * step
+        move = np.zeros_like(place)
+        np.add.at(move, i, pull)
+        np.add.at(move, j, -pull)
+        ends = np.repeat(np.concatenate([i, j]), 3)
+        gap = place[ends] - place[r.integers(0, n, len(ends))]
+        d2 = (gap**2).sum(1, keepdims=True)
+        np.add.at(move, ends, np.clip(2 * t / ((0.001 + d2) * (1 + s * d2**t)) * gap, -4, 4) * step)
+        place += np.clip(move, -4, 4)
+    return place
+
+
+def layout(df: DataFrame, id_column: str, columns: Sequence[str], neighbours: int = 15, min_dist: float = 0.1, metric: str = "euclidean", most: int = MOST_ROWS) -> DataFrame:
+    """(id, umap_dimension_1, umap_dimension_2): the neighbour layout of at most most rows; more are an error."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"The neighbour layout takes at most {most} rows; take a sample, or use project")
+    kind = df.schema[id_column].dataType.simpleString()
+
+    def lay(pdf):
+        ids, x = _matrix(pdf, len(columns))
+        place = neighbour_layout(x, neighbours, min_dist, metric)
+        return ids.assign(umap_dimension_1=place[:, 0], umap_dimension_2=place[:, 1])
+
+    return _bounded(df, id_column, columns).applyInPandas(lay, f"id {kind}, umap_dimension_1 double, umap_dimension_2 double").withColumnRenamed("id", id_column)
 
 
 def _assembled(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -101,6 +101,18 @@ def learn_frame(df: DataFrame, exclude: Sequence[str], most_values: int = 12, bi
     return Frame(edges, [c for c in text if 2 <= sizes[c] <= most_values])
 
 
+def mixed_frame(df: DataFrame, exclude: Sequence[str], keep: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """keep and the features, and the features' names: numbers with their median for null, text with Missing for it. Columns of one value stay."""
+    names = [f for f in df.schema.fields if f.name not in set(exclude)]
+    numbers = [f.name for f in names if isinstance(f.dataType, T.NumericType)]
+    text = [f.name for f in names if isinstance(f.dataType, T.StringType)]
+    # A column without any number has no median and tells nothing.
+    counts = df.agg(*[F.count(number(quoted(c))).alias(f"_{i}") for i, c in enumerate(numbers)]).first() if numbers else ()
+    numbers = [c for c, n in zip(numbers, counts) if n]
+    filled = impute_median(df, numbers) if numbers else df
+    return filled.select(*[quoted(c) for c in keep], *[quoted(c).cast("double").alias(c) for c in numbers], *[F.coalesce(quoted(c), F.lit(presets.MISSING)).alias(c) for c in text]), [*numbers, *text]
+
+
 def components(frame: DataFrame, columns: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """Long one-hot form: keep and component "column_value" of each feature of each row."""
     each = [F.concat(F.lit(f"{c}_"), quoted(c)) for c in columns]

@@ -181,16 +181,18 @@ def merge_exports(exports: Sequence[DataFrame], id_column: str, target: str) ->
 
 
 def boosted_trees(frame: DataFrame, columns: Sequence[str], outcome: str, trees: int = 80, depth: int = 3, rate: float = 0.08, subsample: float = 0.8, seed: int = 42):
-    """A pipeline of one-hot features and gradient-boosted trees, fitted."""
+    """A pipeline of features and gradient-boosted trees, fitted: text is one-hot, numbers (which have no nulls) are taken as they are."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 
-    index = StringIndexer(inputCols=list(columns), outputCols=[f"{c}__i" for c in columns], handleInvalid="keep", stringOrderType="alphabetAsc")
-    hot = OneHotEncoder(inputCols=[f"{c}__i" for c in columns], outputCols=[f"{c}__v" for c in columns], dropLast=False)
-    assemble = VectorAssembler(inputCols=[f"{c}__v" for c in columns], outputCol="features")
+    kinds = dict(frame.dtypes)
+    text = [c for c in columns if kinds[c] == "string"]
+    index = StringIndexer(inputCols=text, outputCols=[f"{c}__i" for c in text], handleInvalid="keep", stringOrderType="alphabetAsc")
+    hot = OneHotEncoder(inputCols=[f"{c}__i" for c in text], outputCols=[f"{c}__v" for c in text], dropLast=False)
+    assemble = VectorAssembler(inputCols=[f"{c}__v" if c in text else c for c in columns], outputCol="features")
     trees_ = GBTClassifier(featuresCol="features", labelCol=outcome, maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=subsample, featureSubsetStrategy=str(subsample), seed=seed)
-    return Pipeline(stages=[index, hot, assemble, trees_]).fit(frame)
+    return Pipeline(stages=[*([index, hot] if text else []), assemble, trees_]).fit(frame)
 
 
 def tree_probability(model, frame: DataFrame, keep: Sequence[str]) -> DataFrame:

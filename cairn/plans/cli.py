@@ -118,7 +118,7 @@ def recolor_main(argv: Sequence[str] | None = None, spark: SparkSession | None =
     rows = out.collect()
     target = Path(o.output_html)
     target.parent.mkdir(parents=True, exist_ok=True)
-    chart = {"kind": "points", "x": [r["dimension_1"] for r in rows], "y": [r["dimension_2"] for r in rows], "color": [r["color_group"] for r in rows]}
+    chart = {"kind": "points", "x": [r["umap_dimension_1"] for r in rows], "y": [r["umap_dimension_2"] for r in rows], "color": [r["color_group"] for r in rows]}
     target.write_text(sinks.html_page(o.title, {"groups": out.groupBy("color_group").count()}, {o.title: chart}), encoding="utf-8")
     sinks.write_csv(out, str(target.with_suffix("")) + "_recolored")
     return target

@@ -129,11 +129,11 @@ def clustering(df: DataFrame, o: SimpleNamespace) -> Result:
     filled = features.impute_median(rows.select(id_column, *map(clean.quoted, numbers)), numbers).persist()
     scaled = features.standardize(filled, numbers).persist()
     own = cluster.agglomerative(scaled, id_column, numbers, o.clustering_n_clusters, o.clustering_metric).persist()
-    placed = rows.join(own, id_column).join(cluster.project(scaled, id_column, numbers), id_column)
+    placed = rows.join(own, id_column).join(cluster.layout(scaled, id_column, numbers, o.clustering_n_neighbors, o.clustering_min_dist, o.clustering_metric), id_column)
     label = rules.label_rules(_rules_of(o.clustering_color_rules_json), placed.columns) if o.clustering_color_rules_json else F.col("cluster").cast("string")
-    points = placed.withColumn("color_group", label).select(id_column, "dimension_1", "dimension_2", "cluster", "color_group", *[clean.quoted(c) for c in rows.columns if c != id_column])
+    points = placed.withColumn("color_group", label).select(id_column, "umap_dimension_1", "umap_dimension_2", "cluster", "color_group", *[clean.quoted(c) for c in rows.columns if c != id_column])
     means = cluster.profile(filled.join(own, id_column), "cluster", numbers).orderBy("cluster")
-    drawn = points.select("dimension_1", "dimension_2", "color_group").collect()
+    drawn = points.select("umap_dimension_1", "umap_dimension_2", "color_group").collect()
     return Result({"coordinates": points, "profile": means}, {"projection": {"kind": "points", "x": [r[0] for r in drawn], "y": [r[1] for r in drawn], "color": [r[2] for r in drawn]}})
 
 
@@ -150,9 +150,8 @@ def permutation(df: DataFrame, o: SimpleNamespace) -> Result:
     df, id_column = with_id(df)
     rows = screening.binary(df, o.permutation_target_column, o.permutation_positive_label, o.permutation_negative_label)
     rows = sample.stratified_cap(rows, o.permutation_target_column, o.permutation_max_samples, id_column)
-    made = features.learn_frame(rows, [id_column, o.permutation_target_column, "y", *_NOT_FEATURES], most_values=1_000_000, bins=10)
-    frame = made.apply(rows, [id_column, "y"])
-    return Result({"importance": explain.permutation_importance(frame, made.columns, "y", id_column, o.permutation_max_splits, o.permutation_repeats, o.permutation_estimators)})
+    frame, columns = features.mixed_frame(rows, [id_column, o.permutation_target_column, "y", *_NOT_FEATURES], [id_column, "y"])
+    return Result({"importance": explain.permutation_importance(frame, columns, "y", id_column, o.permutation_max_splits, o.permutation_repeats, o.permutation_estimators)})
 
 
 def _strategies(df: DataFrame, id_column: str, o: SimpleNamespace) -> tuple[DataFrame, dict[str, tuple[features.Frame, score.Strategy, DataFrame]]]:

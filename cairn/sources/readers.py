@@ -65,13 +65,15 @@ def load_excel(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
-    """A table by the path's suffix: .parquet and .pq, .csv (header, inferred types), .xlsx. Other suffixes: ValueError."""
+    """A table by the path's suffix: .parquet and .pq, .csv (header, inferred types), .xlsx. Other suffixes: ValueError, also those of binary workbooks (.xls) and of SPSS (.sav)."""
     if path.endswith((".parquet", ".pq")):
         return spark.read.parquet(path)
     if path.endswith(".csv"):
         return spark.read.csv(path, header=True, inferSchema=True)
     if path.endswith(".xlsx"):
         return load_excel(spark, path)
+    if path.endswith((".xls", ".sav")):
+        raise ValueError(f"Unsupported file format: {path} (no reader of this binary format is at hand; save it as .xlsx, .csv or .parquet)")
     raise ValueError(f"Unsupported file format: {path}")
 
 
@@ -91,7 +93,7 @@ def load_rules(path: str) -> dict:
         return json.load(f)
 
 
-def load_coordinates(spark: SparkSession, path: str, required: tuple[str, ...] = ("dimension_1", "dimension_2")) -> DataFrame:
+def load_coordinates(spark: SparkSession, path: str, required: tuple[str, ...] = ("umap_dimension_1", "umap_dimension_2", "cluster")) -> DataFrame:
     """A coordinates CSV; ValueError lists required columns that it lacks."""
     df = spark.read.csv(path, header=True, inferSchema=True)
     if missing := sorted(set(required) - set(df.columns)):

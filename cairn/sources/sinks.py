@@ -32,8 +32,10 @@ def write_jdbc(df: DataFrame, url: str, table: str, properties: Mapping[str, str
     df.write.jdbc(url, table, mode="overwrite", properties=dict(properties))
 
 
-def _rows(df: DataFrame, most: int) -> list[tuple]:
-    return [tuple(r) for r in df.limit(most).collect()]
+def _rows(df: DataFrame, most: int) -> tuple[list[tuple], str]:
+    """The first rows, and a note if there are more."""
+    rows = [tuple(r) for r in df.limit(most + 1).collect()]
+    return rows[:most], f"The first {most} rows; the table has more." if len(rows) > most else ""
 
 
 _TEX = str.maketrans({"&": r"\&", "%": r"\%", "$": r"\$", "#": r"\#", "_": r"\_", "{": r"\{", "}": r"\}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}", "\\": r"\textbackslash{}"})
@@ -44,11 +46,12 @@ def _cell(v) -> str:
 
 
 def latex(df: DataFrame, caption: str = "", label: str = "", most: int = REPORT_ROWS) -> str:
-    """A LaTeX table of the first rows."""
+    """A LaTeX table of the first rows, with a note if there are more."""
+    rows, note = _rows(df, most)
     lines = [r"\begin{table}", *([rf"\caption{{{caption.translate(_TEX)}}}"] if caption else []), *([rf"\label{{{label}}}"] if label else []), rf"\begin{{tabular}}{{{'l' * len(df.columns)}}}", r"\toprule"]
     lines += [" & ".join(c.translate(_TEX) for c in df.columns) + r" \\", r"\midrule"]
-    lines += [" & ".join(_cell(v).translate(_TEX) for v in r) + r" \\" for r in _rows(df, most)]
-    return "\n".join([*lines, r"\bottomrule", r"\end{tabular}", r"\end{table}"]) + "\n"
+    lines += [" & ".join(_cell(v).translate(_TEX) for v in r) + r" \\" for r in rows]
+    return "\n".join([*lines, r"\bottomrule", r"\end{tabular}", *([note] if note else []), r"\end{table}"]) + "\n"
 
 
 def latex_tables(tables: Sequence[str]) -> str:
@@ -61,9 +64,10 @@ def html_page(title: str, tables: Mapping[str, DataFrame], charts: Mapping[str,
     for name, spec in (charts or {}).items():
         out.append(f"<h2>{html.escape(name)}</h2>{_svg(spec)}<script type=application/json>{json.dumps(spec, default=str).replace('</', '<' + chr(92) + '/')}</script>")
     for name, df in tables.items():
+        rows, note = _rows(df, most)
         head = "".join(f"<th>{html.escape(c)}" for c in df.columns)
-        body = "".join("<tr>" + "".join(f"<td>{html.escape(_cell(v))}" for v in r) for r in _rows(df, most))
-        out.append(f"<h2>{html.escape(name)}</h2><table border=1><tr>{head}{body}</table>")
+        body = "".join("<tr>" + "".join(f"<td>{html.escape(_cell(v))}" for v in r) for r in rows)
+        out.append(f"<h2>{html.escape(name)}</h2><table border=1><tr>{head}{body}</table>" + (f"<p>{note}</p>" if note else ""))
     return "\n".join(out)
 
 

@@ -51,9 +51,10 @@ def test_clustering_with_rules(spark, tmp_path):
     path = tmp_path / "rules.json"
     path.write_text(json.dumps({"default": "other", "rules": [{"color": "cancer", "var": "fr_cance", "eq": "Sí"}, {"color": "positive_study", "all": [{"var": "ana_dura", "eq": "Buscada positivo"}]}]}))
     out = run(spark, tmp_path, df, "clustering", "--clustering-max-samples", "20", "--clustering-color-rules-json", str(path))("coordinates")
+    assert {"umap_dimension_1", "umap_dimension_2", "cluster"} <= set(out.columns)
     assert out.count() == 20 and {r["color_group"] for r in out.collect()} <= {"cancer", "positive_study", "other"}
     csv = tmp_path / "points.csv"
-    csv.write_text("id_pacie,dimension_1,dimension_2,fr_cance\n1,0.5,1.5,Sí\n2,0.1,0.2,No\n")
+    csv.write_text("id_pacie,umap_dimension_1,umap_dimension_2,cluster,fr_cance\n1,0.5,1.5,0,Sí\n2,0.1,0.2,1,No\n")
     page = cli.recolor_main(["--umap-csv", str(csv), "--color-rules-json", str(path), "--output-html", str(tmp_path / "r.html")], spark)
     assert "cancer" in page.read_text()
 

@@ -284,10 +284,11 @@ def test_readers(spark, tmp_path):
     (tmp_path / "s.xlsx").write_bytes(workbook([["Nombre variable", "b"], [" sexo ", "Sex", "todo ok", "missing"], [None, "x"]]))
     assert readers.load_spec(spark, str(tmp_path / "s.xlsx")) == [SpecRow("sexo", "Sex", "todo ok", "missing")]
     (tmp_path / "c.csv").write_text("a,b\n1,2\n")
-    with pytest.raises(ValueError, match="dimension_1"):
+    with pytest.raises(ValueError, match="cluster.*umap_dimension_1"):
         readers.load_coordinates(spark, str(tmp_path / "c.csv"))
-    with pytest.raises(ValueError, match="Unsupported"):
-        readers.load(spark, "x.CSV")
+    for name in ("x.CSV", "x.xls", "x.sav"):
+        with pytest.raises(ValueError, match="Unsupported"):
+            readers.load(spark, name)
 
 
 def test_report_sinks(spark, tmp_path):
@@ -315,3 +316,59 @@ def test_ranks_over_pieces(spark):
             total += values[i]
             assert r["p_sum"] == total and r["p_next"] == (total + values[i + 1] if i + 1 < n else None)
         assert len(sums) == n
+
+
+def test_linkage_equals_nearest_pairs():
+    import numpy as np
+
+    def plain(x, k, metric, weights):
+        """Nearest pairs by definition, from the rows of the clusters."""
+        groups = [[i] for i in range(len(x))]
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        one = {"manhattan": lambda a, b: np.abs(x[a] - x[b]).sum(), "chebyshev": lambda a, b: np.abs(x[a] - x[b]).max(), "cosine": lambda a, b: 1 - unit[a] @ unit[b]}
+
+        def gap(a, b):
+            if metric == "euclidean":
+                centre = [np.average(x[g], axis=0, weights=weights[g]) for g in (a, b)]
+                n, m = weights[a].sum(), weights[b].sum()
+                return 2 * n * m / (n + m) * ((centre[0] - centre[1]) ** 2).sum()
+            return sum(weights[i] * weights[j] * one[metric](i, j) for i in a for j in b) / (weights[a].sum() * weights[b].sum())
+
+        while len(groups) > k:
+            i, j = min(itertools.combinations(range(len(groups)), 2), key=lambda p: gap(groups[p[0]], groups[p[1]]))
+            groups[i] += groups.pop(j)
+        label = {i: min(g) for g in groups for i in g}
+        numbers = {}
+        return [numbers.setdefault(label[i], len(numbers)) for i in range(len(x))]
+
+    r = np.random.default_rng(4)
+    for metric in cluster.METRICS:
+        for weights in (np.ones(14), r.integers(1, 5, 14).astype(float)):
+            x = r.normal(size=(14, 3))
+            assert cluster.linkage_labels(x, 4, metric, weights).tolist() == plain(x, 4, metric, weights)
+    assert cluster.linkage_labels(np.zeros((0, 2)), 3, "euclidean").tolist() == [] and cluster.linkage_labels(np.zeros((1, 2)), 3, "cosine").tolist() == [0]
+
+
+def test_layout_keeps_groups_together():
+    import numpy as np
+
+    r = np.random.default_rng(6)
+    x = np.concatenate([r.normal(20 * g, 1, (40, 6)) for g in range(3)])
+    for metric in cluster.METRICS[:2]:
+        place = cluster.neighbour_layout(x, 10, 0.1, metric, epochs=100)
+        centre = np.array([place[40 * g : 40 * g + 40].mean(0) for g in range(3)])
+        nearest = ((place[:, None, :] - centre[None, :, :]) ** 2).sum(-1).argmin(1)
+        assert (nearest == np.repeat(np.arange(3), 40)).mean() > 0.95
+    assert cluster.neighbour_layout(np.zeros((2, 3))).shape == (2, 2)
+
+
+def test_numbers_stay_numbers_for_importance(spark):
+    df = spark.createDataFrame([(i, "a" if i % 2 else None, float(i) if i % 5 else None, None) for i in range(20)], "id long, c string, x double, none double")
+    frame, columns = features.mixed_frame(df, ["id"], ["id"])
+    assert columns == ["x", "c"] and dict(frame.dtypes)["x"] == "double" and frame.where("x is null or c is null").count() == 0
+
+
+def test_reports_say_what_they_leave_out(spark):
+    df = spark.range(5).toDF("x")
+    assert "first 3 rows" in sinks.latex(df, most=3) and "first 3 rows" in sinks.html_page("t", {"a": df}, most=3)
+    assert "first" not in sinks.latex(df, most=5)
