@@ -20,6 +20,7 @@ its target unmet. Equal texts, equal rates.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -45,7 +46,7 @@ class Softmax:
         return z / z.sum(1, keepdims=True)
 
 
-def fit(x: np.ndarray, y: np.ndarray, domains: list[str], penalty: float = 2e-5, steps: int = 200) -> Softmax:
+def fit(x: np.ndarray, y: np.ndarray, domains: list[str], penalty: float = 1e-6, steps: int = 1000) -> Softmax:
     """Maximum likelihood with a ridge, by Nesterov's accelerated gradient on centred features."""
     n, k = len(y), len(domains)
     share = (np.bincount(y, minlength=k) + 0.5) / (n + 0.5 * k)
@@ -125,15 +126,25 @@ class Mix:
     history: list[list[float]]
     totals: np.ndarray  # expected tokens by domain at these rates
     targets: np.ndarray
+    error: float = 0.0  # sum of what totals miss, over that of the targets
 
     def rate(self) -> Column:
         return _rate(self.start, self.history)
 
 
+def largest_budget(members: DataFrame, targets: list[float]) -> float:
+    """The share of all tokens up to which no domain would have to give more expected tokens than it has: then the scarcest stays whole and others are thinned."""
+    k = len(targets)
+    row = members.agg(F.sum("n_tokens"), *[F.sum(F.col("n_tokens") * F.col("p")[i]) for i in range(k)]).first()
+    tokens = float(row[0] or 0)
+    return min([1.0] + [(row[i + 1] or 0.0) / tokens / (targets[i] / sum(targets)) for i in range(k) if targets[i] > 0]) if tokens else 1.0
+
+
 def solve(members: DataFrame, targets: list[float], budget: float, iterations: int = 40, tolerance: float = 1e-9) -> Mix:
     """Rates for which domain d gets targets[d] / sum(targets) * budget expected tokens. budget: a share of all tokens.
 
-    members: (n_tokens, p), read once an iteration; store it first.
+    members: (n_tokens, p), read once an iteration; store it first. Targets that no rates reach leave an error above
+    tolerance: it is in the result, and a warning says so.
     """
     k = len(targets)
     n, p = F.col("n_tokens"), [F.col("p")[i] for i in range(k)]
@@ -150,7 +161,9 @@ def solve(members: DataFrame, targets: list[float], budget: float, iterations: i
         totals = np.array([x or 0.0 for x in row[:k]])
         error = float(np.abs(totals - t).sum() / t.sum())
         if error < tolerance or len(history) == iterations:
-            return Mix(budget, history, totals, t)
+            if error >= tolerance:
+                warnings.warn(f"rates miss the targets by {error:.3g} of their tokens after {iterations} iterations", RuntimeWarning, stacklevel=2)
+            return Mix(budget, history, totals, t, error)
         step = step / 2 if error > last * 1.2 else min(1.0, step * 1.5)
         last = error
         gram = np.zeros((k, k))
@@ -159,13 +172,20 @@ def solve(members: DataFrame, targets: list[float], budget: float, iterations: i
         history.append((step * np.linalg.solve(gram + 1e-10 * max(np.trace(gram), 1e-300) * np.eye(k), totals - t)).tolist())
 
 
-def mix(df: DataFrame, model: Softmax, targets: list[float], budget: float, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Mix]:
-    """(doc_id, n_tokens, p, rate) of each row, and the solution."""
+def mix(df: DataFrame, model: Softmax, targets: list[float], budget: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Mix]:
+    """(doc_id, n_tokens, p, rate) of each row, and the solution. budget: a share of all tokens; none: the largest (largest_budget)."""
     members = pin(memberships(df, model, id_col, text_col))
-    solution = solve(members, targets, budget)
+    solution = solve(members, targets, largest_budget(members, targets) if budget is None else budget)
     return members.withColumn("rate", solution.rate()), solution
 
 
+def realised(members: DataFrame, solution: Mix) -> np.ndarray:
+    """Expected tokens by domain of what realise keeps: a rate above 1 counts as 1."""
+    rate = F.least(F.lit(1.0), solution.rate())
+    row = members.agg(*[F.sum(F.col("n_tokens") * rate * F.col("p")[i]).alias(f"_{i}") for i in range(len(solution.targets))]).first()
+    return np.array([x or 0.0 for x in row])
+
+
 def realise(df: DataFrame, model: Softmax, solution: Mix, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df, all columns, each kept with probability min(1, rate) by the hash of its text: copies fare alike.
 

@@ -16,8 +16,8 @@ from cairn.llm.common import stash
 
 #: Least probability of good quality with which a document stays.
 LEAST_GOOD = 0.5
-#: Shares of tokens by domain among the good documents, and tokens of the mix as a share of what is left before it.
-TARGETS, BUDGET = {"good": 0.97, "good_toxic": 0.03}, 0.8
+#: Shares of tokens by domain among the good documents. The mix has as many tokens as they allow, so the scarcest domain stays.
+TARGETS = {"good": 0.97, "good_toxic": 0.03}
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are kept at rates for which the expected tokens of each domain match the targets (operator 2)."""
     model = mixing.train(docs, _labels(spark, sf_dir), F.expr(queries.DOMAIN), list(TARGETS))
-    _, solution = mixing.mix(docs, model, list(TARGETS.values()), BUDGET)
+    _, solution = mixing.mix(docs, model, list(TARGETS.values()))
     return mixing.realise(docs, model, solution)
 
 
