@@ -7,6 +7,7 @@ differences; the bucket's answers come back in the same order. So what moves is
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,15 @@ BLOCK_ROWS = 1 << 16
 _IPC = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=1))
 
 
+def trim() -> None:
+    """Give back to the system what a group needed: the executor's memory has to do for two workers and the JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def blocks(batches: Iterator[pa.RecordBatch], size: int, column: str = "text") -> Iterator[pa.RecordBatch]:
     """The rows of batches in blocks of about size bytes of that column each (one long text may exceed it)."""
     held: list[pa.RecordBatch] = []
@@ -125,8 +135,12 @@ def keyed(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[tuple, It
             yield row[n:]
             row = next(each, None)
 
+    since = 0
     while row is not None:
         yield row[:n], run()
+        since += 1
+        if since % 16 == 0 or n == 1:
+            trim()
 
 
 def spread(keys: np.ndarray, buckets: int) -> np.ndarray:

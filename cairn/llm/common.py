@@ -122,14 +122,19 @@ def slices(batch: pa.RecordBatch, column: str = "text", budget: int = 4 << 20) -
 class WordCache(dict):
     """make(word) for each word that is looked up, kept for the words of late: at most 2 * entries of them.
 
-    When entries are full they become the old generation, and what was old and not looked up since goes.
+    When entries are full they become the old generation, and what was old and not looked up since goes. Words of more
+    than LONGEST characters are made each time, so the cache's bytes are bounded too.
     """
 
+    LONGEST = 64
+
     def __init__(self, make: Callable, entries: int) -> None:
         super().__init__()
         self.make, self.entries, self.old = make, entries, {}
 
     def __missing__(self, word):
+        if len(word) > self.LONGEST:
+            return self.make(word)
         if (value := self.old.get(word, self)) is self:
             value = self.make(word)
         if len(self) >= self.entries:

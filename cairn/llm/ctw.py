@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.blocks import blocks, by_bucket, firsts, freeze, keyed, merge_counts, pack, pack_sorted, record, spread, thaw, unpack, unpack_sorted
+from cairn.llm.blocks import blocks, by_bucket, firsts, freeze, keyed, merge_counts, pack, pack_sorted, record, spread, thaw, trim, unpack, unpack_sorted
 from cairn.llm.common import shards, stash, texts_of
 
 #: Bytes of context. Five is the most that fits beside a row number in 64 bits.
@@ -285,6 +285,7 @@ def gather(docs: DataFrame, buckets: int, depth: int = DEPTH, block: int = BLOCK
             if many == group:
                 yield from flush()
                 done, many = done + 1, 0
+                trim()
         if many:
             yield from flush()
 

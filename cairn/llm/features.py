@@ -39,13 +39,16 @@ def trigram_features(texts: list[str]) -> np.ndarray:
 def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], max_rows: int, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, text, columns...) of at most max_rows labelled rows, chosen by the hash of their id, in the shared folder.
 
-    docs: (doc_id, text). Labels without an id or with a null in a column are left out; of repeated labels one counts.
+    docs: (doc_id, text). Labels without an id or with a null in a column are left out; of different labels of one id the least
+    counts, in the order of columns.
     The chosen labels are at most max_rows narrow rows, so they are broadcast and the texts stay where they are.
     """
     chosen = (
         labels.select(F.col(id_col).cast("long").alias("doc_id"), *columns)
         .dropna()
-        .dropDuplicates(["doc_id"])
+        .groupBy("doc_id")
+        .agg(F.min(F.struct(*columns)).alias("least"))
+        .select("doc_id", "least.*")
         .orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id")
         .limit(max_rows)
     )

@@ -63,6 +63,7 @@ class Header:
     samples: int
     side: int  # bytes of side information (Layer III)
     channels: int
+    bound: int = 32  # subbands from here on share their allocation (joint stereo of Layers I and II)
 
 
 _HEADERS: dict[int, Header | None] = {}
@@ -84,12 +85,50 @@ def header(word: int) -> Header | None:
         size = (12_000 * kbps // hertz + pad) * 4 if layer == 1 else samples // 8 * 1000 * kbps // hertz + pad
         channels = 1 if word >> 6 & 3 == 3 else 2
         side = (17 if channels == 1 else 32) if first == 1 else (9 if channels == 1 else 17)
-        out = Header({3: 1, 2: 2, 0: 25}[bits], layer, not word >> 16 & 1, kbps, hertz, size, samples, side if layer == 3 else 0, channels)
+        bound = 4 * ((word >> 4 & 3) + 1) if word >> 6 & 3 == 1 else 32
+        out = Header({3: 1, 2: 2, 0: 25}[bits], layer, not word >> 16 & 1, kbps, hertz, size, samples, side if layer == 3 else 0, channels, bound)
     if len(_HEADERS) < 4096:
         _HEADERS[word] = out
     return out
 
 
+def _allocation_bits(h: Header) -> list[int]:
+    """Bits of the allocation of each subband in Layer II."""
+    # Subbands and widths by the standard's tables.
+    if h.version != 1:
+        return [4] * 4 + [3] * 7 + [2] * 19
+    each = h.kbps // h.channels
+    if each <= 48:
+        return [4] * 2 + [3] * (10 if h.hertz == 32_000 else 6)
+    return [4] * 11 + [3] * 12 + [2] * (4 if h.hertz == 48_000 or each <= 80 else 7)
+
+
+def checked_bits(data: bytes, at: int, h: Header) -> int:
+    """How many bits behind the checksum of the frame here it covers, beside the header's second half."""
+    if h.layer == 3:
+        return 8 * h.side
+    if h.layer == 1:
+        bound = h.bound if h.channels == 2 else 32
+        return 4 * (bound * h.channels + 32 - bound)
+    body = data[at + 6 : at + 70]
+    value, left = int.from_bytes(body), 8 * len(body)
+    used = scales = 0
+    for sb, width in enumerate(_allocation_bits(h)):
+        for _ in range(1 if sb >= h.bound else h.channels):
+            used += width
+            if used <= left and value >> (left - used) & ((1 << width) - 1):
+                scales += h.channels if sb >= h.bound else 1
+    return used + 2 * scales
+
+
+def crc16_bits(data: bytes, bits: int) -> int:
+    """The checksum of two bytes and so many bits behind them."""
+    crc = crc16(data[: 2 + bits // 8])
+    for i in range(bits // 8 * 8, bits):
+        crc = (crc << 1 ^ (0x8005 if (crc >> 15 ^ data[2 + i // 8] >> (7 - i % 8)) & 1 else 0)) & 0xFFFF
+    return crc
+
+
 @dataclass
 class Stream:
     tags: list[str] = field(default_factory=list)
@@ -178,9 +217,10 @@ def parse(data: bytes) -> Stream:
         if at + h.size > n:
             out.truncated += 1
             break
-        if h.protected and h.layer == 3:
+        if h.protected:
             out.checked += 1
-            out.bad_crc += crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]) != int.from_bytes(data[at + 4 : at + 6])
+            bits = checked_bits(data, at, h)
+            out.bad_crc += crc16_bits(data[at + 2 : at + 4] + data[at + 6 : at + 6 + -(-bits // 8)], bits) != int.from_bytes(data[at + 4 : at + 6])
         if not (not out.frames and not out.vbr and h.layer == 3 and _table(data, at, h, out)):
             if not out.frames:
                 out.hertz, out.version, out.layer, out.channels = h.hertz, h.version, h.layer, h.channels
@@ -246,17 +286,17 @@ def store_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return map_arrow(texts_of(df, id_col, text_col), make, "doc_id long, n_bytes long, media binary")
 
 
-ANALYSIS = "tags array<string>, vbr string, vbr_frames long, vbr_bytes long, frames long, samples long, hertz int, seconds double, kbps double, crc_checked long, crc_bad long, resyncs long, skipped_bytes long, truncated long, seek_offsets array<long>"
+ANALYSIS = "tags array<string>, vbr string, vbr_frames long, vbr_bytes long, frames long, samples long, hertz int, seconds double, kbps double, crc_checked long, crc_bad long, resyncs long, skipped_bytes long, truncated long, frame_offsets array<long>, seek_offsets array<long>"
 
 
 def _analysed(s: Stream | None) -> list:
     if s is None:
-        return [None] * 15
-    return [s.tags, s.vbr, s.vbr_frames, s.vbr_bytes, s.frames, s.samples, s.hertz, s.seconds, s.kbps_sum / s.frames if s.frames else 0.0, s.checked, s.bad_crc, s.resyncs, s.skipped, s.truncated, seek_points(s.offsets)]
+        return [None] * 16
+    return [s.tags, s.vbr, s.vbr_frames, s.vbr_bytes, s.frames, s.samples, s.hertz, s.seconds, s.kbps_sum / s.frames if s.frames else 0.0, s.checked, s.bad_crc, s.resyncs, s.skipped, s.truncated, s.offsets, seek_points(s.offsets)]
 
 
 def _kinds() -> list[pa.DataType]:
-    return [pa.list_(pa.string()), pa.string(), *[pa.int64()] * 4, pa.int32(), pa.float64(), pa.float64(), *[pa.int64()] * 5, pa.list_(pa.int64())]
+    return [pa.list_(pa.string()), pa.string(), *[pa.int64()] * 4, pa.int32(), pa.float64(), pa.float64(), *[pa.int64()] * 5, *[pa.list_(pa.int64())] * 2]
 
 
 def analyse(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
@@ -290,15 +330,15 @@ def read_back(df: DataFrame) -> DataFrame:
                 data = batch.column(2)[i].as_py()
                 stream = parse(data)
                 payload = uncarry(data, stream)
-                found.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), describe(stream), stream.samples / stream.hertz, stream.frames, stream.bad_crc))
+                found.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), describe(stream), stream.samples / stream.hertz, stream.frames, stream.bad_crc, stream.offsets))
             columns = list(zip(*found))
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int64(), pa.int64()]
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(columns, kinds)]], names=["doc_id", "n_bytes", *READ_BACK])
 
         return each
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, seconds double, frames long, crc_bad long"
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, seconds double, frames long, crc_bad long, frame_offsets array<long>"
     return map_arrow(df.select("doc_id", "n_bytes", "media"), make, schema)
 
 
-READ_BACK = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "seconds", "frames", "crc_bad")
+READ_BACK = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "seconds", "frames", "crc_bad", "frame_offsets")

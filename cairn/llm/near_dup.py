@@ -355,3 +355,19 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = jaccard_join(df, id_col, text_col, most_bytes=most_bytes)
     gone = pin(found.groupBy("doc_id").agg(F.bool_or("kept").alias("stays")).where("doc_id is not null and not stays").select(F.col("doc_id").alias("_cairn_id")))
     return _matched(df.withColumn("_cairn_id", F.col(id_col).cast("long")), gone, "_cairn_id", "left_anti", most_bytes).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
+#: All pairs, and components by the least id that is reached. For small tables.
+SQL = r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) <= 5 THEN [array_to_string(w, ' ')]
+  ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS s FROM w),
+c AS (SELECT s, min(doc_id) AS copy_id, count(*) AS n_copies, len(s) AS n FROM s GROUP BY s),
+e AS (SELECT copy_id, n, unnest(s) AS g FROM c),
+p AS (SELECT a.copy_id AS a, b.copy_id AS b FROM e a JOIN e b ON a.g = b.g AND a.copy_id <> b.copy_id AND a.n >= 0.8 * b.n - 1e-9 AND b.n >= 0.8 * a.n - 1e-9 GROUP BY a.copy_id, b.copy_id, a.n, b.n HAVING count(*) >= 0.8 * (a.n + b.n - count(*)) - 1e-9),
+reach AS (SELECT copy_id AS a, copy_id AS b FROM c UNION SELECT reach.a, p.b FROM reach JOIN p ON reach.b = p.a),
+least AS (SELECT a AS copy_id, min(b) AS class_id FROM reach GROUP BY a),
+links AS (SELECT a AS copy_id, count(*) AS n_links FROM p GROUP BY a)
+SELECT s.doc_id, class_id, c.copy_id, n_copies, coalesce(n_links, 0) AS n_links, s.doc_id = class_id AS kept
+FROM s JOIN c USING (s) JOIN least USING (copy_id) LEFT JOIN links USING (copy_id)
+"""

@@ -96,4 +96,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_exact_dedup": op10_exact_dedup,
 }
-ORACLES: dict[str, str] = {"op10_exact_dedup": exact_dedup.SQL}
+ORACLES: dict[str, str] = {"op8_jaccard_join": near_dup.SQL, "op10_exact_dedup": exact_dedup.SQL}

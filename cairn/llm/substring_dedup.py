@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.blocks import blocks, by_bucket, firsts, freeze, keyed, merge_counts, pack, pack_sorted, record, thaw, unpack, unpack_sorted
+from cairn.llm.blocks import blocks, by_bucket, firsts, freeze, keyed, merge_counts, pack, pack_sorted, record, thaw, trim, unpack, unpack_sorted
 from cairn.llm.common import shards, stash, texts_of
 from cairn.llm.exact_dedup import FILTER_BYTES, drop_copies, exact_dedup
 
@@ -199,6 +199,7 @@ def _gather(reps: DataFrame, buckets: int, length: int, block: int, group: int,
             if many == group:
                 yield from flush()
                 done, many = done + 1, 0
+                trim()
         if many:
             yield from flush()
 

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import os
+import struct
 import zlib
 from collections import Counter
 
@@ -118,6 +119,37 @@ def test_stream_parsing(spark):
     df = spark.createDataFrame([(1, bytearray(frames)), (2, None), (3, bytearray(b""))], "doc_id long, media binary")
     got = {r["doc_id"]: r for r in mpeg.analyse(df).collect()}
     assert got[1]["kbps"] == 128 and got[2]["frames"] is None and got[3]["frames"] == 0
+    assert got[1]["frame_offsets"] == [417 * i + i // 2 for i in range(10)] and got[3]["frame_offsets"] == []
+
+
+@pytest.mark.parametrize(
+    ("word", "allocation", "scales"),
+    [
+        (0xFFFE4400, 32 * 2 * 4, 0),  # MPEG-1 Layer I, 128 kbit/s, 48 kHz, stereo
+        (0xFFFE4450, (8 * 2 + 24) * 4, 0),  # joint stereo, shared from subband 8
+        (0xFFFE44C0, 32 * 4, 0),  # mono
+        (0xFFFCA400, 11 * 2 * 4 + 12 * 2 * 3 + 4 * 2 * 2, 2),  # Layer II, 192 kbit/s, 48 kHz: 27 subbands
+        (0xFFFC40C0, 11 * 4 + 12 * 3 + 4 * 2, 2),  # 64 kbit/s mono, 44.1 kHz
+        (0xFFFC20C0, 2 * 4 + 6 * 3, 2),  # 48 kbit/s mono: 8 subbands
+        (0xFFF484C0, 4 * 4 + 7 * 3 + 19 * 2, 2),  # MPEG-2
+    ],
+)
+def test_checksums_of_layers_one_and_two(word, allocation, scales):
+    h = mpeg.header(word)
+    assert h.protected and h.layer == (1 if word >> 17 & 3 == 3 else 2)
+    bits = "1" + "0" * (allocation - 1) + "10" * (scales // 2) + "0" * 800  # one subband with samples, and its scale factor selection
+    body = int(bits[:800], 2).to_bytes(100)
+    head = struct.pack(">I", word)
+    crc = 0xFFFF
+    for bit in f"{word & 0xFFFF:016b}" + bits[: allocation + scales]:
+        crc = (crc << 1 ^ (0x8005 if (crc >> 15) ^ int(bit) else 0)) & 0xFFFF
+    assert mpeg.checked_bits(head + b"\0\0" + body, 0, h) == allocation + scales
+    frame = (head + struct.pack(">H", crc) + body)[: h.size].ljust(h.size, b"\0")
+    stream = mpeg.parse(frame * 3)
+    assert (stream.frames, stream.checked, stream.bad_crc) == (3, 3, 0)
+    damaged = bytearray(frame)
+    damaged[6] ^= 64
+    assert mpeg.parse(bytes(damaged) + frame).bad_crc == 1
 
 
 # --- Simple-8b and token output ---
@@ -626,6 +658,72 @@ def test_queries_equal_sql(spark, name):
     assert got.sort_values(key).values.tolist() == expected.sort_values(key).values.tolist()
 
 
+#: The columns that the contracts fix.
+CONTRACTS = {
+    "op1_media_columns": "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string",
+    "op3_lm_scoring": "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
+    "op4_token_output": "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint",
+    "op5_substring_dedup": "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
+    "op6_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op10_exact_dedup": "doc_id bigint, keep_id bigint, group_size bigint, kept boolean, text_sha256 string",
+    "op2_mixing": "doc_id bigint, n_tokens bigint, rate double",
+    "op7_quality": "doc_id bigint, expected_grade double, kept boolean",
+    "op8_jaccard_join": "doc_id bigint, class_id bigint, copy_id bigint, n_copies bigint, n_links bigint, kept boolean",
+    "op9_sentencepiece": "doc_id bigint",
+}
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables are absent")
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_contracts(spark, name):
+    out = queries.QUERIES[name](spark, DATA)
+    assert dict(x.split() for x in CONTRACTS[name].split(", ")).items() <= dict(out.dtypes).items()
+    rows = {r["doc_id"]: r for r in out.collect()}
+    texts = {r["doc_id"]: (r["text"] or "") for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    assert rows.keys() == texts.keys()
+    rest = lambda i, n: zlib.crc32(str(i).encode()) % n
+    if name == "op3_lm_scoring":
+        words = lambda t: t.encode().lower().split()
+        train = Counter(w for i, t in texts.items() if rest(i, 7) != 2 for w in words(t))
+        ends = sum(rest(i, 7) != 2 for i in texts)
+        n, v = train.total() + ends, len(train) + 1
+        for i, t in texts.items():
+            r = rows[i]
+            assert r["held_out"] == (rest(i, 7) == 2) and r["n_tokens"] == len(words(t)) + 1 and r["train_tokens"] == n and r["n_known"] == sum(w in train for w in words(t)) + 1
+            assert r["base_score"] == pytest.approx(sum(math.log10((c + 1) / (n + v + 1)) for c in [*[train[w] for w in words(t)], ends]), abs=1e-5)
+    if name == "op6_toxicity":
+        assert all(r["held_out"] == (rest(i, 5) == 0) and r["predicted"] == (r["score"] >= 0.5) and 0 <= r["score"] <= 1 for i, r in rows.items())
+    if name == "op5_substring_dedup":
+        assert Counter(tuple(rows[i][c] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) for i in rows) == brute_removed([(i, t.encode()) for i, t in texts.items()], 50)
+    if name == "op1_media_columns":
+        for i, t in texts.items():
+            payload = t.encode() + b"\xff" * (max(1, -(-len(t.encode()) // 576)) * 576 - len(t.encode()))
+            assert (rows[i]["n_bytes"], rows[i]["payload_sha256"], len(rows[i]["frame_offsets"])) == (len(t.encode()), hashlib.sha256(payload).hexdigest(), len(payload) // 576)
+
+
+def area(pairs):
+    """Chance that a positive's score is above a negative's; ties count half."""
+    good, bad = [s for s, y in pairs if y], [s for s, y in pairs if not y]
+    return sum((a > b) + (a == b) / 2 for a in good for b in bad) / (len(good) * len(bad))
+
+
+HELD = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not os.path.isdir(HELD), reason="driver tables are absent")
+def test_held_out_quality(spark):
+    """Rows that were not learnt from: toxicity by its query, grades by a model of the other labels."""
+    labels = {r["doc_id"]: r for r in spark.read.parquet(f"{HELD}/labels.parquet").collect()}
+    toxic = [(r["score"], labels[r["doc_id"]]["toxic"]) for r in queries.QUERIES["op6_toxicity"](spark, HELD).collect() if r["held_out"] and r["doc_id"] in labels]
+    assert area(toxic) > 0.9
+    docs, rated = spark.read.parquet(f"{HELD}/documents.parquet"), spark.read.parquet(f"{HELD}/labels.parquet")
+    model = quality.train(docs, rated.where(queries.remainder(5) != 0), F.expr(queries.GRADE), queries.GRADES)
+    grade = lambda r: 0 if not r["quality"] else 1 if r["toxic"] else 2
+    found = [(r, labels[r["doc_id"]]) for r in quality.score(docs.where(queries.remainder(5) == 0), model).collect() if r["doc_id"] in labels]
+    assert area([(r["tails"][0], y["quality"]) for r, y in found]) > 0.9
+    assert np.mean([abs(r["expected_grade"] - grade(y)) for r, y in found]) < 0.5
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables are absent")
 def test_pipeline_stages(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
