@@ -160,7 +160,8 @@ def linkage_labels(x, clusters: int, metric: str, weights=None):
 
 def neighbour_layout(x, neighbours: int = 15, min_dist: float = 0.1, metric: str = "euclidean", epochs: int = 200, seed: int = 42):
     """Places of the rows of a matrix in a plane that keep neighbourhoods: fuzzy nearest-neighbour weights, drawn together along
-    neighbours and pushed apart from random others, from the first two principal components on."""
+    neighbours and pushed apart from random others, from the first two principal components on. Metrics are those of
+    METRICS and hamming, the share of columns that differ."""
     import numpy as np
 
     n = len(x)
@@ -182,6 +183,11 @@ def neighbour_layout(x, neighbours: int = 15, min_dist: float = 0.1, metric: str
             d = np.sqrt(np.maximum((centred[part] ** 2).sum(1)[:, None] + (centred**2).sum(1)[None, :] - 2 * centred[part] @ centred.T, 0))
         elif metric == "cosine":
             d = 1 - unit[part] @ unit.T
+        elif metric == "hamming":
+            d = np.zeros((len(x[part]), n))
+            for c in range(x.shape[1]):
+                d += x[part, c][:, None] != x[None, :, c]
+            d /= max(x.shape[1], 1)
         else:
             d = np.zeros((len(x[part]), n))
             for c in range(x.shape[1]):

@@ -131,6 +131,13 @@ def vocabulary(frame: DataFrame, columns: Sequence[str], drop_binary: bool = Tru
     return out.select(F.concat_ws("_", "feature", "value").alias("component"), "feature", "value", "n", (F.col("n") / F.col("total")).alias("prevalence"))
 
 
+def one_hot(frame: DataFrame, columns: Sequence[str], keep: Sequence[str], drop_binary: bool = False) -> DataFrame:
+    """keep and a 0/1 column for each component, by name: as many as the features have values."""
+    # Components are few: one row a value of a feature that has few values.
+    found = vocabulary(frame, columns, drop_binary).select("component", "feature", "value").orderBy("component").collect()
+    return frame.select(*[quoted(c) for c in keep], *[quoted(r["feature"]).eqNullSafe(F.lit(r["value"])).cast("int").alias(r["component"]) for r in found])
+
+
 def standardize(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Columns less their mean over their population deviation; a constant column becomes 0."""
     sums = df.agg(*[f(quoted(c)).alias(f"_{k}{i}") for i, c in enumerate(columns) for k, f in (("m", F.avg), ("s", F.stddev_pop))])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -40,11 +41,33 @@ def _lookup_sum(weights: dict[str, float], columns: Sequence[str]) -> Column:
     return out
 
 
+#: Different combinations of features that a logistic fit sums on the driver: some MB, as a combination has one number a feature.
+LOCAL_PATTERNS = 20_000
+
+
+def _newton_sums(batches, w: np.ndarray, k: int, weight_p: float, weight_n: float) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and curvature at w of batches of (components of a combination, positives, negatives), a few MB of dense rows at a time."""
+    g, h = np.zeros(k), np.zeros((k, k))
+    rows = max(1, (1 << 19) // k)
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            piece = batch.slice(start, rows)
+            lists, p, n = piece.column(0), *(piece.column(i).to_numpy(zero_copy_only=False).astype(float) for i in (1, 2))
+            x = np.zeros((piece.num_rows, k))
+            x[np.repeat(np.arange(piece.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False)), lists.flatten().to_numpy(zero_copy_only=False)] = 1
+            x[:, -1] = 1
+            q = 1 / (1 + np.exp(-(x @ w)))
+            g += x.T @ (weight_n * n * q - weight_p * p * (1 - q))
+            h += x.T @ (x * ((weight_p * p + weight_n * n) * q * (1 - q))[:, None])
+    return g, h
+
+
 def fit_logistic(frame: DataFrame, columns: Sequence[str], outcome: str, c: float = 1.0, iterations: int = 50, drop_binary: bool = True) -> Logistic:
     """L2-penalised logistic regression with classes weighted to equal sums; the intercept is penalised like the rest.
 
-    Rows are counted by their combination of features first: the Newton steps run on the driver over the Gram matrix of
-    components, which one aggregation a step gathers; the components are as many as the features have values.
+    Rows are counted by their combination of features first, and Newton steps sum over these. Up to LOCAL_PATTERNS of them
+    the sums are made on the driver, beyond in a job a step over the partitions; the components are as many as the features
+    have values.
     """
     vocab = [r["component"] for r in vocabulary(frame, columns, drop_binary).select("component").orderBy("component").collect()]
     place = {name: i for i, name in enumerate(vocab)}
@@ -61,20 +84,19 @@ def fit_logistic(frame: DataFrame, columns: Sequence[str], outcome: str, c: floa
     weight_p, weight_n = (pos + neg) / (2 * pos), (pos + neg) / (2 * neg)
     w = np.zeros(k)
 
+    sums = partial(_newton_sums, k=k, weight_p=weight_p, weight_n=weight_n)
+    few = patterns.limit(LOCAL_PATTERNS + 1).toArrow()
+    local = few.to_batches() if few.num_rows <= LOCAL_PATTERNS else None
+
     def step(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Gradient and curvature, summed in each partition."""
-        weights = w.copy()
+        if local is not None:
+            return sums(local, w)
 
         def part(batches):
             import pyarrow as pa
 
-            g, h = np.zeros(k), np.zeros((k, k))
-            for batch in batches:
-                for at, p, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                    x = [*at, k - 1]
-                    q = 1 / (1 + np.exp(-weights[x].sum()))
-                    g[x] += weight_n * n * q - weight_p * p * (1 - q)
-                    h[np.ix_(x, x)] += (weight_p * p + weight_n * n) * q * (1 - q)
+            g, h = sums(batches, w)
             yield pa.RecordBatch.from_arrays([pa.array([g.tobytes()], pa.binary()), pa.array([h.tobytes()], pa.binary())], names=["g", "h"])
 
         got = patterns.mapInArrow(part, "g binary, h binary").collect()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from cairn.operators import assoc, clean, cluster, curate, explain, features, metrics, patterns, profile, rules, sample, score, screening
+from cairn.operators import assoc, clean, cluster, curate, explain, features, metrics, patterns, profile, rules, sample, score, screening, validate
 from cairn.operators.curate import SpecRow
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -453,7 +453,11 @@ def _frame(spark, d):
     return found, found.apply(df, ["id", "status"])
 
 
-@query()
+@query(f"""WITH {ORD}, e AS (SELECT quantile_cont(price, [0, 0.25, 0.5, 0.75, 1]) AS p, quantile_cont(balance, [0, 0.25, 0.5, 0.75, 1]) AS b FROM ord),
+s AS (SELECT p, b, list_transform(p, lambda x: round(x, 3)) AS ps, list_transform(b, lambda x: round(x, 3)) AS bs FROM e)
+SELECT id, status, CASE WHEN price IS NULL THEN 'Missing' WHEN price <= p[2] THEN '(' || round(ps[1] - 0.001, 3) || ', ' || ps[2] || ']' WHEN price <= p[3] THEN '(' || ps[2] || ', ' || ps[3] || ']' WHEN price <= p[4] THEN '(' || ps[3] || ', ' || ps[4] || ']' ELSE '(' || ps[4] || ', ' || ps[5] || ']' END AS price,
+CASE WHEN balance IS NULL THEN 'Missing' WHEN balance <= b[2] THEN '(' || round(bs[1] - 0.001, 3) || ', ' || bs[2] || ']' WHEN balance <= b[3] THEN '(' || bs[2] || ', ' || bs[3] || ']' WHEN balance <= b[4] THEN '(' || bs[3] || ', ' || bs[4] || ']' ELSE '(' || bs[4] || ', ' || bs[5] || ']' END AS balance,
+coalesce(priority, 'Missing') AS priority, coalesce(segment, 'Missing') AS segment FROM ord, s""")
 def modelling_frame(spark, d):
     return _frame(spark, d)[1]
 
@@ -610,6 +614,53 @@ def permutation_importance(spark, d):
     return explain.permutation_importance(frame, made.columns, "y", "doc_id", trees=5)
 
 
+@query()
+def rule_folds(spark, d):
+    """AUC by fold of trees on the sets of other columns' values, as text and back."""
+    _, made, frame = _labelled_frame(spark, d)
+    text = F.concat(F.lit("frozenset({"), F.concat_ws(", ", *[F.concat(F.lit(f"'{c}="), c, F.lit("'")) for c in ("lang", "first")]), F.lit("})"))
+    sets = frame.select("doc_id", "y", patterns.parse_itemset(text).alias("items"))
+    # Values of two columns, each of at most twelve.
+    found = sorted(r[0] for r in sets.select(F.explode("items")).distinct().collect())
+    return validate.fold_auc(features.multi_hot(sets, "items", found), found, "y", "doc_id", trees=10)
+
+
+def _two_labels(spark, d):
+    df, _, frame = _labelled_frame(spark, d)
+    toxic = df.where("toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    return frame.withColumnRenamed("y", "good").join(toxic, "doc_id")
+
+
+@query()
+def label_grid(spark, d):
+    return validate.grid_search(_two_labels(spark, d), ["lang", "n_chars", "first"], ["good", "toxic"], "doc_id", trees=(5,), depths=(2, 3), rates=(0.1,), folds=2)
+
+
+def _label_scores(spark, d):
+    """Probabilities of two labels, read off text by hand: what the reports need of a model."""
+    rows = _two_labels(spark, d)
+    sums = [rows.select(F.lit(c).alias("label"), F.col(c).alias("y"), (F.pmod(F.col("doc_id") * k, F.lit(101)) / 101).alias("probability")) for c, k in (("good", 7), ("toxic", 13))]
+    return sums[0].unionByName(sums[1])
+
+
+_LONG = f"""{DOCS}, long AS (SELECT 'good' AS label, CASE target WHEN 'positive' THEN 1 ELSE 0 END AS y, (doc_id * 7 % 101) / 101 AS probability FROM docs WHERE target IS NOT NULL AND toxic IS NOT NULL
+UNION ALL SELECT 'toxic', toxic::INT, (doc_id * 13 % 101) / 101 FROM docs WHERE target IS NOT NULL AND toxic IS NOT NULL)"""
+
+
+@query(f"""WITH {_LONG}, c AS (SELECT coalesce(label, 'micro') AS label, count(*) FILTER (y = 1 AND probability >= 0.5) AS tp, count(*) FILTER (y = 0 AND probability >= 0.5) AS fp, count(*) FILTER (y = 1 AND probability < 0.5) AS fn FROM long GROUP BY GROUPING SETS ((label), ()))
+SELECT label, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, 2 * tp / (2 * tp + fp + fn) AS f1, tp + fn AS support FROM c""")
+def label_report(spark, d):
+    return validate.label_report(_label_scores(spark, d))
+
+
+@query(f"""WITH {_LONG}, s AS (SELECT label, probability, y FROM long UNION ALL SELECT 'micro', probability, y FROM long), g AS (SELECT label, probability, sum(y) AS p, sum(1 - y) AS n FROM s GROUP BY ALL),
+r AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY label ORDER BY probability ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g),
+a AS (SELECT label, sum(p * (below + n / 2)) / (sum(p) * sum(n)) AS auc FROM r GROUP BY label)
+SELECT label, round(auc, 9) AS auc FROM a UNION ALL SELECT 'macro', round(avg(auc), 9) FROM a WHERE label <> 'micro'""")
+def label_auc(spark, d):
+    return validate.label_auc(_label_scores(spark, d), ["good", "toxic"]).select("label", F.round("auc", 9).alias("auc"))
+
+
 # --- clustering -------------------------------------------------------------------------------------------------------
 
 
