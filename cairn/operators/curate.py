@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -175,23 +175,38 @@ def domain_of(row: SpecRow, domains: Mapping[str, Sequence[str]] = presets.ENUM_
     return sorted({*domains[row.variable], *(["No"] if s.kind == "fill" else []), *([presets.MISSING] if s.kind == "missing" else [])})
 
 
-def validate_domains(df: DataFrame, allowed: Mapping[str, Sequence[str]]) -> DataFrame:
-    """(variable, observed, invalid): distinct values by variable, and those not allowed. One pass."""
-    if not allowed:
-        return df.sparkSession.createDataFrame([], "variable string, observed array<string>, invalid array<string>")
-    names = list(allowed)
-    sets = df.agg(*[F.array_sort(F.collect_set(quoted(c).cast("string"))).alias(f"_{i}") for i, c in enumerate(names)])
-    rows = [F.struct(F.lit(c).alias("variable"), F.col(f"_{i}").alias("observed"), F.array_except(f"_{i}", F.array(*[F.lit(v) for v in allowed[c]])).alias("invalid")) for i, c in enumerate(names)]
-    return sets.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+@dataclass(frozen=True)
+class Report:
+    """Rows that sums over a table give: reports are read together with others in one pass (reports) or alone (table)."""
 
+    schema: str
+    sums: Sequence[Column]
+    rows: Sequence[Column]
 
-def validate_bounds(df: DataFrame, bounds: Mapping[str, str]) -> DataFrame:
-    """(variable, kind, n, below, within, above, least, most) of numeric variables by criteria text. One pass."""
-    parsed = {c: b for c, t in bounds.items() if (b := parse_bounds(t))}
-    if not parsed:
-        return df.sparkSession.createDataFrame([], "variable string, kind string, n long, below long, within long, above long, least double, most double")
+    def table(self, df: DataFrame) -> DataFrame:
+        if not self.rows:
+            return df.sparkSession.createDataFrame([], self.schema)
+        return df.agg(*self.sums).select(F.explode(F.array(*self.rows)).alias("x")).select("x.*")
+
+
+def reports(df: DataFrame, *wanted: Report) -> list[list[Row]]:
+    """Rows of each report, all of one aggregation over df."""
+    sums = [s for r in wanted for s in r.sums]
+    arrays = [(F.array(*r.rows) if r.rows else F.lit(None)).alias(f"r{i}") for i, r in enumerate(wanted)]
+    # One row for a column of the table in each report.
+    found = df.agg(*sums).select(*arrays).first() if sums else [None] * len(wanted)
+    return [list(rows or []) for rows in found]
+
+
+def domain_report(allowed: Mapping[str, Sequence[str]]) -> Report:
+    sums = [F.array_sort(F.collect_set(quoted(c).cast("string"))).alias(f"_d{i}") for i, c in enumerate(allowed)]
+    rows = [F.struct(F.lit(c).alias("variable"), F.col(f"_d{i}").alias("observed"), F.array_except(f"_d{i}", F.array(*[F.lit(v) for v in values])).alias("invalid")) for i, (c, values) in enumerate(allowed.items())]
+    return Report("variable string, observed array<string>, invalid array<string>", sums, rows)
+
+
+def bounds_report(bounds: Mapping[str, str]) -> Report:
     sums, rows = [], []
-    for i, (name, b) in enumerate(parsed.items()):
+    for i, (name, b) in enumerate((c, b) for c, t in bounds.items() if (b := parse_bounds(t))):
         v = number(quoted(name))
         below = {"between": v < b.low, "gt": v <= b.low}.get(b.kind) if b.low is not None else None
         above = {"between": v > b.high, "le": v > b.high, "lt": v >= b.high}.get(b.kind) if b.high is not None else None
@@ -199,13 +214,28 @@ def validate_bounds(df: DataFrame, bounds: Mapping[str, str]) -> DataFrame:
         high = F.count_if(above) if above is not None else F.lit(0).cast("long")
         sums += [F.count(v).alias(f"n{i}"), low.alias(f"b{i}"), high.alias(f"a{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
         rows.append(F.struct(F.lit(name).alias("variable"), F.lit(b.kind).alias("kind"), F.col(f"n{i}").alias("n"), F.col(f"b{i}").alias("below"), (F.col(f"n{i}") - F.col(f"b{i}") - F.col(f"a{i}")).alias("within"), F.col(f"a{i}").alias("above"), F.col(f"lo{i}").alias("least"), F.col(f"hi{i}").alias("most")))
-    return df.agg(*sums).select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+    return Report("variable string, kind string, n long, below long, within long, above long, least double, most double", sums, rows)
+
+
+def null_report(columns: Sequence[str]) -> Report:
+    sums = [F.count(F.lit(1)).alias("_n"), *[F.count(quoted(c)).alias(f"_c{i}") for i, c in enumerate(columns)]]
+    rows = [F.struct(F.lit(c).alias("column"), F.col(f"_c{i}").alias("non_null"), (F.col("_n") - F.col(f"_c{i}")).alias("nulls")) for i, c in enumerate(columns)]
+    return Report("column string, non_null long, nulls long", sums, rows)
+
+
+def validate_domains(df: DataFrame, allowed: Mapping[str, Sequence[str]]) -> DataFrame:
+    """(variable, observed, invalid): distinct values by variable, and those not allowed. One pass."""
+    return domain_report(allowed).table(df)
+
+
+def validate_bounds(df: DataFrame, bounds: Mapping[str, str]) -> DataFrame:
+    """(variable, kind, n, below, within, above, least, most) of numeric variables by criteria text. One pass."""
+    return bounds_report(bounds).table(df)
 
 
 def null_counts(df: DataFrame) -> DataFrame:
     """(column, non_null, nulls) of every column. One pass."""
-    sums = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(quoted(c)).alias(f"_{i}") for i, c in enumerate(df.columns)])
-    return sums.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_{i}").alias("non_null"), (F.col("_n") - F.col(f"_{i}")).alias("nulls")) for i, c in enumerate(df.columns)])).alias("x")).select("x.*")
+    return null_report(df.columns).table(df)
 
 
 class ValidationError(ValueError):
@@ -221,10 +251,10 @@ def curate(df: DataFrame, spec: Sequence[SpecRow], id_column: str = presets.ID_C
     if filter_column:
         out, row_filter = filter_values(out, filter_column, allowed)
     kinds = {f.name: f.dataType for f in out.schema.fields}
-    nulls = {r["column"]: r for r in null_counts(out).collect()}
     closed = {s.variable: d for s in spec if (d := domain_of(s, domains))}
-    checked = {r["variable"]: r for r in validate_domains(out, closed).collect()}
-    ranges = {r["variable"]: r for r in validate_bounds(out, {s.variable: s.criteria for s in spec if isinstance(kinds[s.variable], T.NumericType)}).collect()}
+    ranged = {s.variable: s.criteria for s in spec if isinstance(kinds[s.variable], T.NumericType)}
+    found = reports(out, null_report(out.columns), domain_report(closed), bounds_report(ranged))
+    nulls, checked, ranges = ({r[0]: r for r in rows} for rows in found)
     columns, failures = {}, []
     for s in spec:
         info = {"dtype": kinds[s.variable].simpleString(), "non_null_count": nulls[s.variable]["non_null"], "null_count": nulls[s.variable]["nulls"], "criteria": s.criteria, "missing_strategy": s.missing_strategy}
