@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import ctw, exact_dedup, mixing, mpeg, near_dup, pieces, quality, substring_dedup, token_output, toxicity
+from cairn.llm import ctw, exact_dedup, hard_negatives, mixing, mpeg, near_dup, pieces, quality, simhash, substring_dedup, token_output, toxicity, whitening
 
 
 def vocabulary(name: str) -> str:
@@ -84,6 +84,23 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(_documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
 
 
+def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+    return hard_negatives.hard_negatives(_embeddings(spark, sf_dir), F.expr("vec_id % 50 = 0"), label=label)
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash(_documents(spark, sf_dir)).drop("group_size")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_embeddings(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
     "op2_mixing": op2_mixing,
@@ -95,5 +112,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_simhash": op12_simhash,
+    "op13_whitening": op13_whitening,
 }
-ORACLES: dict[str, str] = {"op8_jaccard_join": near_dup.SQL, "op10_exact_dedup": exact_dedup.SQL}
+ORACLES: dict[str, str] = {"op8_jaccard_join": near_dup.SQL, "op10_exact_dedup": exact_dedup.SQL, "op11_hard_negatives": hard_negatives.SQL}
