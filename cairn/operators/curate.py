@@ -8,13 +8,13 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairn import presets
 from cairn.operators.clean import missing_to_null, number, quoted, recode, select_required
-from cairn.operators.rules import is_missing_word, parse_bounds, parse_criteria, parse_strategy
+from cairn.operators.rules import is_value, parse_bounds, parse_criteria, parse_strategy, remapped
 
 
 @dataclass(frozen=True)
@@ -57,8 +57,8 @@ def criteria_plan(df: DataFrame, spec: Sequence[SpecRow]) -> tuple[DataFrame, li
     """df with remapped values and a boolean _keep_<i> for each filtering variable."""
     kept: list[tuple[SpecRow, str]] = []
     for i, row in enumerate(spec):
-        if rule := parse_criteria(row.criteria):
-            df = df.withColumn(row.variable, rule.value(quoted(row.variable)))
+        if (rule := parse_criteria(row.criteria)) and row.variable in df.columns:
+            df = df.withColumn(row.variable, rule.value(quoted(row.variable), df.schema[row.variable].dataType))
             if rule.filters:
                 df = df.withColumn(f"_keep_{i}", rule.keeps(quoted(row.variable)))
                 kept.append((row, f"_keep_{i}"))
@@ -79,13 +79,14 @@ def criteria_audit_frame(df: DataFrame, spec: Sequence[SpecRow]) -> DataFrame:
 
 
 def apply_criteria(df: DataFrame, spec: Sequence[SpecRow]) -> tuple[DataFrame, dict]:
-    """Remapped and filtered rows, and the audit (one aggregation)."""
+    """Remapped and filtered rows, and the audit by variable (two aggregations), with the totals as __overall__."""
+    parsed = [(row, rule) for row in spec if (rule := parse_criteria(row.criteria)) and row.variable in df.columns]
     sums: dict[str, Column] = {"rows": F.count(F.lit(1))}
-    for row in spec:
-        rule, c = parse_criteria(row.criteria), quoted(row.variable)
-        if rule and rule.remap:
-            sums[f"remapped:{row.variable}"] = F.count_if(F.trim(c.cast("string")) == rule.remap[0])
-        if rule and rule.replace:
+    for row, rule in parsed:
+        c = quoted(row.variable)
+        if rule.remap:
+            sums[f"remapped:{row.variable}"] = F.count_if(is_value(c, rule.remap[0]))
+        if rule.replace:
             sums[f"replaced:{row.variable}"] = F.count_if(number(c).isin(*[float(v) for v in rule.replace]))
     before = _one(df, sums)
     plan, kept = criteria_plan(df, spec)
@@ -94,64 +95,52 @@ def apply_criteria(df: DataFrame, spec: Sequence[SpecRow]) -> tuple[DataFrame, d
         drops[row.variable] = F.count_if(passed & ~F.col(name))
         passed = passed & F.col(name)
     dropped = _one(plan, drops)
-    audit = {
-        "rows_before": before["rows"],
-        "discarded_rows": sum(dropped.values()),
-        "rows_after": before["rows"] - sum(dropped.values()),
-        "columns": {
-            row.variable: {
-                "criteria": row.criteria,
-                "remapped": before.get(f"remapped:{row.variable}", 0),
-                "replaced": before.get(f"replaced:{row.variable}", 0),
-                "dropped_row_count": dropped.get(row.variable, 0),
-            }
-            for row in spec
-            if parse_criteria(row.criteria)
-        },
-    }
+    audit: dict = {}
+    for row, rule in parsed:
+        audit[row.variable] = {
+            "criteria": row.criteria, "replacements_applied": before.get(f"replaced:{row.variable}", 0), "value_remapped_count": before.get(f"remapped:{row.variable}", 0),
+            "dropped_row_count": dropped.get(row.variable, 0), "allowed_min": rule.low, "allowed_max": rule.high, "min_inclusive": rule.low_included, "max_inclusive": True,
+        } | (dict(zip(("remap_source", "remap_target"), rule.remap)) if rule.remap else {})
+    gone = sum(dropped.values())
+    audit["__overall__"] = {"input_row_count": before["rows"], "output_row_count": before["rows"] - gone, "discarded_row_count": gone}
     return plan.where(passed).drop(*[name for _, name in kept]), audit
 
 
 def strategy_value(c: Column, kind: T.DataType, text: str) -> Column:
-    """A column after its missing strategy."""
+    """A column after its missing strategy. Fills touch nulls alone, remaps only cells equal to their left side."""
     s, numeric = parse_strategy(text), isinstance(kind, T.NumericType)
     if s.kind == "fill":
         return F.coalesce(c.cast("string"), F.lit(s.new))
     if s.kind == "missing":
         return c.cast("double") if numeric else F.coalesce(c, F.lit(presets.MISSING))
-    if s.kind == "remap":
-        to = F.lit(None if numeric else presets.MISSING) if is_missing_word(s.new) else F.lit("No" if s.new.casefold() == "no" else s.new)
-        # "missing => B" fills nulls; "A => B" replaces A, and where B is missing, nulls too.
-        if is_missing_word(s.old):
-            return F.coalesce(c.cast("string"), to)
-        out = F.when(F.trim(c.cast("string")) == s.old, to.cast("string")).otherwise(c.cast("string"))
-        return F.coalesce(out, to.cast("string")) if is_missing_word(s.new) and not numeric else out
-    return c
+    return remapped(c, kind, s.old, s.new) if s.kind == "remap" else c
 
 
 def apply_strategies(df: DataFrame, spec: Sequence[SpecRow]) -> tuple[DataFrame, dict]:
-    """Columns after their missing strategies, and the audit (one aggregation)."""
+    """Columns after their missing strategies, and the audit by variable that has one (one aggregation)."""
     kinds = {f.name: f.dataType for f in df.schema.fields}
+    found = [(row, parse_strategy(row.missing_strategy)) for row in spec if row.missing_strategy.strip() and row.variable in kinds]
     sums: dict[str, Column] = {}
-    for row in spec:
-        s, c = parse_strategy(row.missing_strategy), quoted(row.variable)
-        sums[f"null:{row.variable}"] = F.count_if(c.isNull())
+    for row, s in found:
+        c = quoted(row.variable)
+        sums[f"before:{row.variable}"] = F.count_if(c.isNull())
+        sums[f"after:{row.variable}"] = F.count_if(strategy_value(c, kinds[row.variable], row.missing_strategy).isNull())
         if s.kind == "remap":
-            sums[f"remap:{row.variable}"] = F.count_if(F.trim(c.cast("string")) == s.old)
+            sums[f"remap:{row.variable}"] = F.count_if(is_value(c, s.old))
     counts = _one(df, sums)
-    audit: dict = {"columns": {}, "warnings": []}
-    for row in spec:
-        s, numeric = parse_strategy(row.missing_strategy), isinstance(kinds[row.variable], T.NumericType)
-        fills = s.kind == "fill" or s.kind == "missing" and not numeric or s.kind == "remap" and (is_missing_word(s.old) or is_missing_word(s.new) and not numeric)
-        audit["columns"][row.variable] = {
-            "missing_strategy": row.missing_strategy,
-            "null_before": counts[f"null:{row.variable}"],
-            "filled": counts[f"null:{row.variable}"] if fills else 0,
-            "remapped": counts.get(f"remap:{row.variable}", 0),
-        }
+    audit: dict = {}
+    for row, s in found:
         if s.kind == "unknown":
-            audit["warnings"].append({"column": row.variable, "kind": "unhandled_strategy", "strategy": row.missing_strategy})
-    values = {row.variable: strategy_value(quoted(row.variable), kinds[row.variable], row.missing_strategy) for row in spec}
+            audit[row.variable] = {"strategy": row.missing_strategy, "filled_count": 0, "warning": "unhandled_strategy"}
+            continue
+        before, after = counts[f"before:{row.variable}"], counts[f"after:{row.variable}"]
+        info = {"strategy": row.missing_strategy, "remapped_count": counts.get(f"remap:{row.variable}", 0), "filled_count": 0 if s.kind == "remap" else before - after, "remaining_null_count": after}
+        if s.kind == "remap":
+            info |= {"remap_source": s.old, "remap_target": s.new}
+        else:
+            info["applied_fill_value"] = s.new if s.kind == "fill" else "NA" if isinstance(kinds[row.variable], T.NumericType) else presets.MISSING
+        audit[row.variable] = info
+    values = {row.variable: strategy_value(quoted(row.variable), kinds[row.variable], row.missing_strategy) for row, _ in found}
     return df.select(*[values[c].alias(c) if c in values else quoted(c) for c in df.columns]), audit
 
 
@@ -163,8 +152,8 @@ def filter_values(df: DataFrame, column: str, values: Sequence[str]) -> tuple[Da
     if not allowed:
         raise ValueError("No allowed values for the row filter")
     ok = F.coalesce(F.trim(quoted(column).cast("string")).isin(allowed), F.lit(False))
-    counts = _one(df, {"rows_before": F.count(F.lit(1)), "rows_after": F.count_if(ok)})
-    return df.where(ok), {"column": column, "allowed_values": allowed, **counts, "discarded_rows": counts["rows_before"] - counts["rows_after"]}
+    counts = _one(df, {"input_row_count": F.count(F.lit(1)), "output_row_count": F.count_if(ok)})
+    return df.where(ok), {"filter_column": column, "allowed_values": allowed, **counts, "discarded_row_count": counts["input_row_count"] - counts["output_row_count"]}
 
 
 def domain_of(row: SpecRow, domains: Mapping[str, Sequence[str]] = presets.ENUM_DOMAINS) -> list[str] | None:
@@ -198,10 +187,28 @@ def reports(df: DataFrame, *wanted: Report) -> list[list[Row]]:
     return [list(rows or []) for rows in found]
 
 
-def domain_report(allowed: Mapping[str, Sequence[str]]) -> Report:
-    sums = [F.array_sort(F.collect_set(quoted(c).cast("string"))).alias(f"_d{i}") for i, c in enumerate(allowed)]
-    rows = [F.struct(F.lit(c).alias("variable"), F.col(f"_d{i}").alias("observed"), F.array_except(f"_d{i}", F.array(*[F.lit(v) for v in values])).alias("invalid")) for i, (c, values) in enumerate(allowed.items())]
-    return Report("variable string, observed array<string>, invalid array<string>", sums, rows)
+#: Values of a closed variable that a report shows at most.
+SHOWN = 200
+
+
+def domain_table(df: DataFrame, allowed: Mapping[str, Sequence[str]], shown: int = SHOWN) -> DataFrame:
+    """(variable, observed, invalid, n_observed, n_invalid) of each variable: its different values and those not allowed, sorted.
+
+    At most shown of the allowed and of the other values are listed, the counts cover all. Different values are found by a
+    shuffle on variable and value, and each task passes on at most shown of a variable: free text by mistake fills no row.
+    """
+    schema = "variable string, observed array<string>, invalid array<string>, n_observed long, n_invalid long"
+    if not allowed:
+        return df.sparkSession.createDataFrame([], schema)
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), quoted(c).cast("string").alias("value"), F.lit(c).alias("variable"), quoted(c).cast("string").isin(*values).alias("ok")) for i, (c, values) in enumerate(allowed.items())])
+    different = df.select(F.explode(cells).alias("x")).select("x.*").where("value is not null").distinct()
+    counts = different.groupBy("i").agg(F.count(F.lit(1)).alias("n_observed"), F.count_if(~F.col("ok")).alias("n_invalid"))
+    first = Window.partitionBy("i", "ok").orderBy("value")
+    listed = different.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= shown)
+    lists = listed.groupBy("i").agg(F.array_sort(F.collect_list("value")).alias("observed"), F.array_sort(F.collect_list(F.when(~F.col("ok"), F.col("value")))).alias("invalid"))
+    every = df.sparkSession.range(1).select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("variable")) for i, c in enumerate(allowed)])).alias("x")).select("x.*")
+    none = F.array().cast("array<string>")
+    return every.join(counts, "i", "left").join(lists, "i", "left").select("variable", F.coalesce("observed", none).alias("observed"), F.coalesce("invalid", none).alias("invalid"), F.coalesce("n_observed", F.lit(0)).alias("n_observed"), F.coalesce("n_invalid", F.lit(0)).alias("n_invalid"))
 
 
 def bounds_report(bounds: Mapping[str, str]) -> Report:
@@ -224,8 +231,8 @@ def null_report(columns: Sequence[str]) -> Report:
 
 
 def validate_domains(df: DataFrame, allowed: Mapping[str, Sequence[str]]) -> DataFrame:
-    """(variable, observed, invalid): distinct values by variable, and those not allowed. One pass."""
-    return domain_report(allowed).table(df)
+    """(variable, observed, invalid): different values by variable, and those not allowed; the first SHOWN of each."""
+    return domain_table(df, allowed).select("variable", "observed", "invalid")
 
 
 def validate_bounds(df: DataFrame, bounds: Mapping[str, str]) -> DataFrame:
@@ -253,23 +260,24 @@ def curate(df: DataFrame, spec: Sequence[SpecRow], id_column: str = presets.ID_C
     kinds = {f.name: f.dataType for f in out.schema.fields}
     closed = {s.variable: d for s in spec if (d := domain_of(s, domains))}
     ranged = {s.variable: s.criteria for s in spec if isinstance(kinds[s.variable], T.NumericType)}
-    found = reports(out, null_report(out.columns), domain_report(closed), bounds_report(ranged))
-    nulls, checked, ranges = ({r[0]: r for r in rows} for rows in found)
+    nulls, ranges = ({r[0]: r for r in rows} for rows in reports(out, null_report(out.columns), bounds_report(ranged)))
+    checked = {r["variable"]: r for r in domain_table(out, closed).collect()}
     columns, failures = {}, []
     for s in spec:
         info = {"dtype": kinds[s.variable].simpleString(), "non_null_count": nulls[s.variable]["non_null"], "null_count": nulls[s.variable]["nulls"], "criteria": s.criteria, "missing_strategy": s.missing_strategy}
         if s.variable in checked:
             r = checked[s.variable]
-            info |= {"allowed_values": domain_of(s, domains), "observed_values": r["observed"], "invalid_values": sorted(r["invalid"])}
+            info |= {"allowed_values": domain_of(s, domains), "observed_values": r["observed"], "invalid_values": r["invalid"], "observed_value_count": r["n_observed"], "invalid_value_count": r["n_invalid"]}
             if r["invalid"]:
-                failures.append(f"{s.variable}: invalid categorical values {sorted(r['invalid'])}")
+                more = f" and {r['n_invalid'] - len(r['invalid'])} more" if r["n_invalid"] > len(r["invalid"]) else ""
+                failures.append(f"{s.variable}: invalid categorical values {r['invalid']}{more}")
         if s.variable in ranges:
             info["threshold_validation"] = ranges[s.variable].asDict()
         columns[s.variable] = info
-    n = criteria["rows_after"] if not row_filter else row_filter["rows_after"]
+    n = (row_filter or criteria["__overall__"])["output_row_count"]
     report = {
-        "source_row_count": source_rows, "output_row_count": n, "column_count": len(out.columns), "id_column": id_column, "target_columns": list(targets),
-        "feature_columns": [c for c in out.columns if c not in {id_column, *targets}], "hard_failures": failures, "warnings": missing["warnings"],
+        "source_row_count": source_rows, "output_row_count": n, "row_count": n, "column_count": len(out.columns), "id_column": id_column, "target_columns": list(targets),
+        "feature_columns": [c for c in out.columns if c not in {id_column, *targets}], "hard_failures": failures, "warnings": [{"column": c, "kind": m["warning"], "strategy": m["strategy"]} for c, m in missing.items() if "warning" in m],
         "criteria_audit": criteria, "missing_audit": missing, "row_filter_audit": row_filter, "columns": columns,
     }
     return out, report

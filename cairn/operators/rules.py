@@ -9,10 +9,12 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cairn import presets
 from cairn.operators.clean import number, quoted
 
+_MISSING_WORDS = frozenset(("missing", "miss", "na", "n/a"))
 _ORDER = {"gte": lambda c, v: c >= v, "gt": lambda c, v: c > v, "lte": lambda c, v: c <= v, "lt": lambda c, v: c < v}
 
 
@@ -76,6 +78,34 @@ def guided_rules(df: DataFrame, rules: Mapping[str, Sequence[tuple[str, str]]] =
     return out
 
 
+def is_missing_word(text: str) -> bool:
+    return text.strip().casefold() in _MISSING_WORDS
+
+
+def is_value(c: Column, text: str) -> Column:
+    """Whether a cell's trimmed text is this; a null's isn't."""
+    return F.coalesce(F.trim(c.cast("string")) == text, F.lit(False))
+
+
+def remap_target(text: str, numeric: bool) -> str | None:
+    """What the right side of "A => B" stands for: missing is null among numbers and "Missing" among texts, no is "No"."""
+    if is_missing_word(text):
+        return None if numeric else presets.MISSING
+    return "No" if text.strip().casefold() == "no" else text.strip()
+
+
+def remapped(c: Column, kind: T.DataType, old: str, new: str) -> Column:
+    """A column of this type whose cells equal to old became new; all others, nulls included, stay. Numbers stay numbers if new is one or missing."""
+    numeric = isinstance(kind, T.NumericType)
+    to = remap_target(new, numeric)
+    if to is None:
+        return F.when(~is_value(c, old), c)
+    if numeric and re.fullmatch(r"[+-]?\d+(\.\d+)?", to):
+        kind = kind if float(to).is_integer() else T.DoubleType()
+        return F.when(is_value(c, old), F.lit(to).cast(kind)).otherwise(c.cast(kind))
+    return F.when(is_value(c, old), F.lit(to)).otherwise(c.cast("string"))
+
+
 @dataclass(frozen=True)
 class Criteria:
     """What a variable's free text asks of its values."""
@@ -86,9 +116,10 @@ class Criteria:
     high: float | None = None
     low_included: bool = True
 
-    def value(self, c: Column) -> Column:
+    def value(self, c: Column, kind: T.DataType) -> Column:
+        """The value of a column of this type after its remap and replacements."""
         if self.remap:
-            c = F.when(F.trim(c.cast("string")) == self.remap[0], self.remap[1]).otherwise(c)
+            c = remapped(c, kind, *self.remap)
         for old, new in self.replace.items():
             c = F.when(number(c) == old, F.lit(new)).otherwise(c)
         return c
@@ -170,13 +201,6 @@ class Strategy:
     new: str | None = None
 
 
-_MISSING_WORDS = frozenset(("missing", "miss", "na", "n/a"))
-
-
-def is_missing_word(text: str) -> bool:
-    return text.strip().casefold() in _MISSING_WORDS
-
-
 def parse_strategy(text: str) -> Strategy:
     plain = text.strip()
     if not plain:

@@ -208,7 +208,51 @@ def curated_rows(spark, d):
 def missing_strategy(spark, d):
     size = F.col("p_size")
     df = table(spark, d, "part").select("p_partkey", F.when(size % 11 != 0, F.col("p_brand")).alias("a"), F.when(size % 11 != 0, F.col("p_brand")).alias("b"), F.when(size % 7 != 0, F.col("p_type")).alias("c"))
-    return curate.apply_strategies(df, [SpecRow("a", missing_strategy="miss"), SpecRow("b", missing_strategy="Brand#2 => missing"), SpecRow("c", missing_strategy="missing => absent"), SpecRow("p_partkey", missing_strategy="?")])[0]
+    out = curate.apply_strategies(df, [SpecRow("a", missing_strategy="miss"), SpecRow("b", missing_strategy="Brand#2 => missing"), SpecRow("c", missing_strategy="missing => absent"), SpecRow("p_partkey", missing_strategy="?")])[0]
+    # Remaps leave nulls as they are; the fills are steps of their own.
+    return out.withColumns({"b": F.coalesce("b", F.lit("Missing")), "c": F.coalesce("c", F.lit("absent"))})
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 11 = 0 THEN NULL WHEN p_brand = 'Brand#2' THEN 'Missing' ELSE p_brand END AS a, CASE WHEN p_size % 11 = 0 THEN NULL WHEN p_brand = 'Brand#3' THEN 'No' ELSE p_brand END AS b, CASE WHEN p_size = 9 THEN NULL ELSE p_size END AS c, p_type AS d FROM part")
+def missing_strategy_remap(spark, d):
+    """Column D: a remap touches the cells that it names and no null."""
+    part, brand = table(spark, d, "part"), F.when(F.col("p_size") % 11 != 0, F.col("p_brand"))
+    df = part.select("p_partkey", brand.alias("a"), brand.alias("b"), F.col("p_size").alias("c"), F.col("p_type").alias("d"))
+    return curate.apply_strategies(df, [SpecRow("a", missing_strategy="Brand#2 => MISS"), SpecRow("b", missing_strategy="Brand#3=>no"), SpecRow("c", missing_strategy="9 => n/a"), SpecRow("d", missing_strategy="missing => absent")])[0]
+
+
+@query("""WITH b AS (SELECT p_partkey, p_size % 11 = 0 AS gap, p_brand, p_size FROM part)
+SELECT p_partkey, CASE WHEN gap OR p_brand = 'Brand#2' THEN 'Missing' ELSE p_brand END AS a, CASE WHEN gap THEN NULL WHEN p_brand = 'Brand#3' THEN 'No' ELSE p_brand END AS b,
+CAST(CASE WHEN p_size = 9 THEN NULL ELSE p_size END AS DOUBLE) AS c, CASE WHEN gap THEN NULL WHEN p_size = 12 THEN 'No' ELSE CAST(p_size AS VARCHAR) END AS d, CASE WHEN p_size = 14 THEN 15 ELSE p_size END AS e FROM b""")
+def criteria_remap(spark, d):
+    """Column C: a remap to missing and to no, of texts and of numbers, with column D after it."""
+    part, gap = table(spark, d, "part"), F.col("p_size") % 11 != 0
+    df = part.select("p_partkey", F.when(gap, F.col("p_brand")).alias("a"), F.when(gap, F.col("p_brand")).alias("b"), F.col("p_size").alias("c"), F.when(gap, F.col("p_size")).alias("d"), F.col("p_size").alias("e"))
+    spec = [SpecRow("a", "", "Brand#2 => missing", "missing"), SpecRow("b", "", "Brand#3 => NO"), SpecRow("c", "", "9 => missing", "missing"), SpecRow("d", "", "12 => no"), SpecRow("e", "", "14 => 15")]
+    return curate.apply_strategies(curate.apply_criteria(df, spec)[0], spec)[0]
+
+
+def _audit_rows(spark, audit, schema):
+    return spark.createDataFrame([(k, *[v.get(c) for c in schema]) for k, v in audit.items() if k != "__overall__"], "variable string, " + ", ".join(f"{c} {t}" for c, t in schema.items()))
+
+
+@query(f"""WITH {_SPEC_BASE} SELECT 'p_size' AS variable, 0 AS replacements_applied, 0 AS value_remapped_count, count(*) FILTER (NOT k1) AS dropped_row_count, 5.0::DOUBLE AS allowed_min, 40.0::DOUBLE AS allowed_max, true AS min_inclusive FROM k
+UNION ALL SELECT 'p_retailprice', 0, 0, count(*) FILTER (k1 AND NOT k2), 905.5, NULL, false FROM k
+UNION ALL SELECT 'weight', count(*) FILTER (weight = 1), 0, count(*) FILTER (k1 AND k2 AND NOT k3), 35.0, NULL, true FROM k
+UNION ALL SELECT 'p_brand', 0, count(*) FILTER (p_brand = 'Brand#1'), 0, NULL, NULL, true FROM k""")
+def criteria_audit(spark, d):
+    audit = curate.apply_criteria(_parts(spark, d), _SPEC)[1]
+    return _audit_rows(spark, audit, {"replacements_applied": "long", "value_remapped_count": "long", "dropped_row_count": "long", "allowed_min": "double", "allowed_max": "double", "min_inclusive": "boolean"})
+
+
+@query("""SELECT 'a' AS variable, 0 AS remapped_count, count(*) FILTER (p_size % 11 = 0) AS filled_count, 0 AS remaining_null_count, 'Missing' AS applied_fill_value FROM part
+UNION ALL SELECT 'b', count(*) FILTER (p_size % 11 <> 0 AND p_brand = 'Brand#2'), 0, count(*) FILTER (p_size % 11 = 0), NULL FROM part
+UNION ALL SELECT 'c', 0, 0, count(*) FILTER (p_size % 7 = 0), 'NA' FROM part UNION ALL SELECT 'd', 0, count(*) FILTER (p_size % 7 = 0), 0, 'No' FROM part""")
+def missing_audit(spark, d):
+    size = F.col("p_size")
+    df = table(spark, d, "part").select(F.when(size % 11 != 0, F.col("p_brand")).alias("a"), F.when(size % 11 != 0, F.col("p_brand")).alias("b"), F.when(size % 7 != 0, size).alias("c"), F.when(size % 7 != 0, F.col("p_type")).alias("d"))
+    audit = curate.apply_strategies(df, [SpecRow("a", missing_strategy="miss"), SpecRow("b", missing_strategy="Brand#2 => missing"), SpecRow("c", missing_strategy="na"), SpecRow("d", missing_strategy="No")])[1]
+    return _audit_rows(spark, audit, {"remapped_count": "long", "filled_count": "long", "remaining_null_count": "long", "applied_fill_value": "string"})
 
 
 @query(f"WITH {ORD} SELECT id, status FROM ord WHERE trim(status) IN ('F', 'O')")

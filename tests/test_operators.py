@@ -75,16 +75,45 @@ def test_curator_filters(spark):
     out, report = curate.curate(df, spec(("peso", "", "entre 29 y 300", ""), ("tension_", "", "Si el valor es 1, poner 0; solo por encima de 35", ""), ("ant_inf", "", "", "no")))
     assert [r[0] for r in out.orderBy("id_pacie").select("id_pacie").collect()] == [1, 3]
     audit = report["criteria_audit"]
-    assert audit["columns"]["peso"]["dropped_row_count"] == 1 and audit["columns"]["tension_"]["replaced"] == 1 and audit["discarded_rows"] == 2
-    assert report["missing_audit"]["columns"]["ant_inf"]["filled"] == 1
+    assert audit["peso"]["dropped_row_count"] == 1 and audit["tension_"]["replacements_applied"] == 1
+    assert audit["__overall__"] == {"input_row_count": 4, "output_row_count": 2, "discarded_row_count": 2}
+    assert report["missing_audit"]["ant_inf"] == {"strategy": "no", "remapped_count": 0, "filled_count": 1, "remaining_null_count": 0, "applied_fill_value": "No"}
 
 
 def test_curator_remap(spark):
     df = spark.createDataFrame([(1, "No practicado"), (2, "Positivo"), (3, None)], "id_pacie long, ana_dime string").withColumn("ana_dura", F.lit("x"))
-    out, report = curate.curate(df, spec(("ana_dime", "", "", "No practicado => missing")))
+    out, report = curate.curate(df, spec(("ana_dime", "", "No practicado => missing", "missing")))
     assert [r["ana_dime"] for r in out.orderBy("id_pacie").collect()] == ["Missing", "Positivo", "Missing"]
-    info = report["missing_audit"]["columns"]["ana_dime"]
-    assert (info["remapped"], info["filled"]) == (1, 1)
+    assert report["criteria_audit"]["ana_dime"] == {
+        "criteria": "No practicado => missing", "replacements_applied": 0, "value_remapped_count": 1, "dropped_row_count": 0, "allowed_min": None, "allowed_max": None,
+        "min_inclusive": True, "max_inclusive": True, "remap_source": "No practicado", "remap_target": "missing",
+    }
+    assert report["missing_audit"]["ana_dime"]["filled_count"] == 1 and report["hard_failures"] == []
+    # In column D a remap leaves nulls alone.
+    out, report = curate.curate(df, spec(("ana_dime", "", "", "No practicado => missing")))
+    assert [r["ana_dime"] for r in out.orderBy("id_pacie").collect()] == ["Missing", "Positivo", None]
+    assert report["missing_audit"]["ana_dime"] == {"strategy": "No practicado => missing", "remapped_count": 1, "filled_count": 0, "remaining_null_count": 1, "remap_source": "No practicado", "remap_target": "missing"}
+
+
+@pytest.mark.parametrize("where", ["criteria", "strategy"])
+def test_remap_targets(spark, where):
+    df = spark.createDataFrame([(1, 7, " a ", 1.5), (2, 8, "b", 2.0), (3, None, None, None)], "id long, n long, t string, x double")
+    texts = [("n", "7 => MISSING"), ("t", "a=>no"), ("x", "2.0 => 3")]
+    rows_ = [SpecRow(v, criteria=t) if where == "criteria" else SpecRow(v, missing_strategy=t) for v, t in texts]
+    out, audit = (curate.apply_criteria if where == "criteria" else curate.apply_strategies)(df, rows_)
+    assert dict(out.dtypes) == dict(df.dtypes)
+    assert [tuple(r) for r in out.orderBy("id").collect()] == [(1, None, "No", 1.5), (2, 8, "b", 3.0), (3, None, None, None)]
+    assert [audit[v]["value_remapped_count" if where == "criteria" else "remapped_count"] for v, _ in texts] == [1, 1, 1]
+    words, _ = curate.apply_strategies(df, [SpecRow("n", missing_strategy="7 => no"), SpecRow("x", missing_strategy="missing => 1"), SpecRow("t", missing_strategy="missing => z")])
+    assert [(r["n"], r["t"], r["x"]) for r in words.orderBy("id").collect()] == [("No", " a ", 1.5), ("8", "b", 2.0), (None, None, None)]
+    assert curate.apply_strategies(df, [SpecRow("t", missing_strategy="?")])[1] == {"t": {"strategy": "?", "filled_count": 0, "warning": "unhandled_strategy"}}
+
+
+def test_domains_are_listed_up_to_a_bound(spark):
+    df = spark.range(500).select(F.concat(F.lit("v"), F.format_string("%03d", "id")).alias("free"), F.lit("Yes").alias("closed"), F.lit(None).cast("string").alias("empty"))
+    found = {r["variable"]: r for r in curate.domain_table(df, {"free": ["v001", "v002"], "closed": ["Yes", "No"], "empty": ["x"]}, shown=3).collect()}
+    assert (found["free"]["observed"], found["free"]["invalid"]) == (["v000", "v001", "v002", "v003", "v004"], ["v000", "v003", "v004"])
+    assert (found["free"]["n_observed"], found["free"]["n_invalid"], found["closed"]["n_invalid"], found["empty"]["observed"]) == (500, 498, 0, [])
 
 
 def test_criteria_language():
