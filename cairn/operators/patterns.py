@@ -1,19 +1,22 @@
 """Frequent itemsets and association rules over rows with one item "column:value" for each column.
 
-Equal baskets are summed first, and then stand for their rows. Itemsets are mined depth first from conditional baskets:
-for each frequent item, what its baskets have of later items; equal ones are summed again before they shuffle. A set is
-only extended by items that are frequent with it, so max_size bounds the depth and not the number of subsets that are
-tried. Supports are fractions of the rows.
+Equal baskets are summed first, and then stand for their rows. Itemsets are mined in blocks of different baskets, and what
+blocks find is counted in all of them. A set is only extended by items that are frequent with it, so max_size bounds the
+depth and not the number of subsets that are tried. Supports are fractions of the rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn import presets
+from cairn.functions.stored import stored
+from cairn.operators import bitmaps
+from cairn.operators.bitmaps import least_of
 from cairn.operators.clean import quoted
 
 
@@ -29,91 +32,78 @@ def sparse_items(df: DataFrame, columns: Sequence[str], absent: str = "No", name
     return df.withColumn(name, F.sort_array(F.array_compact(F.array(*each))))
 
 
-def _mine(prefix: list[int], has, weight, least: float, size: int) -> Iterator[tuple[list[int], int]]:
-    """Frequent sets that extend prefix by up to size items, and their counts. has: the items that may follow, and which row has which of them."""
-    ids, matrix = has
-    counts = weight @ matrix
-    for j in (counts >= least).nonzero()[0].tolist():
-        found = [*prefix, int(ids[j])]
-        yield found, int(counts[j])
-        if size > 1:
-            rows = matrix[:, j].nonzero()[0]
-            later = j + 1 + (counts[j + 1 :] >= least).nonzero()[0]
-            if len(later):
-                yield from _mine(found, (ids[later], matrix[rows][:, later]), weight[rows], least, size - 1)
+#: Different baskets of a block, about; and where a low support needs more, at most.
+BLOCK, LARGEST = 1 << 16, 1 << 22
+#: Rows that the least support of a block is meant to have at least: fewer make its sets a matter of chance.
+ENOUGH = 64
+#: Candidate sets that are counted in a block at a time.
+CHUNK = 16_384
 
 
-def frequent_itemsets(df: DataFrame, min_support: float, max_size: int, column: str = "items") -> DataFrame:
+def frequent_itemsets(df: DataFrame, min_support: float, max_size: int, column: str = "items", block: int | None = None) -> DataFrame:
     """(itemset, size, n, support) of itemsets of up to max_size items in at least min_support of the rows.
 
-    Looks at the data for the number of rows and the frequent items: at most 1 / min_support of them a column. A task
-    holds the different conditional baskets of one item, at a byte for each frequent item.
+    Two passes over blocks of different baskets, which hashes deal out evenly. A set that is frequent in all rows is so in
+    a block at least: first each block is mined at the same relative support, then the union of what was found is counted
+    in all blocks. A task holds one block as bitmaps (bitmaps.py), block / 8 bytes for each frequent item and each bit of
+    weights, whichever items are hot. Where there are fewer blocks than tasks, a block goes to several, for some first items each.
+
+    Looks at the data for the number of rows and the frequent items: at most 1 / min_support of them a column. The table
+    is read once. A null column of items and empty baskets count as rows; an item counts once a basket.
     """
-    baskets = df.groupBy(quoted(column).alias("items")).agg(F.count(F.lit(1)).alias("w"))
     spark, nothing = df.sparkSession, "itemset array<string>, size int, n long, support double"
-    singles = baskets.select(F.explode("items").alias("item"), "w").groupBy("item").agg(F.sum("w").alias("n"))
-    rows = df.count()
-    least = max(1, -int(-(rows * min_support - 1e-9) // 1))
+    baskets = stored(df.groupBy(quoted(column).alias("items")).agg(F.count(F.lit(1)).alias("w")), "baskets")
+    rows = baskets.agg(F.sum("w")).first()[0] or 0
+    least = least_of(rows, min_support)
+    singles = baskets.select(F.explode(F.array_distinct("items")).alias("item"), "w").groupBy("item").agg(F.sum("w").alias("n"))
     frequent = singles.where(F.col("n") >= least).orderBy("item").collect()
     if not frequent:
         return spark.createDataFrame([], nothing)
     known = F.array(*[F.lit(r["item"]) for r in frequent])
     out = spark.createDataFrame([([r["item"]], r["n"]) for r in frequent], "itemset array<string>, n long")
-    if max_size > 1:
-        number = {r["item"]: i for i, r in enumerate(frequent)}
-        numbers = F.create_map(*[F.lit(x) for pair in number.items() for x in pair])
-        ids = F.transform(F.array_intersect("items", known), lambda x: F.element_at(numbers, x))
-        short = baskets.select(F.sort_array(ids).alias("ids"), "w").groupBy("ids").agg(F.sum("w").alias("w"))
-        tails = short.select(F.posexplode("ids").alias("at", "first"), "ids", "w").select("first", F.slice("ids", F.col("at") + 2, F.size("ids")).alias("rest"), "w")
-        tails = tails.where(F.size("rest") > 0).groupBy("first", "rest").agg(F.sum("w").alias("w"))
-        parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), len(frequent))
-        many = len(frequent)
-
-        def run(batches):
-            import numpy as np
-            import pyarrow as pa
-
-            def of(first: int, held: list):
-                """Sets that begin with this item."""
-                rest = pa.chunked_array([h.column(1) for h in held]).combine_chunks()
-                weight = np.concatenate([h.column(2).to_numpy() for h in held]).astype(np.float64)
-                matrix = np.zeros((len(weight), many - first - 1), dtype=np.float32)
-                row = np.repeat(np.arange(len(weight)), np.diff(rest.offsets.to_numpy()))
-                matrix[row, rest.flatten().to_numpy() - first - 1] = 1
-                found = _mine([first], (np.arange(first + 1, many), matrix), weight, least, max_size - 1)
-                block: list = []
-                for pair in found:
-                    block.append(pair)
-                    if len(block) == 20_000:
-                        yield batch(block)
-                        block = []
-                if block:
-                    yield batch(block)
-
-            def batch(block):
-                return pa.RecordBatch.from_arrays([pa.array([x for x, _ in block], pa.list_(pa.int32())), pa.array([n for _, n in block], pa.int64())], names=["ids", "n"])
-
-            held: list = []
-            now = None
-            for got in batches:
-                firsts = got.column(0).to_numpy()
-                cuts = [0, *(np.flatnonzero(firsts[1:] != firsts[:-1]) + 1).tolist(), len(firsts)]
-                for i, j in zip(cuts, cuts[1:]):
-                    if i == j:
-                        continue
-                    if held and firsts[i] != now:
-                        yield from of(int(now), held)
-                        held = []
-                    now = firsts[i]
-                    held.append(got.slice(i, j - i))
-            if held:
-                yield from of(int(now), held)
-
-        mined = tails.repartition(parts, "first").sortWithinPartitions("first").mapInArrow(run, "ids array<int>, n long")
-        out = out.unionByName(mined.select(F.transform("ids", lambda x: F.element_at(known, x + 1)).alias("itemset"), "n"))
+    if max_size > 1 and len(frequent) > 1:
+        numbers = F.create_map(*[F.lit(x) for i, r in enumerate(frequent) for x in (r["item"], i)])
+        ids = F.sort_array(F.transform(F.array_intersect("items", known), lambda x: F.element_at(numbers, x)))
+        short = stored(baskets.select(ids.alias("ids"), "w").where(F.size("ids") > 0).groupBy("ids").agg(F.sum("w").alias("w")), "short")
+        found = _sets(short, rows, min_support, max_size, block or min(LARGEST, max(BLOCK, math.ceil(ENOUGH / min_support))))
+        out = out.unionByName(found.select(F.transform("ids", lambda x: F.element_at(known, x + 1)).alias("itemset"), "n"))
     return out.select("itemset", F.size("itemset").alias("size"), "n", (F.col("n") / rows).alias("support"))
 
 
+def _sets(short: DataFrame, rows: int, min_support: float, max_size: int, block: int) -> DataFrame:
+    """(ids, n) of the frequent sets of two items and more of baskets (ids, w), which are stored; rows: of the whole table."""
+    spark = short.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_blocks = max(1, -(-short.count() // block))
+    number = F.pmod(F.xxhash64("ids"), F.lit(n_blocks)).cast("int")
+    dealt = short.select(number.alias("block"), "ids", "w").repartitionById(n_blocks, F.col("block")).sortWithinPartitions("block", "ids")
+    blocks = stored(dealt.mapInArrow(bitmaps.build, bitmaps.BLOCK), "blocks")
+    slots = max(1, -(-2 * parts // n_blocks))
+    each = F.explode(F.sequence(F.lit(0), F.lit(slots - 1)))
+    work = blocks.withColumn("slot", each).withColumn("slots", F.lit(slots)).repartitionById(n_blocks * slots, F.col("block") * slots + F.col("slot"))
+    local = work.mapInArrow(bitmaps.mined(min_support, max_size), "ids array<int>, n long").where(F.size("ids") > 1)
+    if n_blocks == 1:
+        return stored(local, "sets")
+    # What no block found is not frequent; what too few found can't be either: a block that is silent has less than its least.
+    weights = [r["weight"] for r in blocks.select("weight").collect()]
+    silent = sum(least_of(w, min_support) - 1 for w in weights)
+    least = least_of(rows, min_support)
+    union = stored(local.groupBy("ids").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")), "union")
+    most = F.col("n") + F.when(F.col("k") == n_blocks, 0).otherwise(silent)
+    maybe = union.where(most >= least)
+    done, open_ = maybe.where(F.col("k") == n_blocks).select("ids", "n"), maybe.where(F.col("k") < n_blocks).select("ids")
+    # Sets in order share their first items; a chunk of them meets every block.
+    chunks = max(1, -(-open_.count() // CHUNK))
+    sets = stored(open_.repartitionByRange(chunks, "ids").sortWithinPartitions("ids").select("ids", F.monotonically_increasing_id().alias("of"), F.spark_partition_id().alias("chunk")), "candidates")
+    together = sets.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("ids", "of"))).alias("x"))
+    slots = max(1, min(chunks, -(-2 * parts // n_blocks)))
+    asked = together.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), F.pmod("chunk", F.lit(slots)).cast("int").alias("slot"), (F.col("chunk") + 1).alias("at"), F.col("x.of").alias("of"), F.col("x.ids").alias("sets"))
+    have = blocks.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1)))).withColumn("at", F.lit(0))
+    met = have.unionByName(asked, allowMissingColumns=True).repartitionById(n_blocks * slots, F.col("block") * slots + F.col("slot")).sortWithinPartitions("block", "slot", "at")
+    totals = met.mapInArrow(bitmaps.counted, "of long, n long").groupBy("of").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return stored(done.where(F.col("n") >= least).unionByName(sets.join(totals, "of").select("ids", "n")), "sets")
+
+
 def unbounded_itemsets(df: DataFrame, min_support: float, column: str = "items") -> DataFrame:
     """(itemset, n) without a limit on size, by FP-growth: for short baskets."""
     from pyspark.ml.fpm import FPGrowth
