@@ -11,19 +11,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairn import presets
+from cairn.functions.quantiles import quantiles
 from cairn.operators.clean import number, quoted
 from cairn.operators.profile import column_profile
 
 
 def quantile_edges(df: DataFrame, column: str, bins: int) -> DataFrame:
-    """(edges): distinct exact quantiles at i / q, q the smaller of bins and the number of distinct values; null where there are fewer than two bins."""
-    v = number(quoted(column))
-    values = df.select(v.alias("v"))
-    out = None
-    for q in range(2, bins + 1):
-        at = F.percentile("v", F.array(*[F.lit(i / q) for i in range(q + 1)]))
-        out = at if out is None else F.when(F.count_distinct("v") >= q, at).otherwise(out)
-    return values.agg(F.when(F.count_distinct("v") >= 2, F.array_distinct(out)).alias("edges")).select(F.when(F.size("edges") >= 3, F.col("edges")).alias("edges"))
+    """(edges): distinct exact quantiles at i / q, q the smaller of bins and the number of distinct values; null where there are fewer than two bins. Looks at the data."""
+    return df.sparkSession.createDataFrame([(edges_of(df, [column], bins)[column],)], "edges array<double>")
+
+
+def edges_of(df: DataFrame, columns: Sequence[str], bins: int) -> dict[str, list[float] | None]:
+    """Quantile edges of several columns, found in the same passes."""
+    probs = sorted({i / q for q in range(2, bins + 1) for i in range(q + 1)})
+    out: dict[str, list[float] | None] = {}
+    for (_, c), found in quantiles(df, {c: number(quoted(c)) for c in columns}, probs, different=bins).items():
+        q = min(bins, found.different)
+        edges = list(dict.fromkeys(found.at[i / q] for i in range(q + 1))) if q >= 2 else []
+        out[c] = edges if len(edges) >= 3 else None
+    return out
 
 
 def _shown(edges: Sequence[float]) -> list[str]:
@@ -89,14 +95,11 @@ class Frame:
 
 
 def learn_frame(df: DataFrame, exclude: Sequence[str], most_values: int = 12, bins: int = 4) -> Frame:
-    """Numbers binned by their quantiles, text columns with 2 to most_values values. Two aggregations."""
+    """Numbers binned by their quantiles, text columns with 2 to most_values values. Looks at the data for edges and cardinalities."""
     names = [f for f in df.schema.fields if f.name not in set(exclude)]
     numbers = [f.name for f in names if isinstance(f.dataType, T.NumericType)]
     text = [f.name for f in names if isinstance(f.dataType, T.StringType)]
-    edges = {}
-    for c in numbers:
-        if found := quantile_edges(df, c, bins).first()["edges"]:
-            edges[c] = found
+    edges = {c: found for c, found in edges_of(df, numbers, bins).items() if found} if numbers else {}
     sizes = {r["column"]: r["cardinality"] for r in column_profile(df, text).collect()}
     return Frame(edges, [c for c in text if 2 <= sizes[c] <= most_values])
 
@@ -146,10 +149,10 @@ def standardize(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def impute_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Nulls in numeric columns become the column's exact median."""
-    medians = df.agg(*[F.median(number(quoted(c))).alias(f"_{i}") for i, c in enumerate(columns)])
-    filled = {c: F.coalesce(number(quoted(c)), F.col(f"_{i}")).alias(c) for i, c in enumerate(columns)}
-    return df.crossJoin(F.broadcast(medians)).select(*[filled.get(c, quoted(c)) for c in df.columns])
+    """Nulls in numeric columns become the column's exact median. Looks at the data for the medians."""
+    found = quantiles(df, {c: number(quoted(c)) for c in columns}, [0.5])
+    filled = {c: F.coalesce(number(quoted(c)), F.lit(found[None, c].at[0.5]).cast("double")).alias(c) for c in columns}
+    return df.select(*[filled.get(c, quoted(c)) for c in df.columns])
 
 
 def multi_hot(df: DataFrame, column: str, labels: Sequence[str]) -> DataFrame:

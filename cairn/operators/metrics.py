@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.functions.quantiles import quantiles
 from cairn.functions.ranks import running_sums
 from cairn.operators.clean import quoted
 
@@ -68,6 +69,11 @@ def confusion_profile(df: DataFrame, score: str, positive: Column, at_most: bool
 
 
 def score_summary(df: DataFrame, score: str, label: str) -> DataFrame:
-    """(label, n, mean, median, deviation, p25, p75) of the score by class; the deviation is that of the population."""
-    s = quoted(score).cast("double")
-    return df.groupBy(quoted(label).alias("label")).agg(F.count(s).alias("n"), F.avg(s).alias("mean"), F.median(s).alias("median"), F.stddev_pop(s).alias("deviation"), F.percentile(s, 0.25).alias("p25"), F.percentile(s, 0.75).alias("p75"))
+    """(label, n, mean, median, deviation, p25, p75) of the score by class; the deviation is that of the population. Looks at the data for the quantiles."""
+    s, kind = quoted(score).cast("double"), df.schema[label].dataType
+    found = quantiles(df, {"s": s}, [0.25, 0.5, 0.75], by=quoted(label))
+    # One row a class.
+    at = df.sparkSession.createDataFrame([(of, x.at[0.5], x.at[0.25], x.at[0.75]) for (of, _), x in found.items()], "label string, median double, p25 double, p75 double")
+    sums = df.groupBy(quoted(label).alias("label")).agg(F.count(s).alias("n"), F.avg(s).alias("mean"), F.stddev_pop(s).alias("deviation"))
+    met = sums.alias("a").join(F.broadcast(at).alias("b"), F.col("a.label").cast("string").eqNullSafe(F.col("b.label")), "left")
+    return met.select(F.col("a.label").cast(kind).alias("label"), "n", "mean", "median", "deviation", "p25", "p75")

@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from cairn.functions.quantiles import quantiles
 from cairn.operators.clean import number, quoted
 
 
 def five_numbers(df: DataFrame, column: str) -> DataFrame:
-    """(n, minimum, q1, median, q3, maximum) of the numbers in a column; exact, quantiles interpolated linearly."""
-    values = df.select(number(quoted(column)).alias("v"))
-    q = values.agg(F.count("v").alias("n"), F.min("v").alias("minimum"), F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.max("v").alias("maximum"))
-    return q.select("n", "minimum", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "maximum")
+    """(n, minimum, q1, median, q3, maximum) of the numbers in a column; exact, quantiles interpolated linearly. Looks at the data (quantiles.py)."""
+    probs = (0.0, 0.25, 0.5, 0.75, 1.0)
+    found = quantiles(df, {column: number(quoted(column))}, probs)[None, column]
+    return df.sparkSession.createDataFrame([(found.n, *[found.at[p] for p in probs])], "n long, minimum double, q1 double, median double, q3 double, maximum double")
 
 
 def _in_range(df: DataFrame, column: str, low: float | None, high: float | None) -> DataFrame:
@@ -48,15 +50,28 @@ def range_counts(df: DataFrame, column: str, low: float | None = None, high: flo
 
 
 def column_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column, cardinality with null as a value, missing_rate). One pass."""
+    """(column, cardinality with null as a value, missing_rate).
+
+    Different values are found as text by a shuffle on column and value, after each task has dropped its own copies; counts
+    are summed from there, so no aggregate holds a column's values. A value's text must tell it: structures count as JSON.
+    """
     names = list(columns if columns is not None else df.columns)
+    spark = df.sparkSession
     if not names:
-        return df.sparkSession.createDataFrame([], "column string, cardinality long, missing_rate double")
-    sums = [F.count(F.lit(1)).alias("_n")]
-    for i, c in enumerate(names):
-        sums += [F.count_distinct(quoted(c)).alias(f"d{i}"), F.count(quoted(c)).alias(f"c{i}")]
-    rows = [F.struct(F.lit(c).alias("column"), (F.col(f"d{i}") + (F.col(f"c{i}") < F.col("_n")).cast("long")).alias("cardinality"), F.coalesce(F.try_divide(F.col("_n") - F.col(f"c{i}"), F.col("_n")), F.lit(0.0)).alias("missing_rate")) for i, c in enumerate(names)]
-    return df.agg(*sums).select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+        return spark.createDataFrame([], "column string, cardinality long, missing_rate double")
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+
+    def text(c: str) -> Column:
+        kind, v = kinds.get(c), quoted(c)
+        if isinstance(kind, (T.DoubleType, T.FloatType)):
+            v = v + F.lit(0.0).cast(kind)  # -0.0 is 0.0
+        return F.to_json(F.struct(v.alias("v"))) if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)) else F.hex(v) if isinstance(kind, T.BinaryType) else v.cast("string")
+
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.when(quoted(c).isNotNull(), text(c)).alias("v")) for i, c in enumerate(names)])
+    counted = df.select(F.explode(cells).alias("x")).groupBy("x.i", "x.v").agg(F.count(F.lit(1)).alias("n"))
+    sums = counted.groupBy("i").agg(F.count(F.lit(1)).alias("cardinality"), F.sum("n").alias("rows"), F.sum(F.when(F.col("v").isNull(), F.col("n")).otherwise(0)).alias("gone"))
+    every = spark.createDataFrame(list(enumerate(names)), "i int, column string")
+    return every.join(F.broadcast(sums), "i", "left").select("column", F.coalesce("cardinality", F.lit(0)).alias("cardinality"), F.coalesce(F.try_divide("gone", "rows"), F.lit(0.0)).alias("missing_rate"))
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
