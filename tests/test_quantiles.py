@@ -80,7 +80,7 @@ def test_operators_on_nothing(spark):
 def test_edges_follow_the_number_of_values(spark):
     df = spark.createDataFrame([(float(i % 3), float(i % 2), 1.0, float(i)) for i in range(60)], "three double, two double, one double, many double")
     found = features.edges_of(df, df.columns, 4)
-    assert found["two"] is None and found["one"] is None and found["many"] == [0.0, 14.75, 29.5, 44.25, 59.0]
+    assert found["two"] == [0.0, 0.5, 1.0] and found["one"] is None and found["many"] == [0.0, 14.75, 29.5, 44.25, 59.0]
     assert found["three"] == pytest.approx([0.0, 2 / 3, 4 / 3, 2.0])
 
 
