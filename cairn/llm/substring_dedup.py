@@ -4,21 +4,21 @@ Suffixes are sorted by bucket-pointer refinement (bucket_classes): buckets of eq
 their suffixes on the bucket pointers at later offsets, and every round uses the pointers that the rounds before have
 refined, so the known depth doubles. Refinement stops at LENGTH bytes, where a bucket is a class of equal strings.
 
-Sorting all suffixes of the corpus would move many times its size. What sorting can't change is settled before:
+Sorting all suffixes of the corpus would move many times its size. Only what may repeat is sorted:
 
 1. Initial buckets are anchors: each LENGTH-byte string has one, the least hash of its SEED-byte parts, and equal strings
    have equal anchors. Successive strings of one anchor form a run. Texts are packed in blocks; GROUP blocks of a task
    send the distinct anchors they have (48 bits each) and get back those that another run has: a bucket of one run is
    sorted already.
-2. Runs of the other anchors move as hashes. Copies of one run collapse to the one in the smallest document, and the
-   others are settled: all their strings repeat. Copies within a group collapse there, so a passage that many documents
-   share sends a row a group.
-3. Where a bucket still has different runs of different documents, their text moves, and bucket-pointer refinement finds
-   which strings repeat. An anchor with more than SPREAD runs is hot: its runs are dealt by the hash of all their bytes
-   (equal ones still meet), and what is left of them sends each string to a bucket of its own.
+2. The other runs are sent to their anchor's bucket with their bytes. A run with the same bytes as one of a smaller
+   document is a copy, all its strings repeat. Copies within a group are found there and not sent, so a passage that many
+   documents share sends a row a group.
+3. Different runs of one anchor are sorted by bucket-pointer refinement, which finds the strings that repeat. An anchor
+   with more than SPREAD runs is hot: its runs are dealt by the hash of all their bytes (equal ones still meet), and what
+   is left of them sends each string to a bucket of its own, to be sorted there.
 
-Documents of equal text (by SHA-256) are represented by one: of the others, all strings repeat. Copies of runs are told
-by their count of strings, a 64-bit hash of all their bytes and 32 bits of their anchor's; strings by their bytes.
+Hashes only deal out and sort: copies and strings are told by their bytes, whatever collides. Documents of equal text are
+represented by one, as their SHA-256 says: of the others, all strings repeat.
 
 Defined cases: a null text is empty; texts shorter than LENGTH keep all; a null doc_id is larger than any; rows of one
 doc_id don't remove from each other, and repeated rows have equal results; an empty table gives no rows.
@@ -44,7 +44,7 @@ LENGTH, SEED, Q = 50, 16, 8
 BLOCK, GROUP = 1 << 20, 16
 #: Bytes of runs whose suffixes are sorted at a time, about; the runs of one key stay together.
 COMPARE = 1 << 20
-#: Bytes of text that a bucket of the last step has, about.
+#: Bytes of text for which there is a bucket.
 BUCKET_BYTES = 8 << 20
 #: An anchor with more runs than this is hot.
 SPREAD = 4096
@@ -206,7 +206,7 @@ def _gather(reps: DataFrame, buckets: int, length: int, block: int, group: int,
     return reps.mapInArrow(run, GATHERED)
 
 
-#: What a group is told, at -1 in front of its blocks: kind 0: anchors that other runs have, and which are hot; 1: strings that repeat; 2: runs whose text must be compared.
+#: What a group is told, at -1 in front of its blocks: kind 0: anchors that other runs have, and which are hot; 1: strings that repeat; 2: runs of hot anchors whose strings must be compared one by one.
 TOLD = "kind int, grp long, at int, size long, data binary"
 
 
@@ -238,14 +238,16 @@ def _shared_anchors(spread: int):
     return run
 
 
-#: Runs of a group for a bucket.
+#: Runs of a group for a bucket, with their bytes.
 SENT = "bucket int, grp long, data binary"
 _FOUND = ("<i8", "<u4", "<u4")
+#: Bytes that are compared at a time.
+_STEP = 1 << 20
 
 
-def _told(grp: int, kind: int, uid: np.ndarray, at: np.ndarray, count: np.ndarray, key: np.ndarray, length: int) -> pa.RecordBatch:
+def _told(grp: int, kind: int, uid: np.ndarray, at: np.ndarray, count: np.ndarray, length: int) -> pa.RecordBatch:
     order = np.argsort(uid, kind="stable")
-    data = pack(*(x[order].astype(t) for x, t in zip((uid, at, count, key), ("<i8", "<u4", "<u4", "<u4"))))
+    data = pack(*(x[order].astype(t) for x, t in zip((uid, at, count), _FOUND)))
     return record(TOLD, [kind], [grp], [-1], [int(count.sum()) + (length - 1) * len(count)], [data])
 
 
@@ -254,6 +256,40 @@ def _uids(grp: int, at: int, rows: np.ndarray) -> np.ndarray:
     return (grp << 20 | at << 16) + rows
 
 
+def _places(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin[i], begin[i] + 1, ... size[i] numbers each, one behind the other."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+def _same_bytes(text: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the size[i] bytes (some each) from a[i] and from b[i] are the same."""
+    out = np.ones(len(a), dtype=bool)
+    ends = np.cumsum(size)
+    first = 0
+    while first < len(a):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + _STEP)))
+        part = slice(first, last)
+        differ = text[_places(a[part], size[part])] != text[_places(b[part], size[part])]
+        out[part] = ~np.logical_or.reduceat(differ, np.cumsum(size[part]) - size[part])
+        first = last
+    return out
+
+
+def _copies(text: np.ndarray, begin: np.ndarray, doc: np.ndarray, count: np.ndarray, anchor: np.ndarray, whole: np.ndarray, length: int) -> np.ndarray:
+    """Which runs have the bytes of a run of a smaller document. Anchors and hashes sort, the bytes decide.
+
+    Runs whose hashes agree are compared with the first of them; one that differs from it stays, as if it had another hash.
+    """
+    order = np.lexsort((doc, count, whole, anchor))
+    new = _kinds(order, anchor, whole, count)
+    first = order[new][np.cumsum(new) - 1]
+    some = doc[order] > doc[first]
+    mine, theirs = order[some], first[some]
+    out = np.zeros(len(doc), dtype=bool)
+    out[mine] = _same_bytes(text, begin[mine], begin[theirs], count[mine].astype(np.int64) + length - 1)
+    return out
+
+
 def _send_runs(buckets: int, length: int):
     """SENT of (grp, at, kind, data) in this order: a group's shared anchors, then its blocks. What repeats within the group goes back to it, with a bucket below 0."""
 
@@ -261,6 +297,8 @@ def _send_runs(buckets: int, length: int):
         for (grp,), rows in keyed(batches, 1):
             told: list[list[np.ndarray]] = []
             held: list[tuple] = []
+            flat: list[bytes] = []
+            size = 0
             shared = hot = None
             for at, _, data in rows:
                 if at < 0:
@@ -273,38 +311,45 @@ def _send_runs(buckets: int, length: int):
                     order = np.argsort(key, kind="stable")
                     shared, hot = key[order], np.concatenate([h for _, h in told])[order].astype(bool)
                 batch = thaw(data)
-                of, start, count, anchor, whole = runs(_texts(batch), length)
+                texts = _texts(batch)
+                of, start, count, anchor, whole = runs(texts, length)
                 place = np.minimum(np.searchsorted(shared, anchor >> _HIGH), len(shared) - 1)
                 mine = np.flatnonzero(shared[place] == anchor >> _HIGH)
                 of = of[mine]
-                held.append((batch.column("doc").to_numpy()[of], _uids(grp, at, of), start[mine], count[mine], anchor[mine], whole[mine], hot[place[mine]]))
+                sizes = np.array([len(t) for t in texts], dtype=np.int64)
+                begin = size + (np.cumsum(sizes) - sizes)[of] + start[mine]
+                held.append((batch.column("doc").to_numpy()[of], _uids(grp, at, of), start[mine], count[mine], anchor[mine], whole[mine], hot[place[mine]], begin))
+                flat.extend(texts)
+                size += int(sizes.sum())
             if not held:
                 continue
-            doc, uid, start, count, anchor, whole, much = (np.concatenate(c) for c in zip(*held))
+            doc, uid, start, count, anchor, whole, much, begin = (np.concatenate(c) for c in zip(*held))
+            text = np.frombuffer(b"".join(flat), dtype=np.uint8)
             held.clear()
+            flat.clear()
             if not len(doc):
                 continue
-            order = np.lexsort((doc, count, whole, anchor))
-            new = _kinds(order, anchor, whole, count)
-            least = doc[order][new][np.cumsum(new) - 1]
-            done = np.zeros(len(doc), dtype=bool)
-            done[order] = doc[order] > least
+            done = _copies(text, begin, doc, count, anchor, whole, length)
             if done.any():
-                told_ = _told(grp, 1, uid[done], start[done], count[done], np.zeros(int(done.sum())), length)
+                told_ = _told(grp, 1, uid[done], start[done], count[done], length)
                 yield record(SENT, [-1], [grp], [told_.column("data")[0].as_py()])
             left = np.flatnonzero(~done)
             bucket = (np.where(much[left], anchor[left] ^ whole[left], anchor[left]) % np.uint64(buckets)).astype(np.int64)
             for b, some in by_bucket(bucket):
                 i = left[some]
                 i = i[np.argsort(uid[i], kind="stable")]
-                data = pack(doc[i].astype("<i8"), uid[i].astype("<i8"), start[i].astype("<u4"), count[i].astype("<u4"), (anchor[i] >> np.uint64(32)).astype("<u4"), whole[i], much[i].astype(np.uint8))
-                yield record(SENT, [b], [grp], [data])
+                raw = text[_places(begin[i], count[i] + length - 1)]
+                columns = (doc[i].astype("<i8"), uid[i].astype("<i8"), start[i].astype("<u4"), count[i].astype("<u4"), (anchor[i] >> np.uint64(32)).astype("<u4"), whole[i], much[i].astype(np.uint8))
+                yield record(SENT, [b], [grp], [pack(*columns, raw)])
 
     return run
 
 
 def _settle(length: int):
-    """TOLD of SENT in order of buckets."""
+    """TOLD of SENT in order of buckets: copies of runs by their bytes, and by bucket-pointer refinement the strings of other runs that a smaller document has.
+
+    A bucket has all runs of its anchors, but for hot ones: of these it has all equal runs, and what is left of them is told as kind 2.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (bucket,), rows in keyed(batches, 1):
@@ -316,33 +361,49 @@ def _settle(length: int):
                     held.append(unpack(data))
             if not held:
                 continue
-            doc, uid, at, count, anchor, whole, hot = (np.concatenate(c) for c in zip(*held))
+            doc, uid, at, count, anchor, whole, hot, text = (np.concatenate(c) for c in zip(*held))
             held.clear()
-            order = np.lexsort((doc, count, whole, anchor))
-            doc, uid, at, count, anchor, whole, hot = (x[order] for x in (doc, uid, at, count, anchor, whole, hot))
-            same = np.arange(len(doc))
-            new_anchor, new = _kinds(same, anchor), _kinds(same, anchor, whole, count)
-            head = np.flatnonzero(new)
-            least = doc[head]  # the smallest document with these bytes, for each kind of run
-            group = np.cumsum(new_anchor)[head] - 1
-            low, high = (f.reduceat(least, firsts(group)) for f in (np.minimum, np.maximum))
-            each = np.cumsum(new) - 1
-            settled = doc > least[each]
-            # Without a smaller document under this anchor there is nothing to compare; a hot anchor's runs lie in other buckets too.
-            unsure = ~settled & ((low != high)[group[each]] | hot.astype(bool))
-            kind = np.where(settled, 1, np.where(unsure, 2, 0))
-            key = np.where(hot.astype(bool), 0, anchor | np.uint32(1))
-            for mine in np.unique(kind[kind > 0]).tolist():
-                some = np.flatnonzero(kind == mine)
+            count, hot = count.astype(np.int64), hot.astype(bool)
+            sizes = count + length - 1
+            begin = np.cumsum(sizes) - sizes
+            done = _copies(text, begin, doc, count, anchor, whole, length)
+            for kind, some in ((1, np.flatnonzero(done)), (2, np.flatnonzero(~done & hot))):
                 for grp, part in by_bucket(uid[some] >> 20):
                     i = some[part]
-                    yield _told(grp, mine, uid[i], at[i], count[i], key[i], length)
+                    yield _told(grp, kind, uid[i], at[i], count[i], length)
+            left = np.flatnonzero(~done & ~hot)
+            yield from _refined(text, begin[left], doc[left], uid[left], at[left], count[left], anchor[left], length)
 
     return run
 
 
-def _send_texts(buckets: int, length: int):
-    """SENT of (grp, at, kind, data) in this order: a group's runs to compare, then its blocks. Strings of hot anchors that repeat within a block go back."""
+def _refined(text: np.ndarray, begin: np.ndarray, doc: np.ndarray, uid: np.ndarray, at: np.ndarray, count: np.ndarray, key: np.ndarray, length: int) -> Iterator[pa.RecordBatch]:
+    """TOLD, kind 1, of runs whose strings can only equal such of the same key: runs of a key are sorted together, some keys at a time, so that the suffixes' arrays stay small."""
+    order = np.lexsort((doc, key))
+    head = firsts(key[order])
+    # A key of one document has nothing to compare.
+    ends = np.append(head[1:], len(order)) if len(head) else head
+    many = doc[order[head]] != doc[order[ends - 1]] if len(head) else np.zeros(0, dtype=bool)
+    order = order[np.repeat(many, ends - head)]
+    sizes = count + length - 1
+    new = firsts(key[order])
+    done = np.concatenate(([0], np.cumsum(sizes[order])))
+    first = 0
+    while first < len(order):
+        limit = int(np.searchsorted(done, done[first] + COMPARE, side="left"))
+        last = int(new[j]) if (j := int(np.searchsorted(new, max(limit, first + 1), side="left"))) < len(new) else len(order)
+        some = order[first:last]
+        first = last
+        part = text[_places(begin[some], sizes[some])]
+        for string, offset, n in _smaller(part, doc[some], count[some], length):
+            i = some[string]
+            for grp, mine in by_bucket(uid[i] >> 20):
+                k = i[mine]
+                yield _told(grp, 1, uid[k], at[k] + offset[mine], n[mine], length)
+
+
+def _send_strings(buckets: int, length: int):
+    """SENT of (grp, at, kind, data) in this order: runs of hot anchors that a group has left, then its blocks. Each string goes to a bucket of its own; those that repeat within a block go back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (grp,), rows in keyed(batches, 1):
@@ -355,7 +416,7 @@ def _send_texts(buckets: int, length: int):
                     continue
                 if len(told) > 1:
                     told = [[np.concatenate(c) for c in zip(*told)]]
-                uid, start, count, key = told[0]
+                uid, start, count = told[0]
                 mine = np.flatnonzero(uid >> 16 == grp << 4 | at)
                 if not len(mine):
                     continue
@@ -364,35 +425,31 @@ def _send_texts(buckets: int, length: int):
                 strings: list[bytes] = []
                 out: list[tuple] = []
                 last, text = -1, b""
-                seen: dict[bytes, tuple] = {}
+                seen: dict[bytes, int] = {}
                 again: list[tuple] = []
                 mine = mine[np.argsort(docs[uid[mine] & 0xFFFF], kind="stable")]
-                for u, s, n, k in zip(*(x[mine].tolist() for x in (uid, start, count, key))):
+                for u, s, n in zip(*(x[mine].tolist() for x in (uid, start, count))):
                     row = u & 0xFFFF
                     if row != last:
                         last, text = row, texts[row].as_py().encode()
                     d = int(docs[row])
-                    if k:
-                        strings.append(text[s : s + n + length - 1])
-                        out.append((d, u, s, n, k))
-                        continue
                     for i in range(s, s + n):
                         string = text[i : i + length]
                         # Documents come in their order: one before this has the string, or this itself.
-                        if seen.setdefault(string, (d,))[0] < d:
+                        if seen.setdefault(string, d) < d:
                             again.append((u, i))
                         else:
                             strings.append(string)
-                            out.append((d, u, i, 1, int.from_bytes(hashlib.blake2b(string, digest_size=4).digest())))
+                            out.append((d, u, i, int.from_bytes(hashlib.blake2b(string, digest_size=4).digest())))
                 if again:
                     u, i = np.array(again, dtype=np.int64).T
-                    yield record(SENT, [-1], [grp], [_told(grp, 1, u, i, np.ones(len(u), dtype=np.int64), np.zeros(len(u)), length).column("data")[0].as_py()])
+                    yield record(SENT, [-1], [grp], [_told(grp, 1, u, i, np.ones(len(u), dtype=np.int64), length).column("data")[0].as_py()])
                 if not out:
                     continue
-                doc, u, s, n, k = np.array(out, dtype=np.int64).T
+                doc, u, s, k = np.array(out, dtype=np.int64).T
                 for b, some in by_bucket(k % buckets):
                     raw = np.frombuffer(b"".join([strings[i] for i in some]), dtype=np.uint8)
-                    yield record(SENT, [b], [grp], [pack(doc[some], u[some], s[some].astype("<u4"), n[some].astype("<u4"), k[some].astype("<u4"), raw)])
+                    yield record(SENT, [b], [grp], [pack(doc[some], u[some], s[some].astype("<u4"), k[some].astype("<u4"), raw)])
 
     return run
 
@@ -428,31 +485,10 @@ def _compare(length: int):
                     yield record(TOLD, [1], [grp], [-1], [0], [data])
                 else:
                     held.append(unpack(data))
-            if not held:
-                continue
-            doc, uid, at, count, key, text = (np.concatenate(c) for c in zip(*held))
-            held.clear()
-            count = count.astype(np.int64)
-            sizes = count + length - 1
-            begin = np.cumsum(sizes) - sizes
-            # Runs of one key are compared together; some keys at a time, so that the suffixes' arrays stay small.
-            order = np.argsort(key, kind="stable")
-            new = firsts(key[order])
-            done = np.concatenate(([0], np.cumsum(sizes[order])))
-            first = 0
-            while first < len(order):
-                limit = int(np.searchsorted(done, done[first] + COMPARE, side="left"))
-                last = int(new[j]) if (j := int(np.searchsorted(new, max(limit, first + 1), side="left"))) < len(new) else len(order)
-                some = order[first:last]
-                first = last
-                if len(some) < 2:
-                    continue
-                part = np.concatenate([text[b : b + n] for b, n in zip(begin[some].tolist(), sizes[some].tolist())])
-                for string, offset, n in _smaller(part, doc[some], count[some], length):
-                    i = some[string]
-                    for grp, mine in by_bucket(uid[i] >> 20):
-                        k = i[mine]
-                        yield _told(grp, 1, uid[k], at[k] + offset[mine], n[mine], np.zeros(len(k)), length)
+            if held:
+                doc, uid, at, key, text = (np.concatenate(c) for c in zip(*held))
+                held.clear()
+                yield from _refined(text, np.arange(len(doc)) * length, doc, uid, at, np.ones(len(doc), dtype=np.int64), key, length)
 
     return run
 
@@ -465,14 +501,14 @@ def _cut(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (grp,), rows in keyed(batches, 1):
-            told: list[list[np.ndarray]] = [[np.zeros(0, dtype=t) for t in (*_FOUND, "<u4")]]
+            told: list[list[np.ndarray]] = [[np.zeros(0, dtype=t) for t in _FOUND]]
             for place, _, data in rows:
                 if place < 0:
                     told.append(unpack(data))
                     continue
                 if len(told) > 1:
                     told = [[np.concatenate(c) for c in zip(*told)]]
-                uid, at, count, _ = told[0]
+                uid, at, count = told[0]
                 batch = thaw(data)
                 texts = _texts(batch)
                 mine = np.flatnonzero(uid >> 16 == grp << 4 | place)
@@ -501,8 +537,8 @@ def _cut(length: int):
     return run
 
 
-def cut_representatives(reps: DataFrame, length: int = LENGTH, block: int = BLOCK, group: int = GROUP, bucket_bytes: int = BUCKET_BYTES, spread: int = SPREAD) -> DataFrame:
-    """CUT of documents (doc_id, doc, text) of different texts."""
+def cut_representatives(reps: DataFrame, n_bytes: int, length: int = LENGTH, block: int = BLOCK, group: int = GROUP, bucket_bytes: int = BUCKET_BYTES, spread: int = SPREAD) -> DataFrame:
+    """CUT of documents (doc_id, doc, text) of different texts, which have n_bytes together."""
     spark = reps.sparkSession
     parts = shards(spark)
     gathered = stash(_gather(reps.select("doc_id", "doc", "text"), parts, length, block, group, spread), "gathered", "none")
@@ -523,12 +559,16 @@ def cut_representatives(reps: DataFrame, length: int = LENGTH, block: int = BLOC
 
     anchors = gathered.where("kind = 1").select(F.col("at").alias("bucket"), "grp", "data")
     shared = by_buckets(anchors, parts).mapInArrow(_shared_anchors(spread), TOLD)
-    found = stash(by_buckets(by_group(shared).mapInArrow(_send_runs(parts, length), SENT), parts).mapInArrow(_settle(length), TOLD), "runs", "none")
+    # Runs overlap, so what is sent may have a few times the bytes of the texts that repeat.
+    buckets = max(parts, -(-n_bytes // bucket_bytes))
+    found = stash(by_buckets(by_group(shared).mapInArrow(_send_runs(buckets, length), SENT), buckets).mapInArrow(_settle(length), TOLD), "runs", "none")
     unsure = found.where("kind = 2")
     size = unsure.agg(F.sum("size")).first()[0] or 0
-    buckets = max(parts, -(-size // bucket_bytes))
-    sent = by_group(unsure).mapInArrow(_send_texts(buckets, length), SENT)
-    more = stash(by_buckets(sent, buckets).mapInArrow(_compare(length), TOLD), "strings", "none")
+    more = found.where("kind = 3")
+    if size:
+        buckets = max(parts, -(-size * length // bucket_bytes))
+        sent = by_group(unsure).mapInArrow(_send_strings(buckets, length), SENT)
+        more = stash(by_buckets(sent, buckets).mapInArrow(_compare(length), TOLD), "strings", "none")
     cut = by_group(found.where("kind = 1").unionByName(more)).mapInArrow(_cut(length), CUT)
     return cut
 
@@ -539,7 +579,8 @@ def substring_dedup(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     rows = stash(exact_dedup(docs, normalise=False, extras={"n_bytes": F.octet_length("text").cast("long")}, most_bytes=most_bytes), "copies")
     repeated = stash(rows.where("kept and group_size > 1").select(F.unhex("text_sha256").alias("_cairn_sha")), "repeated")
     reps = drop_copies(docs, normalise=False, most_bytes=most_bytes, repeated=repeated).withColumn("doc", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
-    cut = cut_representatives(reps, length, **sizes)
+    n_bytes = rows.where("kept").agg(F.sum("n_bytes")).first()[0] or 0
+    cut = cut_representatives(reps, n_bytes, length, **sizes)
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * with_text
     # Rows of one text and one id share their result; there is one for each text, so only such repeated rows are joined.
     copy = F.col("keep_id").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") > F.col("keep_id")))

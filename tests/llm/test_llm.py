@@ -401,24 +401,39 @@ def test_substring_kept_text(spark):
     assert all(hashlib.sha256(r["kept_text"]).hexdigest() == r["kept_sha256"] for r in out)
 
 
+@pytest.mark.parametrize("hashes", ["few bits", "none", "no anchors"])
 @pytest.mark.parametrize("spread", [4096, 0])
-def test_substring_runs_with_equal_hashes(spark, monkeypatch, spread):
-    """Anchors that collide, and hashes of different runs that agree but in the count or the low bits: the bytes decide."""
+def test_substring_runs_with_equal_hashes(spark, monkeypatch, spread, hashes):
+    """Anchors and hashes of different runs that agree: the bytes decide."""
     real = substring_dedup.runs
 
     def runs(texts, length=50, seed=16):
-        of, at, count, _, whole = real(texts, length, seed)
-        return of, at, count, np.full(len(of), 77 << 40, dtype=np.uint64), whole & np.uint64(0xFF) | np.uint64(1 << 50) | (whole >> np.uint64(40)) << np.uint64(8)
+        of, at, count, anchor, whole = real(texts, length, seed)
+        if hashes == "no anchors":
+            return of, at, count, np.full(len(of), 77 << 40, dtype=np.uint64), whole & np.uint64(0xFF)
+        return of, at, count, anchor, np.full(len(of), 5, dtype=np.uint64) if hashes == "none" else whole & np.uint64(3)
 
     monkeypatch.setattr(substring_dedup, "runs", runs)
     rows = [(i, sentence(700 + i % 7, 30) + sentence(800 + i, 3)) for i in range(12)]
-    # 32 bits of their hashes agree, the texts don't.
-    rows += [(20, "naqqir aerfqbkdmbcpavyjlnxnsczurlcpszcuxneviho qdn"), (21, "m rcuoanwjweqyyotcpavyjlnxnsczurlkcawccdjszosoqjdo")]
+    # Runs of one anchor and length that differ in a byte.
+    rows += [(30 + i, "".join(sentence(900 + k, 12) for k in range(4)).replace("alpha", ("alpha", "alphb", "alphc")[i % 3])) for i in range(6)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id")
     got = Counter(tuple(x) for x in substring_dedup.substring_dedup(df, block=200, group=2, spread=spread).collect())
     assert got == brute_removed([(i, t.encode()) for i, t in rows], 50)
 
 
+def test_substring_of_texts_whose_polynomials_agree(spark):
+    """Two texts arranged by the Thue-Morse sequence: polynomials modulo 2 ** 64 in any odd base agree, and no 50 bytes are the same."""
+    r = np.random.default_rng(12)
+    seed = "vfagsbwwlnztecoc"
+    units = ["".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), 4)) for _ in range(512)]
+    one, two = ("".join(f"{seed}{u}{seed}{'pppp' if (k.bit_count() + swap) % 2 else 'qqqq'}" for k, u in enumerate(units)) + seed * 2 for swap in (0, 1))
+    rows = [(1, one), (2, two), (3, two + "x"), (4, "y" + one)]
+    got = {r[0]: r for r in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {tuple(r) for r in got.values()} == set(brute_removed([(i, t.encode()) for i, t in rows], 50))
+    assert (got[2]["n_removed"], got[2]["n_spans"]) == (0, 0) and got[3]["n_removed"] == len(two)
+
+
 # --- toxicity, quality, mixing ---
 
 
