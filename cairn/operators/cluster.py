@@ -1,4 +1,4 @@
-"""Clustering: exact agglomeration and a neighbour layout of a bounded sample, scalable k-means, principal components."""
+"""Clustering: agglomeration, neighbour layouts, k-means, principal components."""
 
 from __future__ import annotations
 
@@ -9,28 +9,30 @@ from pyspark.sql import functions as F
 
 from cairn.functions.arrays import METRICS, distance
 from cairn.operators.clean import quoted
+from cairn.operators.linkage import linked
 
 __all__ = ["METRICS", "agglomerative", "distance", "kmeans", "layout", "linkage_labels", "neighbour_layout", "profile", "project"]
 
-#: Rows that exact agglomeration takes at most: for manhattan and chebyshev its distances are a matrix of 4 bytes a pair
-#: (1.6 GB for so many rows); euclidean and cosine need no matrix.
+#: Rows that agglomeration by manhattan and chebyshev distances takes at most: they are a matrix of 4 bytes a pair (1.6 GB for so many rows).
 MOST_ROWS = 20_000
 
 
-def agglomerative(df: DataFrame, id_column: str, columns: Sequence[str], clusters: int = 3, metric: str = "euclidean", most: int = MOST_ROWS, cells: int = 0) -> DataFrame:
-    """(id, cluster): Ward linkage for euclidean distances, else average linkage. More than most rows are an error, or, with
-    cells, go into so many k-means cells, whose centres are linked by their weights; each row gets its cell's cluster."""
+def agglomerative(df: DataFrame, id_column: str, columns: Sequence[str], clusters: int = 3, metric: str = "euclidean", most: int = MOST_ROWS) -> DataFrame:
+    """(id, cluster): Ward linkage for euclidean distances, average linkage for cosine, of any number of rows (linkage.py).
+
+    Average linkage by manhattan or chebyshev distances needs all pairs of rows: more than most rows are an error.
+    """
+    k = max(2, clusters)
+    if metric in ("euclidean", "cosine"):
+        return linked(df, id_column, F.array(*[quoted(c).cast("double") for c in columns]), k, metric == "euclidean")
     n = df.limit(most + 1).count()
-    if n > most and cells:
-        return _linked_cells(df, id_column, columns, max(2, clusters), metric, cells)
     if n > most:
-        raise ValueError(f"Exact agglomeration takes at most {most} rows; take a sample, or use kmeans")
-    k = max(1, min(max(2, clusters), n))
+        raise ValueError(f"Average linkage by {metric} distances takes at most {most} rows; take a sample, or the euclidean or cosine metric")
     kind = df.schema[id_column].dataType.simpleString()
 
     def link(pdf):
         ids, x = _matrix(pdf, len(columns))
-        return ids.assign(cluster=linkage_labels(x, k, metric))
+        return ids.assign(cluster=linkage_labels(x, min(k, max(1, n)), metric))
 
     return _bounded(df, id_column, columns).applyInPandas(link, f"id {kind}, cluster int").withColumnRenamed("id", id_column)
 
@@ -47,20 +49,6 @@ def _matrix(pdf, width: int):
     return pdf[["id"]], np.vstack(pdf["x"].to_numpy()) if len(pdf) else np.zeros((0, width))
 
 
-def _linked_cells(df: DataFrame, id_column: str, columns: Sequence[str], clusters: int, metric: str, cells: int) -> DataFrame:
-    import numpy as np
-    from pyspark.ml.clustering import KMeans
-
-    model = KMeans(k=cells, seed=42, featuresCol="_x", predictionCol="_cell", maxIter=10).fit(_assembled(df, columns))
-    rows = model.transform(_assembled(df, columns))
-    # At most cells rows.
-    weight = {r["_cell"]: r["count"] for r in rows.groupBy("_cell").count().collect()}
-    used = sorted(weight)
-    labels = linkage_labels(np.array(model.clusterCenters())[used], min(clusters, len(used)), metric, np.array([weight[c] for c in used], dtype=float))
-    of = F.create_map(*[F.lit(v) for pair in zip(used, labels.tolist()) for v in pair])
-    return rows.select(quoted(id_column), of[F.col("_cell")].cast("int").alias("cluster"))
-
-
 class _Centres:
     """Clusters by their mean: Ward distances of euclidean rows, average cosine distances of rows of unit length."""
 

@@ -738,7 +738,7 @@ def _dimensions(points):
 @query()
 def agglomerative_clusters(spark, d):
     df = _points(spark, d)
-    return cluster.agglomerative(features.standardize(df, _dimensions(df)), "vec_id", _dimensions(df), 3, "euclidean", cells=500)
+    return cluster.agglomerative(features.standardize(df, _dimensions(df)), "vec_id", _dimensions(df), 3, "euclidean")
 
 
 @query()
