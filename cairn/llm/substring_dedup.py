@@ -10,15 +10,15 @@ Sorting all suffixes of the corpus would move many times its size. Only what may
    have equal anchors. Successive strings of one anchor form a run. Texts are packed in blocks; GROUP blocks of a task
    send the distinct anchors they have (48 bits each) and get back those that another run has: a bucket of one run is
    sorted already.
-2. The other runs are sent to their anchor's bucket with their bytes. A run with the same bytes as one of a smaller
-   document is a copy, all its strings repeat. Copies within a group are found there and not sent, so a passage that many
-   documents share sends a row a group.
-3. Different runs of one anchor are sorted by bucket-pointer refinement, which finds the strings that repeat. An anchor
-   with more than SPREAD runs is hot: its runs are dealt by the hash of all their bytes (equal ones still meet), and what
-   is left of them sends each string to a bucket of its own, to be sorted there.
+2. Runs of the other anchors move as digests of their bytes (128 bits of BLAKE2b). Copies of one run collapse to the one in
+   the smallest document, and the others are settled: all their strings repeat. Copies within a group are told by their
+   bytes and collapse there, so a passage that many documents share sends a row a group.
+3. Where a bucket still has different runs of different documents, their text moves, and bucket-pointer refinement finds
+   which strings repeat. An anchor with more than SPREAD runs is hot: its runs are dealt by the hash of all their bytes
+   (equal ones still meet), and what is left of them sends each string to a bucket of its own.
 
-Hashes only deal out and sort: copies and strings are told by their bytes, whatever collides. Documents of equal text are
-represented by one, as their SHA-256 says: of the others, all strings repeat.
+So copies that move are told as equal documents are, by a cryptographic digest (SHA-256 there), and all other strings by
+their bytes. The quick hashes of anchors and runs only deal out and sort: whatever collides among them costs time alone.
 
 Defined cases: a null text is empty; texts shorter than LENGTH keep all; a null doc_id is larger than any; rows of one
 doc_id don't remove from each other, and repeated rows have equal results; an empty table gives no rows.
@@ -206,7 +206,7 @@ def _gather(reps: DataFrame, buckets: int, length: int, block: int, group: int,
     return reps.mapInArrow(run, GATHERED)
 
 
-#: What a group is told, at -1 in front of its blocks: kind 0: anchors that other runs have, and which are hot; 1: strings that repeat; 2: runs of hot anchors whose strings must be compared one by one.
+#: What a group is told, at -1 in front of its blocks: kind 0: anchors that other runs have, and which are hot; 1: strings that repeat; 2: runs whose text must be compared.
 TOLD = "kind int, grp long, at int, size long, data binary"
 
 
@@ -238,16 +238,16 @@ def _shared_anchors(spread: int):
     return run
 
 
-#: Runs of a group for a bucket, with their bytes.
+#: Runs of a group for a bucket.
 SENT = "bucket int, grp long, data binary"
 _FOUND = ("<i8", "<u4", "<u4")
 #: Bytes that are compared at a time.
 _STEP = 1 << 20
 
 
-def _told(grp: int, kind: int, uid: np.ndarray, at: np.ndarray, count: np.ndarray, length: int) -> pa.RecordBatch:
+def _told(grp: int, kind: int, uid: np.ndarray, at: np.ndarray, count: np.ndarray, key: np.ndarray, length: int) -> pa.RecordBatch:
     order = np.argsort(uid, kind="stable")
-    data = pack(*(x[order].astype(t) for x, t in zip((uid, at, count), _FOUND)))
+    data = pack(*(x[order].astype(t) for x, t in zip((uid, at, count, key), ("<i8", "<u4", "<u4", "<u4"))))
     return record(TOLD, [kind], [grp], [-1], [int(count.sum()) + (length - 1) * len(count)], [data])
 
 
@@ -290,6 +290,12 @@ def _copies(text: np.ndarray, begin: np.ndarray, doc: np.ndarray, count: np.ndar
     return out
 
 
+def _digests(text: np.ndarray, begin: np.ndarray, size: np.ndarray) -> bytes:
+    """16 bytes of BLAKE2b of each of these pieces."""
+    view = memoryview(text)
+    return b"".join([hashlib.blake2b(view[i:j], digest_size=16).digest() for i, j in zip(begin.tolist(), (begin + size).tolist())])
+
+
 def _send_runs(buckets: int, length: int):
     """SENT of (grp, at, kind, data) in this order: a group's shared anchors, then its blocks. What repeats within the group goes back to it, with a bucket below 0."""
 
@@ -331,25 +337,22 @@ def _send_runs(buckets: int, length: int):
                 continue
             done = _copies(text, begin, doc, count, anchor, whole, length)
             if done.any():
-                told_ = _told(grp, 1, uid[done], start[done], count[done], length)
+                told_ = _told(grp, 1, uid[done], start[done], count[done], np.zeros(int(done.sum())), length)
                 yield record(SENT, [-1], [grp], [told_.column("data")[0].as_py()])
             left = np.flatnonzero(~done)
             bucket = (np.where(much[left], anchor[left] ^ whole[left], anchor[left]) % np.uint64(buckets)).astype(np.int64)
             for b, some in by_bucket(bucket):
                 i = left[some]
                 i = i[np.argsort(uid[i], kind="stable")]
-                raw = text[_places(begin[i], count[i] + length - 1)]
-                columns = (doc[i].astype("<i8"), uid[i].astype("<i8"), start[i].astype("<u4"), count[i].astype("<u4"), (anchor[i] >> np.uint64(32)).astype("<u4"), whole[i], much[i].astype(np.uint8))
-                yield record(SENT, [b], [grp], [pack(*columns, raw)])
+                high, low = np.ascontiguousarray(np.frombuffer(_digests(text, begin[i], count[i] + length - 1), dtype=np.uint64).reshape(-1, 2).T)
+                columns = (doc[i].astype("<i8"), uid[i].astype("<i8"), start[i].astype("<u4"), count[i].astype("<u4"), (anchor[i] >> np.uint64(32)).astype("<u4"), high, low, much[i].astype(np.uint8))
+                yield record(SENT, [b], [grp], [pack(*columns)])
 
     return run
 
 
 def _settle(length: int):
-    """TOLD of SENT in order of buckets: copies of runs by their bytes, and by bucket-pointer refinement the strings of other runs that a smaller document has.
-
-    A bucket has all runs of its anchors, but for hot ones: of these it has all equal runs, and what is left of them is told as kind 2.
-    """
+    """TOLD of SENT in order of buckets: copies of runs, as their digests say, and (kind 2) those whose bytes must be compared with other runs of their anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (bucket,), rows in keyed(batches, 1):
@@ -361,18 +364,27 @@ def _settle(length: int):
                     held.append(unpack(data))
             if not held:
                 continue
-            doc, uid, at, count, anchor, whole, hot, text = (np.concatenate(c) for c in zip(*held))
+            doc, uid, at, count, anchor, high, low, hot = (np.concatenate(c) for c in zip(*held))
             held.clear()
-            count, hot = count.astype(np.int64), hot.astype(bool)
-            sizes = count + length - 1
-            begin = np.cumsum(sizes) - sizes
-            done = _copies(text, begin, doc, count, anchor, whole, length)
-            for kind, some in ((1, np.flatnonzero(done)), (2, np.flatnonzero(~done & hot))):
+            order = np.lexsort((doc, count, low, high, anchor))
+            doc, uid, at, count, anchor, high, low, hot = (x[order] for x in (doc, uid, at, count, anchor, high, low, hot))
+            same = np.arange(len(doc))
+            new_anchor, new = _kinds(same, anchor), _kinds(same, anchor, high, low, count)
+            head = np.flatnonzero(new)
+            least = doc[head]  # the smallest document with these bytes, for each kind of run
+            group = np.cumsum(new_anchor)[head] - 1
+            first, last = (f.reduceat(least, firsts(group)) for f in (np.minimum, np.maximum))
+            each = np.cumsum(new) - 1
+            settled = doc > least[each]
+            # Without a smaller document under this anchor there is nothing to compare; a hot anchor's runs lie in other buckets too.
+            unsure = ~settled & ((first != last)[group[each]] | hot.astype(bool))
+            kind = np.where(settled, 1, np.where(unsure, 2, 0))
+            key = np.where(hot.astype(bool), 0, anchor | np.uint32(1))
+            for mine in np.unique(kind[kind > 0]).tolist():
+                some = np.flatnonzero(kind == mine)
                 for grp, part in by_bucket(uid[some] >> 20):
                     i = some[part]
-                    yield _told(grp, kind, uid[i], at[i], count[i], length)
-            left = np.flatnonzero(~done & ~hot)
-            yield from _refined(text, begin[left], doc[left], uid[left], at[left], count[left], anchor[left], length)
+                    yield _told(grp, mine, uid[i], at[i], count[i], key[i], length)
 
     return run
 
@@ -399,11 +411,11 @@ def _refined(text: np.ndarray, begin: np.ndarray, doc: np.ndarray, uid: np.ndarr
             i = some[string]
             for grp, mine in by_bucket(uid[i] >> 20):
                 k = i[mine]
-                yield _told(grp, 1, uid[k], at[k] + offset[mine], n[mine], length)
+                yield _told(grp, 1, uid[k], at[k] + offset[mine], n[mine], np.zeros(len(k)), length)
 
 
-def _send_strings(buckets: int, length: int):
-    """SENT of (grp, at, kind, data) in this order: runs of hot anchors that a group has left, then its blocks. Each string goes to a bucket of its own; those that repeat within a block go back."""
+def _send_texts(buckets: int, length: int):
+    """SENT of (grp, at, kind, data) in this order: a group's runs to compare, then its blocks. Strings of hot anchors that repeat within a block go back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (grp,), rows in keyed(batches, 1):
@@ -416,7 +428,7 @@ def _send_strings(buckets: int, length: int):
                     continue
                 if len(told) > 1:
                     told = [[np.concatenate(c) for c in zip(*told)]]
-                uid, start, count = told[0]
+                uid, start, count, key = told[0]
                 mine = np.flatnonzero(uid >> 16 == grp << 4 | at)
                 if not len(mine):
                     continue
@@ -425,31 +437,35 @@ def _send_strings(buckets: int, length: int):
                 strings: list[bytes] = []
                 out: list[tuple] = []
                 last, text = -1, b""
-                seen: dict[bytes, int] = {}
+                seen: dict[bytes, tuple] = {}
                 again: list[tuple] = []
                 mine = mine[np.argsort(docs[uid[mine] & 0xFFFF], kind="stable")]
-                for u, s, n in zip(*(x[mine].tolist() for x in (uid, start, count))):
+                for u, s, n, k in zip(*(x[mine].tolist() for x in (uid, start, count, key))):
                     row = u & 0xFFFF
                     if row != last:
                         last, text = row, texts[row].as_py().encode()
                     d = int(docs[row])
+                    if k:
+                        strings.append(text[s : s + n + length - 1])
+                        out.append((d, u, s, n, k))
+                        continue
                     for i in range(s, s + n):
                         string = text[i : i + length]
                         # Documents come in their order: one before this has the string, or this itself.
-                        if seen.setdefault(string, d) < d:
+                        if seen.setdefault(string, (d,))[0] < d:
                             again.append((u, i))
                         else:
                             strings.append(string)
-                            out.append((d, u, i, int.from_bytes(hashlib.blake2b(string, digest_size=4).digest())))
+                            out.append((d, u, i, 1, int.from_bytes(hashlib.blake2b(string, digest_size=4).digest())))
                 if again:
                     u, i = np.array(again, dtype=np.int64).T
-                    yield record(SENT, [-1], [grp], [_told(grp, 1, u, i, np.ones(len(u), dtype=np.int64), length).column("data")[0].as_py()])
+                    yield record(SENT, [-1], [grp], [_told(grp, 1, u, i, np.ones(len(u), dtype=np.int64), np.zeros(len(u)), length).column("data")[0].as_py()])
                 if not out:
                     continue
-                doc, u, s, k = np.array(out, dtype=np.int64).T
+                doc, u, s, n, k = np.array(out, dtype=np.int64).T
                 for b, some in by_bucket(k % buckets):
                     raw = np.frombuffer(b"".join([strings[i] for i in some]), dtype=np.uint8)
-                    yield record(SENT, [b], [grp], [pack(doc[some], u[some], s[some].astype("<u4"), k[some].astype("<u4"), raw)])
+                    yield record(SENT, [b], [grp], [pack(doc[some], u[some], s[some].astype("<u4"), n[some].astype("<u4"), k[some].astype("<u4"), raw)])
 
     return run
 
@@ -486,9 +502,11 @@ def _compare(length: int):
                 else:
                     held.append(unpack(data))
             if held:
-                doc, uid, at, key, text = (np.concatenate(c) for c in zip(*held))
+                doc, uid, at, count, key, text = (np.concatenate(c) for c in zip(*held))
                 held.clear()
-                yield from _refined(text, np.arange(len(doc)) * length, doc, uid, at, np.ones(len(doc), dtype=np.int64), key, length)
+                count = count.astype(np.int64)
+                sizes = count + length - 1
+                yield from _refined(text, np.cumsum(sizes) - sizes, doc, uid, at, count, key, length)
 
     return run
 
@@ -501,14 +519,14 @@ def _cut(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (grp,), rows in keyed(batches, 1):
-            told: list[list[np.ndarray]] = [[np.zeros(0, dtype=t) for t in _FOUND]]
+            told: list[list[np.ndarray]] = [[np.zeros(0, dtype=t) for t in (*_FOUND, "<u4")]]
             for place, _, data in rows:
                 if place < 0:
                     told.append(unpack(data))
                     continue
                 if len(told) > 1:
                     told = [[np.concatenate(c) for c in zip(*told)]]
-                uid, at, count = told[0]
+                uid, at, count, _ = told[0]
                 batch = thaw(data)
                 texts = _texts(batch)
                 mine = np.flatnonzero(uid >> 16 == grp << 4 | place)
@@ -559,16 +577,14 @@ def cut_representatives(reps: DataFrame, n_bytes: int, length: int = LENGTH, blo
 
     anchors = gathered.where("kind = 1").select(F.col("at").alias("bucket"), "grp", "data")
     shared = by_buckets(anchors, parts).mapInArrow(_shared_anchors(spread), TOLD)
-    # Runs overlap, so what is sent may have a few times the bytes of the texts that repeat.
-    buckets = max(parts, -(-n_bytes // bucket_bytes))
+    # What is sent of runs is less than their texts.
+    buckets = max(parts, -(-n_bytes // (4 * bucket_bytes)))
     found = stash(by_buckets(by_group(shared).mapInArrow(_send_runs(buckets, length), SENT), buckets).mapInArrow(_settle(length), TOLD), "runs", "none")
     unsure = found.where("kind = 2")
     size = unsure.agg(F.sum("size")).first()[0] or 0
-    more = found.where("kind = 3")
-    if size:
-        buckets = max(parts, -(-size * length // bucket_bytes))
-        sent = by_group(unsure).mapInArrow(_send_strings(buckets, length), SENT)
-        more = stash(by_buckets(sent, buckets).mapInArrow(_compare(length), TOLD), "strings", "none")
+    buckets = max(parts, -(-size // bucket_bytes))
+    sent = by_group(unsure).mapInArrow(_send_texts(buckets, length), SENT)
+    more = stash(by_buckets(sent, buckets).mapInArrow(_compare(length), TOLD), "strings", "none")
     cut = by_group(found.where("kind = 1").unionByName(more)).mapInArrow(_cut(length), CUT)
     return cut
 
