@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,19 +19,74 @@ def draw(id_column: str, seed: int = SEED) -> Column:
     return F.md5(F.concat_ws("|", quoted(id_column).cast("string"), F.lit(str(seed))))
 
 
+#: Digits of the order by which rows are counted at a time, and rows whose whole order is read.
+DIGITS, FEW = 3, 4096
+
+
+def cuts(df: DataFrame, order: Column, quotas: Mapping, by: Column | None = None) -> dict:
+    """(cut, left) by class: the rows of a class whose order (hexadecimal digits) is below the cut, and left of those at it, are the first quota rows.
+
+    Rows are counted by class and DIGITS of their order, then those that share the digits in which the quota ends by the
+    digits that follow, until they are few. So what is read is bounded by classes, whatever the table.
+    """
+    rows = df.select((F.lit(None).cast("string") if by is None else by).alias("_of"), order.alias("_o"))
+    kind = rows.schema["_of"].dataType
+    out: dict = {}
+    open_ = {k: ("", int(q)) for k, q in quotas.items()}  # digits that the cut begins with, and rows that are wanted of these
+    digits = DIGITS
+    while open_:
+        table = df.sparkSession.createDataFrame([(k, p) for k, (p, _) in open_.items()], T.StructType([T.StructField("_k", kind), T.StructField("_p", T.StringType())]))
+        some = rows.join(F.broadcast(table), F.col("_of").eqNullSafe(F.col("_k")) & F.col("_o").startswith(F.col("_p")))
+        counts: dict = {}
+        for r in some.groupBy("_of", F.substring("_o", 1, digits).alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy("_of", "d").collect():
+            counts.setdefault(r["_of"], []).append((r["d"], r["n"]))
+        following = {}
+        for k, (_, wanted) in open_.items():
+            for d, n in counts.get(k, []):
+                if wanted < n:
+                    break
+                wanted -= n
+            else:
+                out[k] = ("g", 0)  # above all digits: the class has no more rows
+                continue
+            if len(d) < digits or digits >= 32 or wanted == 0:
+                out[k] = (d, wanted)
+            else:
+                following[k] = (d, wanted, n)
+        whole = all(n <= FEW for *_, n in following.values())
+        open_ = {k: (d, w) for k, (d, w, _) in following.items()}
+        digits = 32 if whole else digits + DIGITS
+    return out
+
+
+def take_first(df: DataFrame, id_column: str, quotas: Mapping, by: str | None = None, seed: int = SEED) -> DataFrame:
+    """For each class of by (null is one; none: all rows) the first quota rows in random order: a filter, nothing of the table moves or is sorted."""
+    order = draw(id_column, seed)
+    of = quoted(by) if by else None
+    found = cuts(df, order, quotas, of)
+    kind = df.schema[by].dataType if by else T.StringType()
+    fields = [T.StructField("_class", kind), T.StructField("_cut", T.StringType()), T.StructField("_left", T.LongType())]
+    # As many rows as there are classes.
+    table = df.sparkSession.createDataFrame([(k, c, left) for k, (c, left) in found.items()], T.StructType(fields))
+    mine = F.lit(None).cast("string") if of is None else of
+    met = df.withColumn("_order", order).join(F.broadcast(table), mine.eqNullSafe(F.col("_class")))
+    names = [quoted(c) for c in df.columns]
+    out = met.where(F.col("_order") < F.col("_cut")).select(*names)
+    if any(left for _, left in found.values()):
+        # Rows at a cut have one order, so mostly one id.
+        ties = met.where((F.col("_order") == F.col("_cut")) & (F.col("_left") > 0)).withColumn("_k", F.row_number().over(Window.partitionBy("_class").orderBy(quoted(id_column))))
+        out = out.unionByName(ties.where(F.col("_k") <= F.col("_left")).select(*names))
+    return out
+
+
 def cap(df: DataFrame, id_column: str, most: int, seed: int = SEED) -> DataFrame:
-    """At most so many rows, uniformly without replacement."""
-    return df.orderBy(draw(id_column, seed), quoted(id_column)).limit(most)
+    """At most so many rows, uniformly without replacement. Looks at the data for the order's cut."""
+    return take_first(df, id_column, {None: most}, seed=seed)
 
 
 def take_quotas(df: DataFrame, by: str, quotas: Mapping, id_column: str, seed: int = SEED) -> DataFrame:
-    """For each class of by (null is one) its quota of rows."""
-    kind = df.schema[by].dataType
-    # As many rows as there are classes.
-    table = df.sparkSession.createDataFrame([(k, int(v)) for k, v in quotas.items()], T.StructType([T.StructField("_class", kind), T.StructField("_quota", T.LongType())]))
-    numbered = hash_rank(df, draw(id_column, seed), quoted(id_column), quoted(by), "_rank")
-    joined = numbered.join(F.broadcast(table), quoted(by).eqNullSafe(F.col("_class")))
-    return joined.where(F.col("_rank") <= F.col("_quota")).select(*[quoted(c) for c in df.columns])
+    """For each class of by (null is one) its quota of rows. Looks at the data for the cuts."""
+    return take_first(df, id_column, quotas, by, seed)
 
 
 def class_counts(df: DataFrame, by: str) -> dict:

@@ -191,15 +191,20 @@ def patient_scores(frame: DataFrame, strategy: Strategy, id_column: str, target:
 
 
 def merge_exports(exports: Sequence[DataFrame], id_column: str, target: str) -> DataFrame:
-    """Full outer join of exports on id and target; null targets meet."""
-    out = exports[0]
-    for other in exports[1:]:
-        b = other.withColumnRenamed(id_column, "_id").withColumnRenamed(target, "_target")
-        on = quoted(id_column).eqNullSafe(F.col("_id")) & quoted(target).eqNullSafe(F.col("_target"))
-        joined = out.join(b, on, "full_outer")
-        rest = [c for c in out.columns if c not in (id_column, target)] + [c for c in b.columns if c not in ("_id", "_target")]
-        out = joined.select(F.coalesce(quoted(id_column), F.col("_id")).alias(id_column), F.coalesce(quoted(target), F.col("_target")).alias(target), *[quoted(c) for c in rest])
-    return out
+    """Full outer join of exports on id and target; null ids and null targets meet.
+
+    In one shuffle, whatever their number: the exports' rows are put one below the other and gathered by key, and each
+    row of an export meets each row of the others with its key. A key is one subject's: it has a few rows.
+    """
+    keys = [id_column, target]
+    tagged = [e.select(*[quoted(c) for c in keys], F.lit(i).alias("_export"), F.struct(*[quoted(c) for c in e.columns if c not in keys], F.lit(i).alias("_")).alias(f"_{i}")) for i, e in enumerate(exports)]
+    together = tagged[0]
+    for t in tagged[1:]:
+        together = together.unionByName(t, allowMissingColumns=True)
+    met = together.groupBy(*[quoted(c) for c in keys]).agg(*[F.collect_list(f"_{i}").alias(f"_{i}") for i in range(len(exports))])
+    for i in range(len(exports)):
+        met = met.withColumn(f"_{i}", F.explode_outer(f"_{i}"))
+    return met.select(*[quoted(c) for c in keys], *[F.col(f"_{i}")[c].alias(c) for i, e in enumerate(exports) for c in e.columns if c not in keys])
 
 
 def boosted_trees(frame: DataFrame, columns: Sequence[str], outcome: str, trees: int = 80, depth: int = 3, rate: float = 0.08, subsample: float = 0.8, seed: int = 42):

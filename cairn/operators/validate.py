@@ -11,9 +11,10 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.functions.stored import stored
 from cairn.operators import metrics, sample
 from cairn.operators.clean import quoted
-from cairn.operators.explain import permuted
+from cairn.operators.explain import shuffled
 from cairn.operators.score import boosted_trees, tree_probability
 
 
@@ -101,12 +102,11 @@ def grid_search(frame: DataFrame, columns: Sequence[str], labels: Sequence[str],
 def auc_importance(model, test: DataFrame, columns: Sequence[str], outcome: str, id_column: str, repeats: int = 10) -> DataFrame:
     """(feature, importance): the mean over repeats of the AUC that a fitted model loses when a feature's values move to other rows, the largest first."""
     positive = quoted(outcome) == 1
-    area = lambda df: metrics.auc(tree_probability(model, df, [outcome]), "probability", positive).first()["auc"]
-    test = test.persist()
-    base = area(test)
+    # All features' and repeats' values move in one shuffle, and are scored in one pass.
+    scored = stored(tree_probability(model, shuffled(test, columns, id_column, repeats), [outcome, "feature", "repeat"]), "scored")
+    area = lambda df: metrics.auc(df, "probability", positive).first()["auc"]
+    base = area(scored.where("feature is null"))
     if base is None:
-        test.unpersist()
         raise ValueError("Both classes are needed to measure an AUC")
-    found = [(c, sum(base - area(permuted(test, c, id_column, r)) for r in range(repeats)) / repeats) for c in columns]
-    test.unpersist()
+    found = [(c, sum(base - area(scored.where((F.col("feature") == c) & (F.col("repeat") == r))) for r in range(repeats)) / repeats) for c in columns]
     return test.sparkSession.createDataFrame(sorted(found, key=lambda r: (-r[1], r[0])), "feature string, importance double")

@@ -309,6 +309,14 @@ def cramers_v_uncorrected(spark, d):
     return assoc.cramers_v(turns(spark, d), "role", "turn", corrected=False).select("n", F.round("chi2", 8).alias("chi2"), F.round("cramers_v", 8).alias("cramers_v"))
 
 
+@query(f"""WITH {ORD}, t AS (SELECT count(*) FILTER (a AND b) AS p, count(*) FILTER (a AND NOT b) AS q, count(*) FILTER (NOT a AND b) AS r, count(*) FILTER (NOT a AND NOT b) AS s, count(*) AS n FROM (SELECT status = 'F' AS a, segment = 'BUILDING' AS b FROM ord)),
+x AS (SELECT n, power(greatest(abs(p * s - q * r) / n - 0.5, 0), 2) * n * n * n / ((p + q)::DOUBLE * (r + s) * (p + r) * (q + s)) AS chi2 FROM t) SELECT n, round(chi2, 8) AS chi2, round(sqrt(chi2 / n), 8) AS cramers_v FROM x""")
+def cramers_v_continuity(spark, d):
+    """The plain coefficient of a 2 x 2 table, with Yates' correction."""
+    df = orders(spark, d).select((F.col("status") == "F").alias("a"), (F.col("segment") == "BUILDING").alias("b"))
+    return assoc.cramers_v(df, "a", "b", corrected=False, continuity=True).select("n", F.round("chi2", 8).alias("chi2"), F.round("cramers_v", 8).alias("cramers_v"))
+
+
 @query(_TURN_V + ", h AS (SELECT variable_a, variable_b, cramers_v FROM v) SELECT variable_a, variable_b, round(cramers_v, 8) AS cramers_v FROM h UNION ALL SELECT variable_b, variable_a, round(cramers_v, 8) FROM h UNION ALL VALUES ('role', 'role', 1.0), ('turn', 'turn', 1.0), ('size', 'size', 1.0)")
 def cramers_v_matrix(spark, d):
     return assoc.cramers_v_matrix(turns(spark, d), _COLUMNS).select("variable_a", "variable_b", F.round("cramers_v", 8).alias("cramers_v"))
