@@ -25,7 +25,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Large-star hangs each node's larger neighbours under its least neighbour, small-star its smaller ones; a fixed point
     is a set of stars. The number of rounds grows with the logarithm of the longest path. Each round sums before it
-    shuffles (the least neighbour is a minimum), and its edges are stored, so a lost executor costs one round. Edges of
+    shuffles (the least neighbour is a minimum), and its edges are stored, so a lost executor costs one round. More than
+    rounds of them (they do for paths of 2 ** 30 nodes) are an error: an unfinished answer is none. Edges of
     hubs, at most 2 * HUB_SHARE nodes, meet their least neighbour in a broadcast, so no task gets all edges of one.
     """
     now = pin(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
@@ -43,4 +44,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if state == seen:
             break
         seen = state
+    else:
+        raise ArithmeticError(f"components aren't found after {rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -241,3 +241,30 @@ def test_subspace_widens_for_equal_eigenvalues():
     values, vectors_, passes, residual = whitening.subspace(lambda q: widths.append(q.shape[1]) or u @ (level[:, None] * (u.T @ q)), 300, 4, spare=4)
     assert np.allclose(values, level[:4]) and np.allclose(vectors_.T @ vectors_, np.eye(4), atol=1e-12)
     assert widths[0] == 8 and widths[-1] == 300 and passes < 20
+
+
+# --- filters and components ---
+
+
+def test_filters_by_ranges_pass_as_many_through(spark):
+    """With a filter for a hundredth of the rows, and for a tenth, as many unique rows pass as with one for all."""
+    from cairn.llm import exact_dedup
+
+    n = 200_000
+    rows = spark.range(n + n // 20).select(F.unhex(F.sha2((F.col("id") % n).cast("string"), 256)).alias("sha"))
+    rows = exact_dedup.pin(rows)
+    passed = []
+    for most in (8 * n, n // 5, n // 50):
+        flagged = exact_dedup.flag_repeats(rows, n + n // 20, most_bytes=most)
+        got = flagged.groupBy("sha").agg(F.count(F.lit(1)).alias("k"), F.bool_and("possible").alias("maybe")).groupBy("k", "maybe").count().collect()
+        assert not [r for r in got if r["k"] > 1 and not r["maybe"]] and sum(r["count"] for r in got) == n
+        passed.append(sum(r["count"] for r in got if not r["maybe"]) / (n * 19 / 20))
+    assert exact_dedup.ranges_of(n + n // 20, n // 50) > 90 and min(passed) > 0.95
+
+
+def test_components_raise_when_unfinished(spark):
+    from cairn.llm.components import components
+
+    path = spark.createDataFrame([(i, i + 1) for i in range(64)], "a long, b long")
+    with pytest.raises(ArithmeticError):
+        components(path, rounds=1)
