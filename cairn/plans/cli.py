@@ -5,13 +5,16 @@ from __future__ import annotations
 import argparse
 import sys
 from collections.abc import Sequence
+from functools import partial
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from cairn import presets
+from cairn.functions.stored import stored
 from cairn.operators import clean, curate, rules
 from cairn.plans.experiments import EXPERIMENTS
+from cairn.plans.jobs import run_jobs
 from cairn.sources import readers, sinks
 
 _LIST: list[str] = []
@@ -58,30 +61,36 @@ def parser() -> argparse.ArgumentParser:
 
 
 def session() -> SparkSession:
-    return SparkSession.builder.appName("cairn").getOrCreate()
+    return SparkSession.builder.appName("cairn").config("spark.scheduler.mode", "FAIR").getOrCreate()
+
+
+def run_experiment(name: str, df: DataFrame, o: argparse.Namespace) -> str:
+    """Run an experiment and write its tables, page and parameters. Returns the tables as LaTeX."""
+    result = EXPERIMENTS[name](df, o)
+    shown = []
+    for table, frame in result.tables.items():
+        sinks.write_csv(frame, f"{o.output_dir}/{name}_{table}")
+        shown.append(sinks.latex(frame, f"{name}: {table}", f"tab:{name}_{table}", most=30))
+    sinks.save_page(sinks.html_page(name, result.tables, result.charts), o.output_dir, name)
+    sinks.write_json({k: v for k, v in vars(o).items() if k.startswith(name.split("_")[0]) or k in ("data", "experiment")}, f"{o.output_dir}/{name}_run.json", sort_keys=True)
+    return "\n".join(shown)
 
 
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> int:
-    """Run one experiment or all; one that fails doesn't stop the others. Returns the number of failures."""
+    """Run one experiment, or all, contrast-workers of them at a time on one stored cohort; one that fails doesn't stop the others. Returns the number of failures."""
     o = parser().parse_args(argv)
     spark = spark or session()
-    df = clean.clean_cohort(readers.load(spark, o.data)).persist()
-    failed = 0
-    for name in [n for n in EXPERIMENTS if n != "edas"] if o.experiment == "all" else [o.experiment]:
-        try:
-            result = EXPERIMENTS[name](df, o)
-            for table, frame in result.tables.items():
-                sinks.write_csv(frame, f"{o.output_dir}/{name}_{table}")
-                print(sinks.latex(frame, f"{name}: {table}", f"tab:{name}_{table}", most=30))
-            sinks.save_page(sinks.html_page(name, result.tables, result.charts), o.output_dir, name)
-            sinks.write_json({k: v for k, v in vars(o).items() if k.startswith(name.split("_")[0]) or k in ("data", "experiment")}, f"{o.output_dir}/{name}_run.json", sort_keys=True)
-        except Exception as e:
-            if o.experiment != "all":
-                raise
-            failed += 1
-            print(f"{name} failed: {e}", file=sys.stderr)
-    df.unpersist()
-    return failed
+    df = clean.clean_cohort(readers.load(spark, o.data))
+    if o.experiment != "all":
+        df = df.persist()
+        print(run_experiment(o.experiment, df, o))
+        df.unpersist()
+        return 0
+    cohort = stored(df, "cohort")
+    outcomes = run_jobs(spark, {n: partial(run_experiment, n, cohort, o) for n in EXPERIMENTS if n != "edas"}, o.contrast_workers)
+    for name, outcome in outcomes.items():
+        print(outcome.value if outcome.error is None else f"{name} failed: {outcome.error}", file=sys.stderr if outcome.error else sys.stdout)
+    return sum(outcome.error is not None for outcome in outcomes.values())
 
 
 def curate_main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> dict:
