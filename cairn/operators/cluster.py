@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from cairn.functions.arrays import METRICS, distance
 from cairn.operators.clean import quoted
+from cairn.operators.layout import layout as placed
 from cairn.operators.linkage import linked
 
-__all__ = ["METRICS", "agglomerative", "distance", "kmeans", "layout", "linkage_labels", "neighbour_layout", "profile", "project"]
+__all__ = ["METRICS", "agglomerative", "distance", "kmeans", "layout", "linkage_labels", "profile", "project"]
 
 #: Rows that agglomeration by manhattan and chebyshev distances takes at most: they are a matrix of 4 bytes a pair (1.6 GB for so many rows).
 MOST_ROWS = 20_000
@@ -146,93 +147,13 @@ def linkage_labels(x, clusters: int, metric: str, weights=None):
     return np.array([numbers.setdefault(root(c), len(numbers)) for c in range(n)], dtype=np.int32)
 
 
-def neighbour_layout(x, neighbours: int = 15, min_dist: float = 0.1, metric: str = "euclidean", epochs: int = 200, seed: int = 42):
-    """Places of the rows of a matrix in a plane that keep neighbourhoods: fuzzy nearest-neighbour weights, drawn together along
-    neighbours and pushed apart from random others, from the first two principal components on. Metrics are those of
-    METRICS and hamming, the share of columns that differ."""
-    import numpy as np
-
-    n = len(x)
-    r = np.random.default_rng(seed)
-    x = np.asarray(x, dtype=float)
-    centred = x - x.mean(0) if n else x
-    if n < 3:
-        return np.column_stack([np.arange(n, dtype=float), np.zeros(n)])
-    _, _, axes = np.linalg.svd(centred, full_matrices=False)
-    place = np.zeros((n, 2))
-    place[:, : min(2, len(axes))] = centred @ axes[:2].T
-    place = place / max(np.abs(place).max(), 1e-12) * 10 + r.normal(0, 1e-4, (n, 2))
-    k = min(neighbours, n - 1)
-    near, far = np.zeros((n, k), dtype=np.int64), np.zeros((n, k))
-    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-    for at in range(0, n, 256):
-        part = slice(at, at + 256)
-        if metric == "euclidean":
-            d = np.sqrt(np.maximum((centred[part] ** 2).sum(1)[:, None] + (centred**2).sum(1)[None, :] - 2 * centred[part] @ centred.T, 0))
-        elif metric == "cosine":
-            d = 1 - unit[part] @ unit.T
-        elif metric == "hamming":
-            d = np.zeros((len(x[part]), n))
-            for c in range(x.shape[1]):
-                d += x[part, c][:, None] != x[None, :, c]
-            d /= max(x.shape[1], 1)
-        else:
-            d = np.zeros((len(x[part]), n))
-            for c in range(x.shape[1]):
-                gap = np.abs(x[part, c][:, None] - x[None, :, c])
-                d = np.maximum(d, gap) if metric == "chebyshev" else d + gap
-        d[np.arange(d.shape[0]), np.arange(at, at + d.shape[0])] = np.inf
-        near[part] = np.argpartition(d, k - 1, axis=1)[:, :k]
-        far[part] = np.take_along_axis(d, near[part], axis=1)
-    # Each row's widths: its weights add up to log2(k), the nearest has weight 1.
-    least = far.min(1, keepdims=True)
-    low, high = np.zeros((n, 1)), np.full((n, 1), max(far.max(), 1e-12) * 10)
-    for _ in range(50):
-        width = (low + high) / 2
-        above = np.exp(-(far - least) / np.maximum(width, 1e-12)).sum(1, keepdims=True) > np.log2(max(k, 2))
-        high, low = np.where(above, width, high), np.where(above, low, width)
-    weight = np.exp(-(far - least) / np.maximum(width, 1e-12)).ravel()
-    a, b = np.repeat(np.arange(n), k), near.ravel()
-    # Either direction makes an edge: p + q - p q.
-    key = np.minimum(a, b) * n + np.maximum(a, b)
-    pair, at = np.unique(key, return_inverse=True)
-    apart = np.ones(len(pair))
-    np.multiply.at(apart, at, 1 - np.minimum(weight, 1 - 1e-9))
-    weight, a, b = 1 - apart, pair // n, pair % n
-    # The curve 1 / (1 + s d^(2t)) that is nearest to 1 up to min_dist and then falls off exponentially.
-    grid = np.linspace(0.01, 3, 200)
-    wanted = np.where(grid < min_dist, 1.0, np.exp(-(grid - min_dist)))
-    s, t = min(((p, q) for p in np.linspace(0.2, 6, 59) for q in np.linspace(0.4, 2, 33)), key=lambda u: float(((1 / (1 + u[0] * grid ** (2 * u[1])) - wanted) ** 2).sum()))
-    for epoch in range(epochs):
-        step = 1 - epoch / epochs
-        some = np.flatnonzero(r.random(len(weight)) < weight / weight.max())
-        i, j = a[some], b[some]
-        gap = place[i] - place[j]
-        d2 = np.maximum((gap**2).sum(1, keepdims=True), 1e-9)
-        pull = np.clip(-2 * s * t * d2 ** (t - 1) / (1 + s * d2**t) * gap, -4, 4) * step
-        move = np.zeros_like(place)
-        np.add.at(move, i, pull)
-        np.add.at(move, j, -pull)
-        ends = np.repeat(np.concatenate([i, j]), 3)
-        gap = place[ends] - place[r.integers(0, n, len(ends))]
-        d2 = (gap**2).sum(1, keepdims=True)
-        np.add.at(move, ends, np.clip(2 * t / ((0.001 + d2) * (1 + s * d2**t)) * gap, -4, 4) * step)
-        place += np.clip(move, -4, 4)
-    return place
-
-
-def layout(df: DataFrame, id_column: str, columns: Sequence[str], neighbours: int = 15, min_dist: float = 0.1, metric: str = "euclidean", most: int = MOST_ROWS) -> DataFrame:
-    """(id, umap_dimension_1, umap_dimension_2): the neighbour layout of at most most rows; more are an error."""
-    if df.limit(most + 1).count() > most:
-        raise ValueError(f"The neighbour layout takes at most {most} rows; take a sample, or use project")
-    kind = df.schema[id_column].dataType.simpleString()
-
-    def lay(pdf):
-        ids, x = _matrix(pdf, len(columns))
-        place = neighbour_layout(x, neighbours, min_dist, metric)
-        return ids.assign(umap_dimension_1=place[:, 0], umap_dimension_2=place[:, 1])
-
-    return _bounded(df, id_column, columns).applyInPandas(lay, f"id {kind}, umap_dimension_1 double, umap_dimension_2 double").withColumnRenamed("id", id_column)
+def layout(df: DataFrame, id_column: str, columns: Sequence[str], neighbours: int = 15, min_dist: float = 0.1, metric: str = "euclidean", **options: int) -> DataFrame:
+    """(id, umap_dimension_1, umap_dimension_2) of any number of rows (layout.py); metrics are those of METRICS, and hamming for one-hot columns. Rows start at their principal components."""
+    # Components need two rows and two columns.
+    axes = project(df, id_column, columns) if len(columns) > 1 and df.limit(2).count() > 1 else df.select(quoted(id_column), quoted(columns[0]).cast("double").alias("dimension_1"), F.lit(0.0).alias("dimension_2"))
+    points = df.select(quoted(id_column), F.array(*[quoted(c).cast("double") for c in columns]).alias("_x"))
+    both = points.join(axes, id_column)
+    return placed(both, id_column, F.col("_x"), F.col("dimension_1"), F.col("dimension_2"), neighbours, min_dist, metric, **options)
 
 
 def _assembled(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-from cairn.operators import assoc, clean, cluster, curate, explain, features, metrics, patterns, profile, rules, sample, score, screening, validate
+from cairn.functions.stored import stored
+from cairn.operators import assoc, clean, cluster, curate, explain, features, layout, metrics, patterns, profile, rules, sample, score, screening, validate
 from cairn.operators.curate import SpecRow
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -759,3 +759,20 @@ def kmeans_clusters(spark, d):
 def pca_projection(spark, d):
     df = _points(spark, d)
     return cluster.project(df, "vec_id", _dimensions(df))
+
+
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings), d AS (SELECT a.vec_id, list_distance(a.x, b.x) AS distance, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.x, b.x), b.vec_id) AS place FROM e a JOIN e b ON a.vec_id <> b.vec_id)
+SELECT vec_id, CAST(place AS INTEGER) AS place, round(distance, 6) AS distance FROM d WHERE place <= 5""")
+def neighbour_graph(spark, d):
+    """Distances of the five nearest of each vector."""
+    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+    points = stored(e.withColumn("c", F.monotonically_increasing_id()), "points")
+    near = layout.neighbours(points.select("c", "x"), 5, "euclidean", points.count())
+    each = near.join(points.select("c", "vec_id"), "c").select("vec_id", F.posexplode(F.array_sort("far")).alias("place", "distance"))
+    return each.select("vec_id", (F.col("place") + 1).alias("place"), F.round("distance", 6).alias("distance"))
+
+
+@query()
+def embedding_layout(spark, d):
+    df = _points(spark, d)
+    return cluster.layout(df, "vec_id", _dimensions(df), 10)

@@ -377,19 +377,6 @@ def test_linkage_equals_nearest_pairs():
     assert cluster.linkage_labels(np.zeros((0, 2)), 3, "euclidean").tolist() == [] and cluster.linkage_labels(np.zeros((1, 2)), 3, "cosine").tolist() == [0]
 
 
-def test_layout_keeps_groups_together():
-    import numpy as np
-
-    r = np.random.default_rng(6)
-    x = np.concatenate([r.normal(20 * g, 1, (40, 6)) for g in range(3)])
-    for metric in cluster.METRICS[:2]:
-        place = cluster.neighbour_layout(x, 10, 0.1, metric, epochs=100)
-        centre = np.array([place[40 * g : 40 * g + 40].mean(0) for g in range(3)])
-        nearest = ((place[:, None, :] - centre[None, :, :]) ** 2).sum(-1).argmin(1)
-        assert (nearest == np.repeat(np.arange(3), 40)).mean() > 0.95
-    assert cluster.neighbour_layout(np.zeros((2, 3))).shape == (2, 2)
-
-
 def test_numbers_stay_numbers_for_importance(spark):
     df = spark.createDataFrame([(i, "a" if i % 2 else None, float(i) if i % 5 else None, None) for i in range(20)], "id long, c string, x double, none double")
     frame, columns = features.mixed_frame(df, ["id"], ["id"])
