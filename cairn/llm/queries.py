@@ -101,6 +101,35 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_embeddings(spark, sf_dir))
 
 
+def media_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op1, what SQL can say: the payload that was read back from the stored frames."""
+    return op1_media_columns(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+MEDIA_SQL = r"""
+WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS t FROM documents), n AS (SELECT *, octet_length(t) AS n FROM b), p AS (SELECT *, CAST(greatest(1, ceil(n / 576)) AS BIGINT) * 576 AS m FROM n)
+SELECT doc_id, n AS n_bytes, m AS payload_bytes, sha256(t || repeat('\xFF'::BLOB, m - n)) AS payload_sha256 FROM p
+"""
+
+
+def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op3, what SQL can say: tokens and the add-one base."""
+    return op3_lm_scoring(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
+
+
+#: crc32 by its bits: DuckDB has none.
+LM_SQL = r"""
+WITH RECURSIVE ids AS (SELECT DISTINCT doc_id, CAST(doc_id AS VARCHAR) AS s FROM documents WHERE doc_id IS NOT NULL),
+c AS (SELECT doc_id, s, 0 AS i, 4294967295::BIGINT AS r FROM ids
+  UNION ALL SELECT doc_id, s, i + 1, CASE WHEN i % 9 = 0 THEN xor(r, ascii(s[i // 9 + 1])) WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END FROM c WHERE i < 9 * length(s)),
+h AS (SELECT doc_id, xor(r, 4294967295) % 7 = 2 AS held_out FROM c WHERE i = 9 * length(s)),
+t AS (SELECT row_number() OVER () AS k, d.doc_id, coalesce(h.held_out, false) AS held_out, list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+'), '') AS w FROM documents d LEFT JOIN h ON d.doc_id = h.doc_id),
+e AS (SELECT k, held_out, unnest(w) AS w FROM t), n AS (SELECT w, count(*) AS c FROM e WHERE NOT held_out GROUP BY w), v AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM n),
+s AS (SELECT k, count(*) AS n_tokens, count(c) AS n_known, sum(log10((coalesce(c, 0) + 1) / (n + v + 1))) AS base FROM e LEFT JOIN n USING (w) CROSS JOIN v GROUP BY k)
+SELECT doc_id, held_out, n_tokens, n_known, (SELECT n FROM v) AS train_tokens, round(base, 3) AS base_score FROM t JOIN s USING (k)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
     "op2_mixing": op2_mixing,
@@ -115,5 +144,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_hard_negatives": op11_hard_negatives,
     "op12_simhash": op12_simhash,
     "op13_whitening": op13_whitening,
+    "media_payload": media_payload,
+    "lm_base": lm_base,
 }
-ORACLES: dict[str, str] = {"op8_jaccard_join": near_dup.SQL, "op10_exact_dedup": exact_dedup.SQL, "op11_hard_negatives": hard_negatives.SQL}
+ORACLES: dict[str, str] = {"op8_jaccard_join": near_dup.SQL, "op10_exact_dedup": exact_dedup.SQL, "op11_hard_negatives": hard_negatives.SQL, "media_payload": MEDIA_SQL, "lm_base": LM_SQL}
