@@ -28,13 +28,19 @@ def hash_rank(df: DataFrame, order: Column, ties: Column, by: Column | None = No
     return ranked.withColumn(name, F.col("_before") + F.col("_within")).drop("_order", "_by", "_ties", "_piece", "_of", "_at", "_before", "_within")
 
 
-def running_sums(df: DataFrame, order: str, sums: Sequence[str], pieces: int = 64) -> DataFrame:
+#: Rows of a piece of running sums, about.
+PIECE_ROWS = 1 << 16
+
+
+def running_sums(df: DataFrame, order: str, sums: Sequence[str], pieces: int | None = None) -> DataFrame:
     """Rows of a table with different values of order (double, no nulls), descending, with for each column c of sums:
     c_sum over the rows so far, c_last that of the row before and c_next that of the row after (null at the ends).
 
-    Looks at the data for the pieces' edges.
+    Looks at the data for the number of rows and the pieces' edges, and reads it several times: it should be stored.
     """
-    edges = sorted(set(df.approxQuantile(order, [i / pieces for i in range(1, pieces)], 0.5 / pieces)), reverse=True)
+    if pieces is None:
+        pieces = max(1, -(-df.count() // PIECE_ROWS))
+    edges = sorted(set(df.approxQuantile(order, [i / pieces for i in range(1, pieces)], 0.5 / pieces)), reverse=True) if pieces > 1 else []
     piece = F.lit(0)
     if edges:
         piece = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e >= F.col(order)))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions.quantiles import quantiles
 from cairn.functions.ranks import running_sums
+from cairn.functions.stored import stored
 from cairn.operators.clean import quoted
 
 
@@ -21,8 +22,8 @@ def _by_score(df: DataFrame, score: str, positive: Column, at_most: bool) -> Dat
 
 
 def _running(df: DataFrame, score: str, positive: Column, at_most: bool) -> DataFrame:
-    """(s, tp, fp, pos, neg) with scores descending, and tp and fp of the score before (last) and after (next)."""
-    grouped = _by_score(df, score, positive, at_most)
+    """(s, tp, fp, pos, neg) with scores descending, and tp and fp of the score before (last) and after (next). The counts by score are stored."""
+    grouped = stored(_by_score(df, score, positive, at_most), "scores")
     total = F.broadcast(grouped.agg(F.sum("p").alias("pos"), F.sum("n").alias("neg")))
     sums = running_sums(grouped, "s", ["p", "n"])
     return sums.crossJoin(total).select("s", F.col("p_sum").alias("tp"), F.col("n_sum").alias("fp"), "pos", "neg", *[F.col(f"{a}_{x}").alias(f"{b}_{x}") for a, b in (("p", "tp"), ("n", "fp")) for x in ("last", "next")])
