@@ -108,8 +108,9 @@ class Best:
     held: list[np.ndarray] = field(default_factory=lambda: [np.zeros(0, dtype=np.int64)] * 4)
 
     def __post_init__(self) -> None:
-        #: Scores below it can't enter a slot any more.
+        #: Scores below it can't enter a slot any more, nor can equal ones of a larger id than last.
         self.bound = np.full(self.slots, _LOWEST, dtype=np.int64)
+        self.last = np.full(self.slots, _NO_ID, dtype=np.int64)
 
     def offer(self, slot: np.ndarray, score: np.ndarray, ids: np.ndarray, row: np.ndarray) -> None:
         slot, score, ids, row = (np.concatenate(c) for c in zip(self.held, (slot, score, ids, row)))
@@ -120,7 +121,7 @@ class Best:
         stay = rank < self.k
         self.held = [slot[stay], *(x[order][stay] for x in (score, ids, row))]
         full = rank[stay] == self.k - 1
-        self.bound[self.held[0][full]] = self.held[1][full]
+        self.bound[self.held[0][full]], self.last[self.held[0][full]] = self.held[1][full], self.held[2][full]
 
 
 FOUND = "anchor long, slot int, score long, vec_id long, row long"
@@ -152,6 +153,8 @@ def _reduced(k: int, same: bool):
                     slot = np.arange(len(row)) * windows + w
                     low, high = np.maximum(least[slot], best.bound[slot]), most[slot]
                     i, j = np.nonzero((tile >= low[:, None]) & (tile <= high[:, None]) & fits)
+                    may = (tile[i, j] > best.bound[slot[i]]) | (other_id[j] <= best.last[slot[i]])
+                    i, j = i[may], j[may]
                     if len(i):
                         best.offer(slot[i], tile[i, j], other_id[j], other_row[j])
             slot, score, ids, other = best.held
