@@ -666,7 +666,8 @@ DATA = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_equal_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     expected = con.execute(queries.ORACLES[name]).df()
     got = queries.QUERIES[name](spark, DATA).toPandas()[list(expected.columns)]
     key = list(expected.columns)
@@ -685,11 +686,34 @@ CONTRACTS = {
     "op7_quality": "doc_id bigint, expected_grade double, kept boolean",
     "op8_jaccard_join": "doc_id bigint, class_id bigint, copy_id bigint, n_copies bigint, n_links bigint, kept boolean",
     "op9_sentencepiece": "doc_id bigint",
+    "op12_simhash": "doc_id bigint, fingerprint string, component_id bigint",
 }
+#: Those of queries over embeddings.
+VECTOR_CONTRACTS = {
+    "op11_hard_negatives": "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint",
+    "op13_whitening": "vec_id bigint, component int, n bigint, deviation bigint, whitened double, explained double, identity_error double",
+}
+
+
+def test_every_operator_has_a_contract():
+    assert {n for n in queries.QUERIES if n.startswith("op")} == {*CONTRACTS, *VECTOR_CONTRACTS} and {n.split("_")[0] for n in (*CONTRACTS, *VECTOR_CONTRACTS)} == {f"op{i}" for i in range(1, 14)}
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables are absent")
+@pytest.mark.parametrize("name", sorted(VECTOR_CONTRACTS))
+def test_vector_contracts(spark, name):
+    out = queries.QUERIES[name](spark, DATA)
+    assert dict(x.split() for x in VECTOR_CONTRACTS[name].split(", ")).items() <= dict(out.dtypes).items()
+    rows, vectors = out.collect(), spark.read.parquet(f"{DATA}/embeddings.parquet").collect()
+    if name == "op13_whitening":
+        assert len(rows) == 32 * len(vectors) and {r["component"] for r in rows} == set(range(1, 33)) and rows[0]["identity_error"] <= 1e-4 and {r["n"] for r in rows} == {len(vectors)}
+    else:
+        anchors = {v["vec_id"] for v in vectors if v["vec_id"] % 50 == 0}
+        assert {r["anchor_id"] for r in rows} <= anchors and {r["rank"] for r in rows} == {1, 2, 3} and all(50 * r["positive_score"] <= 100 * r["negative_score"] <= 95 * r["positive_score"] for r in rows)
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables are absent")
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(CONTRACTS))
 def test_contracts(spark, name):
     out = queries.QUERIES[name](spark, DATA)
     assert dict(x.split() for x in CONTRACTS[name].split(", ")).items() <= dict(out.dtypes).items()
