@@ -34,7 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 @contextmanager
 def _clean_up(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of what runs here go when it ends: its result is stored, nothing reads them again."""
+    """Shuffle files of what runs here go when it ends: its result is stored, nothing reads them again. The setting is the session's, so queries that run beside it have it too."""
     conf, key = spark.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = conf.get(key)
     conf.set(key, "true")
@@ -60,19 +60,6 @@ def pin(df: DataFrame) -> DataFrame:
     return stash(df, "pinned")
 
 
-def unstash(df: DataFrame) -> None:
-    """Delete what stash wrote for df, when everything that reads it is done."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def join_sized(big: DataFrame, small: DataFrame, on: str, how: str, size: int, limit: int) -> DataFrame:
-    """big joined to small, which is broadcast if its size, as measured, is within the limit, and else meets big in a shuffle."""
-    return big.join(F.broadcast(small) if size <= limit else small.hint("shuffle_merge"), on, how)
-
-
 #: Bytes that a batch between the JVM and Python has, about.
 BATCH_BYTES = 8 << 20
 
