@@ -17,7 +17,7 @@ from cairn.functions.ranks import hash_rank
 from cairn.functions.stored import stored
 from cairn.operators import sample
 from cairn.operators.clean import quoted
-from cairn.operators.score import boosted_trees
+from cairn.operators.score import boosted_out_of_fold
 
 ROUNDS = 4
 
@@ -73,11 +73,12 @@ def permutation_importance(frame: DataFrame, columns: Sequence[str], outcome: st
     k = sample.fold_count(sample.class_counts(frame, outcome), folds)
     split = sample.folds(frame, outcome, k, id_column).persist()
     every = None
-    for i in range(k):
-        model = boosted_trees(split.where(F.col("fold") != i), columns, outcome, trees=trees, depth=depth, rate=0.1, subsample=1.0)
+    models, _ = boosted_out_of_fold(split, columns, outcome, [id_column], k, trees, depth, 0.1, 1.0)
+    for i, model in enumerate(models):
         test = split.where(F.col("fold") == i)
         long = shuffled(test, columns, id_column, repeats)
-        hits = model.transform(long).groupBy("feature").agg(F.avg((F.col("prediction") == quoted(outcome)).cast("int")).alias("accuracy"))
+        right = ((F.col("probability") > 0.5).cast("int") == quoted(outcome)).cast("int")
+        hits = model.probability(long, [outcome, "feature"]).groupBy("feature").agg(F.avg(right).alias("accuracy"))
         base = hits.where("feature is null").select(F.col("accuracy").alias("base"))
         drop = hits.where("feature is not null").crossJoin(F.broadcast(base)).select("feature", (F.col("base") - F.col("accuracy")).alias("drop"))
         every = drop if every is None else every.unionByName(drop)

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.operators import metrics, sample
+from cairn.operators import boost, metrics, sample
 from cairn.operators.clean import quoted
 from cairn.operators.features import vocabulary
 
@@ -207,22 +207,18 @@ def merge_exports(exports: Sequence[DataFrame], id_column: str, target: str) ->
     return met.select(*[quoted(c) for c in keys], *[F.col(f"_{i}")[c].alias(c) for i, e in enumerate(exports) for c in e.columns if c not in keys])
 
 
-def boosted_trees(frame: DataFrame, columns: Sequence[str], outcome: str, trees: int = 80, depth: int = 3, rate: float = 0.08, subsample: float = 0.8, seed: int = 42):
-    """A pipeline of features and gradient-boosted trees, fitted: text is one-hot, numbers (which have no nulls) are taken as they are."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+def boosted_trees(frame: DataFrame, columns: Sequence[str], outcome: str, trees: int = 80, depth: int = 3, rate: float = 0.08, subsample: float = 0.8, seed: int = 42) -> boost.Boosted:
+    """Boosted trees over text, one value against the rest, and numbers, whose nulls go to a learnt side; subsample: the share of rows and of features by tree."""
+    how = boost.Settings(trees, depth, rate, subsample, subsample, seed=seed)
+    return boost.fit(frame, columns, [boost.Model(outcome, settings=how)], frame.columns).models[0]
 
-    kinds = dict(frame.dtypes)
-    text = [c for c in columns if kinds[c] == "string"]
-    index = StringIndexer(inputCols=text, outputCols=[f"{c}__i" for c in text], handleInvalid="keep", stringOrderType="alphabetAsc")
-    hot = OneHotEncoder(inputCols=[f"{c}__i" for c in text], outputCols=[f"{c}__v" for c in text], dropLast=False)
-    assemble = VectorAssembler(inputCols=[f"{c}__v" if c in text else c for c in columns], outputCol="features")
-    trees_ = GBTClassifier(featuresCol="features", labelCol=outcome, maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=subsample, featureSubsetStrategy=str(subsample), seed=seed)
-    return Pipeline(stages=[*([index, hot] if text else []), assemble, trees_]).fit(frame)
 
+def boosted_out_of_fold(split: DataFrame, columns: Sequence[str], outcome: str, keep: Sequence[str], k: int, trees: int = 80, depth: int = 3, rate: float = 0.08, subsample: float = 0.8, seed: int = 42) -> tuple[list[boost.Boosted], DataFrame]:
+    """A model for each fold that it did not see, all grown in the same passes; and (keep, fold, probability) of each row by its fold's model. split has a column fold from 0 to k - 1."""
+    how = boost.Settings(trees, depth, rate, subsample, subsample, seed=seed)
+    fitted = boost.fit(split, columns, [boost.Model(outcome, i, how) for i in range(k)], [c for c in split.columns if c != "fold"], "fold", keep)
+    return fitted.models, fitted.out_of_fold()
 
-def tree_probability(model, frame: DataFrame, keep: Sequence[str]) -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
 
-    return model.transform(frame).select(*[quoted(c) for c in keep], vector_to_array("probability")[1].alias("probability"))
+def tree_probability(model: boost.Boosted, frame: DataFrame, keep: Sequence[str]) -> DataFrame:
+    return model.probability(frame, keep)

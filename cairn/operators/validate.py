@@ -12,33 +12,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.stored import stored
-from cairn.operators import metrics, sample
+from cairn.operators import boost, metrics, sample
 from cairn.operators.clean import quoted
 from cairn.operators.explain import shuffled
-from cairn.operators.score import boosted_trees, tree_probability
+from cairn.operators.score import boosted_out_of_fold, tree_probability
 
 
 def fold_auc(frame: DataFrame, columns: Sequence[str], outcome: str, id_column: str, folds: int = 10, trees: int = 60, depth: int = 4, rate: float = 0.1) -> DataFrame:
     """(fold, auc) of trees fitted on the other folds, which are equal in each class; fewer folds where a class is smaller."""
     k = sample.fold_count(sample.class_counts(frame, outcome), folds)
-    split = sample.folds(frame, outcome, k, id_column).persist()
-    found = []
-    for i in range(k):
-        model = boosted_trees(split.where(F.col("fold") != i), columns, outcome, trees=trees, depth=depth, rate=rate, subsample=1.0)
-        scored = tree_probability(model, split.where(F.col("fold") == i), [outcome])
-        found.append((i, metrics.auc(scored, "probability", quoted(outcome) == 1).first()["auc"]))
-    split.unpersist()
+    split = sample.folds(frame, outcome, k, id_column)
+    _, scored = boosted_out_of_fold(split, columns, outcome, [outcome], k, trees, depth, rate, 1.0)
+    found = [(i, metrics.auc(scored.where(F.col("fold") == i), "probability", quoted(outcome) == 1).first()["auc"]) for i in range(k)]
     return frame.sparkSession.createDataFrame(found, "fold int, auc double")
 
 
 def fit_labels(frame: DataFrame, columns: Sequence[str], labels: Sequence[str], trees: int = 100, depth: int = 5, rate: float = 0.1) -> dict:
-    """A model for each label. A label of one class has its share (0 or 1) for a model; one without rows has 0."""
+    """A model for each label, all grown in the same passes. A label of one class has its share (0 or 1) for a model; one without rows has 0."""
     # A row of counts.
     counts = frame.agg(*[f(quoted(c)).cast("long").alias(f"_{k}{i}") for i, c in enumerate(labels) for k, f in (("n", F.count), ("p", F.sum))]).first()
-    models = {}
-    for i, c in enumerate(labels):
-        n, p = counts[f"_n{i}"], counts[f"_p{i}"] or 0
-        models[c] = boosted_trees(frame.where(quoted(c).isNotNull()), columns, c, trees=trees, depth=depth, rate=rate, subsample=1.0) if 0 < p < n else float(p > 0)
+    both = [c for i, c in enumerate(labels) if 0 < (counts[f"_p{i}"] or 0) < counts[f"_n{i}"]]
+    models: dict = {c: float((counts[f"_p{i}"] or 0) > 0) for i, c in enumerate(labels)}
+    if both:
+        how = boost.Settings(trees, depth, rate, 1.0, 1.0)
+        models.update(zip(both, boost.fit(frame, columns, [boost.Model(c, settings=how) for c in both], columns).models))
     return models
 
 
@@ -85,16 +82,18 @@ def label_auc(long: DataFrame, labels: Sequence[str]) -> DataFrame:
 def grid_search(frame: DataFrame, columns: Sequence[str], labels: Sequence[str], id_column: str, trees: Sequence[int] = (50, 100, 200), depths: Sequence[int] = (5, 9, 13), rates: Sequence[float] = (0.01, 0.05, 0.1), folds: int = 3) -> DataFrame:
     """(trees, depth, rate, f1): the mean over folds of the F1 of all labels together, the best first (of equals the fewer and shallower trees)."""
     k = sample.fold_count({"all": frame.count()}, folds)
-    split = sample.folds(frame.withColumn("_all", F.lit(0)), "_all", k, id_column).drop("_all").persist()
+    split = sample.folds(frame.withColumn("_all", F.lit(0)), "_all", k, id_column).drop("_all")
+    # Shorter models are the first trees of the longest, so one model serves all numbers of trees.
+    cells = list(product(depths, rates, range(k), labels))
+    models = [boost.Model(label, i, boost.Settings(max(trees), depth, rate, 1.0, 1.0)) for depth, rate, i, label in cells]
+    fitted = boost.fit(split, columns, models, [id_column], "fold", [id_column], snapshots=trees)
+    of = F.create_map(*[F.lit(x) for m, c in enumerate(cells) for x in (m, cells.index((c[0], c[1], c[2], labels[0])))])
     found = []
-    for n, depth, rate in product(trees, depths, rates):
-        scores = []
-        for i in range(k):
-            models = fit_labels(split.where(F.col("fold") != i), columns, labels, n, depth, rate)
-            long = label_probabilities(models, split.where(F.col("fold") == i), id_column)
-            scores.append(float(_counts(long, [], 0.5).select(_f1().alias("f1")).first()["f1"]))
-        found.append((n, depth, float(rate), sum(scores) / k))
-    split.unpersist()
+    for n in sorted(set(trees)):
+        long = fitted.probabilities(n).where("left_out")
+        # A row for each depth, rate and fold.
+        f1 = {r["cell"]: r["f1"] for r in _counts(long.withColumn("cell", of[F.col("model")]), [F.col("cell")], 0.5).select("cell", _f1().alias("f1")).collect()}
+        found += [(n, depth, float(rate), sum(f1.get(cells.index((depth, rate, i, labels[0])), 0.0) for i in range(k)) / k) for depth, rate in product(depths, rates)]
     found.sort(key=lambda r: (-r[3], r[0], r[1], r[2]))
     return frame.sparkSession.createDataFrame(found, "trees int, depth int, rate double, f1 double")
 

@@ -190,12 +190,13 @@ def _benchmarks(frame: DataFrame, made: features.Frame, id_column: str, o: Simpl
     split = sample.folds(frame, "y", k, id_column).persist()
     out: dict[str, DataFrame] = {}
     for name in ("logistic", "xgboost") if o.score_benchmark_model == "both" else (o.score_benchmark_model,):
+        if name == "xgboost":
+            _, scored = score.boosted_out_of_fold(split, made.columns, "y", [id_column, "y"], k, o.score_xgboost_estimators)
+            out[name] = scored.drop("fold")
+            continue
         for i in range(k):
             train, test = split.where(F.col("fold") != i), split.where(F.col("fold") == i)
-            if name == "logistic":
-                part = score.fit_logistic(train, made.columns, "y").probability(test, [id_column, "y"])
-            else:
-                part = score.tree_probability(score.boosted_trees(train, made.columns, "y", o.score_xgboost_estimators), test, [id_column, "y"])
+            part = score.fit_logistic(train, made.columns, "y").probability(test, [id_column, "y"])
             out[name] = part if name not in out else out[name].unionByName(part)
         out[name] = out[name].persist()
     return out
