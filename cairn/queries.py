@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions.stored import stored
-from cairn.operators import assoc, clean, cluster, curate, explain, features, layout, metrics, patterns, profile, rules, sample, score, screening, validate
+from cairn.operators import assoc, boost, clean, cluster, curate, explain, features, layout, metrics, patterns, profile, rules, sample, score, screening, validate
 from cairn.operators.curate import SpecRow
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -713,6 +713,50 @@ def label_auc(spark, d):
     return validate.label_auc(_label_scores(spark, d), ["good", "toxic"]).select("label", F.round("auc", 9).alias("auc"))
 
 
+_STUMP_ROWS = f"""{DOCS}, rows AS (SELECT label, y, lang, source, size FROM (SELECT lang, source, CASE WHEN n_chars >= 300 THEN least(n_chars // 300, 40) END AS size,
+  CASE target WHEN 'positive' THEN 1 WHEN 'negative' THEN 0 END AS good, toxic::INT AS toxic FROM docs) UNPIVOT (y FOR label IN (good, toxic)))"""
+#: The best first split of each label by gain over all values and cuts (null on either side), and the probability that its leaf gives each row.
+_STUMP = f"""{_STUMP_ROWS}, t AS (SELECT label, count(*) AS n, sum(y) AS pos, avg(y) AS p FROM rows GROUP BY label),
+v AS (SELECT label, 0 AS col, lang AS v, NULL AS cut, false AS side, count(*) AS nl, sum(y) AS pl FROM rows GROUP BY ALL UNION ALL SELECT label, 1, source, NULL, false, count(*), sum(y) FROM rows GROUP BY ALL),
+cuts AS (SELECT DISTINCT size AS cut FROM rows WHERE size IS NOT NULL),
+m AS (SELECT label, 2 AS col, NULL AS v, cut, side, count(*) AS nl, sum(y) AS pl FROM rows, cuts, (SELECT unnest([false, true]) AS side) WHERE size <= cut OR side AND size IS NULL GROUP BY ALL),
+g AS (SELECT x.*, n, pos, p, ln(p / (1 - p)) AS start, p * (1 - p) AS w, nl * p - pl AS gl, (n - nl) * p - (pos - pl) AS gr FROM (SELECT * FROM v UNION ALL SELECT * FROM m) x JOIN t USING (label)),
+b AS (SELECT *, (gl * gl / (nl * w + 1) + gr * gr / ((n - nl) * w + 1)) / 2 AS gain FROM g WHERE nl < n AND nl * w >= 1 AND (n - nl) * w >= 1),
+best AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY label ORDER BY round(gain, 7) DESC, col, cut, v NULLS LAST, side) = 1),
+stump AS (SELECT r.label, r.y, 1 / (1 + exp(gl / (nl * w + 1) - start)) AS yes, 1 / (1 + exp(gr / ((n - nl) * w + 1) - start)) AS no,
+  CASE col WHEN 0 THEN r.lang IS NOT DISTINCT FROM v WHEN 1 THEN r.source IS NOT DISTINCT FROM v ELSE coalesce(size <= cut, side) END AS l FROM rows r JOIN best USING (label))"""
+
+
+def _stumps(spark, d):
+    """(label, y, probability) of trees of one split for two labels, one fit for both, on texts and on a number with nulls."""
+    rows = docs(spark, d).select("doc_id", "lang", "source", F.when(F.col("n_chars") >= 300, F.least(F.floor(F.col("n_chars") / 300), F.lit(40))).alias("size"), F.when(F.col("target").isNotNull(), (F.col("target") == "positive").cast("int")).alias("good"), F.col("toxic").cast("int").alias("toxic"))
+    how = boost.Settings(trees=1, depth=1, rate=1.0, subsample=1.0, columns=1.0)
+    labels = ["good", "toxic"]
+    found = boost.fit(rows, ["lang", "source", "size"], [boost.Model(c, settings=how) for c in labels], ["doc_id"]).probabilities()
+    return found.where("y is not null").select(F.get(F.array(*map(F.lit, labels)), F.col("model")).alias("label"), "y", "probability")
+
+
+@query(f"WITH {_STUMP} SELECT label, round(CASE WHEN l THEN yes ELSE no END, 5) AS probability, count(*) AS n, sum(y)::BIGINT AS positives FROM stump GROUP BY ALL")
+def boosted_split(spark, d):
+    """What the best first split makes of all rows: its leaves, their probabilities and rows."""
+    return _stumps(spark, d).groupBy("label", F.round("probability", 5).alias("probability")).agg(F.count(F.lit(1)).alias("n"), F.sum("y").cast("long").alias("positives"))
+
+
+@query(f"""WITH {_STUMP}, c AS (SELECT coalesce(label, 'micro') AS label, count(*) FILTER (y = 1 AND hit) AS tp, count(*) FILTER (y = 0 AND hit) AS fp, count(*) FILTER (y = 1 AND NOT hit) AS fn FROM (SELECT *, CASE WHEN l THEN yes ELSE no END >= 0.5 AS hit FROM stump) GROUP BY GROUPING SETS ((label), ()))
+SELECT label, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS recall, CASE WHEN tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1, (tp + fn)::BIGINT AS support FROM c""")
+def boosted_label_report(spark, d):
+    """The report of fitted trees: precision and recall by label, and of all labels together."""
+    return validate.label_report(_stumps(spark, d))
+
+
+@query()
+def boosted_out_of_fold(spark, d):
+    """Probabilities of trees for documents of the folds that they did not see, all folds grown in the same passes."""
+    train = screening.binary(docs(spark, d), "target", "positive", "negative")
+    k = sample.fold_count(sample.class_counts(train, "y"), 3)
+    return score.boosted_out_of_fold(sample.folds(train, "y", k, "doc_id").select("doc_id", "lang", "source", "n_chars", "y", "fold"), ["lang", "source", "n_chars"], "y", ["doc_id", "y"], k, trees=10)[1]
+
+
 # --- clustering -------------------------------------------------------------------------------------------------------
 
 
