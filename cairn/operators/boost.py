@@ -104,14 +104,12 @@ def learn_bins(df: DataFrame, columns: Sequence[str], bins: int = 256) -> Bins:
     real = {c: F.when(~F.isnan(quoted(c).cast("double")), quoted(c).cast("double")) for c in columns if c not in text}
     cuts: dict[str, tuple[float, ...]] = {}
     if real:
-        found = quantiles(df, real, [i / bins for i in range(bins + 1)])
-        few = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), v.alias("v")) for c, v in real.items()])).alias("x")).select("x.*").where("v is not null")
+        found = quantiles(df, real, [i / bins for i in range(bins + 1)], different=bins + 1)
         ends = {c: found[None, c].at for c in real}
-        narrow = [c for c in real if ends[c][0.0] is not None]
-        # Values themselves return only of columns that have about bins of them at most.
-        several = few.where(F.col("c").isin(narrow)).groupBy("c").agg(F.approx_count_distinct("v", 0.02).alias("n")).collect() if narrow else []
-        small = [r["c"] for r in several if r["n"] <= bins]
-        exact = {r["c"]: r["v"] for r in few.where(F.col("c").isin(small)).distinct().groupBy("c").agg(F.sort_array(F.collect_list("v")).alias("v")).collect()} if small else {}
+        # At most bins values of a column return: of those that have no more.
+        small = [c for c in real if 0 < found[None, c].different <= bins]
+        pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), real[c].alias("v")) for c in small])) if small else None
+        exact = {r["c"]: r["v"] for r in df.select(pairs.alias("x")).select("x.*").where("v is not null").groupBy("c").agg(F.sort_array(F.collect_set("v")).alias("v")).collect()} if small else {}
         for c in real:
             each = exact.get(c) or sorted({v for v in ends[c].values() if v is not None})
             cuts[c] = tuple(float(v) for v in each[:-1])
@@ -270,6 +268,10 @@ def _best(sums: np.ndarray, text: bool, allowed: np.ndarray, s: Settings) -> tup
     return float(gain[side, at]), at, null_left, *(int(x) for x in chosen), *total
 
 
+def _record(slots: list[int], cols: list[int], raw: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(cols, pa.int32()), pa.array(raw, pa.binary())], names=["slot", "col", "sums"])
+
+
 def _level(table: DataFrame, models: Mapping[int, _Growing], nodes: Mapping[int, Sequence[int]], labels: Sequence[str], bins: Bins) -> list:
     """The best split of each node by partition (_BEST rows)."""
     sizes, text, width = np.array(bins.sizes), np.array(bins.text), len(bins.columns)
@@ -307,12 +309,20 @@ def _level(table: DataFrame, models: Mapping[int, _Growing], nodes: Mapping[int,
                         index = slot * (sizes[c] + 1) + mine[:, c]
                         for k, w in enumerate(each):
                             sums[c][:, k] += np.bincount(index, weights=w, minlength=len(wanted) * (sizes[c] + 1)).astype(np.int64).reshape(len(wanted), -1)
+        slots, cols, raw, size = [], [], [], 0
         for m, sums in held.items():
             for c, found in enumerate(sums):
                 if found is not None:
-                    some = [i for i in range(len(found)) if found[i, 2].any()]
-                    slots = [(m << 32) | nodes[m][i] for i in some]
-                    yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array([c] * len(some), pa.int32()), pa.array([found[i].tobytes() for i in some], pa.binary())], names=["slot", "col", "sums"])
+                    for i in np.flatnonzero(found[:, 2].any(axis=1)).tolist():
+                        slots.append((m << 32) | nodes[m][i])
+                        cols.append(c)
+                        raw.append(found[i].tobytes())
+                        size += len(raw[-1])
+                if size > 4 << 20:
+                    yield _record(slots, cols, raw)
+                    slots, cols, raw, size = [], [], [], 0
+        if slots:
+            yield _record(slots, cols, raw)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], np.ndarray] = {}
