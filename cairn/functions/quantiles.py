@@ -176,4 +176,7 @@ def quantiles(df: DataFrame, columns: Mapping[str, Column], probs: Sequence[floa
 def _between(value: Mapping[int, float], place: float) -> float:
     low, high = math.floor(place), math.ceil(place)
     a, b = value[low], value[high]
-    return a if low == high or a == b else (high - place) * a + (place - low) * b
+    if low == high or a == b:
+        return a
+    # Rounded once less, as DuckDB does it: its labels of bins show the last digits.
+    return math.fma(a, high - place, (place - low) * b) if math.isfinite(a) and math.isfinite(b) else (high - place) * a + (place - low) * b

@@ -6,10 +6,12 @@ import json
 import zipfile
 from collections import Counter
 
+import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.functions import ranks
+from cairn.functions import quantiles, ranks
 from cairn.operators import assoc, clean, cluster, curate, features, metrics, patterns, profile, rules, sample, score, screening
 from cairn.operators.curate import SpecRow
 from cairn.plans.checkpoint import Store, fingerprint
@@ -188,6 +190,18 @@ def test_itemsets_agree_and_rules_hold(spark):
         patterns.top_rules(found, "zhang", 3)
 
 
+def test_bin_labels_are_those_of_sql():
+    """Quantiles between cents end in 25 or 75: their third digit is a tie, which SQL rounds up."""
+    con = duckdb.connect()
+    r = np.random.default_rng(4)
+    for n in [6, 7, 8, 50] * 40:
+        v = sorted(set(np.round(r.uniform(-1, 1, n) * r.choice([1, 100, 9999, 300_000]), 2).tolist()))
+        p, wanted = con.execute("""WITH e AS (SELECT quantile_cont(x, [0, 0.25, 0.5, 0.75, 1]) AS p FROM (SELECT unnest(?::DOUBLE[]) AS x)), s AS (SELECT p, list_transform(p, lambda x: round(x, 3)) AS s FROM e)
+            SELECT p, ['(' || round(s[1] - 0.001, 3) || ', ' || s[2] || ']', '(' || s[2] || ', ' || s[3] || ']', '(' || s[3] || ', ' || s[4] || ']', '(' || s[4] || ', ' || s[5] || ']'] FROM s""", [v]).fetchone()
+        edges = [quantiles._between(dict(enumerate(v)), q * (len(v) - 1)) for q in (0, 0.25, 0.5, 0.75, 1)]
+        assert edges == p and features.bin_labels(edges) == wanted
+
+
 def test_quantile_bins(spark):
     df = spark.createDataFrame([(float(i),) for i in range(1, 11)] + [(None,)], "v double")
     edges = features.quantile_edges(df, "v", 4).first()[0]
