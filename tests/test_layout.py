@@ -25,6 +25,21 @@ def test_neighbours_are_the_nearest(spark, monkeypatch, metric):
         assert np.allclose([f for f, _ in got[i]], np.sort(d[i])[:8]) and all(np.isclose(d[i, j], f) for f, j in got[i]) and len({j for _, j in got[i]}) == 8
 
 
+def test_the_table_is_not_sent_to_every_group(spark, monkeypatch):
+    """Blocks meet where they are stored; met in several parts, or with many copies, the nearest are the same."""
+    x = np.concatenate([np.random.default_rng(4).normal(size=(900, 3)), np.ones((200, 3)), np.zeros((5, 3))])
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "c long, x array<double>")
+    d = layout.distances(x, x, "euclidean")
+    np.fill_diagonal(d, np.inf)
+    for part in (64 << 20, 10_000):
+        monkeypatch.setattr("cairn.functions.blocks.PART", part)
+        found = layout.neighbours(points, 4, "euclidean", len(x))
+        if part > 10_000:
+            assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+        got = {r["c"]: (sorted(r["far"]), set(r["near"])) for r in found.collect()}
+        assert len(got) == len(x) and all(np.allclose(got[i][0], np.sort(d[i])[:4], atol=1e-7) and len(got[i][1] - {i}) == 4 for i in range(len(x)))
+
+
 def test_weights_add_up():
     far = np.sort(np.random.default_rng(1).random((40, 15)), axis=1)
     w = layout.weights(far)
