@@ -9,8 +9,8 @@ rest is linked on the driver.
 Equal vectors are one cluster to begin with. Ties go to the pair with the least numbers, which are drawn by hash, so that
 rows in an order (a grid, say) don't merge one pair a round.
 
-Looking for neighbours compares each asking cluster with all others: groups of GROUP asking clusters are tasks, through
-which the table of clusters runs in batches. That is the cost of exact linkage, n * n * columns over two rounds' worth.
+Looking for neighbours compares each asking cluster with all others: blocks of clusters meet where they are stored
+(blocks.py), nothing is sent to every group. That is the cost of exact linkage, n * n * columns over two rounds' worth.
 """
 
 from __future__ import annotations
@@ -22,53 +22,86 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.functions.blocks import met, packed, pairs, slack, squares
 from cairn.functions.stored import stored
 
-#: Clusters that the driver links, asking clusters of a task, and both sides of a matrix of distances.
-FINISH, GROUP, ASKED, MET = 256, 1 << 15, 512, 4096
+#: Clusters that the driver links, and both sides of a matrix of distances.
+FINISH, ASKED, MET = 256, 512, 4096
 #: Distances that differ by a smaller share are ties.
 SAME = 1e-7
 
 
-def _nearest(batches: Iterator[pa.RecordBatch], ward: bool) -> Iterator[pa.RecordBatch]:
-    """(c, nn, d) of (grp, kind, c, s, x): the nearest of the clusters of kind 1 to each of kind 0; a group's asking clusters come first."""
-    asked: list = []
-    best = None
+def _closer(own: tuple, other: tuple, best: list[np.ndarray], ward: bool) -> None:
+    """Keep in best (distance, smaller number, larger number) the nearest of the clusters own = (c, s, x) among the others.
+
+    Ward distances are 2 / (1 / s + 1 / s2) times the squares of those of centres. Whether one may be less than the best so
+    far is told by one product; the few that may are taken by differences.
+    """
+    (c, s, x), (c2, s2, y) = own, other
+    for m in range(0, len(c2), MET):
+        part, over = y[m : m + MET], 1 / s2[m : m + MET]
+        y2 = (part * part).sum(1)
+        factors = np.column_stack([-2 * part, y2, over]).T if ward else part.T
+        for a in range(0, len(c), ASKED):
+            mine, low = x[a : a + ASKED], best[0][a : a + ASKED].copy()
+            half = 1 / s[a : a + ASKED]
+            new = np.flatnonzero(np.isinf(low))
+            if len(new):
+                # The least in this matrix, itself left out: a bound to begin with.
+                d = mine[new] @ part.T
+                if ward:
+                    d = np.maximum((mine[new] ** 2).sum(1)[:, None] + y2 - 2 * d, 0) * 2 / (half[new][:, None] + over)
+                else:
+                    d = 1 - d
+                d[c[a + new][:, None] == c2[m : m + MET]] = np.inf
+                low[new] = d.min(1)
+            low += np.abs(low) * 2 * SAME + 1e-300
+            # All may be nearer than nothing, as where a cluster is alone in the matrix.
+            low[np.isinf(low)] = 1e300
+            if ward:
+                x2 = (mine * mine).sum(1)
+                d = np.column_stack([mine, np.ones(len(mine)), -low / 2]) @ factors
+                i, j = np.nonzero(d <= (low / 2 * half - x2 + 2 * slack(x2, y2, x.shape[1]))[:, None])
+            else:
+                i, j = np.nonzero(1 - mine @ factors <= (low + 1e-15 * (x.shape[1] + 8))[:, None])
+            some = c[a + i] != c2[m + j]
+            i, j = i[some], j[some]
+            if not len(i):
+                continue
+            if ward:
+                d = squares(mine, part, i, j) * 2 / (half[i] + over[j])
+            else:
+                d = 1 - np.concatenate([(mine[i[k : k + 8192]] * part[j[k : k + 8192]]).sum(1) for k in range(0, len(i), 8192)])
+            rows = np.unique(i)
+            old = a + rows[best[0][a + rows] < np.inf]
+            i = np.concatenate([a + i, old])
+            low_, high = (np.concatenate([f(c[i[: len(d)]], c2[m + j]), b[old]]) for f, b in ((np.minimum, best[1]), (np.maximum, best[2])))
+            d = np.concatenate([d, best[0][old]])
+            least = np.full(len(c), np.inf)
+            np.minimum.at(least, i, d)
+            tied = np.flatnonzero(d <= least[i] + np.abs(least[i]) * SAME + 1e-300)
+            order = tied[np.lexsort((high[tied], low_[tied], i[tied]))]
+            _, first = np.unique(i[order], return_index=True)
+            kept = order[first]
+            for b, v in zip(best, (d, low_, high)):
+                b[i[kept]] = v[kept]
 
-    def parts(batch):
-        x = batch.column(4)
-        return batch.column(2).to_numpy(), batch.column(3).to_numpy(), x.flatten().to_numpy().reshape(len(x), -1) if len(x) else np.zeros((0, 0))
+
+def _nearest(batches: Iterator[pa.RecordBatch], ward: bool) -> Iterator[pa.RecordBatch]:
+    """(c, a, b, d) of pairs of blocks: of each asking cluster the nearest pair a < b among those it met."""
+    c, best = np.zeros(0, dtype=np.int64), [np.zeros(0), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)]
 
     def flush():
-        nonlocal best
-        if best is not None:
-            some = best[0] < np.inf
-            yield pa.RecordBatch.from_arrays([pa.array(asked[0][0][some]), pa.array(np.where(best[1] == asked[0][0], best[2], best[1])[some]), pa.array(best[0][some])], names=["c", "nn", "d"])
-        asked.clear()
-        best = None
-
-    now = None
-    for whole in batches:
-        groups, kinds = whole.column(0).to_numpy(), whole.column(1).to_numpy()
-        cuts = [0, *(np.flatnonzero((groups[1:] != groups[:-1]) | (kinds[1:] != kinds[:-1])) + 1).tolist(), len(groups)]
-        for i, j in zip(cuts, cuts[1:]):
-            if i == j:
-                continue
-            if groups[i] != now:
-                yield from flush()
-                now = groups[i]
-            part = parts(whole.slice(i, j - i))
-            if kinds[i] == 0:
-                asked.append(part)
-                continue
-            if not asked:
-                continue
-            if best is None:
-                asked[:] = [tuple(np.concatenate(c) for c in zip(*asked))]
-                n = len(asked[0][0])
-                best = [np.full(n, np.inf), np.full(n, 1 << 62), np.full(n, 1 << 62)]
-            for k in range(0, len(part[0]), MET):
-                _meet(*asked[0], *(p[k : k + MET] for p in part), best, ward)
+        some = best[0] < np.inf
+        if some.any():
+            yield pa.RecordBatch.from_arrays([pa.array(c[some]), pa.array(best[1][some]), pa.array(best[2][some]), pa.array(best[0][some])], names=["c", "a", "b", "d"])
+
+    for own, other, new in pairs(batches):
+        if new:
+            yield from flush()
+            c = own[0]
+            best = [np.full(len(c), np.inf), np.full(len(c), 1 << 62), np.full(len(c), 1 << 62)]
+        _closer(own, other, best, ward)
     yield from flush()
 
 
@@ -110,13 +143,16 @@ def _meet(c: np.ndarray, s: np.ndarray, x: np.ndarray, c2: np.ndarray, s2: np.nd
 
 
 def nearest(asking: DataFrame, clusters: DataFrame, most: int, ward: bool) -> DataFrame:
-    """(c, nn, d): the nearest of the clusters (c, s, x) to each of those that ask, which are most at most."""
-    parts = int(clusters.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    groups = max(1, min(parts, -(-most // ASKED)), -(-most // GROUP))
-    ask = asking.select(F.pmod(F.xxhash64("c"), F.lit(groups)).cast("int").alias("grp"), F.lit(0).alias("kind"), "c", "s", "x")
-    met = clusters.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"), F.lit(1).alias("kind"), "c", "s", "x")
-    both = ask.unionByName(met).repartitionById(groups, F.col("grp")).sortWithinPartitions("grp", "kind")
-    return both.mapInArrow(lambda batches: _nearest(batches, ward), "c long, nn long, d double")
+    """(c, nn, d): the nearest of the clusters (c, s, x), which are most, to each of those that ask."""
+    width = clusters.select(F.size("x").alias("w")).limit(1).collect()
+    both, parts = met(packed(asking, most, "asking"), packed(clusters, most), most, width[0]["w"] if width else 0)
+    found = both.mapInArrow(lambda batches: _nearest(batches, ward), "c long, a long, b long, d double")
+    if parts > 1:
+        # One from each part; the pair of the least numbers among those that are tied.
+        each = found.groupBy("c").agg(F.collect_list(F.struct("a", "b", "d")).alias("l"), F.min("d").alias("d"))
+        tied = F.filter("l", lambda v: v["d"] <= F.col("d") + F.abs("d") * SAME + 1e-300)
+        found = each.select("c", F.array_min(tied).alias("p")).select("c", "p.a", "p.b", "p.d")
+    return found.select("c", F.when(F.col("a") == F.col("c"), F.col("b")).otherwise(F.col("a")).alias("nn"), "d")
 
 
 def _height(ward: bool) -> Column:

@@ -25,6 +25,22 @@ def test_rounds_equal_linkage_of_the_matrix(spark, metric):
     assert len(got) == 1999 and len({c for c, _, _ in got}) == 1999
 
 
+@pytest.mark.parametrize("part", [64 << 20, 20_000])
+def test_nearest_clusters_of_any_weight(spark, monkeypatch, part):
+    """Blocks meet where they are stored, in one part or several: the table isn't sent to every group."""
+    monkeypatch.setattr("cairn.functions.blocks.PART", part)
+    r = np.random.default_rng(7)
+    x, s = r.normal(size=(700, 4)), r.integers(1, 400, 700).astype(float)
+    clusters = spark.createDataFrame([(i, float(s[i]), v.tolist()) for i, v in enumerate(x)], "c long, s double, x array<double>")
+    found = linkage.nearest(clusters.where("c % 3 = 0"), clusters, 700, True)
+    if part > 20_000:
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(-1) * 2 * s[:, None] * s / (s[:, None] + s)
+    np.fill_diagonal(d, np.inf)
+    got = {row["c"]: (row["nn"], row["d"]) for row in found.collect()}
+    assert set(got) == set(range(0, 700, 3)) and all(n == d[i].argmin() and np.isclose(v, d[i].min()) for i, (n, v) in got.items())
+
+
 def test_ties_and_copies(spark):
     """A grid, whose distances are all alike, and rows that are the same many times over."""
     grid = [(a, b) for a in range(12) for b in range(12)]
