@@ -40,8 +40,8 @@ ENOUGH = 64
 CHUNK = 16_384
 
 
-def frequent_itemsets(df: DataFrame, min_support: float, max_size: int, column: str = "items", block: int | None = None) -> DataFrame:
-    """(itemset, size, n, support) of itemsets of up to max_size items in at least min_support of the rows.
+def frequent_itemsets(df: DataFrame, min_support: float, max_size: int | None, column: str = "items", block: int | None = None) -> DataFrame:
+    """(itemset, size, n, support) of itemsets of up to max_size items (None: of any size) in at least min_support of the rows.
 
     Two passes over blocks of different baskets, which hashes deal out evenly. A set that is frequent in all rows is so in
     a block at least: first each block is mined at the same relative support, then the union of what was found is counted
@@ -59,6 +59,7 @@ def frequent_itemsets(df: DataFrame, min_support: float, max_size: int, column:
     frequent = singles.where(F.col("n") >= least).orderBy("item").collect()
     if not frequent:
         return spark.createDataFrame([], nothing)
+    max_size = len(frequent) if max_size is None else max_size
     known = F.array(*[F.lit(r["item"]) for r in frequent])
     out = spark.createDataFrame([([r["item"]], r["n"]) for r in frequent], "itemset array<string>, n long")
     if max_size > 1 and len(frequent) > 1:
@@ -105,11 +106,11 @@ def _sets(short: DataFrame, rows: int, min_support: float, max_size: int, block:
 
 
 def unbounded_itemsets(df: DataFrame, min_support: float, column: str = "items") -> DataFrame:
-    """(itemset, n) without a limit on size, by FP-growth: for short baskets."""
-    from pyspark.ml.fpm import FPGrowth
+    """(itemset, n) without a limit on size: for short baskets. Empty baskets are no rows.
 
-    model = FPGrowth(itemsCol=column, minSupport=min_support, minConfidence=0.0).fit(df.where(F.size(column) > 0))
-    return model.freqItemsets.select(F.array_sort("items").alias("itemset"), F.col("freq").alias("n"))
+    Equal baskets are summed where they are read, so what is kept and mined grows with the different ones.
+    """
+    return frequent_itemsets(df.where(F.size(quoted(column)) > 0), min_support, None, column).select("itemset", "n")
 
 
 def _splits(itemset: Column) -> Column:

@@ -70,3 +70,11 @@ def test_wide_table(spark):
     df = patterns.sparse_items(rows, rows.columns, absent="n")
     n = {r["size"]: r["n"] for r in patterns.frequent_itemsets(df, 0.6, 9, block=4000).groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert [n[k] for k in range(1, 10)] == [9, 36, 84, 126, 126, 84, 36, 9, 1]
+
+
+def test_sets_of_any_size_of_equal_baskets(spark):
+    """Equal baskets are summed before anything is kept: what is mined doesn't grow with their copies; an item counts once."""
+    baskets = draw(8, 300, 5, 2) * 4 + [[], ["x", "x", "c0:0"]] * 150
+    df = spark.createDataFrame([(b,) for b in baskets], "`the items` array<string>")
+    got = {tuple(r["itemset"]): r["n"] for r in patterns.unbounded_itemsets(df, 0.02, "the items").collect()}
+    assert got == expected([b for b in baskets if b], 0.02, 5) and max(map(len, got)) == 5
