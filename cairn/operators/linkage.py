@@ -89,21 +89,17 @@ def _closer(own: tuple, other: tuple, best: list[np.ndarray], ward: bool) -> Non
 
 def _nearest(batches: Iterator[pa.RecordBatch], ward: bool) -> Iterator[pa.RecordBatch]:
     """(c, a, b, d) of pairs of blocks: of each asking cluster the nearest pair a < b among those it met."""
-    c, best = np.zeros(0, dtype=np.int64), [np.zeros(0), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)]
-
-    def flush():
+    held: list[tuple[np.ndarray, list[np.ndarray]]] = []
+    for i, own, other in pairs(batches):
+        if i == len(held):
+            n = len(own[0])
+            held.append((own[0].copy(), [np.full(n, np.inf), np.full(n, 1 << 62), np.full(n, 1 << 62)]))
+        _closer(own, other, held[i][1], ward)
+    for c, best in held:
         some = best[0] < np.inf
         if some.any():
             yield pa.RecordBatch.from_arrays([pa.array(c[some]), pa.array(best[1][some]), pa.array(best[2][some]), pa.array(best[0][some])], names=["c", "a", "b", "d"])
 
-    for own, other, new in pairs(batches):
-        if new:
-            yield from flush()
-            c = own[0]
-            best = [np.full(len(c), np.inf), np.full(len(c), 1 << 62), np.full(len(c), 1 << 62)]
-        _closer(own, other, best, ward)
-    yield from flush()
-
 
 def _meet(c: np.ndarray, s: np.ndarray, x: np.ndarray, c2: np.ndarray, s2: np.ndarray, y: np.ndarray, best: list[np.ndarray], ward: bool) -> None:
     """Keep in best (distance, smaller number, larger number) the nearest pair of each of c, seen c2."""
@@ -145,13 +141,9 @@ def _meet(c: np.ndarray, s: np.ndarray, x: np.ndarray, c2: np.ndarray, s2: np.nd
 def nearest(asking: DataFrame, clusters: DataFrame, most: int, ward: bool) -> DataFrame:
     """(c, nn, d): the nearest of the clusters (c, s, x), which are most, to each of those that ask."""
     width = clusters.select(F.size("x").alias("w")).limit(1).collect()
-    both, parts = met(packed(asking, most, "asking"), packed(clusters, most), most, width[0]["w"] if width else 0)
+    wide = width[0]["w"] if width else 0
+    both = met(packed(asking, most, wide, "asking"), packed(clusters, most, wide))
     found = both.mapInArrow(lambda batches: _nearest(batches, ward), "c long, a long, b long, d double")
-    if parts > 1:
-        # One from each part; the pair of the least numbers among those that are tied.
-        each = found.groupBy("c").agg(F.collect_list(F.struct("a", "b", "d")).alias("l"), F.min("d").alias("d"))
-        tied = F.filter("l", lambda v: v["d"] <= F.col("d") + F.abs("d") * SAME + 1e-300)
-        found = each.select("c", F.array_min(tied).alias("p")).select("c", "p.a", "p.b", "p.d")
     return found.select("c", F.when(F.col("a") == F.col("c"), F.col("b")).otherwise(F.col("a")).alias("nn"), "d")
 
 

@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from cairn.operators import cluster, layout
+from cairn.operators import cluster, layout, linkage
 
 
 def frame(spark, x):
@@ -40,6 +41,23 @@ def test_the_table_is_not_sent_to_every_group(spark, monkeypatch):
         assert len(got) == len(x) and all(np.allclose(got[i][0], np.sort(d[i])[:4], atol=1e-7) and len(got[i][1] - {i}) == 4 for i in range(len(x)))
 
 
+def test_what_is_found_is_not_sent(spark, monkeypatch):
+    """A row meets all others in one task, however many files of blocks there are; pairs and the strongest are told in one shuffle."""
+    monkeypatch.setattr("cairn.functions.blocks.PART", 10_000)
+    points = spark.createDataFrame([(i, [float(i % 37), float(i)]) for i in range(1500)], "c long, x array<double>")
+    near = layout.neighbours(points, 4, "euclidean", 1500)
+    nearest = linkage.nearest(points.withColumn("s", F.lit(1.0)), points.withColumn("s", F.lit(1.0)), 1500, True)
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (near, nearest, layout.edges(near, 4))]
+    assert [plan.count("Exchange") for plan in plans] == [0, 0, 1]
+
+
+def test_each_row_has_a_place_whatever_its_id(spark):
+    x = np.random.default_rng(8).normal(size=(40, 3))
+    df = frame(spark, x).withColumn("id", F.when(F.col("id") > 9, F.col("id") % 5 + 10))
+    got = cluster.layout(df, "id", ["x0", "x1", "x2"], 5, rounds=1, epochs=3).groupBy("id").count().collect()
+    assert {r["id"]: r["count"] for r in got} == {None: 10, 10: 6, 11: 6, 12: 6, 13: 6, 14: 6}
+
+
 def test_weights_add_up():
     far = np.sort(np.random.default_rng(1).random((40, 15)), axis=1)
     w = layout.weights(far)
