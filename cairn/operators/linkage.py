@@ -1,36 +1,61 @@
 """Agglomerative clustering of any number of rows, in rounds of reciprocal nearest neighbours.
 
-Clusters are rows of a table: centre and weight. In a round each cluster that lost its nearest neighbour looks for it anew;
-two clusters that are nearest to each other merge, all such pairs at once. Ward and average linkage are reducible: no merge
-brings a cluster nearer to a third than its parts were, so neighbours that weren't merged stay the nearest, and merges of
-one round are merges of nearest-pair agglomeration, whose order by height they keep. When FINISH clusters are left, the
-rest is linked on the driver.
+Clusters have a number, a weight and a centre, and are stored in blocks (blocks.py), those that ask for their nearest
+neighbour apart from the others. In a round each cluster that lost its nearest neighbour looks for it anew; two clusters
+that are nearest to each other merge, all such pairs at once. Ward and average linkage are reducible: no merge brings a
+cluster nearer to a third than its parts were, so neighbours that weren't merged stay the nearest, and merges of one round
+are merges of nearest-pair agglomeration, whose order by height they keep. When FINISH clusters are left, at most BYTES of
+them, the rest is linked on the driver.
 
 Equal vectors are one cluster to begin with. Ties go to the pair with the least numbers, which are drawn by hash, so that
 rows in an order (a grid, say) don't merge one pair a round.
 
-Looking for neighbours compares each asking cluster with all others: blocks of clusters meet where they are stored
-(blocks.py), nothing is sent to every group. That is the cost of exact linkage, n * n * columns over two rounds' worth.
+A round is three steps: asking blocks meet all blocks where they are stored, a small table (number, neighbour, distance) tells
+what merges and who asks next, and one shuffle brings the two of a merge together and packs the blocks anew. Looking for
+neighbours compares each asking cluster with all others, in single precision, and by differences what that can't tell: the
+cost of exact linkage, some 3.4 * n * n * columns over all rounds.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.functions.blocks import met, packed, pairs, slack, squares
+from cairn.functions import blocks as stored_blocks
+from cairn.functions.blocks import MOST, met, opened, packed, pairs, slack, squares, vectors
 from cairn.functions.stored import stored
 
-#: Clusters that the driver links, and both sides of a matrix of distances.
-FINISH, ASKED, MET = 256, 512, 4096
+#: Clusters that the driver links and bytes of them at most, and both sides of a matrix of distances.
+FINISH, BYTES, ASKED, MET = 8192, 32 << 20, 512, 4096
 #: Distances that differ by a smaller share are ties.
 SAME = 1e-7
 
 
+def _least(left: np.ndarray, right: np.ndarray, single: np.ndarray, bound: np.ndarray, err: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where left @ right may be at most bound, by row: products err by err, and their terms and the bounds add up to size.
+
+    Single precision (the same right as single) tells it where it leaves few and can hold the numbers.
+    """
+    wide = right.shape[1]
+
+    def true(few: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        # By rows that have any, and of a flat array: several times as fast.
+        rows = np.flatnonzero(few.any(1))
+        at = np.flatnonzero(few[rows])
+        return rows[at // wide], at % wide
+
+    if size.max() < 1e30 and size.min() > 1e-25:
+        i, j = true(left.astype(np.float32) @ single <= (bound + 1.2e-7 * (left.shape[1] + 8) * size).astype(np.float32)[:, None])
+        if len(i) <= max(len(left), len(left) * wide // 64):
+            return i, j
+    return true(left @ right <= (bound + err)[:, None])
+
+
 def _closer(own: tuple, other: tuple, best: list[np.ndarray], ward: bool) -> None:
     """Keep in best (distance, smaller number, larger number) the nearest of the clusters own = (c, s, x) among the others.
 
@@ -41,7 +66,9 @@ def _closer(own: tuple, other: tuple, best: list[np.ndarray], ward: bool) -> Non
     for m in range(0, len(c2), MET):
         part, over = y[m : m + MET], 1 / s2[m : m + MET]
         y2 = (part * part).sum(1)
-        factors = np.column_stack([-2 * part, y2, over]).T if ward else part.T
+        factors = np.column_stack([-2 * part, y2, over] if ward else [-part]).T
+        with np.errstate(over="ignore"):  # then it isn't used
+            single = np.asarray(factors, dtype=np.float32, order="F")
         for a in range(0, len(c), ASKED):
             mine, low = x[a : a + ASKED], best[0][a : a + ASKED].copy()
             half = 1 / s[a : a + ASKED]
@@ -60,10 +87,10 @@ def _closer(own: tuple, other: tuple, best: list[np.ndarray], ward: bool) -> Non
             low[np.isinf(low)] = 1e300
             if ward:
                 x2 = (mine * mine).sum(1)
-                d = np.column_stack([mine, np.ones(len(mine)), -low / 2]) @ factors
-                i, j = np.nonzero(d <= (low / 2 * half - x2 + 2 * slack(x2, y2, x.shape[1]))[:, None])
+                left = np.column_stack([mine, np.ones(len(mine)), -low / 2])
+                i, j = _least(left, factors, single, low / 2 * half - x2, 2 * slack(x2, y2, x.shape[1]), 2 * (x2 + y2.max() + low * (half + over.max())))
             else:
-                i, j = np.nonzero(1 - mine @ factors <= (low + 1e-15 * (x.shape[1] + 8))[:, None])
+                i, j = _least(mine, factors, single, low - 1, np.full(len(mine), 1e-15 * (x.shape[1] + 8)), 2 + low)
             some = c[a + i] != c2[m + j]
             i, j = i[some], j[some]
             if not len(i):
@@ -138,72 +165,143 @@ def _meet(c: np.ndarray, s: np.ndarray, x: np.ndarray, c2: np.ndarray, s2: np.nd
             b[i + row[nearer]] = new[nearer]
 
 
+def _searched(asking: DataFrame, blocks: DataFrame, ward: bool) -> DataFrame:
+    """(c, nn, d): the nearest of the clusters in blocks to each of those that ask."""
+    found = met(asking, blocks).mapInArrow(lambda batches: _nearest(batches, ward), "c long, a long, b long, d double")
+    return found.select("c", F.when(F.col("a") == F.col("c"), F.col("b")).otherwise(F.col("a")).alias("nn"), "d")
+
+
 def nearest(asking: DataFrame, clusters: DataFrame, most: int, ward: bool) -> DataFrame:
     """(c, nn, d): the nearest of the clusters (c, s, x), which are most, to each of those that ask."""
     width = clusters.select(F.size("x").alias("w")).limit(1).collect()
     wide = width[0]["w"] if width else 0
-    both = met(packed(asking, most, wide, "asking"), packed(clusters, most, wide))
-    found = both.mapInArrow(lambda batches: _nearest(batches, ward), "c long, a long, b long, d double")
-    return found.select("c", F.when(F.col("a") == F.col("c"), F.col("b")).otherwise(F.col("a")).alias("nn"), "d")
+    return _searched(packed(asking, most, wide, "asking"), packed(clusters, most, wide), ward)
+
+
+def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(c, s, x) of rows, x as bytes, whose numbers are in lists."""
+    for batch in batches:
+        yield _rows(batch.column(0), batch.column(1), vectors(batch.column(2)))
+
+
+def _rows(c: pa.Array, s: pa.Array, x: np.ndarray) -> pa.RecordBatch:
+    ends = pa.array(np.arange(len(c) + 1, dtype=np.int32) * np.int32(8 * x.shape[1]))
+    x = pa.Array.from_buffers(pa.binary(), len(c), [None, ends.buffers()[1], pa.py_buffer(np.ascontiguousarray(x))])
+    return pa.RecordBatch.from_arrays([c, s, x], names=["c", "s", "x"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(c, s, x) of rows, x as bytes, from blocks of them."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            c, s, x = opened(batch, i, 0)
+            yield _rows(pa.array(c), pa.array(s), x)
+
+
+def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of a task's rows (c, asks, s, x); two rows with one number are merged."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    c, asks, s = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in held]) for k in range(3))
+    x = np.frombuffer(b"".join(v for b in held for v in b.column(3).to_pylist()), dtype=np.float64).reshape(len(c), -1)
+    del held
+    order = np.argsort(c, kind="stable")
+    c = c[order]
+    second = np.flatnonzero(c[1:] == c[:-1]) + 1
+    a, b = order[second - 1], order[second]
+    size = s[a] + s[b]
+    centre = (x[a] * s[a][:, None] + x[b] * s[b][:, None]) / size[:, None]
+    x, s = x.copy(), s.copy()
+    x[a], s[a] = centre, size
+    c, order = np.delete(c, second), np.delete(order, second)
+    for ask in (True, False):
+        some = np.flatnonzero(asks[order] == ask)
+        for part in np.array_split(some, max(1, -(-len(some) // MOST))):
+            if len(part):
+                at = order[part]
+                yield pa.RecordBatch.from_arrays([pa.array([ask]), *[pa.array([v.tobytes()], pa.binary()) for v in (c[part], s[at], x[at])]], names=["asks", "c", "s", "x"])
+
+
+def _placed(rows: DataFrame, n: int, width: int) -> DataFrame:
+    """Stored blocks (asks, c, s, x) of about n rows (c, asks, s, x), of which two with one number merge.
+
+    So many files as there are cores, or as their bytes need, as a task holds one: asking clusters, also few, lie in so many blocks.
+    """
+    parts = max(1, min(rows.sparkSession.sparkContext.defaultParallelism, n // 256), -(-n * (8 * width + 16) // stored_blocks.PART))
+    return stored(rows.repartition(parts, "c").mapInArrow(_blocked, "asks boolean, c binary, s binary, x binary"), "blocks")
 
 
-def _height(ward: bool) -> Column:
-    """The height of a merge of clusters a and b, from their centres and weights."""
-    if not ward:
-        return 1 - F.aggregate(F.zip_with("ax", "bx", lambda p, q: p * q), F.lit(0.0), lambda t, v: t + v)
-    square = F.aggregate(F.zip_with("ax", "bx", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda t, v: t + v)
-    return square * 2 * F.col("a_s") * F.col("b_s") / (F.col("a_s") + F.col("b_s"))
+def _told(near: DataFrame) -> DataFrame:
+    """(c, nn, d, into) of near (c, nn, d): into is the number after the round of those that merge, their own of those that lose their neighbour to a merge, else null."""
+    other = near.select(F.col("c").alias("nn"), F.col("nn").alias("back"))
+    both = near.join(other, "nn", "left").select("c", "nn", "d", F.col("back").eqNullSafe(F.col("c")).alias("gone"))
+    taken = both.where("gone").select(F.col("c").alias("nn"), F.lit(True).alias("taken"))
+    into = F.when(F.col("gone"), F.least("c", "nn")).when(F.col("taken"), F.col("c"))
+    return both.join(taken, "nn", "left").select("c", "nn", "d", into.alias("into"))
 
 
 def merges(clusters: DataFrame, ward: bool, finish: int = FINISH) -> DataFrame:
     """(c, into, h): all merges of clusters (c, s, x), which are stored; the larger number goes into the smaller one at height h."""
     spark = clusters.sparkSession
-    out, near, n = None, None, clusters.count()
+    first = clusters.select(F.size("x").alias("w")).limit(1).collect()
+    width, n = first[0]["w"] if first else 0, clusters.count()
+    finish = min(finish, max(256, BYTES // (8 * max(1, width))))
+    rows = clusters.select("c", F.col("s").cast("double").alias("s"), "x").mapInArrow(_flat, "c long, s double, x binary")
+    blocks = _placed(rows.withColumn("asks", F.lit(True)).select("c", "asks", "s", "x"), n, width)
+    out, near = [], None
     while n > finish:
-        asking = clusters if near is None else clusters.join(near.select("c"), "c", "left_anti")
-        found = nearest(asking, clusters, n, ward)
+        found = _searched(blocks.where("asks").drop("asks"), blocks.drop("asks"), ward)
         near = stored(found if near is None else near.unionByName(found), "nearest")
-        pair = [F.least("c", "nn").alias("a"), F.greatest("c", "nn").alias("b")]
-        both = near.groupBy(*pair).agg(F.count(F.lit(1)).alias("k"), F.min("d").alias("d"))
-        pairs = stored(both.where("k = 2").select("a", "b"), "pairs")
-        merged = pairs.count()
+        told = stored(_told(near), "told")
+        merged = told.where("c <> into").count()
         if not merged:  # rounding parted those that are nearest: the nearest of all merge
-            pairs = stored(both.orderBy("d", "a", "b").limit(1).select("a", "b"), "pairs")
+            pair = [F.least("c", "nn").alias("a"), F.greatest("c", "nn").alias("b"), F.col("d")]
+            least = near.select(*pair).orderBy("d", "a", "b").first()
+            if least is None:
+                raise ValueError("no cluster has a nearest one: vectors must hold finite numbers")
+            a, b, height = least
+            into = F.when(F.col("c").isin(a, b), F.lit(a)).when(F.col("nn").isin(a, b), F.col("c"))
+            told = stored(near.select("c", "nn", F.when(F.col("c") == b, F.lit(height)).otherwise(F.col("d")).alias("d"), into.alias("into")), "told")
             merged = 1
-        side = lambda k: clusters.select(F.col("c").alias(k), F.col("s").alias(f"{k}_s"), F.col("x").alias(f"{k}x"))
-        size = F.col("a_s") + F.col("b_s")
-        centre = F.zip_with("ax", "bx", lambda p, q: (p * F.col("a_s") + q * F.col("b_s")) / size)
-        new = stored(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", _height(ward).alias("h"), centre.alias("x"), size.alias("s")), "merged")
-        step = new.select(F.col("b").alias("c"), F.col("a").alias("into"), "h")
-        out = step if out is None else out.unionByName(step)
-        gone = pairs.select(F.explode(F.array("a", "b")).alias("c"))
-        clusters = stored(clusters.join(gone, "c", "left_anti").unionByName(new.select(F.col("a").alias("c"), "s", "x")), "clusters")
-        near = near.join(gone, "c", "left_anti").join(gone.withColumnRenamed("c", "nn"), "nn", "left_anti").select("c", "nn", "d")
+        out.append(told.where("c <> into").select("c", "into", F.col("d").alias("h")))
+        changes = told.where("into IS NOT NULL").select("c", "into")
+        rows = blocks.select("c", "s", "x").mapInArrow(_unpacked, "c long, s double, x binary").join(changes, "c", "left")
         n -= merged
+        blocks = _placed(rows.select(F.coalesce("into", "c").alias("c"), F.col("into").isNotNull().alias("asks"), "s", "x"), n, width)
+        near = told.where("into IS NULL").select("c", "nn", "d")
     # At most finish clusters.
-    rest = sorted((r["c"], r["s"], r["x"]) for r in clusters.collect())
-    last = chained(np.array([r[0] for r in rest], dtype=np.int64), np.array([r[1] for r in rest]), np.array([r[2] for r in rest]), ward)
-    end = spark.createDataFrame(last, "c long, into long, h double")
-    return end if out is None else out.unionByName(end)
+    rest = [(np.frombuffer(r["c"], np.int64), np.frombuffer(r["s"]), np.frombuffer(r["x"]).reshape(-1, width)) for r in blocks.select("c", "s", "x").collect()]
+    c, s, x = (np.concatenate(v) for v in zip(*rest)) if rest else (np.zeros(0, np.int64), np.zeros(0), np.zeros((0, width)))
+    order = np.argsort(c)
+    last = spark.createDataFrame(chained(c[order], s[order], x[order], ward), "c long, into long, h double")
+    return reduce(DataFrame.unionByName, out, last)
 
 
 def chained(c: np.ndarray, s: np.ndarray, x: np.ndarray, ward: bool) -> list[tuple[int, int, float]]:
     """merges of a few clusters, in rounds like those of the table."""
     out: list[tuple[int, int, float]] = []
+    best = [np.full(len(c), np.inf), np.full(len(c), 1 << 62), np.full(len(c), 1 << 62)]
+    asks = np.ones(len(c), dtype=bool)
     while len(c) > 1:
-        best = [np.full(len(c), np.inf), np.full(len(c), 1 << 62), np.full(len(c), 1 << 62)]
-        _meet(c, s, x, c, s, x, best, ward)
+        found = [np.full(asks.sum(), np.inf), np.full(asks.sum(), 1 << 62), np.full(asks.sum(), 1 << 62)]
+        _meet(c[asks], s[asks], x[asks], c, s, x, found, ward)
+        for b, f in zip(best, found):
+            b[asks] = f
         pairs, times = np.unique(np.column_stack(best[1:]), axis=0, return_counts=True)
         done = pairs[times == 2] if (times == 2).any() else np.array([best[1:]]).transpose(0, 2, 1)[0][[int(np.lexsort((best[2], best[1], best[0]))[0])]]
-        place = {int(k): i for i, k in enumerate(c.tolist())}
-        a, b = (np.array([place[int(k)] for k in side]) for side in done.T)
+        order = np.argsort(c)
+        a, b = (order[np.searchsorted(c, side, sorter=order)] for side in done.T)
         size = s[a] + s[b]
         h = 2 * s[a] * s[b] / size * ((x[a] - x[b]) ** 2).sum(1) if ward else 1 - (x[a] * x[b]).sum(1)
         out += zip(c[b].tolist(), c[a].tolist(), h.tolist())
         x[a], s[a] = (x[a] * s[a][:, None] + x[b] * s[b][:, None]) / size[:, None], size
+        # Those ask whose pair is no more.
+        asks = np.isin(best[1], done) | np.isin(best[2], done)
+        asks[a] = True
         stay = np.ones(len(c), dtype=bool)
         stay[b] = False
-        c, s, x = c[stay], s[stay], x[stay]
+        c, s, x, asks, best = c[stay], s[stay], x[stay], asks[stay], [v[stay] for v in best]
     return out
 
 

@@ -61,3 +61,43 @@ def test_names_of_columns(spark):
     df = spark.createDataFrame([(f"r{i}", float(i // 5 * 100 + i), 1.0, i) for i in range(10)], "`the id` string, a double, c double, x long")
     got = {r[0]: r[1] for r in cluster.agglomerative(df, "the id", ["a", "c"], 2).collect()}
     assert got == {f"r{i}": i // 5 for i in range(10)}
+
+
+def test_steps_of_a_round(spark, monkeypatch):
+    """A round stores three steps: its neighbours, what merges, and the blocks. Up to FINISH clusters need no round."""
+    seen = []
+    real = linkage.stored
+    monkeypatch.setattr(linkage, "stored", lambda df, name="step": seen.append(name) or real(df, name))
+    monkeypatch.setattr("cairn.functions.blocks.stored", lambda df, name="step": seen.append(name) or real(df, name))
+    x = np.random.default_rng(11).normal(size=(1500, 5))
+    wanted = cluster.linkage_labels(x, 6, "euclidean")
+    assert (labels(spark, x, 6, True, finish=900) == wanted).all()
+    steps = seen[seen.index("blocks") : seen.index("merges")]
+    assert len(steps) > 3 and steps == ["blocks"] + ["nearest", "told", "blocks"] * (len(steps) // 3)
+    seen.clear()
+    assert (labels(spark, x, 6, True) == wanted).all() and "nearest" not in seen
+
+
+@pytest.mark.parametrize("scale, offset", [(1.0, 0.0), (1.0, 1e4), (1e-3, 1e6), (1e-30, 0.0), (1e30, 0.0), (1e-3, 1.0)])
+@pytest.mark.parametrize("ward", [True, False])
+def test_single_precision_only_leaves_out(scale, offset, ward):
+    """What it can't tell, as among vectors far from the origin or of tiny or huge numbers, is told by differences."""
+    r = np.random.default_rng(13)
+    x = np.concatenate([r.normal(size=(600, 8)) * scale + offset, r.normal(size=(40, 8)) * max(scale, 1.0)])
+    s = r.integers(1, 50, len(x)).astype(float)
+    if not ward:
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    c = r.permutation(len(x))
+    own, best = (c[:200], s[:200], x[:200]), [np.full(200, np.inf), np.full(200, 1 << 62), np.full(200, 1 << 62)]
+    for k in range(0, len(x), 160):
+        linkage._closer(own, (c[k : k + 160], s[k : k + 160], x[k : k + 160]), best, ward)
+    d = ((x[:200, None, :] - x[None, :, :]) ** 2).sum(-1) * 2 / (1 / s[:200, None] + 1 / s) if ward else 1 - (x[:200, None, :] * x[None, :, :]).sum(-1)
+    d[np.arange(200), np.arange(200)] = np.inf
+    assert np.allclose(best[0], d.min(1), rtol=1e-6, atol=1e-12)
+
+
+def test_where_no_two_are_nearest_to_each_other(spark, monkeypatch):
+    """Where rounding leaves no such pair, the nearest of all merge."""
+    monkeypatch.setattr(linkage, "_told", lambda near: near.withColumn("into", F.lit(None).cast("long")))
+    x = np.random.default_rng(17).normal(size=(10, 3))
+    assert (labels(spark, x, 3, True, finish=6) == cluster.linkage_labels(x, 3, "euclidean")).all()
