@@ -11,9 +11,11 @@ Equal vectors are one cluster to begin with. Ties go to the pair with the least
 rows in an order (a grid, say) don't merge one pair a round.
 
 A round is three steps: asking blocks meet all blocks where they are stored, a small table (number, neighbour, distance) tells
-what merges and who asks next, and one shuffle brings the two of a merge together and packs the blocks anew. Looking for
-neighbours compares each asking cluster with all others, in single precision, and by differences what that can't tell: the
-cost of exact linkage, some 3.4 * n * n * columns over all rounds.
+what merges and who lost its neighbour, and one shuffle brings the two of a merge together and packs the blocks anew. Looking
+for neighbours compares each asking cluster with all others, in single precision, and by differences what that can't tell.
+That is the cost of exact linkage, some 2.5 * n * n * columns over all rounds. Clusters that know no neighbour need not ask at
+once: those do whose last distance, which no distance of theirs is below, is among the least. The others wait, as they would
+often lose what they found before they merge.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from cairn.functions.stored import stored
 
 #: Clusters that the driver links and bytes of them at most, and both sides of a matrix of distances.
 FINISH, BYTES, ASKED, MET = 8192, 32 << 20, 512, 4096
+#: Shares of the clusters without a neighbour that may ask, and pairs that are worth a round: the least share with so many does, or all do.
+SHARES, WORTH = (0.25, 0.5, 0.75), 3e9
 #: Distances that differ by a smaller share are ties.
 SAME = 1e-7
 
@@ -212,8 +216,8 @@ def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     a, b = order[second - 1], order[second]
     size = s[a] + s[b]
     centre = (x[a] * s[a][:, None] + x[b] * s[b][:, None]) / size[:, None]
-    x, s = x.copy(), s.copy()
-    x[a], s[a] = centre, size
+    x, s, asks = x.copy(), s.copy(), asks.copy()
+    x[a], s[a], asks[a] = centre, size, asks[a] | asks[b]
     c, order = np.delete(c, second), np.delete(order, second)
     for ask in (True, False):
         some = np.flatnonzero(asks[order] == ask)
@@ -233,12 +237,15 @@ def _placed(rows: DataFrame, n: int, width: int) -> DataFrame:
 
 
 def _told(near: DataFrame) -> DataFrame:
-    """(c, nn, d, into) of near (c, nn, d): into is the number after the round of those that merge, their own of those that lose their neighbour to a merge, else null."""
+    """(c, nn, d, into) of near (c, nn, d): into is the number after the round of those that merge, nn the neighbour that is left.
+
+    Without a neighbour, d is what no distance is below.
+    """
     other = near.select(F.col("c").alias("nn"), F.col("nn").alias("back"))
     both = near.join(other, "nn", "left").select("c", "nn", "d", F.col("back").eqNullSafe(F.col("c")).alias("gone"))
     taken = both.where("gone").select(F.col("c").alias("nn"), F.lit(True).alias("taken"))
-    into = F.when(F.col("gone"), F.least("c", "nn")).when(F.col("taken"), F.col("c"))
-    return both.join(taken, "nn", "left").select("c", "nn", "d", into.alias("into"))
+    into = F.when(F.col("gone"), F.least("c", "nn"))
+    return both.join(taken, "nn", "left").select("c", F.when(F.col("taken").isNull(), F.col("nn")).alias("nn"), "d", into.alias("into"))
 
 
 def merges(clusters: DataFrame, ward: bool, finish: int = FINISH) -> DataFrame:
@@ -254,22 +261,27 @@ def merges(clusters: DataFrame, ward: bool, finish: int = FINISH) -> DataFrame:
         found = _searched(blocks.where("asks").drop("asks"), blocks.drop("asks"), ward)
         near = stored(found if near is None else near.unionByName(found), "nearest")
         told = stored(_told(near), "told")
-        merged = told.where("c <> into").count()
-        if not merged:  # rounding parted those that are nearest: the nearest of all merge
+        lost = F.col("nn").isNull() & (F.coalesce("into", "c") == F.col("c"))
+        merged, waiting, bounds = told.agg(F.count_if(F.col("c") != F.col("into")), F.count_if(lost), F.percentile_approx(F.when(lost, F.col("d")), list(SHARES), 1000)).first()
+        # All ask where few do, and where waiting left nothing to merge.
+        most = next((b for share, b in zip(SHARES, bounds or ()) if merged and share * waiting * n >= WORTH), float("inf"))
+        if not merged and not waiting:  # rounding parted those that are nearest: the nearest of all merge
             pair = [F.least("c", "nn").alias("a"), F.greatest("c", "nn").alias("b"), F.col("d")]
             least = near.select(*pair).orderBy("d", "a", "b").first()
             if least is None:
                 raise ValueError("no cluster has a nearest one: vectors must hold finite numbers")
             a, b, height = least
-            into = F.when(F.col("c").isin(a, b), F.lit(a)).when(F.col("nn").isin(a, b), F.col("c"))
-            told = stored(near.select("c", "nn", F.when(F.col("c") == b, F.lit(height)).otherwise(F.col("d")).alias("d"), into.alias("into")), "told")
+            both = F.col("c").isin(a, b)
+            nn = F.when(~both & ~F.col("nn").isin(a, b), F.col("nn"))
+            told = stored(near.select("c", nn.alias("nn"), F.when(both, F.lit(height)).otherwise(F.col("d")).alias("d"), F.when(both, F.lit(a)).alias("into")), "told")
             merged = 1
         out.append(told.where("c <> into").select("c", "into", F.col("d").alias("h")))
-        changes = told.where("into IS NOT NULL").select("c", "into")
+        asks = lost & (F.col("d") <= most)
+        changes = told.where(F.col("into").isNotNull() | asks).select("c", "into", asks.alias("asks"))
         rows = blocks.select("c", "s", "x").mapInArrow(_unpacked, "c long, s double, x binary").join(changes, "c", "left")
         n -= merged
-        blocks = _placed(rows.select(F.coalesce("into", "c").alias("c"), F.col("into").isNotNull().alias("asks"), "s", "x"), n, width)
-        near = told.where("into IS NULL").select("c", "nn", "d")
+        blocks = _placed(rows.select(F.coalesce("into", "c").alias("c"), F.coalesce("asks", F.lit(False)).alias("asks"), "s", "x"), n, width)
+        near = told.where(F.coalesce("into", "c") == F.col("c")).where(~asks).select("c", "nn", "d")
     # At most finish clusters.
     rest = [(np.frombuffer(r["c"], np.int64), np.frombuffer(r["s"]), np.frombuffer(r["x"]).reshape(-1, width)) for r in blocks.select("c", "s", "x").collect()]
     c, s, x = (np.concatenate(v) for v in zip(*rest)) if rest else (np.zeros(0, np.int64), np.zeros(0), np.zeros((0, width)))

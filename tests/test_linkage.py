@@ -101,3 +101,19 @@ def test_where_no_two_are_nearest_to_each_other(spark, monkeypatch):
     monkeypatch.setattr(linkage, "_told", lambda near: near.withColumn("into", F.lit(None).cast("long")))
     x = np.random.default_rng(17).normal(size=(10, 3))
     assert (labels(spark, x, 3, True, finish=6) == cluster.linkage_labels(x, 3, "euclidean")).all()
+
+
+@pytest.mark.parametrize("ward", [True, False])
+def test_clusters_that_wait_to_ask(spark, monkeypatch, ward):
+    """Those without a neighbour ask by shares; who waits merges later, at the same heights."""
+    monkeypatch.setattr(linkage, "WORTH", 20_000)
+    asked = []
+    real = linkage._searched
+    monkeypatch.setattr(linkage, "_searched", lambda asking, blocks, ward: asked.append((asking, blocks)) or real(asking, blocks, ward))
+    x = np.random.default_rng(19).normal(size=(700, 6))
+    assert (labels(spark, x, 9, ward, finish=300) == cluster.linkage_labels(x, 9, "euclidean" if ward else "cosine")).all()
+    size = lambda df: df.agg(F.sum(F.length("s") / 8)).first()[0]
+    counts = [(size(a), size(b)) for a, b in asked]
+    assert counts[0] == (700, 700) and min(b for _, b in counts) > 300 and all(a for a, _ in counts)
+    # Less than half as many as lost their neighbour asked in the second round.
+    assert counts[1][0] < (counts[0][1] - counts[1][1]) * 1.2
